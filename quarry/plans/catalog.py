@@ -1,3 +1,3 @@
 """Imports every query module so that each registers its queries."""
 
-from quarry.plans import term_queries, vector_queries  # noqa: F401
+from quarry.plans import record_queries, term_queries, trend_queries, vector_queries  # noqa: F401
