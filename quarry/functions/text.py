@@ -156,9 +156,12 @@ def word_count(text) -> Column:
 def title_case(text) -> Column:
     """Python ``str.title`` (a letter run starts upper, rest lower)."""
     pieces = F.regexp_extract_all(_col(text), F.lit(r"(\p{L}+|\P{L}+)"), 1)
+    # A word-initial sharp s title-cases to 'Ss' (Unicode special casing).
     return F.array_join(F.transform(pieces, lambda p: F.when(
         p.rlike(r"^\p{L}"),
-        F.concat(F.upper(F.substring(p, 1, 1)), F.lower(F.substring(p, 2, 1 << 30))),
+        F.concat(F.when(F.substring(p, 1, 1) == "\u00df", F.lit("Ss"))
+                 .otherwise(F.upper(F.substring(p, 1, 1))),
+                 F.lower(F.substring(p, 2, 1 << 30))),
     ).otherwise(p)), "")
 
 

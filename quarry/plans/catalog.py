@@ -1,3 +1,4 @@
 """Imports every query module so that each registers its queries."""
 
-from quarry.plans import record_queries, term_queries, trend_queries, vector_queries  # noqa: F401
+from quarry.plans import (  # noqa: F401
+    record_queries, term_queries, text_queries, trend_queries, vector_queries)
