@@ -79,14 +79,15 @@ def fallback_join(left: DataFrame, right: DataFrame, left_id: str, right_id: str
     return matched.unionByName(by_key)
 
 
-def dense_index(df: DataFrame, order_col: str, name: str = "idx") -> DataFrame:
+def dense_index(df: DataFrame, order_col, name: str = "idx") -> DataFrame:
     """0-based row index in ``order_col`` order, without a global window.
 
     Rows are range-partitioned and sorted within partitions; a partition's
     global offset is the row count of the partitions before it (one row per
     partition), so no task ever holds more than its own range."""
+    cols = [order_col] if isinstance(order_col, str) else list(order_col)
     nparts = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
-    ranged = df.repartitionByRange(nparts, order_col).sortWithinPartitions(order_col)
+    ranged = df.repartitionByRange(nparts, *cols).sortWithinPartitions(*cols)
     pos = (ranged.withColumn("_pid", F.spark_partition_id())
            .withColumn("_mid", F.monotonically_increasing_id()))
     counts = pos.groupBy("_pid").agg(F.count(F.lit(1)).alias("_c"))

@@ -32,7 +32,9 @@ def cosine(a, b, eps: float = 0.0) -> Column:
     dot = F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, v: s + v)
     na = F.sqrt(F.aggregate(a, F.lit(0.0), lambda s, v: s + v * v))
     nb = F.sqrt(F.aggregate(b, F.lit(0.0), lambda s, v: s + v * v))
-    return dot / (na * nb + F.lit(eps))
+    denom = na * nb + F.lit(eps)
+    # zero vectors have cosine 0 (as sklearn's normalise-then-dot)
+    return F.when(denom > 0, dot / denom).otherwise(F.lit(0.0))
 
 
 # --------------------------------------------------------------------------
