@@ -46,3 +46,16 @@ def test_connected_components_path(spark):
     e = spark.createDataFrame([(i, i + 1) for i in range(n - 1)], "src long, dst long")
     got = {r.id: r.root for r in D.connected_components(v, e).collect()}
     assert all(got[i] == 0 for i in range(n)) and got[100] == 100
+
+
+def test_sweep_and_pareto(spark):
+    from quarry.operators import sweep
+
+    rows, df = planted(spark)
+    ranges = {"min_cluster_size": (10, 20), "min_samples": (3, 6), "epsilon": (1.0, 2.0)}
+    trials = sweep.param_sweep(df, n_trials=2, seed=1, ranges=ranges)
+    got = trials.collect()
+    assert len(got) == 2 and {r.state for r in got} <= {"COMPLETE", "PRUNED"}
+    # three planted blobs are fewer than the 5-cluster minimum -> pruned
+    assert all(r.state == "PRUNED" for r in got)
+    assert sweep.best_trials(trials).count() == 0
