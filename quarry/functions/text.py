@@ -8,6 +8,7 @@ on Python's Unicode ``\\s`` we spell the whitespace class out.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable
 
 from pyspark.sql import Column
@@ -55,14 +56,49 @@ def clean_tokens(text, stop_words: Iterable[str] | None = None) -> Column:
     return F.filter(toks, lambda t: F.length(t) >= MIN_TOKEN_CHARS)
 
 
+def word_alternation(words: Iterable[str]) -> str:
+    """A regex matching exactly the given lower-case words, shaped as a trie
+    (shared prefixes factored out) so a match attempt tests a few characters
+    instead of every word."""
+    trie: dict = {}
+    for w in sorted(set(words)):
+        node = trie
+        for ch in w:
+            node = node.setdefault(ch, {})
+        node[""] = {}
+
+    def emit(node: dict) -> str:
+        alts = [re.escape(ch) + emit(child) for ch, child in sorted(node.items()) if ch]
+        if not alts:
+            return ""
+        body = alts[0] if len(alts) == 1 else "(?:" + "|".join(alts) + ")"
+        return "(?:" + body + ")?" if "" in node else body
+
+    return emit(trie)
+
+
 def preprocess(text, stop_words: Iterable[str] | None = None,
                lemmas: dict[str, str] | None = None) -> Column:
     """normalised document as one space-separated string.
 
-    ``lemmas`` is an optional small form->lemma mapping applied after the
-    stop-word and length tests (as the reference does); large lemma tables
-    go through ``operators.terms.lemmatise`` instead.
+    Without lemmas this is three codegen'd regex passes: delete
+    ``[^A-Za-z0-9 ]+`` after lower-casing, delete every token of one or two
+    characters or in the stop list (tokens are delimited by spaces), and
+    collapse the spaces -- the same string as splitting, filtering and
+    re-joining, without per-token lambdas.  ``lemmas`` is an optional small
+    form->lemma mapping applied after the stop-word and length tests (as the
+    reference does); large lemma tables go through ``operators.terms.lemmatise``.
     """
+    if not lemmas:
+        stop = default_stop_words() if stop_words is None else list(stop_words)
+        # only words that a cleaned token can equal: [a-z0-9], 3+ characters
+        live = [w for w in stop if len(w) >= MIN_TOKEN_CHARS and re.fullmatch(r"[a-z0-9]+", w)]
+        drop = "[a-z0-9]{1,%d}" % (MIN_TOKEN_CHARS - 1)
+        if live:
+            drop = "(?:" + drop + "|" + word_alternation(live) + ")"
+        cleaned = F.regexp_replace(F.lower(_col(text)), PREPROCESS_STRIP, "")
+        kept = F.regexp_replace(cleaned, "(?<![a-z0-9])" + drop + "(?![a-z0-9])", "")
+        return F.btrim(F.regexp_replace(kept, " {2,}", " "), F.lit(" "))
     toks = clean_tokens(text, stop_words)
     if lemmas:
         m = F.create_map(*[F.lit(x) for kv in sorted(lemmas.items()) for x in kv])
@@ -106,8 +142,9 @@ def ngram_range(tokens, lo: int, hi: int) -> Column:
 # --------------------------------------------------------------------------
 
 def py_strip(text) -> Column:
-    """Python ``str.strip()``: trim Unicode whitespace at both ends."""
-    return F.regexp_replace(_col(text), "^" + WS_CLASS + "+|" + WS_CLASS + "+$", "")
+    """Python ``str.strip()``: trim Unicode whitespace at both ends
+    (``btrim`` with the explicit character set, no regex)."""
+    return F.btrim(_col(text), F.lit(PY_WHITESPACE))
 
 
 def clean_text(text) -> Column:
@@ -148,9 +185,8 @@ def split_sentences(text) -> Column:
 
 def word_count(text) -> Column:
     """number of whitespace-separated words (Python ``len(s.split())``)."""
-    t = py_strip(_col(text))
-    return F.when(F.length(t) == 0, F.lit(0)).otherwise(
-        F.size(F.split(t, WS_CLASS + "+")))
+    parts = F.split(_col(text), WS_CLASS + "+")
+    return F.size(F.filter(parts, lambda w: F.length(w) > 0))
 
 
 def title_case(text) -> Column:

@@ -66,17 +66,22 @@ def fallback_join(left: DataFrame, right: DataFrame, left_id: str, right_id: str
     min), so a hot key cannot fan out, and AQE splits a skewed left side."""
     r_doi = (right.where(F.col(doi_col).isNotNull())
              .groupBy(doi_col).agg(F.min(right_id).alias("doi_match")))
-    r_key = (right.select(T.join_key(title_col, abstract_col).alias("_k"), right_id)
-             .where(F.col("_k").isNotNull())
-             .groupBy("_k").agg(F.min(right_id).alias("key_match")))
-    l = left.select(left_id, doi_col, T.join_key(title_col, abstract_col).alias("_k"))
-    by_doi = l.join(r_doi, doi_col, "left")
-    matched = by_doi.where(F.col("doi_match").isNotNull()).select(
-        left_id, F.col("doi_match").alias("matched_id"), F.lit("doi").alias("matched_by"))
-    rest = by_doi.where(F.col("doi_match").isNull()).select(left_id, "_k")
-    by_key = rest.join(r_key, "_k", "inner").select(
-        left_id, F.col("key_match").alias("matched_id"), F.lit("key").alias("matched_by"))
-    return matched.unionByName(by_key)
+    # Keys are whole normalised texts: the shuffles use their SHA-256
+    # digest, and the full key is still compared on digest matches, so the
+    # join stays exact.
+    r_key = (right.select(T.join_key(title_col, abstract_col).alias("_rk"), right_id)
+             .where(F.col("_rk").isNotNull())
+             .groupBy("_rk").agg(F.min(right_id).alias("key_match"))
+             .withColumn("_rh", F.sha2("_rk", 256)))
+    l = (left.select(left_id, doi_col, T.join_key(title_col, abstract_col).alias("_k"))
+         .withColumn("_h", F.sha2("_k", 256)))
+    both = (l.join(r_doi, doi_col, "left")
+            .join(r_key, (F.col("_h") == F.col("_rh")) & (F.col("_k") == F.col("_rk")), "left"))
+    return (both.where(F.col("doi_match").isNotNull() | F.col("key_match").isNotNull())
+            .select(left_id,
+                    F.coalesce("doi_match", "key_match").alias("matched_id"),
+                    F.when(F.col("doi_match").isNotNull(), F.lit("doi")).otherwise(F.lit("key"))
+                    .alias("matched_by")))
 
 
 def dense_index(df: DataFrame, order_col, name: str = "idx") -> DataFrame:

@@ -5,8 +5,8 @@ user ``make_predict_fn`` (text -> text) run by ``predict_batch_udf``, and the
 offline default is *extractive*: the sentences closest to the text's own
 sentence centroid, kept in their original order.  All steps are Spark
 jobs over exploded sentences; only the greedy, order-dependent redundancy
-filter (M15) runs per text in ``applyInPandas`` (one group = one text's
-sentences).
+filter (M15) runs per text in Python (one group = one text's sentences),
+streamed per partition by ``blocks.grouped_sorted_map``.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ from pyspark.sql import types as Ty
 
 from quarry.functions import text as T
 from quarry.functions.stopwords import label_stop_words
-from quarry.operators import models, similarity as S
+from quarry.operators import blocks, models, similarity as S
 from quarry.session import reliable_checkpoint
 
 # Fixed values of the reference's summariser.
@@ -51,26 +51,27 @@ def dedupe_sentences(df: DataFrame, key: str, text_col: str,
 
     def greedy(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("pos")
-        kept, kept_vecs = [], []
-        for s, nw, v in zip(pdf["sentence"], pdf["n_words"], pdf["vec"]):
-            if nw < MIN_SENTENCE_WORDS:
-                continue
-            v = np.asarray(v, dtype=np.float64)
-            nv = np.linalg.norm(v)
-            redundant = False
-            for kv, kn in kept_vecs:
-                denom = nv * kn
-                sim = float(v @ kv / denom) if denom > 0 else 0.0
-                if sim > threshold:
-                    redundant = True
-                    break
-            if not redundant:
-                kept.append(s)
-                kept_vecs.append((v, nv))
+        long = pdf[pdf["n_words"] >= MIN_SENTENCE_WORDS]
+        kept = []
+        if len(long):
+            vecs = np.vstack([np.asarray(v, dtype=np.float64) for v in long["vec"]])
+            norms = np.linalg.norm(vecs, axis=1)
+            kept_idx = np.empty(len(long), dtype=np.int64)
+            n_kept = 0
+            for i in range(len(long)):
+                if n_kept:
+                    k = kept_idx[:n_kept]
+                    denom = norms[k] * norms[i]
+                    sims = np.where(denom > 0, vecs[k] @ vecs[i] / np.where(denom > 0, denom, 1.0), 0.0)
+                    if (sims > threshold).any():
+                        continue
+                kept_idx[n_kept] = i
+                n_kept += 1
+            kept = long["sentence"].to_numpy()[kept_idx[:n_kept]].tolist()
         return pd.DataFrame({key: [pdf[key].iloc[0]], "refined": [" ".join(kept)]})
 
     key_type = dict(df.dtypes)[key]
-    refined = sents.groupBy(key).applyInPandas(greedy, f"{key} {key_type}, refined string")
+    refined = blocks.grouped_sorted_map(sents, key, ["pos"], greedy, f"{key} {key_type}, refined string")
     # texts without any sentence keep their text
     return (df.select(key, text_col).join(refined, key, "left")
             .select(key, F.coalesce("refined", text_col).alias("refined")))
@@ -83,7 +84,9 @@ def extractive_summary(df: DataFrame, key: str, text_col: str, make_predict_fn=N
     Sentences are ranked by cosine to the mean sentence vector of their
     text; they are taken in rank order until ``min_words`` is reached
     (never beyond ``max_words``), then re-ordered by position."""
-    sents = models.embed(sentences(df, key, text_col), "sentence", "vec", make_predict_fn)
+    # inference once: centroids and scores both read the materialised vectors
+    sents = reliable_checkpoint(models.embed(sentences(df, key, text_col), "sentence", "vec",
+                                             make_predict_fn))
     cents = S.centroids(sents.select(key, "vec"), key, "vec").select(key, "centroid")
     scored = sents.join(cents, key).withColumn("score", S.cosine("vec", "centroid"))
     w = Window.partitionBy(key).orderBy(F.desc("score"), F.asc("pos"))

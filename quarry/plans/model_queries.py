@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from quarry.operators import density, models, similarity as S, summaries as SM, terms as TM
 from quarry.plans.registry import register
+from quarry.session import reliable_checkpoint
 from quarry.sources.tables import corpus, table
 
 # Fixed values of the reference clustering used on the driver tables.
@@ -41,7 +42,8 @@ def _topic_top_docs(spark, sf_dir):
     """W1 input of the summariser: each topic's top documents, with text
     vectors from the encoder (M1), as the reference embeds its abstracts."""
     m = corpus(spark, sf_dir).where(F.col("cluster") != -1)
-    m = models.embed(m.drop("embedding"), "abstract")
+    # inference runs once; the plan reads the materialised vectors twice
+    m = reliable_checkpoint(models.embed(m.drop("embedding"), "abstract"))
     ranked = S.top_members(S.own_centroid_cosine(m, S.centroids(m)), "sim", S.TOP_DOCS)
     return ranked.select(F.col("cluster").alias("topic"), "doc_id", "rank",
                          F.col("abstract").alias("text"), "embedding")
@@ -56,9 +58,9 @@ def subtheme_groups(spark, sf_dir):
 def mmr(spark, sf_dir):
     c = corpus(spark, sf_dir)
     tt = TM.topic_terms(c, n=TM.TOP_N_WORDS)
-    tv = models.embed(tt, "term", "term_vec")
+    tv = reliable_checkpoint(models.embed(tt, "term", "term_vec"))
     m = c.where(F.col("cluster") != -1)
-    topic_vec = S.centroids(models.embed(m.drop("embedding"), "abstract")).select(
+    topic_vec = S.centroids(reliable_checkpoint(models.embed(m.drop("embedding"), "abstract"))).select(
         F.col("cluster"), F.col("centroid").alias("topic_vec"))
     cands = tv.join(topic_vec, "cluster").withColumnRenamed("cluster", "topic")
     return models.mmr(cands.select("topic", "term", "term_vec", "topic_vec"), "topic", 10)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from quarry.operators import terms as TM, trends as TR
 from quarry.plans import sqlparts as Q
 from quarry.plans.registry import register
+from quarry.session import reliable_checkpoint
 from quarry.sources.tables import corpus
 
 TREND_CTE = f"""{Q.topic_terms_ctes(n=100)},
@@ -22,8 +23,12 @@ top20 AS (SELECT CAST(row_number() OVER (ORDER BY n DESC, term) AS INTEGER) AS r
 def _trend_inputs(spark, sf_dir):
     c = corpus(spark, sf_dir)
     docs = c.where(F.col("cluster") != -1)
-    terms100 = TM.topic_terms(c, n=TM.UPDATED_TOP_N_WORDS)
-    occ = TR.term_occurrences(docs, terms100.select("term"))
+    # the 100-term lists are a bounded table read twice (term list, joins):
+    # materialise it once
+    terms100 = reliable_checkpoint(TM.topic_terms(c, n=TM.UPDATED_TOP_N_WORDS))
+    # the occurrence table is read by two branches (ranking and grid);
+    # materialise it so the text pass runs once
+    occ = reliable_checkpoint(TR.term_occurrences(docs, terms100.select("term")))
     return docs, terms100, occ
 
 
