@@ -24,6 +24,7 @@ GLOBAL_YEARS = (2015, 2025)
 CLUSTER_YEARS = (2020, 2025)
 TOP_N_TERMS = 20
 MAX_TERMS_PER_PASS = 50_000
+MAX_TERMS = 2_000_000
 
 
 def _automaton(terms: tuple[str, ...]):
@@ -65,8 +66,13 @@ def _count_batches(terms: tuple[str, ...]):
 def term_occurrences(docs: DataFrame, terms: DataFrame, id_col: str = "doc_id",
                      text_col: str = "abstract", term_col: str = "term") -> DataFrame:
     """F14 for a term table: (doc_id, term, n) for every n > 0."""
-    term_list = sorted({r[0] for r in terms.select(term_col).where(
-        F.col(term_col).isNotNull() & (F.length(term_col) > 0)).distinct().collect()})
+    distinct = terms.select(term_col).where(
+        F.col(term_col).isNotNull() & (F.length(term_col) > 0)).distinct()
+    # the term table is top-n terms per topic: bounded, and checked here
+    rows = distinct.limit(MAX_TERMS + 1).collect()
+    if len(rows) > MAX_TERMS:
+        raise ValueError(f"more than {MAX_TERMS} distinct terms; pass a top-n term table")
+    term_list = sorted(r[0] for r in rows)
     src = docs.select(F.col(id_col).cast("long").alias("doc_id"),
                       F.lower(F.col(text_col)).alias("text"))
     out = None
