@@ -22,7 +22,8 @@ SIM_EPS = 1e-10            # cosine denominator guard in the neighbour audit
 CENTROID_THRESHOLD = 0.5   # strict '>' filter on cosine to the centroid
 TOP_DOCS = 100             # members / representatives kept per topic
 SIM_DECIMALS = 6           # similarities are compared and reported rounded
-MAX_CENTROIDS = 100_000    # size bound for shipping centroids to tasks
+MAX_CENTROIDS = 100_000    # size bound (rows) for broadcasting centroids
+MAX_CENTROID_BYTES = 64 << 20
 
 
 def cosine(a, b, eps: float = 0.0) -> Column:
@@ -139,25 +140,29 @@ def centroids(df: DataFrame, group_col: str = "cluster", vec_col: str = "embeddi
 
 
 def _collect_centroids(cents: DataFrame, group_col: str):
-    """Bring the (bounded) centroid table to the driver, checking its size."""
+    """Bring the (bounded) centroid table to the driver, checking its size
+    in rows and bytes, and broadcast it once per executor."""
     rows = cents.select(group_col, "centroid").limit(MAX_CENTROIDS + 1).collect()
     if len(rows) > MAX_CENTROIDS:
         raise ValueError(f"more than {MAX_CENTROIDS} centroids; use a join-based plan")
     ids = np.array([r[0] for r in rows], dtype=np.int64)
     mat = np.array([r[1] for r in rows], dtype=np.float64) if rows else np.zeros((0, 0))
-    return ids, mat
+    if mat.nbytes > MAX_CENTROID_BYTES:
+        raise ValueError(f"centroid matrix of {mat.nbytes} bytes exceeds {MAX_CENTROID_BYTES}")
+    return cents.sparkSession.sparkContext.broadcast((ids, mat))
 
 
 def doc_centroid_cosine(docs: DataFrame, cents: DataFrame, group_col: str = "cluster",
                         id_col: str = "doc_id", vec_col: str = "embedding") -> DataFrame:
     """Cosine of every document to every centroid: (doc_id, topic, sim).
 
-    The centroid matrix is k x D (k topics), size-checked and shipped with
-    the task closure; each Arrow batch of documents is one GEMM."""
-    ids, mat = _collect_centroids(cents, group_col)
-    cn = np.linalg.norm(mat, axis=1) if mat.size else np.zeros(0)
+    The centroid matrix is k x D (k topics), size-checked and broadcast;
+    each Arrow batch of documents is one GEMM."""
+    bc = _collect_centroids(cents, group_col)
 
     def score(batches):
+        ids, mat = bc.value
+        cn = np.linalg.norm(mat, axis=1) if mat.size else np.zeros(0)
         for pdf in batches:
             if len(pdf) == 0 or len(ids) == 0:
                 continue

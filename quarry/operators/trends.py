@@ -37,8 +37,9 @@ def _automaton(terms: tuple[str, ...]):
     return a
 
 
-def _count_batches(terms: tuple[str, ...]):
+def _count_batches(bc_terms):
     def run(batches):
+        terms = bc_terms.value
         auto = _automaton(terms) if terms else None
         for pdf in batches:
             ids, hit_terms, counts = [], [], []
@@ -78,7 +79,8 @@ def term_occurrences(docs: DataFrame, terms: DataFrame, id_col: str = "doc_id",
     out = None
     for i in range(0, max(len(term_list), 1), MAX_TERMS_PER_PASS):
         chunk = tuple(term_list[i:i + MAX_TERMS_PER_PASS])
-        part = src.mapInPandas(_count_batches(chunk), "doc_id long, term string, n long")
+        bc = docs.sparkSession.sparkContext.broadcast(chunk)
+        part = src.mapInPandas(_count_batches(bc), "doc_id long, term string, n long")
         out = part if out is None else out.unionByName(part)
     return out
 
