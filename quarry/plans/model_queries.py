@@ -31,11 +31,27 @@ def reduce_dim(spark, sf_dir):
     return models.reduce_dim(c).select("doc_id", "x", "y")
 
 
-@register("density_cluster")
+DENSITY_SQL = f"""WITH RECURSIVE
+pts AS (SELECT d.doc_id AS id, CAST(e.embedding AS DOUBLE[]) AS v FROM documents d JOIN embeddings e ON d.doc_id = e.vec_id),
+pd AS (SELECT a.id AS a, b.id AS b, list_distance(a.v, b.v) AS d FROM pts a JOIN pts b ON a.id <> b.id),
+core AS (SELECT a AS id, d AS core FROM pd QUALIFY row_number() OVER (PARTITION BY a ORDER BY d, b) = {MIN_SAMPLES - 1}),
+eps AS (SELECT quantile_cont(core, 0.5) AS eps FROM core),
+cores AS (SELECT id FROM core, eps WHERE core <= eps),
+edges AS (SELECT pd.a AS src, pd.b AS dst FROM pd JOIN cores ca ON ca.id = pd.a JOIN cores cb ON cb.id = pd.b, eps WHERE pd.d <= eps),
+reach(id, root) AS (SELECT id, id FROM cores UNION SELECT e.dst, r.root FROM reach r JOIN edges e ON e.src = r.id),
+comp AS (SELECT id, min(root) AS root FROM reach GROUP BY id),
+sizes AS (SELECT root, count(*) AS size FROM comp GROUP BY root),
+labels AS (SELECT root, row_number() OVER (ORDER BY size DESC, root) - 1 AS label FROM sizes WHERE size >= {MIN_CLUSTER_SIZE})
+SELECT p.id AS doc_id, CAST(coalesce(l.label, -1) AS INTEGER) AS cluster, round(c.core, 6) AS core
+FROM pts p LEFT JOIN comp ON comp.id = p.id LEFT JOIN labels l ON l.root = comp.root LEFT JOIN core c ON c.id = p.id"""
+
+
+@register("density_cluster", DENSITY_SQL)
 def density_cluster(spark, sf_dir):
     c = corpus(spark, sf_dir).select("doc_id", "embedding")
-    return density.density_cluster(c, MIN_SAMPLES, None, MIN_CLUSTER_SIZE,
-                                   id_col="doc_id", vec_col="embedding")
+    out = density.density_cluster(c, MIN_SAMPLES, None, MIN_CLUSTER_SIZE,
+                                  id_col="doc_id", vec_col="embedding")
+    return out.select("doc_id", "cluster", F.round("core", 6).alias("core"))
 
 
 def _topic_top_docs(spark, sf_dir):
