@@ -118,3 +118,27 @@ def page_entries(pages: DataFrame) -> DataFrame:
 
 def safe_title(text: Column) -> Column:
     return T.safe_name(text)
+
+
+# Fields of a fetched article record.
+RECORD_FIELDS = {
+    "abstract": "$['coredata']['dc:description']",
+    "title": "$['coredata']['dc:title']",
+    "date": "$['coredata']['prism:coverDisplayDate']",
+    "journal": "$['coredata']['prism:publicationName']",
+}
+
+
+def document_fields(records: DataFrame, doi_col: str = "doi", payload_col: str = "payload",
+                    ok_col: str = "ok") -> DataFrame:
+    """Abstract, title, date and journal of each fetched record.
+
+    A failed read, an unparseable payload or a record without a description
+    is *kept* as a row with NULL fields and ``status = 'failed'`` (the
+    reference writes placeholder strings, which F23 maps to NULL)."""
+    vals = {k: F.get_json_object(F.col(payload_col), p) for k, p in RECORD_FIELDS.items()}
+    good = F.coalesce(F.col(ok_col), F.lit(False)) & vals["abstract"].isNotNull()
+    return records.select(
+        F.col(doi_col).alias("doi"),
+        *[F.when(good, v).alias(k) for k, v in vals.items()],
+        F.when(good, F.lit("ok")).otherwise(F.lit("failed")).alias("status"))

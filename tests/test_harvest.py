@@ -44,3 +44,14 @@ def test_article_link_none(spark):
     df = spark.createDataFrame([("10.1/x",), (None,)], "doi string")
     got = [r[0] for r in df.select(H.article_link(F.col("doi"), "B/", "?s")).collect()]
     assert got == ["B/10.1/x?s", "B/None?s"]
+
+
+def test_document_fields_keeps_failures(spark):
+    ok = '{"coredata": {"dc:description": "An abstract.", "dc:title": "T", "prism:coverDisplayDate": "March 2021", "prism:publicationName": "J"}}'
+    no_desc = '{"coredata": {"dc:title": "T2"}}'
+    rows = [("d1", ok, True), ("d2", ok, False), ("d3", no_desc, True), ("d4", "not json", True)]
+    df = spark.createDataFrame(rows, "doi string, payload string, ok boolean")
+    got = {r.doi: tuple(r)[1:] for r in H.document_fields(df).collect()}
+    assert got["d1"] == ("An abstract.", "T", "March 2021", "J", "ok")
+    for d in ("d2", "d3", "d4"):
+        assert got[d] == (None, None, None, None, "failed")
