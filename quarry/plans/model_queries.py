@@ -82,6 +82,21 @@ def mmr(spark, sf_dir):
     return models.mmr(cands.select("topic", "term", "term_vec", "topic_vec"), "topic", 10)
 
 
+@register("rank_terms_by_vector")
+def rank_terms_by_vector(spark, sf_dir):
+    """Each topic's keyword candidates ordered by cosine to the topic
+    vector (mean text vector of its documents)."""
+    c = corpus(spark, sf_dir)
+    tt = TM.topic_terms(c, n=TM.TOP_N_WORDS)
+    tv = models.embed(tt, "term", "term_vec")
+    m = c.where(F.col("cluster") != -1)
+    topic_vec = S.centroids(reliable_checkpoint(models.embed(m.drop("embedding"), "abstract"))).select(
+        F.col("cluster"), F.col("centroid").alias("topic_vec"))
+    scored = tv.join(topic_vec, "cluster").withColumn("sim", S.cosine("term_vec", "topic_vec"))
+    return models.rank_by_vector(scored, "cluster").select(
+        F.col("cluster").alias("topic"), "rank", "term", F.round("sim", 6).alias("sim"))
+
+
 @register("keyword_labels")
 def keyword_labels(spark, sf_dir):
     docs = table(spark, sf_dir, "benchmark").select(F.col("item_id"), F.col("text"))
