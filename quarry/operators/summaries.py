@@ -168,9 +168,12 @@ def topic_report(topic_docs: DataFrame, labels_map: DataFrame | None = None,
     joined by newline -> M16 -> F7 -> M17 -> M14 final labels.
     ``documents_used`` is the unfiltered group size; a topic whose filter
     keeps nothing reports null summaries instead of failing."""
+    # the input is bounded (top documents per topic) and read by several
+    # branches: materialise it and the filtered set once
+    topic_docs = reliable_checkpoint(topic_docs)
     sizes = topic_docs.groupBy("topic").agg(F.count(F.lit(1)).alias("documents_used"))
-    kept = S.centroid_filter(topic_docs.withColumnRenamed("topic", "cluster"),
-                             CENTROID_THRESHOLD).withColumnRenamed("cluster", "topic")
+    kept = reliable_checkpoint(S.centroid_filter(topic_docs.withColumnRenamed("topic", "cluster"),
+                                                 CENTROID_THRESHOLD).withColumnRenamed("cluster", "topic"))
     groups = models.subtheme_groups(kept, "topic", "doc_id", "embedding", "rank")
     chunk = (groups.join(kept.select("topic", "doc_id", "text"), ["topic", "doc_id"])
              .groupBy("topic", "subtheme")

@@ -7,6 +7,8 @@ calling query needs.
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -47,6 +49,7 @@ def table(spark: SparkSession, sf_dir: str, name: str, spread: bool = True) -> D
     """
     df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
     key = TABLE_KEYS.get(name)
+    spread = spread and os.environ.get("QUARRY_SPREAD_SCANS", "1") != "0"
     if spread and key is not None:
         target = parallelism(spark)
         if df.rdd.getNumPartitions() < target:
