@@ -189,15 +189,48 @@ def split_subthemes(spark, sf_dir):
                      T.subtheme_label("p").alias("label"), T.subtheme_body("p").alias("body"))
 
 
-@register("clean_final_summary")
+def _final_sql() -> str:
+    """F7 in DuckDB without back-references (reads CTE ``src(doc_id, text)``).
+
+    The ASCII, whitespace-collapsed text is cut into word / non-word pieces;
+    a word equal (ignoring case) to the previous word, with only spaces or
+    commas between them, is dropped together with that separator -- what
+    the back-reference regex does to repeated runs."""
+    ascii_ws = (f"regexp_replace(regexp_replace(text, '[^\\x00-\\x7F]+', ' ', 'g'), "
+                f"'[{WS}]+', ' ', 'g')")
+    return f""",
+base AS (SELECT doc_id, {_strip_sql(ascii_ws)} AS s FROM src),
+pieces AS (SELECT doc_id, unnest(l) AS p, unnest(generate_series(1, len(l))) AS i
+           FROM (SELECT doc_id, regexp_extract_all(s, '[A-Za-z0-9_]+|[^A-Za-z0-9_]+') AS l FROM base)),
+marked AS (SELECT doc_id, p, i,
+           regexp_full_match(p, '[A-Za-z0-9_]+')
+             AND coalesce(regexp_full_match(lag(p, 1) OVER w, '[ ,]+'), false)
+             AND coalesce(lower(p) = lower(lag(p, 2) OVER w), false) AS dup
+           FROM pieces WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+kept AS (SELECT doc_id, p, i FROM
+           (SELECT *, lead(dup, 1) OVER (PARTITION BY doc_id ORDER BY i) AS next_dup FROM marked)
+         WHERE NOT dup AND NOT coalesce(next_dup, false)),
+joined AS (SELECT b.doc_id, coalesce(string_agg(k.p, '' ORDER BY k.i), '') AS t
+           FROM base b LEFT JOIN kept k USING (doc_id) GROUP BY b.doc_id)
+SELECT doc_id, CASE WHEN regexp_matches(t, '[.!?]$') THEN t ELSE t || '.' END AS clean FROM joined"""
+
+
+_POST_SRC = ("regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, "
+             f"'[{WS}]+', ' ', 'g'), '(\\.[{WS}]*){{2,}}', '. ', 'g'), '''\\d+''', '', 'g'), "
+             f"'(Avoid repetition and fragmented sentences\\.?[{WS}]*)', '', 'gi')")
+
+
+@register("clean_final_summary", "WITH src AS (SELECT doc_id, text FROM documents)" + _final_sql())
 def clean_final_summary(spark, sf_dir):
-    """F7 on every document (back-reference regex: rows-only check)."""
+    """F7 on every document (Java back-reference regex; the oracle restates
+    it without back-references)."""
     d = table(spark, sf_dir, "documents")
     return d.select("doc_id", T.clean_final_summary("text").alias("clean"))
 
 
-@register("postprocess_summary")
+@register("postprocess_summary",
+          f"WITH src AS (SELECT doc_id, {_POST_SRC} AS text FROM documents)" + _final_sql())
 def postprocess_summary(spark, sf_dir):
-    """F8 on every document (rows-only check, see F7)."""
+    """F8 on every document, then F7 (oracle as for F7)."""
     d = table(spark, sf_dir, "documents")
     return d.select("doc_id", T.postprocess_summary("text").alias("clean"))
