@@ -59,3 +59,22 @@ def test_sweep_and_pareto(spark):
     # three planted blobs are fewer than the 5-cluster minimum -> pruned
     assert all(r.state == "PRUNED" for r in got)
     assert sweep.best_trials(trials).count() == 0
+
+
+def test_sweep_completes_on_six_blobs(spark):
+    from quarry.operators import sweep
+
+    rng = np.random.default_rng(11)
+    rows, i = [], 0
+    for cx, cy in [(0, 0), (10, 0), (0, 10), (10, 10), (20, 0), (0, 20)]:
+        for _ in range(25):
+            rows.append((i, [cx + rng.normal(0, 0.3), cy + rng.normal(0, 0.3)]))
+            i += 1
+    df = spark.createDataFrame(rows, "id long, vec array<double>")
+    ranges = {"min_cluster_size": (10, 15), "min_samples": (3, 4), "epsilon": (1.5, 2.5)}
+    trials_df = sweep.param_sweep(df, n_trials=2, seed=2, ranges=ranges)
+    trials = trials_df.collect()
+    assert all(t.state == "COMPLETE" for t in trials)
+    assert all(t.ss > 0.8 and t.dbi < 0.3 and t.chi > 100 for t in trials)
+    front = sweep.best_trials(trials_df).collect()
+    assert front and sum(r.best for r in front) == 1

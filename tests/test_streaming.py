@@ -19,3 +19,11 @@ def test_land_twice_dedupes_across_batches(spark, tmpdir_path):
     L.land_once(spark, land, target, ck)
     got = sorted((r.doi, r.title) for r in spark.read.parquet(target).collect())
     assert got == [("d1", "T1"), ("d3", "T3")]
+
+
+def test_merge_batch_into_skips_known_keys(spark):
+    target = spark.createDataFrame([("T1", "J", "d1", "l1")], L.LINK_SCHEMA)
+    batch = spark.createDataFrame([("T1", "J", "d1", "x"), ("T2", "J", "d2", "y"), ("T2", "J", "d2", "z"),
+                                   (None, "J", "d3", "w")], L.LINK_SCHEMA)
+    got = sorted((r.doi, r.title) for r in L.merge_batch_into(target, batch).collect())
+    assert got == [("d2", "T2")]
