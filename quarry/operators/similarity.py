@@ -153,11 +153,13 @@ def _collect_centroids(cents: DataFrame, group_col: str):
 
 
 def doc_centroid_cosine(docs: DataFrame, cents: DataFrame, group_col: str = "cluster",
-                        id_col: str = "doc_id", vec_col: str = "embedding") -> DataFrame:
+                        id_col: str = "doc_id", vec_col: str = "embedding",
+                        best_only: bool = False) -> DataFrame:
     """Cosine of every document to every centroid: (doc_id, topic, sim).
 
     The centroid matrix is k x D (k topics), size-checked and broadcast;
-    each Arrow batch of documents is one GEMM."""
+    each Arrow batch of documents is one GEMM.  ``best_only`` keeps only the
+    nearest topic per document (J10) without any shuffle."""
     bc = _collect_centroids(cents, group_col)
 
     def score(batches):
@@ -171,6 +173,16 @@ def doc_centroid_cosine(docs: DataFrame, cents: DataFrame, group_col: str = "clu
             denom = np.outer(xn, cn)
             with np.errstate(divide="ignore", invalid="ignore"):
                 sim = np.where(denom > 0, (x @ mat.T) / np.where(denom > 0, denom, 1.0), 0.0)
+            if best_only:
+                # J10 inside the batch: highest 6-decimal cosine, then lowest topic
+                order = np.lexsort((np.broadcast_to(ids, sim.shape), -np.round(sim, SIM_DECIMALS)), axis=1)
+                pick = order[:, 0]
+                yield pd.DataFrame({
+                    "doc_id": pdf["id"].to_numpy(np.int64),
+                    "topic": ids[pick].astype(np.int32),
+                    "sim": sim[np.arange(len(pdf)), pick],
+                })
+                continue
             yield pd.DataFrame({
                 "doc_id": np.repeat(pdf["id"].to_numpy(np.int64), len(ids)),
                 "topic": np.tile(ids, len(pdf)).astype(np.int32),

@@ -153,7 +153,9 @@ def doc_topic_cosine(spark, sf_dir):
 SELECT doc_id, CAST(topic AS INTEGER) AS topic, round(sim, 6) AS sim FROM dsim
 QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY round(sim, 6) DESC, topic) = 1""")
 def nearest_topic(spark, sf_dir):
-    return S.nearest_topic(_doc_topic(spark, sf_dir))
+    c = corpus(spark, sf_dir)
+    best = S.doc_centroid_cosine(c, S.centroids(_members(spark, sf_dir)), best_only=True)
+    return best.select("doc_id", "topic", F.round("sim", 6).alias("sim"))
 
 
 @register("top_docs_per_topic", f"""WITH {CENT_CTE}

@@ -56,6 +56,8 @@ def test_centroids_and_assignment(spark):
         assert np.allclose(cents[c], x[np.arange(40) % 4 == c].mean(0))
     sims = S.doc_centroid_cosine(df.withColumnRenamed("id", "doc_id"), S.centroids(df))
     near = {r.doc_id: r.topic for r in S.nearest_topic(sims).collect()}
+    direct = S.doc_centroid_cosine(df.withColumnRenamed("id", "doc_id"), S.centroids(df), best_only=True)
+    assert {r.doc_id: r.topic for r in direct.collect()} == near
     for i in range(40):
         cs = [x[i] @ cents[c] / np.linalg.norm(x[i]) / np.linalg.norm(cents[c]) for c in range(4)]
         best = max(range(4), key=lambda c: (round(cs[c], 6), -c))
