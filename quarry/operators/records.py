@@ -96,8 +96,10 @@ def dense_index(df: DataFrame, order_col, name: str = "idx") -> DataFrame:
     partition), so no task ever holds more than its own range."""
     cols = [order_col] if isinstance(order_col, str) else list(order_col)
     nparts = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
-    ranged = df.repartitionByRange(nparts, *cols).sortWithinPartitions(*cols)
-    pos = (ranged.withColumn("_pid", F.spark_partition_id())
+    # seeded salt as the last range key: many equal order keys still spread
+    salted = df.withColumn("_salt", F.rand(7))
+    ranged = salted.repartitionByRange(nparts, *cols, "_salt").sortWithinPartitions(*cols, "_salt")
+    pos = (ranged.drop("_salt").withColumn("_pid", F.spark_partition_id())
            .withColumn("_mid", F.monotonically_increasing_id()))
     counts = pos.groupBy("_pid").agg(F.count(F.lit(1)).alias("_c"))
     before = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)

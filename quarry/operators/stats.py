@@ -23,6 +23,7 @@ SMOOTH_TRUNCATE = 4.0
 AXIS_PERCENTILES = (0.02, 0.98)
 AXIS_MARGIN = 0.1
 DECIMALS = 6
+SALT_SEED = 7
 
 
 def mean_std(df: DataFrame, col: str) -> DataFrame:
@@ -63,7 +64,10 @@ def exact_quantiles(df: DataFrame, col: str, probs) -> DataFrame:
     row with a column ``q_<i>`` per probability."""
     vals = df.select(F.col(col).cast("double").alias("v")).where(F.col("v").isNotNull())
     nparts = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
-    ranged = vals.repartitionByRange(nparts, "v").sortWithinPartitions("v")
+    # a seeded salt as the second range key splits a hot value (a third of
+    # all rows equal) over several partitions; order by value is unchanged
+    salted = vals.withColumn("_salt", F.rand(SALT_SEED))
+    ranged = salted.repartitionByRange(nparts, "v", "_salt").sortWithinPartitions("v", "_salt")
     pos = ranged.select("v", F.spark_partition_id().alias("pid"),
                         F.monotonically_increasing_id().alias("mid"))
     counts = pos.groupBy("pid").agg(F.count(F.lit(1)).alias("c"))

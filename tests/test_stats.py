@@ -54,3 +54,11 @@ def test_mean_std_population(spark):
     df = spark.createDataFrame([(x,) for x in v], "sim double")
     r = stats.mean_std(df, "sim").first()
     assert r.n == 4 and r.mean_sim == round(np.mean(v), 6) and r.std_sim == round(np.std(v), 6)
+
+
+def test_exact_quantiles_hot_value(spark):
+    v = [5.0] * 3000 + [float(i) for i in range(6000)]
+    df = spark.createDataFrame([(x,) for x in v], "value double").repartition(6)
+    q = stats.exact_quantiles(df, "value", [0.1, 0.5, 0.9]).first()
+    exp = [float(np.percentile(v, p)) for p in (10, 50, 90)]
+    assert [round(a, 9) for a in q] == [round(b, 9) for b in exp]
