@@ -35,8 +35,8 @@ TABLE_KEYS = {"documents": "doc_id", "embeddings": "vec_id", "pages": "page_id",
 
 
 def parallelism(spark: SparkSession) -> int:
-    return max(int(spark.sparkContext.defaultParallelism),
-               int(spark.conf.get("spark.sql.shuffle.partitions")))
+    """Cores available to the application (the spread target)."""
+    return max(int(spark.sparkContext.defaultParallelism), 1)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str, spread: bool = True) -> DataFrame:
