@@ -129,3 +129,8 @@ def index_slice(indexed: DataFrame, start: int, end: int, index_col: str = "idx"
     """Rows with start <= idx < end (or <= end when inclusive)."""
     upper = F.col(index_col) <= end if inclusive else F.col(index_col) < end
     return indexed.where((F.col(index_col) >= start) & upper)
+
+
+def cast_all_string(df: DataFrame) -> DataFrame:
+    """Every column as string (the reference's all-text abstracts table)."""
+    return df.select([F.col(c).cast("string").alias(c) for c in df.columns])

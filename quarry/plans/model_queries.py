@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quarry.operators import density, models, similarity as S, summaries as SM, terms as TM
+from quarry.operators import density, models, similarity as S, summaries as SM, terms as TM, topics
 from quarry.plans.registry import register
 from quarry.session import reliable_checkpoint
 from quarry.sources.tables import corpus, table
@@ -118,3 +118,12 @@ def extractive_summary(spark, sf_dir):
 @register("topic_report")
 def topic_report(spark, sf_dir):
     return SM.topic_report(_topic_top_docs(spark, sf_dir))
+
+
+@register("fit_topics")
+def fit_topics(spark, sf_dir):
+    """PCA -> density clustering -> class TF-IDF -> membership scores;
+    the per-document assignment is returned."""
+    c = corpus(spark, sf_dir).select("doc_id", "abstract", "embedding")
+    info, _ = topics.fit_topics(c)
+    return info

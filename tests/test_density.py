@@ -3,6 +3,7 @@
 from collections import Counter
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from quarry.operators import density as D
 
@@ -78,3 +79,25 @@ def test_sweep_completes_on_six_blobs(spark):
     assert all(t.ss > 0.8 and t.dbi < 0.3 and t.chi > 100 for t in trials)
     front = sweep.best_trials(trials_df).collect()
     assert front and sum(r.best for r in front) == 1
+
+
+def test_fit_topics_and_audit(spark):
+    from quarry.operators import topics
+
+    rng = np.random.default_rng(5)
+    rows, i = [], 0
+    words = ["alpha", "bravo", "charlie"]
+    for c, (cx, cy) in enumerate([(0, 0), (6, 0), (0, 6)]):
+        for _ in range(30):
+            v = [cx + rng.normal(0, 0.3), cy + rng.normal(0, 0.3), 0.0]
+            txt = f"plastic {words[c]}word recycling {words[c]}item sorting"
+            rows.append((i, txt, v))
+            i += 1
+    df = spark.createDataFrame(rows, "doc_id long, abstract string, embedding array<double>")
+    info, terms = topics.fit_topics(df, min_samples=4, eps=0.3, min_cluster_size=10)
+    got = info.collect()
+    assert len(got) == 90 and len({r.topic for r in got if r.topic != -1}) == 3
+    assert all(0 <= r.probability <= 1 for r in got)
+    assert terms.count() > 0
+    audit = topics.similarity_audit(df.select(F.col("doc_id").alias("id"), "embedding"), k=3)
+    assert audit["stats"].first().n == 270 and audit["smoothed"].count() == 100
