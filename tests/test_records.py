@@ -51,3 +51,14 @@ def test_dense_index_and_batches(spark):
     assert br == [(0, 0, 40, 40), (1, 40, 80, 40), (2, 80, 101, 21)]
     sl = R.index_slice(idx, 10, 20)
     assert sl.count() == 10 and R.index_slice(idx, 10, 20, inclusive=True).count() == 11
+
+
+def test_cast_all_string_and_topic_info(spark):
+    from quarry.operators import topics
+
+    df = spark.createDataFrame([(1, 2.5, None), (2, 3.0, True)], "a long, b double, c boolean")
+    out = R.cast_all_string(df)
+    assert all(t == "string" for _, t in out.dtypes)
+    assert sorted(tuple(r) for r in out.collect()) == [("1", "2.5", None), ("2", "3.0", "true")]
+    info = spark.createDataFrame([(1, 0, 0.9), (2, 0, 0.8), (3, -1, 0.0)], "doc_id long, topic int, probability double")
+    assert {r.topic: r.n for r in topics.topic_info(info).collect()} == {0: 2, -1: 1}
