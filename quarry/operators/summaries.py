@@ -126,8 +126,9 @@ def keyword_labels(df: DataFrame, key: str, text_col: str, n: int = NUM_LABELS,
     toks = F.filter(F.regexp_extract_all(F.lower(F.col(text_col)), F.lit(KEYWORD_TOKEN), 0),
                     lambda t: ~t.isin(stop))
     tok = df.select(key, text_col, toks.alias("tok"))
-    cands = (tok.select(key, F.explode(T.ngram_range(F.col("tok"), 1, 3)).alias("keyword"))
-             .distinct())
+    # read twice (distinct phrases to embed, and the scoring join): once
+    cands = reliable_checkpoint(
+        tok.select(key, F.explode(T.ngram_range(F.col("tok"), 1, 3)).alias("keyword")).distinct())
     phrase_vecs = models.embed(cands.select("keyword").distinct(), "keyword", "kv", make_predict_fn)
     doc_vecs = models.embed(df.select(key, text_col), text_col, "dv", make_predict_fn).select(key, "dv")
     scored = (cands.join(phrase_vecs, "keyword").join(doc_vecs, key)
