@@ -14,8 +14,7 @@ eps-graph to a spanning forest (edges from each point to its local
 component's smallest id) before leaving the task.  The union of those
 forests has the same connected components as the full graph, and holds at
 most ``2 * block_rows`` edges per block pair.  Components are then found by
-min-label propagation with pointer jumping, each round checkpointed to the
-shared checkpoint folder (so a lost executor does not replay all rounds).
+``components.connected_components`` (large-star/small-star).
 """
 
 from __future__ import annotations
@@ -26,11 +25,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.operators import blocks
+from quarry.operators.components import connected_components
 from quarry.operators.records import dense_index
 from quarry.session import reliable_checkpoint
 
 NOISE = -1
-MAX_ROUNDS = 64
 
 
 def _pairwise_dist(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -117,34 +116,6 @@ def eps_forest(points: DataFrame, eps: float, n_rows: int,
     return blocks.run_pairs(cores.select("id", "vec"), "id", n_blk, kernel, "src long, dst long")
 
 
-def connected_components(vertices: DataFrame, edges: DataFrame,
-                         max_rounds: int = MAX_ROUNDS) -> DataFrame:
-    """(id, root): smallest id of each vertex's component.
-
-    Hash-min label propagation with pointer jumping; every round is a
-    join + aggregate, checkpointed so lineage stays one round deep."""
-    und = (edges.select("src", "dst")
-           .unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
-           .where(F.col("src") != F.col("dst")).distinct())
-    und = reliable_checkpoint(und)
-    labels = reliable_checkpoint(vertices.select("id", F.col("id").alias("root")))
-    for _ in range(max_rounds):
-        nb = (und.join(labels.withColumnRenamed("id", "dst"), "dst")
-              .groupBy("src").agg(F.min("root").alias("nb")))
-        step = (labels.join(nb.withColumnRenamed("src", "id"), "id", "left")
-                .select("id", F.least("root", F.coalesce("nb", "root")).alias("root")))
-        parent = step.select(F.col("id").alias("root"), F.col("root").alias("pr"))
-        jumped = (step.join(parent, "root", "left")
-                  .select("id", F.least("root", F.coalesce("pr", "root")).alias("root")))
-        jumped = reliable_checkpoint(jumped)
-        changed = (jumped.join(labels.withColumnRenamed("root", "old"), "id")
-                   .where(F.col("root") != F.col("old")).limit(1).count())
-        labels = jumped
-        if changed == 0:
-            break
-    return labels
-
-
 def density_cluster(points: DataFrame, min_samples: int, eps: float | None,
                     min_cluster_size: int, id_col: str = "id", vec_col: str = "vec",
                     eps_quantile: float = 0.5,

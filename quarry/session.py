@@ -75,8 +75,9 @@ def checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder, setting a scratch one only if unset.
 
     The cluster's value (``spark.checkpoint.dir``) always wins.  A scratch
-    folder is created only when the session has none, which happens in
-    local tests.
+    folder is made only for a ``local`` master (tests); on a cluster a
+    machine-local folder would be lost with its machine, so a missing
+    setting is an error there.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -84,6 +85,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
         return current
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if not configured:
+        if sc.master != "local" and not sc.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         configured = tempfile.mkdtemp(prefix="quarry-ckpt-")
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir() or configured

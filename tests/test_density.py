@@ -49,6 +49,18 @@ def test_connected_components_path(spark):
     assert all(got[i] == 0 for i in range(n)) and got[100] == 100
 
 
+def test_connected_components_long_shuffled_paths_and_hub(spark):
+    for n in (400, 2000, 10000):
+        ids = [int(x) for x in np.random.default_rng(n).permutation(n)]
+        e = spark.createDataFrame(list(zip(ids, ids[1:])), "src long, dst long")
+        got = D.connected_components(spark.range(n), e).where("root <> 0").count()
+        assert got == 0, n
+    hub = spark.range(1, 5000).selectExpr("id AS src", "0L AS dst")
+    extra = spark.createDataFrame([(6001, 6000), (6000, 6001), (7, 7), (None, 3)], "src long, dst long")
+    got = {r.id: r.root for r in D.connected_components(spark.range(6005), hub.union(extra)).collect()}
+    assert all(got[i] == 0 for i in range(5000)) and got[6001] == 6000 and got[6004] == 6004
+
+
 def test_sweep_and_pareto(spark):
     from quarry.operators import sweep
 
