@@ -59,7 +59,8 @@ def log_ratios(docs: DataFrame, trusted: DataFrame, n: int = BUCKETS, alpha: flo
     ``trusted`` has the ids of the target's documents in ``id_col``."""
     mark = trusted.select(F.col(id_col).alias("__id")).where("__id IS NOT NULL").distinct().withColumn(
         "__trusted", F.lit(1))
-    rows = docs.select(F.col(id_col).alias("__id"), whole_text(text_col).alias("__text")).join(mark, "__id", "left")
+    rows = docs.select(F.col(id_col).alias("__id"), whole_text(text_col).alias("__text")).join(
+        mark.hint("merge"), "__id", "left")
     counts = (rows.select(F.coalesce("__trusted", F.lit(0)).alias("t"),
                           F.explode(buckets(F.col("__text"), n)).alias("bucket"))
               .groupBy("bucket").agg(F.count(F.lit(1)).alias("raw"), F.sum("t").alias("target")))
