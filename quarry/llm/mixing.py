@@ -58,7 +58,8 @@ def targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, max_repeats:
     # sources that stop come first: the least words per weight
     by_level = Window.orderBy(F.col("cap") / F.col("weight"), "place")
     before = by_level.rowsBetween(Window.unboundedPreceding, -1)
-    rest = by_level.rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    rest = Window.orderBy((F.col("cap") / F.col("weight")).desc(), F.desc("place")).rowsBetween(
+        Window.unboundedPreceding, Window.currentRow)
     placed = (sizes.withColumn("place", F.row_number().over(order) - 1)
               .withColumn("weight", weight)
               .withColumn("cap", F.col("source_size") * F.lit(float(max_repeats)))

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from quarry.llm import mixing
 from quarry.llm import quality_rules as rules
-from quarry.llm import simhash
+from quarry.llm import sharding, simhash
 from quarry.llm import token_counts as tokens
 from quarry.llm.common import documents
 
@@ -53,3 +53,8 @@ def op4_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.components(documents(spark, sf_dir))
     return found.select("doc_id", simhash.hex_digits("fp").alias("fingerprint"), "component_id")
+
+
+@query("op10_sharding")
+def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard(documents(spark, sf_dir))
