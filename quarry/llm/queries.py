@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from quarry.llm import mixing
 from quarry.llm import quality_rules as rules
+from quarry.llm import secret_scan as secrets
 from quarry.llm import sharding, simhash
 from quarry.llm import token_counts as tokens
 from quarry.llm.common import documents
@@ -55,6 +56,11 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash.hex_digits("fp").alias("fingerprint"), "component_id")
 
 
+@query("op8_secret_scan")
+def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.secret_scan(documents(spark, sf_dir))
+
+
 @query("op10_sharding")
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(documents(spark, sf_dir))
