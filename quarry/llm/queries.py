@@ -16,7 +16,7 @@ from quarry.llm import mixing
 from quarry.llm import quality_classifier as classifier
 from quarry.llm import quality_rules as rules
 from quarry.llm import secret_scan as secrets
-from quarry.llm import sharding, simhash
+from quarry.llm import sharding, simhash, spotsigs
 from quarry.llm import token_counts as tokens
 from quarry.llm.common import documents
 
@@ -57,6 +57,11 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash.hex_digits("fp").alias("fingerprint"), "component_id")
 
 
+@query("op7_spotsigs")
+def op7_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spotsigs.fingerprints(documents(spark, sf_dir))
+
+
 @query("op8_secret_scan")
 def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secret_scan(documents(spark, sf_dir))
