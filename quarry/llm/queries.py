@@ -16,6 +16,7 @@ from quarry.llm import mixing
 from quarry.llm import quality_classifier as classifier
 from quarry.llm import quality_rules as rules
 from quarry.llm import secret_scan as secrets
+from quarry.llm import sentencepiece_codec as pieces
 from quarry.llm import sharding, simhash, spotsigs
 from quarry.llm import token_counts as tokens
 from quarry.llm.common import documents
@@ -51,6 +52,11 @@ def op4_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.plan(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
 
 
+@query("op5_sentencepiece")
+def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.encode(documents(spark, sf_dir))
+
+
 @query("op6_simhash")
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.components(documents(spark, sf_dir))
