@@ -110,9 +110,8 @@ def shard(docs: DataFrame, shards: int = SHARDS, vnodes: int = VNODES, id_col: s
              .join(arcs, "slot").drop("slot"))
     keyed = reliable_checkpoint(keyed)  # small rows: the texts are read once
     counts = reliable_checkpoint(keyed.groupBy("arc").agg(F.sum("__n").alias("n")))
-    total = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"))
-    capacity = (spark.range(shards).select(F.col("id").cast("int").alias("shard"), F.lit(1).alias("one"))
-                .join(total.withColumn("one", F.lit(1)), "one")
+    total = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).scalar()
+    capacity = (spark.range(shards).select(F.col("id").cast("int").alias("shard"), total.alias("n"))
                 .select("shard", (F.floor(F.col("n") / shards)
                                   + F.when(F.col("shard") < F.col("n") % shards, 1).otherwise(0)).alias("room")))
     runs = F.broadcast(bounded_loads(counts, places, capacity))  # at most shards * (vnodes + rounds) rows
