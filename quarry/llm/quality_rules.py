@@ -114,21 +114,31 @@ def base_rules(text: Column) -> Column:
         bind(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"))
 
 
+def _judged(docs: DataFrame, trusted: DataFrame, threshold: float, id_col: str, text_col: str) -> DataFrame:
+    """``docs`` with __base, __score, __failed and __kept."""
+    weights = log_ratios(docs, trusted, id_col=id_col, text_col=text_col)
+    text, base = whole_text(text_col), F.col("__base")
+    n, rep = base["w"]["n_words"], base["w"]["n_repeat_words"]
+    return (docs.withColumn("__weights", weights.scalar())
+            .withColumns({"__base": base_rules(text), "__score": score(text, F.col("__weights"))})
+            .withColumn("__failed", (n < MIN_WORDS) | (100 * rep > MAX_REPEAT_PERCENT * n))
+            .withColumn("__kept", ~F.col("__failed") & (F.col("__score") >= threshold)))
+
+
 def quality_rules(docs: DataFrame, trusted: DataFrame, threshold: float = THRESHOLD,
-                  id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+                  id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id_col``, n_words, word_chars, n_symbols, n_dup_lines,
-    n_repeat_words, base_failed, score, kept per row, and columns ``keep`` as
-    they are."""
-    weights = log_ratios(docs, trusted, id_col=id_col, text_col=text_col)
-    text = whole_text(text_col)
-    others = [F.col(f"`{c}`") for c in keep if c != id_col]
-    rows = (docs.select(F.col(id_col), *others, text.alias("__text"), weights.scalar().alias("__weights"))
-            .select(F.col(id_col), *others, base_rules(F.col("__text")).alias("__base"),
-                    score(F.col("__text"), F.col("__weights")).alias("__score")))
+    n_repeat_words, base_failed, kept, score per row."""
     base = F.col("__base")
-    n, rep = base["w"]["n_words"], base["w"]["n_repeat_words"]
-    failed = (n < MIN_WORDS) | (100 * rep > MAX_REPEAT_PERCENT * n)
-    return rows.select(
-        F.col(id_col), *others, n.alias("n_words"), base["w"]["word_chars"].alias("word_chars"), base["n_symbols"].alias("n_symbols"),
-        base["n_dup_lines"].alias("n_dup_lines"), rep.alias("n_repeat_words"), failed.alias("base_failed"),
-        F.col("__score").alias("score"), (~failed & (F.col("__score") >= threshold)).alias("kept"))
+    return _judged(docs.select(id_col, text_col), trusted, threshold, id_col, text_col).select(
+        F.col(id_col), base["w"]["n_words"].alias("n_words"), base["w"]["word_chars"].alias("word_chars"),
+        base["n_symbols"].alias("n_symbols"), base["n_dup_lines"].alias("n_dup_lines"),
+        base["w"]["n_repeat_words"].alias("n_repeat_words"), F.col("__failed").alias("base_failed"),
+        F.col("__kept").alias("kept"), F.col("__score").alias("score"))
+
+
+def keep_good(docs: DataFrame, trusted: DataFrame, threshold: float = THRESHOLD,
+              id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that the rules keep, with all their columns."""
+    return _judged(docs, trusted, threshold, id_col, text_col).where("__kept").select(
+        *[F.col(f"`{c}`") for c in docs.columns])

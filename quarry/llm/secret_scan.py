@@ -190,3 +190,19 @@ def redact(text: Column, mark: str = MARK) -> Column:
             piece(d["at"], F.char_length(text))))
 
     return bind(all_spans(text), lambda s: F.when(F.size(s) == 0, text).otherwise(gaps(s)))
+
+
+def redact_documents(docs: DataFrame, text_col: str = "text", length_col: str | None = "n_chars") -> DataFrame:
+    """``docs`` with redacted texts (null stays null) and their new length in
+    ``length_col``; all other columns as they are."""
+    new = docs.withColumn("__new", F.when(F.col(text_col).isNotNull(), redact(whole_text(text_col))))
+    columns = []
+    for c in docs.columns:
+        if c == text_col:
+            columns.append(F.col("__new").alias(c))
+        elif c == length_col:
+            columns.append(F.when(F.col("__new").eqNullSafe(F.col(text_col)), F.col(c)).otherwise(
+                F.char_length("__new")).cast(docs.schema[c].dataType).alias(c))
+        else:
+            columns.append(F.col(f"`{c}`"))
+    return new.select(*columns)
