@@ -3,9 +3,12 @@
 Two multinomials over hashed n-grams (single tokens and neighbouring pairs;
 a token is a run of letters, of digits or of other visible characters) are
 counted over *all* documents: one of the trusted target, one of the raw
-corpus.  Every bucket gets the weight ``log p_target - log p_raw`` with
-add-``ALPHA`` smoothing; a document's score is the mean weight of its
-n-grams, and it is kept if the score is at least ``threshold``.
+corpus.  Every bucket gets the weight ``log p_target - log p_raw``.  Both
+are smoothed alike: ``SMOOTH`` corpus n-grams are added to each bucket, the
+target's share of them to the target, so a bucket with few n-grams says
+little and an empty one nothing, in small corpora too.  A document's score
+is the mean weight of its n-grams, and it is kept if the score is at least
+``threshold``.
 
 The counts are combined on the map side to at most ``BUCKETS`` rows a task.
 The weights are one array of ``BUCKETS`` doubles, a bound that no input
@@ -19,8 +22,7 @@ XXH64, chained over the three words.
 
 Defined results: null and empty texts have no words, fail the base rules and
 score 0; an empty table gives an empty result; without trusted documents
-both multinomials are the smoothing alone against the corpus, all scores are
-0 and the method keeps every document; repeated rows each give a row; null
+all scores are 0 and the method keeps every document; repeated rows each give a row; null
 ids are never trusted; columns other than the id and the text are not read.
 """
 
@@ -34,7 +36,7 @@ from quarry.llm.common import WORD, bind, whole_text, words
 TOKEN = r"[\p{L}\p{M}]+|\p{N}+|[^\s\p{L}\p{M}\p{N}]+"
 SYMBOLS = r"[#*$%&|<>]"
 BUCKETS = 65_536
-ALPHA = 1.0
+SMOOTH = 8.0
 THRESHOLD = -0.2
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
@@ -53,7 +55,7 @@ def buckets(text: Column, n: int = BUCKETS) -> Column:
     return bind(words(text, TOKEN), both)
 
 
-def log_ratios(docs: DataFrame, trusted: DataFrame, n: int = BUCKETS, alpha: float = ALPHA,
+def log_ratios(docs: DataFrame, trusted: DataFrame, n: int = BUCKETS, smooth: float = SMOOTH,
                id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row: ``weights``, the ``n`` weights in order of bucket.
     ``trusted`` has the ids of the target's documents in ``id_col``."""
@@ -69,10 +71,9 @@ def log_ratios(docs: DataFrame, trusted: DataFrame, n: int = BUCKETS, alpha: flo
         "bucket", F.coalesce("raw", F.lit(0)).alias("raw"), F.coalesce("target", F.lit(0)).alias("target"))
     table = full.agg(F.sort_array(F.collect_list(F.struct("bucket", "raw", "target"))).alias("c"),
                      F.sum("raw").alias("raw"), F.sum("target").alias("target"))
-    none, smooth = F.col("target") == 0, alpha * n
-    return table.select(F.transform("c", lambda c: F.when(none, F.lit(0.0)).otherwise(
-        F.log((c["target"] + alpha) / (F.col("target") + smooth))
-        - F.log((c["raw"] + alpha) / (F.col("raw") + smooth)))).alias("weights"))
+    share = F.col("target") / F.col("raw")
+    return table.select(F.transform("c", lambda c: F.when(F.coalesce(F.col("target"), F.lit(0)) == 0, F.lit(0.0)).otherwise(
+        F.log((c["target"] + smooth * share) / (share * (c["raw"] + smooth))))).alias("weights"))
 
 
 def score(text: Column, table: Column, n: int = BUCKETS) -> Column:
