@@ -26,7 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarry.llm.common import whole_text
@@ -101,16 +101,17 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     share = {r["__y"]: r["n"] for r in train.groupBy("__y").agg(F.count(F.lit(1)).alias("n")).collect()}
     prior = {"good": b"", "bad": b"", "slope": 0.0,
              "intercept": float(np.log((share.get(1, 0) + 1) / (share.get(0, 0) + 1)))}
-    order = Window.partitionBy("__y").orderBy(F.xxhash64("__id"), "__id")
-    picked = train.withColumn("__rank", F.row_number().over(order)).where(F.col("__rank") <= 2 * DICT_DOCS)
+    # per class the ids with the least hashes; half of them, by another hash, calibrate
+    first = [train.where(F.col("__y") == y).orderBy(F.xxhash64("__id"), "__id").limit(2 * DICT_DOCS) for y in (0, 1)]
+    picked = first[0].union(first[1]).withColumn("__half", F.pmod(F.xxhash64(F.lit("half"), "__id"), F.lit(2)))
     text = whole_text(text_col)
     sample = (docs.select(F.col(id_col).alias("__id"), text.alias("__text"))
               .where((F.octet_length("__text") <= MAX_BYTES) & (F.col("__text") != ""))
               .join(F.broadcast(picked), "__id")  # at most 4 * DICT_DOCS ids
-              .groupBy("__id", "__y", "__rank").agg(F.min("__text").alias("__text")))
-    rows = sorted((r["__y"], r["__rank"], r["__text"].encode()) for r in sample.collect())
-    odd = {y: [t for c, k, t in rows if c == y and k % 2] for y in (0, 1)}
-    even = {y: [t for c, k, t in rows if c == y and not k % 2] for y in (0, 1)}
+              .groupBy("__id", "__y", "__half").agg(F.min("__text").alias("__text")))
+    rows = sorted((r["__y"], r["__half"], str(r["__id"]), r["__text"].encode()) for r in sample.collect())
+    odd = {y: [t for c, k, _, t in rows if c == y and k] for y in (0, 1)}
+    even = {y: [t for c, k, _, t in rows if c == y and not k] for y in (0, 1)}
     if not (odd[0] and odd[1] and even[0] and even[1]):
         return prior
     good, bad = train_dictionary(odd[1]), train_dictionary(odd[0])
