@@ -34,6 +34,11 @@ SENTENCE_END = r"([.!?])" + WS_CLASS + "+"
 SENTENCE_SEP = "\u0001"
 YEAR_PATTERN = r"(19|20)\d{2}"
 NULL_SENTINELS = ("None", "0", "2", "3", "4")
+REPEATED_WORD = r"(?i)\b(\w+)([\s,]+(\1\b))+"
+DOT_RUN = r"(\.[" + PY_WHITESPACE + "]*)"
+QUOTED_NUMBER = r"'\d+'"
+QUOTED_LABEL = r"(?s)^'([^']+)'(.+)"
+LABEL_TRAILER = r"(?s)\n[^\n]* -\s*$"
 PROMPT_REMNANT = r"(?i)(Avoid repetition and fragmented sentences\.?" + WS_CLASS + "*)"
 
 
@@ -106,15 +111,27 @@ def preprocess(text, stop_words: Iterable[str] | None = None,
     return F.array_join(toks, " ")
 
 
+# Plurals that the rule below would get wrong, and words that end in s alike.
+IRREGULAR = {
+    "analyses": "analysis", "hypotheses": "hypothesis", "syntheses": "synthesis", "crises": "crisis",
+    "theses": "thesis", "species": "species", "series": "series", "always": "always", "perhaps": "perhaps",
+    "children": "child", "women": "woman", "men": "man", "mice": "mouse", "feet": "foot", "lives": "life",
+    "leaves": "leaf", "indices": "index", "matrices": "matrix", "criteria": "criterion", "quizzes": "quiz",
+}
+SHORTEST_PLURAL = 4
+
+
 def plural_rule(token) -> Column:
     """F3 fallback for forms missing from a lemma table (noun plurals)."""
     t = _col(token)
-    return (
-        F.when(t.rlike("[^aeiou]ies$") & (F.length(t) > 4), F.regexp_replace(t, "ies$", "y"))
-        .when(t.rlike("(s|x|z|ch|sh)es$"), F.regexp_replace(t, "es$", ""))
-        .when(t.rlike("[^su]s$") & ~t.rlike("(is|us|ss)$"), F.regexp_replace(t, "s$", ""))
-        .otherwise(t)
-    )
+    known = F.create_map(*[F.lit(x) for kv in sorted(IRREGULAR.items()) for x in kv])
+    return F.coalesce(
+        F.element_at(known, t),
+        F.when((F.length(t) < SHORTEST_PLURAL) | t.rlike("(is|us|ss)$"), t)
+        .when(t.rlike("[^aeiou]ies$") & (F.length(t) > SHORTEST_PLURAL), F.regexp_replace(t, "ies$", "y"))
+        .when(t.rlike("(ss|sh|ch|x|zz)es$"), F.regexp_replace(t, "es$", ""))
+        .when(t.rlike("ies$"), t)
+        .otherwise(F.regexp_replace(t, "s$", "")))
 
 
 def term_tokens(clean_text) -> Column:
@@ -150,7 +167,7 @@ def py_strip(text) -> Column:
 def clean_text(text) -> Column:
     """collapse whitespace, dot runs to '. ', non-ASCII runs to ' ', strip."""
     t = F.regexp_replace(_col(text), WS_CLASS + "+", " ")
-    t = F.regexp_replace(t, r"(\.[" + PY_WHITESPACE + "]*)+", ". ")
+    t = F.regexp_replace(t, DOT_RUN + "+", ". ")
     t = F.regexp_replace(t, NON_ASCII_RUN, " ")
     return py_strip(t)
 
@@ -160,15 +177,15 @@ def clean_final_summary(text) -> Column:
     closing punctuation ensured.  Uses a back-reference (Java regex)."""
     t = F.regexp_replace(_col(text), NON_ASCII_RUN, " ")
     t = py_strip(F.regexp_replace(t, WS_CLASS + "+", " "))
-    t = F.regexp_replace(t, r"(?i)\b(\w+)([\s,]+(\1\b))+", "$1")
+    t = F.regexp_replace(t, REPEATED_WORD, "$1")
     return F.when(t.rlike(r"[.!?]$"), t).otherwise(F.concat(t, F.lit(".")))
 
 
 def postprocess_summary(text) -> Column:
     """F8: whitespace, 2+ dot runs, quoted numbers, prompt remnant, then F7."""
     t = F.regexp_replace(_col(text), WS_CLASS + "+", " ")
-    t = F.regexp_replace(t, r"(\.[" + PY_WHITESPACE + "]*){2,}", ". ")
-    t = F.regexp_replace(t, r"'\d+'", "")
+    t = F.regexp_replace(t, DOT_RUN + "{2,}", ". ")
+    t = F.regexp_replace(t, QUOTED_NUMBER, "")
     t = F.regexp_replace(t, PROMPT_REMNANT, "")
     return clean_final_summary(t)
 
@@ -216,9 +233,9 @@ def subtheme_label(piece) -> Column:
     else text before the first ' - '; else ''."""
     p = _col(piece)
     quoted = F.regexp_replace(
-        F.trim(F.regexp_extract(p, r"(?s)^'([^']+)'(.+)", 1)), r"[\s-]+$", "")
+        F.trim(F.regexp_extract(p, QUOTED_LABEL, 1)), r"[\s-]+$", "")
     dash = F.split(p, " - ", 2)
-    return (F.when(p.startswith("'") & p.rlike(r"(?s)^'([^']+)'(.+)"), quoted)
+    return (F.when(p.startswith("'") & p.rlike(QUOTED_LABEL), quoted)
             .when(F.size(dash) > 1, F.trim(dash[0]))
             .otherwise(F.lit("")))
 
@@ -227,13 +244,13 @@ def subtheme_body(piece, strip_trailer: bool = False) -> Column:
     """F13 body: text after the label; optional removal of the trailing
     '\\n<label> -' that every piece but the last carries."""
     p = _col(piece)
-    quoted = F.trim(F.regexp_extract(p, r"(?s)^'([^']+)'(.+)", 2))
+    quoted = F.trim(F.regexp_extract(p, QUOTED_LABEL, 2))
     dash = F.split(p, " - ", 2)
-    body = (F.when(p.startswith("'") & p.rlike(r"(?s)^'([^']+)'(.+)"), quoted)
+    body = (F.when(p.startswith("'") & p.rlike(QUOTED_LABEL), quoted)
             .when(F.size(dash) > 1, F.trim(dash[1]))
             .otherwise(F.trim(p)))
     if strip_trailer:
-        body = F.regexp_replace(body, r"(?s)\n[^\n]* -\s*$", "")
+        body = F.regexp_replace(body, LABEL_TRAILER, "")
     return body
 
 
@@ -272,12 +289,6 @@ def join_key(title, abstract) -> Column:
     return F.concat(F.lower(py_strip(_col(title))), F.lower(py_strip(_col(abstract))))
 
 
-def url_quote(text) -> Column:
-    """F16: percent-encoding with %20 for spaces."""
-    return F.replace(F.replace(F.url_encode(_col(text)), F.lit("+"), F.lit("%20")),
-                     F.lit("%7E"), F.lit("~"))
-
-
 def safe_name(text) -> Column:
     """' ' and '/' become '_'."""
     return F.translate(_col(text), " /", "__")

@@ -11,8 +11,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarry.functions import text as T
-
 # Fixed values of the reference's search harvest: page axis and templates.
 PAGE_SIZE = 100
 LAST_START = 5900
@@ -71,11 +69,15 @@ def article_link(doi: Column, base: str = ARTICLE_BASE, suffix: str = ARTICLE_SU
     return F.concat(F.lit(base), F.coalesce(doi, F.lit("None")), F.lit(suffix))
 
 
+# Where a search payload carries its error and its total.
+STATUS_PATH = "$['service-error']['status']['statusText']"
+TOTAL_PATH = "$['search-results']['opensearch:totalResults']"
+
+
 def search_status(payload: Column) -> tuple[Column, Column]:
     """(error text or null, total results as int defaulting to 0)."""
-    err = F.get_json_object(payload, "$.service-error.status.statusText")
-    total = F.get_json_object(payload, "$['search-results']['opensearch:totalResults']")
-    return err, F.coalesce(total.cast("int"), F.lit(0))
+    total = F.get_json_object(payload, TOTAL_PATH)
+    return F.get_json_object(payload, STATUS_PATH), F.coalesce(total.try_cast("int"), F.lit(0))
 
 
 def parse_atom_feed(feeds: DataFrame, payload_col: str = "payload") -> DataFrame:
@@ -116,10 +118,6 @@ def page_entries(pages: DataFrame) -> DataFrame:
         F.when(num == "", F.lit(None)).otherwise(F.concat(F.lit("10.0/"), num)).alias("doi"))
 
 
-def safe_title(text: Column) -> Column:
-    return T.safe_name(text)
-
-
 # Fields of a fetched article record.
 RECORD_FIELDS = {
     "abstract": "$['coredata']['dc:description']",

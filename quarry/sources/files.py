@@ -8,19 +8,24 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.utils import AnalysisException
+
+from quarry.functions.stopwords import default_stop_words
 
 CHUNK_INDEX = r".*_(\d+)[./]"
 
 
-def read_csv(spark: SparkSession, path: str, schema=None) -> DataFrame:
-    """Header CSV whose quoted fields may span lines (S2: Spark splits
-    the scan itself, no chunk loop)."""
-    r = (spark.read.option("header", True).option("multiLine", True)
-         .option("escape", '"').option("quote", '"')
-         .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False))
-    r = r.schema(schema) if schema is not None else r.option("inferSchema", False)
-    return r.csv(path)
+# One set of options for every CSV source and sink: quotes are doubled,
+# blanks and newlines inside fields survive.
+CSV_OPTIONS = {"header": True, "escape": '"', "quote": '"',
+               "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+
+
+def read_csv(spark: SparkSession, path: str, schema=None, multi_line: bool = False) -> DataFrame:
+    """Header CSV.  Files are split over tasks unless fields may hold
+    line breaks (``multi_line``): then one file is one task, so convert such
+    files to Parquet once."""
+    r = spark.read.options(**CSV_OPTIONS).option("multiLine", multi_line)
+    return (r.schema(schema) if schema is not None else r.option("inferSchema", False)).csv(path)
 
 
 def read_parquet(spark: SparkSession, path: str) -> DataFrame:
@@ -34,27 +39,46 @@ def read_parquet_tree(spark: SparkSession, root: str, glob: str = "*.gzip") -> D
             .option("mergeSchema", True).parquet(root))
 
 
+def is_below(path: str, folder: str) -> bool:
+    """Whether ``path`` is ``folder`` or lies in it (not a sibling that
+    begins with the same letters)."""
+    path, folder = path.rstrip("/"), folder.rstrip("/")
+    return path == folder or path.startswith(folder + "/")
+
+
 def read_parquet_tolerant(spark: SparkSession, paths: list[str], exclude: str | None = None) -> DataFrame:
-    """Skip unreadable files, fail only if nothing is readable; the
-    job's own output path is excluded from its inputs."""
-    keep = [p for p in paths if exclude is None or not p.startswith(exclude)]
-    if not keep:
-        raise FileNotFoundError("no input files")
-    df = (spark.read.option("ignoreCorruptFiles", True).option("ignoreMissingFiles", True)
-          .option("mergeSchema", True)
-          .parquet(*keep))
-    if df.limit(1).count() == 0:
-        raise ValueError("no readable rows in the given files")
-    return df
+    """Skip unreadable files, fail only if nothing is readable (a
+    readable file without rows is fine); the job's own output path is
+    excluded from its inputs."""
+    keep = [p for p in paths if exclude is None or not is_below(p, exclude)]
+    schema = None
+    for p in keep:  # the first file whose footer can be read
+        try:
+            schema = spark.read.option("mergeSchema", True).parquet(p).schema
+            break
+        except Exception as e:  # noqa: BLE001  Spark reports a bad footer in several ways
+            last = e
+    if schema is None:
+        raise FileNotFoundError("no readable input file") from (last if keep else None)
+    return (spark.read.option("ignoreCorruptFiles", True).option("ignoreMissingFiles", True)
+            .option("mergeSchema", True).parquet(*keep))
 
 
 def read_stopwords(spark: SparkSession, path: str) -> DataFrame:
-    """One word per line -> distinct words (column ``word``)."""
+    """One word per line -> distinct words (column ``word``)."""
     return spark.read.text(path).select(F.col("value").alias("word")).distinct()
 
 
+def all_stopwords(spark: SparkSession, path: str, base: list[str] | None = None) -> DataFrame:
+    """The file's words and the English list (or ``base``), each once."""
+    words = default_stop_words() if base is None else base
+    listed = spark.createDataFrame([(w,) for w in words], "word string")
+    return read_stopwords(spark, path).union(listed).where("word <> ''").distinct()
+
+
 def stopword_list(spark: SparkSession, path: str, max_words: int = 100_000) -> list[str]:
-    """Stop words as a list for column expressions (size-checked)."""
+    """Stop words as a list for column expressions.  ``max_words`` bounds
+    what reaches the driver; a longer list is an error, to be joined instead."""
     rows = read_stopwords(spark, path).limit(max_words + 1).collect()
     if len(rows) > max_words:
         raise ValueError(f"stop-word list longer than {max_words}")
@@ -67,6 +91,12 @@ def with_chunk_index(df: DataFrame) -> DataFrame:
     return df.withColumn("chunk", F.when(num == "", None).otherwise(num).try_cast("int"))
 
 
+def read_chunks(spark: SparkSession, paths: str, schema=None) -> DataFrame:
+    """K5: all chunk files in one table, with their chunk number and sorted by
+    it (O3); files without a number come last."""
+    return with_chunk_index(read_csv(spark, paths, schema)).orderBy(F.col("chunk").asc_nulls_last())
+
+
 def write_parquet(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     """K1: gzip-compressed Parquet."""
     df.write.mode(mode).option("compression", "gzip").parquet(path)
@@ -74,28 +104,30 @@ def write_parquet(df: DataFrame, path: str, mode: str = "overwrite") -> None:
 
 def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     """K2: header CSV (quoted multi-line fields round-trip with read_csv)."""
-    (df.write.mode(mode).option("header", True).option("escape", '"')
-     .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path))
+    df.write.mode(mode).options(**CSV_OPTIONS).csv(path)
 
 
 def write_per_group(df: DataFrame, path: str, key: str, noise=-1, fmt: str = "csv") -> None:
     """K3: one folder per group value, noise excluded."""
     out = df.where(F.col(key) != noise) if noise is not None else df
     w = out.write.mode("overwrite").partitionBy(key)
-    (w.option("header", True).csv(path) if fmt == "csv" else w.parquet(path))
+    w.options(**CSV_OPTIONS).csv(path) if fmt == "csv" else w.parquet(path)
 
 
 def append_csv(df: DataFrame, path: str) -> None:
-    """K4: append; Spark writes a header into each new part file."""
-    (df.write.mode("append").option("header", True).option("escape", '"')
-     .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path))
+    """K4: append; every part file has its header, which read_csv drops."""
+    write_csv(df, path, "append")
+
+
+def is_complete(spark: SparkSession, path: str) -> bool:
+    """Whether a writer has committed ``path`` (its ``_SUCCESS`` mark)."""
+    mark = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path.rstrip("/") + "/_SUCCESS")
+    return bool(mark.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(mark))
 
 
 def stage(spark: SparkSession, path: str, build) -> DataFrame:
-    """K6: resume a stage from its Parquet output if present, else build
-    and persist it, then read it back (lineage is cut at the stage)."""
-    try:
-        return spark.read.parquet(path)
-    except AnalysisException:
+    """K6: resume a stage from its Parquet output if that is complete, else
+    build and persist it, then read it back (lineage is cut at the stage)."""
+    if not is_complete(spark, path):
         build().write.mode("overwrite").parquet(path)
-        return spark.read.parquet(path)
+    return spark.read.parquet(path)

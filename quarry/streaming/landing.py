@@ -11,7 +11,6 @@ again.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 LINK_SCHEMA = "title string, pub_name string, doi string, link string"
 
@@ -42,7 +41,3 @@ def merge_batch_into(target_df: DataFrame, batch: DataFrame, keys=("doi", "title
     """``foreachBatch`` helper: rows of a batch not yet in the target."""
     k = list(keys)
     return batch.dropna("any", subset=k).dropDuplicates(k).join(target_df.select(*k), k, "left_anti")
-
-
-def row_count(df: DataFrame) -> int:
-    return df.select(F.count(F.lit(1))).first()[0]

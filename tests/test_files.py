@@ -2,7 +2,7 @@
 
 import os
 
-from pyspark.sql import functions as F
+import pytest
 
 from quarry.sources import files as IO
 
@@ -11,7 +11,7 @@ def test_csv_multiline_round_trip(spark, tmpdir_path):
     df = spark.createDataFrame([(1, 'line one\nline "two"\n'), (2, "plain")], "id int, txt string")
     p = os.path.join(tmpdir_path, "csv")
     IO.write_csv(df, p)
-    back = IO.read_csv(spark, p, "id int, txt string")
+    back = IO.read_csv(spark, p, "id int, txt string", multi_line=True)
     assert sorted(tuple(r) for r in back.collect()) == sorted(tuple(r) for r in df.collect())
 
 
@@ -54,3 +54,56 @@ def test_per_group_and_stopwords(spark, tmpdir_path):
         IO.write_csv(spark.createDataFrame([(i,)], "v int"), os.path.join(ck, f"Embeddings_Chunk_{i}"))
     got = IO.with_chunk_index(IO.read_csv(spark, os.path.join(ck, "*"), "v int"))
     assert sorted((r.chunk, r.v) for r in got.collect()) == [(2, 2), (10, 10)]
+
+
+def test_group_csv_round_trip(spark, tmpdir_path):
+    rows = [(1, ' a, "quoted"\nsecond line, more ', 0), (2, "x", 0), (3, "", 1), (4, "noise", -1)]
+    p = os.path.join(tmpdir_path, "groups_csv")
+    IO.write_per_group(spark.createDataFrame(rows, "id int, txt string, cluster int"), p, "cluster")
+    back = IO.read_csv(spark, p, "id int, txt string, cluster int", multi_line=True)
+    assert sorted((r.id, r.txt or "", r.cluster) for r in back.collect()) == rows[:3]
+
+
+def test_append_reads_as_one_table(spark, tmpdir_path):
+    p = os.path.join(tmpdir_path, "appended")
+    for i in range(3):
+        IO.append_csv(spark.createDataFrame([(i, "t")], "id int, txt string"), p)
+    assert sorted(r.id for r in IO.read_csv(spark, p, "id int, txt string").collect()) == [0, 1, 2]
+
+
+def test_tolerant_reader_siblings_and_empty(spark, tmpdir_path):
+    out, sib = os.path.join(tmpdir_path, "out"), os.path.join(tmpdir_path, "out_2020")
+    IO.write_parquet(spark.createDataFrame([(1,)], "v int"), out)
+    IO.write_parquet(spark.createDataFrame([(2,)], "v int"), sib)
+    assert [r.v for r in IO.read_parquet_tolerant(spark, [out, sib], exclude=out).collect()] == [2]
+    empty = os.path.join(tmpdir_path, "empty")
+    IO.write_parquet(spark.createDataFrame([], "v int"), empty)
+    assert IO.read_parquet_tolerant(spark, [empty]).collect() == []
+    bad = os.path.join(tmpdir_path, "bad.parquet")
+    with open(bad, "wb") as fh:
+        fh.write(b"not parquet")
+    for paths, exclude in (([bad], None), ([out], out)):
+        with pytest.raises(FileNotFoundError):
+            IO.read_parquet_tolerant(spark, paths, exclude)
+
+
+def test_half_written_stage_is_built_again(spark, tmpdir_path):
+    st = os.path.join(tmpdir_path, "half")
+    IO.write_parquet(spark.createDataFrame([(1,)], "v int"), st)
+    os.remove(os.path.join(st, "_SUCCESS"))
+    assert [r.v for r in IO.stage(spark, st, lambda: spark.createDataFrame([(7,)], "v int")).collect()] == [7]
+
+
+def test_stop_words_of_file_and_list(spark, tmpdir_path):
+    sw = os.path.join(tmpdir_path, "stop2.txt")
+    with open(sw, "w") as fh:
+        fh.write("plastic\nthe\n\n")
+    assert sorted(r.word for r in IO.all_stopwords(spark, sw, ["the", "of"]).collect()) == ["of", "plastic", "the"]
+    assert {"plastic", "the", "and"} <= {r.word for r in IO.all_stopwords(spark, sw).collect()}
+
+
+def test_chunks_in_order(spark, tmpdir_path):
+    ck = os.path.join(tmpdir_path, "ordered")
+    for i in (10, 2, 1):
+        IO.write_csv(spark.createDataFrame([(i,)], "v int"), os.path.join(ck, f"Embeddings_Chunk_{i}"))
+    assert [r.chunk for r in IO.read_chunks(spark, os.path.join(ck, "*"), "v int").collect()] == [1, 2, 10]
