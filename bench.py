@@ -18,12 +18,14 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from quarry.plans.registry import load_all  # noqa: E402
 from quarry.session import build_session  # noqa: E402
+from quarry.sources.tables import SPREAD_CONF  # noqa: E402
 
 
 def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = int(os.environ.get("BENCH_CPUS", "8"))
     spark = build_session(f"local[{cpus}]", shuffle_partitions=cpus)
+    spark.conf.set(SPREAD_CONF, str(cpus))
     reg = load_all()
     names = [n for n in os.environ.get("BENCH_QUERIES", "").split(",") if n] or list(reg)
     # warm the JVM and the Python workers once (not timed)

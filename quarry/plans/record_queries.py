@@ -10,7 +10,7 @@ from quarry.functions import text as T
 from quarry.operators import harvest as H, records as R
 from quarry.plans.registry import register
 from quarry.plans.sqlparts import corpus_cte
-from quarry.sources.tables import corpus, doi_of, table, TITLE_CHARS
+from quarry.sources.tables import corpus, doi_of, table, title_of, TITLE_SQL
 
 
 @register("dedupe_keep_first", """
@@ -81,7 +81,7 @@ def null_sentinels(spark, sf_dir):
 
 @register("fallback_join", f"""WITH {corpus_cte()},
 lft AS (SELECT doc_id, '10.0/' || CAST(doc_id AS VARCHAR) AS doi,
-        lower(regexp_replace(substring(text, 1, {TITLE_CHARS}), '^[{T.PY_WHITESPACE}]+|[{T.PY_WHITESPACE}]+$', '', 'g')) ||
+        lower(regexp_replace({TITLE_SQL}, '^[{T.PY_WHITESPACE}]+|[{T.PY_WHITESPACE}]+$', '', 'g')) ||
         lower(regexp_replace(text, '^[{T.PY_WHITESPACE}]+|[{T.PY_WHITESPACE}]+$', '', 'g')) AS k FROM documents),
 rdoi AS (SELECT doi, min(doc_id) AS m FROM corpus GROUP BY doi),
 rkey AS (SELECT lower(regexp_replace(title, '^[{T.PY_WHITESPACE}]+|[{T.PY_WHITESPACE}]+$', '', 'g')) ||
@@ -93,7 +93,7 @@ WHERE rdoi.m IS NOT NULL OR rkey.m IS NOT NULL""")
 def fallback_join(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     left = docs.select("doc_id", doi_of(F.col("doc_id")).alias("doi"),
-                       F.substring("text", 1, TITLE_CHARS).alias("title"), F.col("text").alias("abstract"))
+                       title_of().alias("title"), F.col("text").alias("abstract"))
     right = corpus(spark, sf_dir).select("doc_id", "doi", "title", "abstract")
     return R.fallback_join(left, right, "doc_id", "doc_id").select(
         "doc_id", "matched_id", "matched_by")

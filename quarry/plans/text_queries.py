@@ -11,7 +11,7 @@ from quarry.operators import similarity as S, terms as TM
 from quarry.plans import sqlparts as Q
 from quarry.plans.registry import register
 from quarry.plans.vector_queries import CENT_CTE, _doc_topic
-from quarry.sources.tables import corpus, table
+from quarry.sources.tables import TITLE_SQL, corpus, table, title_of
 
 WS = T.PY_WHITESPACE
 
@@ -38,10 +38,10 @@ def clean_text_docs(spark, sf_dir):
 
 
 @register("join_key", f"""SELECT doc_id,
-md5(lower({_strip_sql('substring(text, 1, 40)')}) || lower({_strip_sql('text')})) AS key_md5 FROM documents""")
+md5(lower({_strip_sql(TITLE_SQL)}) || lower({_strip_sql('text')})) AS key_md5 FROM documents""")
 def join_key(spark, sf_dir):
     d = table(spark, sf_dir, "documents")
-    return d.select("doc_id", F.md5(T.join_key(F.substring("text", 1, 40), F.col("text"))).alias("key_md5"))
+    return d.select("doc_id", F.md5(T.join_key(title_of(), F.col("text"))).alias("key_md5"))
 
 
 _VEC_TEXT = ("'[' || array_to_string(list_transform(embedding, lambda x: printf('%.8e', CAST(x AS DOUBLE))), ' ') || ']'")
@@ -82,12 +82,12 @@ def safe_name(spark, sf_dir):
 
 
 @register("title_case", """SELECT doc_id, array_to_string(list_transform(
-  regexp_extract_all(substring(text, 1, 40), '(\\p{L}+|\\P{L}+)', 1),
+  regexp_extract_all(text, '(\\p{L}+|\\P{L}+)', 1),
   lambda p: CASE WHEN regexp_matches(p, '^\\p{L}') THEN (CASE WHEN substring(p, 1, 1) = chr(223) THEN 'Ss' ELSE upper(substring(p, 1, 1)) END) || lower(substring(p, 2)) ELSE p END), '') AS title
 FROM documents""")
 def title_case(spark, sf_dir):
     d = table(spark, sf_dir, "documents")
-    return d.select("doc_id", T.title_case(F.substring("text", 1, 40)).alias("title"))
+    return d.select("doc_id", T.title_case("text").alias("title"))
 
 
 @register("extract_year", """SELECT CAST(regexp_extract(strftime(o_orderdate, '%-d %B %Y'), '(19|20)\\d{2}', 0) AS INTEGER) AS year,

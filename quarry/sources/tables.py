@@ -7,8 +7,6 @@ calling query needs.
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,43 +16,37 @@ TABLES = ("region", "nation", "customer", "supplier", "part", "orders",
 
 # Fixed values of the corpus mapping (see FIXTURES.md, "Corpus view"):
 # the embedding label that plays the noise cluster, the first year of the
-# synthetic year axis, its number of years, the DOI prefix and the title
-# length in characters.
+# synthetic year axis, its number of years and the DOI prefix.
 NOISE_LABEL = 9
 YEAR_BASE = 2015
 YEAR_SPAN = 11
 DOI_PREFIX = "10.0/"
-TITLE_CHARS = 40
 
 
-# Row key of each driver table: used to spread a scan that yields fewer
-# splits than the cluster has cores (small single-row-group files).
+# Row key of each driver table, by which SPREAD_CONF deals its rows.
 TABLE_KEYS = {"documents": "doc_id", "embeddings": "vec_id", "pages": "page_id",
               "labels": "doc_id", "benchmark": "item_id", "conversations": "conv_id",
               "events": "event_id", "orders": "o_orderkey", "part": "p_partkey"}
 
+# Session setting for one-row-group files on one machine (bench.py sets it):
+# deal every table to this many partitions by its key.  Unset, as on a
+# cluster, a scan stays as its files are split.
+SPREAD_CONF = "spark.quarry.scan.partitions"
 
-def parallelism(spark: SparkSession) -> int:
-    """Cores available to the application (the spread target)."""
-    return max(int(spark.sparkContext.defaultParallelism), 1)
 
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """Lazy Parquet scan of one driver table."""
+    df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    spread, key = spark.conf.get(SPREAD_CONF, None), TABLE_KEYS.get(name)
+    return df.repartition(int(spread), key) if spread and key else df
 
-def table(spark: SparkSession, sf_dir: str, name: str, spread: bool = True) -> DataFrame:
-    """Lazy Parquet scan of one driver table.
 
-    A big table arrives in many splits and is returned as is.  A scan with
-    fewer splits than cores (one small row group) is hash-partitioned on the
-    table key so row-wise work (text, vectors) uses every core; the hash on
-    the key also lets later joins on that key reuse the partitioning.
-    """
-    df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
-    key = TABLE_KEYS.get(name)
-    spread = spread and os.environ.get("QUARRY_SPREAD_SCANS", "1") != "0"
-    if spread and key is not None:
-        target = parallelism(spark)
-        if df.rdd.getNumPartitions() < target:
-            df = df.repartition(target, key)
-    return df
+def title_of(text: str = "text") -> Column:
+    """A document's title: the first line of its text."""
+    return F.substring_index(F.col(text), "\n", 1)
+
+
+TITLE_SQL = "split_part(text, chr(10), 1)"
 
 
 def doi_of(doc_id: Column) -> Column:
@@ -66,26 +58,30 @@ def year_of(doc_id: Column) -> Column:
 
 
 def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents joined to their vectors: the reference's abstracts table.
+    """Every document with a vector: the reference's abstracts table.
 
+    The given vectors belong to no document, so document i takes vector
+    ``i mod n``; n is the number of vectors, whose ids are 0 to n - 1.
     Columns: doc_id, title, abstract, journal, lang, doi, year, cluster,
     embedding (array<double>).  Cluster -1 is noise.
     """
     docs = table(spark, sf_dir, "documents")
     vecs = table(spark, sf_dir, "embeddings")
+    n = vecs.agg(F.greatest(F.count(F.lit(1)), F.lit(1))).scalar()
     return (
-        docs.join(vecs, docs.doc_id == vecs.vec_id, "inner")
+        docs.withColumn("_vec", F.pmod("doc_id", n))
+        .join(vecs, F.col("_vec") == F.col("vec_id"), "inner")
         .select(
-            docs.doc_id,
-            F.substring(docs.text, 1, TITLE_CHARS).alias("title"),
-            docs.text.alias("abstract"),
-            docs.source.alias("journal"),
-            docs.lang,
-            doi_of(docs.doc_id).alias("doi"),
-            year_of(docs.doc_id).alias("year"),
-            F.when(vecs.label == NOISE_LABEL, F.lit(-1))
-            .otherwise(vecs.label).cast("int").alias("cluster"),
-            vecs.embedding.cast("array<double>").alias("embedding"),
+            "doc_id",
+            title_of().alias("title"),
+            F.col("text").alias("abstract"),
+            F.col("source").alias("journal"),
+            "lang",
+            doi_of(F.col("doc_id")).alias("doi"),
+            year_of(F.col("doc_id")).alias("year"),
+            F.when(F.col("label") == NOISE_LABEL, F.lit(-1))
+            .otherwise(F.col("label")).cast("int").alias("cluster"),
+            F.col("embedding").cast("array<double>").alias("embedding"),
         )
     )
 
@@ -93,10 +89,10 @@ def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
 def corpus_sql() -> str:
     """The same corpus view as DuckDB SQL (used by oracle queries)."""
     return (
-        "SELECT d.doc_id, substring(d.text, 1, {tc}) AS title, d.text AS abstract, "
+        "SELECT d.doc_id, {title} AS title, d.text AS abstract, "
         "d.source AS journal, d.lang, '{doi}' || CAST(d.doc_id AS VARCHAR) AS doi, "
         "CAST({yb} + (d.doc_id % {ys}) AS INTEGER) AS year, "
         "CAST(CASE WHEN e.label = {nl} THEN -1 ELSE e.label END AS INTEGER) AS cluster, "
         "CAST(e.embedding AS DOUBLE[]) AS embedding "
-        "FROM documents d JOIN embeddings e ON d.doc_id = e.vec_id"
-    ).format(tc=TITLE_CHARS, doi=DOI_PREFIX, yb=YEAR_BASE, ys=YEAR_SPAN, nl=NOISE_LABEL)
+        "FROM documents d JOIN embeddings e ON d.doc_id % (SELECT count(*) FROM embeddings) = e.vec_id"
+    ).format(title=TITLE_SQL, doi=DOI_PREFIX, yb=YEAR_BASE, ys=YEAR_SPAN, nl=NOISE_LABEL)
