@@ -28,37 +28,46 @@ SUBTHEMES = 10
 KMEANS_SEED = 42
 MMR_DIVERSITY = 0.99
 HASH_DIM = 64
+HASH_MEMO = 500_000
+# Cosines are ranked by this many decimals, ties by text.
+RANK_DECIMALS = 9
 
 
-def hashing_encoder(dim: int = HASH_DIM, seed: int = 0):
+def hashing_encoder(dim: int = HASH_DIM):
     """``make_predict_fn`` of the offline encoder: signed feature hashing of
-    lower-cased word unigrams and bigrams, L2-normalised.
+    lower-cased word unigrams and bigrams, L2-normalised, in doubles.
 
-    All features of an Arrow batch are hashed in one vectorised call
-    (``pandas.util.hash_array``, fixed key, stable across processes)."""
+    A feature's slot and sign come from the first 8 hex digits of its MD5, so
+    any engine can compute the same vectors.  Features are memoised per
+    worker (bounded)."""
 
     def make():
         import re
+        from hashlib import md5
 
         word = re.compile(r"[^\W\d_]+|\d+", re.UNICODE)
-        salt = f"{seed}:"
+
+        class Slots(dict):
+            def __missing__(self, feature: str) -> int:
+                if len(self) >= HASH_MEMO:
+                    self.clear()
+                h = int(md5(feature.encode()).hexdigest()[:8], 16)
+                slot = self[feature] = h % (2 * dim)  # the upper half counts down
+                return slot
+
+        slots = Slots()
 
         def predict(texts: np.ndarray) -> np.ndarray:
-            rows, feats = [], []
+            out = np.zeros((len(texts), dim))
             for i, t in enumerate(texts):
                 toks = word.findall(str(t).lower()) if t is not None else []
-                if not toks:
-                    continue
-                fs = toks + [a + " " + b for a, b in zip(toks, toks[1:])]
-                feats.extend(fs)
-                rows.extend([i] * len(fs))
-            out = np.zeros((len(texts), dim), dtype=np.float32)
-            if feats:
-                keys = np.array([salt + f for f in feats], dtype=object)
-                h = pd.util.hash_array(keys, categorize=False)
-                sign = np.where((h >> np.uint64(63)) == 1, -1.0, 1.0).astype(np.float32)
-                np.add.at(out, (np.asarray(rows), (h % np.uint64(dim)).astype(np.int64)), sign)
-            norms = np.linalg.norm(out, axis=1, keepdims=True)
+                if toks:
+                    pairs = (a + " " + b for a, b in zip(toks, toks[1:]))
+                    h = [slots[f] for f in toks]
+                    h += [slots[f] for f in pairs]
+                    n = np.bincount(np.array(h), minlength=2 * dim)
+                    out[i] = n[:dim] - n[dim:]
+            norms = np.sqrt((out * out).sum(axis=1, keepdims=True))
             return out / np.where(norms > 0, norms, 1.0)
 
         return predict
@@ -71,7 +80,7 @@ def embedder(make_predict_fn=None, batch_size: int | None = None):
     if batch_size is None:
         batch_size = ENCODER_BATCH if make_predict_fn is not None else HASH_BATCH
     return predict_batch_udf(make_predict_fn or hashing_encoder(),
-                             return_type=T.ArrayType(T.FloatType()),
+                             return_type=T.ArrayType(T.DoubleType()),
                              batch_size=batch_size)
 
 
@@ -93,8 +102,11 @@ def reduce_dim(df: DataFrame, vec_col: str = "embedding", k: int = 2,
     v = Normalizer(inputCol="_v", outputCol="_n", p=2.0).transform(v)
     model = PCA(k=k, inputCol="_n", outputCol="_p").fit(v)
     out = model.transform(v).withColumn("_a", vector_to_array("_p"))
+    axes = model.pc.toArray()
     for i, name in enumerate(out_cols[:k]):
-        out = out.withColumn(name, F.col("_a")[i])
+        # the largest loading of an axis is positive
+        up = float(np.sign(axes[np.argmax(np.abs(axes[:, i])), i]) or 1.0)
+        out = out.withColumn(name, F.col("_a")[i] * up)
     return out.drop("_v", "_n", "_p", "_a")
 
 
@@ -153,7 +165,7 @@ def subtheme_groups(docs: DataFrame, group_col: str = "topic", id_col: str = "do
 def rank_by_vector(cands: DataFrame, group_col: str, term_col: str = "term",
                    sim_col: str = "sim", n: int | None = None) -> DataFrame:
     """Order candidate terms by cosine to their group's vector."""
-    w = Window.partitionBy(group_col).orderBy(F.desc(sim_col), F.asc(term_col))
+    w = Window.partitionBy(group_col).orderBy(F.desc(F.round(sim_col, RANK_DECIMALS)), F.asc(term_col))
     out = cands.withColumn("rank", F.row_number().over(w).cast("int"))
     return out.where(F.col("rank") <= n) if n else out
 
@@ -166,6 +178,7 @@ def mmr(cands: DataFrame, group_col: str, top_n: int, diversity: float = MMR_DIV
     Groups are one topic's candidate terms (bounded by the keyword list)."""
 
     def per_group(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(term_col)  # ties go to the first term, whatever order rows arrive in
         words = pdf[term_col].tolist()
         wv = np.vstack([np.asarray(v, dtype=np.float64) for v in pdf[vec_col]])
         tv = np.asarray(pdf[topic_vec_col].iloc[0], dtype=np.float64)
@@ -175,13 +188,13 @@ def mmr(cands: DataFrame, group_col: str, top_n: int, diversity: float = MMR_DIV
             return m / np.where(nr > 0, nr, 1.0)
 
         wv, tv = unit(wv), unit(tv)
-        rel = wv @ tv
-        pair = wv @ wv.T
+        rel = np.round(wv @ tv, RANK_DECIMALS)
+        pair = np.round(wv @ wv.T, RANK_DECIMALS)
         chosen = [int(np.argmax(rel))]
         rest = [i for i in range(len(words)) if i != chosen[0]]
         while rest and len(chosen) < min(top_n, len(words)):
             red = pair[np.ix_(rest, chosen)].max(axis=1)
-            score = (1 - diversity) * rel[rest] - diversity * red
+            score = np.round((1 - diversity) * rel[rest] - diversity * red, RANK_DECIMALS)
             pick = rest[int(np.argmax(score))]
             chosen.append(pick)
             rest.remove(pick)

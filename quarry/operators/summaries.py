@@ -33,7 +33,7 @@ ITERATIVE_THRESHOLD = 0.85
 ITERATIONS = 3
 CENTROID_THRESHOLD = 0.5
 UNLABELED = "Unlabeled Subtheme"
-KEYWORD_TOKEN = r"(?U)\b\w\w+\b"
+KEYWORD_TOKEN = r"[\p{L}\p{M}\p{N}_]{2,}"  # words of two and more characters
 
 
 def sentences(df: DataFrame, key: str, text_col: str) -> DataFrame:
@@ -88,7 +88,8 @@ def extractive_summary(df: DataFrame, key: str, text_col: str, make_predict_fn=N
     sents = reliable_checkpoint(models.embed(sentences(df, key, text_col), "sentence", "vec",
                                              make_predict_fn))
     cents = S.centroids(sents.select(key, "vec"), key, "vec").select(key, "centroid")
-    scored = sents.join(cents, key).withColumn("score", S.cosine("vec", "centroid"))
+    scored = sents.join(cents, key).withColumn(
+        "score", F.round(S.cosine("vec", "centroid"), models.RANK_DECIMALS))
     w = Window.partitionBy(key).orderBy(F.desc("score"), F.asc("pos"))
     run = Window.partitionBy(key).orderBy(F.desc("score"), F.asc("pos")).rowsBetween(
         Window.unboundedPreceding, -1)
@@ -132,7 +133,7 @@ def keyword_labels(df: DataFrame, key: str, text_col: str, n: int = NUM_LABELS,
     phrase_vecs = models.embed(cands.select("keyword").distinct(), "keyword", "kv", make_predict_fn)
     doc_vecs = models.embed(df.select(key, text_col), text_col, "dv", make_predict_fn).select(key, "dv")
     scored = (cands.join(phrase_vecs, "keyword").join(doc_vecs, key)
-              .withColumn("sim", S.cosine("kv", "dv")))
+              .withColumn("sim", F.round(S.cosine("kv", "dv"), models.RANK_DECIMALS)))
     w = Window.partitionBy(key).orderBy(F.desc("sim"), F.asc("keyword"))
     return (scored.withColumn("rank", F.row_number().over(w).cast("int")).where(F.col("rank") <= n)
             .select(key, "rank", "keyword", "sim"))

@@ -1,15 +1,20 @@
-"""Registered rows-only queries: embedding, reduction, density clustering,
-sub-themes, keyword ranking, sentence dedupe, summaries, topic report.
+"""Registered queries of the model half: embedding, reduction, density
+clustering, sub-themes, keyword ranking, sentence dedupe, summaries, topic
+report.
 
-Their results depend on seeded iterations, greedy order or a model, so the
-driver checks them rows-only; ``tests/`` checks their properties and
-compares them with brute force on small fixtures."""
+The offline encoder is a portable hash, so embedding, ranking by vector, MMR,
+keyword labels, sentence dedupe and extractive summaries are restated in SQL
+(the greedy ones as recursive queries).  What depends on a fitted PCA or on
+seeded k-means has property tests."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
 from quarry.operators import density, models, similarity as S, summaries as SM, terms as TM, topics
+from quarry.functions import text as T
+from quarry.functions.stopwords import label_stop_words, sql_list
+from quarry.plans import sqlparts as Q
 from quarry.plans.registry import register
 from quarry.session import reliable_checkpoint
 from quarry.sources.tables import corpus, table
@@ -17,12 +22,16 @@ from quarry.sources.tables import corpus, table
 # Fixed values of the reference clustering used on the driver tables.
 MIN_SAMPLES = 5
 MIN_CLUSTER_SIZE = 10
+LABEL_STOP = sql_list(label_stop_words())
 
 
-@register("embed")
+@register("embed", f"""WITH {Q.encoder_ctes('e', 'documents', 'doc_id', 'text')}
+SELECT doc_id, array_to_string(list_transform(v, lambda x: CAST(round(x * 1000000) AS BIGINT)), ' ') AS embedding FROM e""")
 def embed(spark, sf_dir):
+    """M1 over every document; vectors as text, in millionths."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return models.embed(docs, "text").select("doc_id", "embedding")
+    millionths = F.transform("embedding", lambda x: F.round(x * 1_000_000).cast("long").cast("string"))
+    return models.embed(docs, "text").select("doc_id", F.array_join(millionths, " ").alias("embedding"))
 
 
 @register("reduce_dim")
@@ -32,7 +41,8 @@ def reduce_dim(spark, sf_dir):
 
 
 DENSITY_SQL = f"""WITH RECURSIVE
-pts AS (SELECT d.doc_id AS id, CAST(e.embedding AS DOUBLE[]) AS v FROM documents d JOIN embeddings e ON d.doc_id = e.vec_id),
+pts AS (SELECT d.doc_id AS id, CAST(e.embedding AS DOUBLE[]) AS v FROM documents d JOIN embeddings e
+  ON d.doc_id % (SELECT count(*) FROM embeddings) = e.vec_id),
 pd AS (SELECT a.id AS a, b.id AS b, list_distance(a.v, b.v) AS d FROM pts a JOIN pts b ON a.id <> b.id),
 core AS (SELECT a AS id, d AS core FROM pd QUALIFY row_number() OVER (PARTITION BY a ORDER BY d, b) = {MIN_SAMPLES - 1}),
 eps AS (SELECT quantile_cont(core, 0.5) AS eps FROM core),
@@ -70,19 +80,19 @@ def subtheme_groups(spark, sf_dir):
     return models.subtheme_groups(_topic_top_docs(spark, sf_dir))
 
 
-@register("mmr")
-def mmr(spark, sf_dir):
-    c = corpus(spark, sf_dir)
-    tt = TM.topic_terms(c, n=TM.TOP_N_WORDS)
-    tv = reliable_checkpoint(models.embed(tt, "term", "term_vec"))
-    m = c.where(F.col("cluster") != -1)
-    topic_vec = S.centroids(reliable_checkpoint(models.embed(m.drop("embedding"), "abstract"))).select(
-        F.col("cluster"), F.col("centroid").alias("topic_vec"))
-    cands = tv.join(topic_vec, "cluster").withColumnRenamed("cluster", "topic")
-    return models.mmr(cands.select("topic", "term", "term_vec", "topic_vec"), "topic", 10)
+RANKED_CTES = f"""{Q.topic_terms_ctes(n=TM.TOP_N_WORDS)},
+tdocs AS (SELECT doc_id, cluster, abstract FROM corpus WHERE cluster <> -1),
+{Q.encoder_ctes('de', 'tdocs', 'doc_id', 'abstract')},
+tvec AS (SELECT cluster, {Q.mean_vector('v')} AS tv FROM de JOIN tdocs USING (doc_id) GROUP BY cluster),
+uterm AS (SELECT DISTINCT term FROM ranked),
+{Q.encoder_ctes('te', 'uterm', 'term', 'term')},
+scoredt AS (SELECT r.cluster AS topic, r.term, te.v, {Q.cosine('te.v', 'tvec.tv')} AS sim
+            FROM ranked r JOIN te USING (term) JOIN tvec USING (cluster))"""
 
 
-@register("rank_terms_by_vector")
+@register("rank_terms_by_vector", f"""WITH {RANKED_CTES}
+SELECT topic, CAST(row_number() OVER (PARTITION BY topic ORDER BY sim DESC, term) AS INTEGER) AS rank, term, round(sim, 6) AS sim
+FROM scoredt""")
 def rank_terms_by_vector(spark, sf_dir):
     """Each topic's keyword candidates ordered by cosine to the topic
     vector (mean text vector of its documents)."""
@@ -97,19 +107,92 @@ def rank_terms_by_vector(spark, sf_dir):
         F.col("cluster").alias("topic"), "rank", "term", F.round("sim", 6).alias("sim"))
 
 
-@register("keyword_labels")
+MMR_SQL = f"""WITH RECURSIVE {RANKED_CTES},
+pairs AS (SELECT a.topic, a.term, map(list(b.term), list({Q.cosine('a.v', 'b.v')})) AS m
+          FROM scoredt a JOIN scoredt b ON a.topic = b.topic GROUP BY a.topic, a.term),
+picks(topic, k, chosen) AS (
+  SELECT topic, 1, [arg_min(term, struct_pack(s := -sim, t := term))] FROM scoredt GROUP BY topic
+  UNION ALL
+  SELECT topic, k + 1, list_append(any_value(chosen), arg_min(term, struct_pack(s := -score, t := term)))
+  FROM (SELECT p.topic, p.k, p.chosen, s.term,
+               round((1 - {models.MMR_DIVERSITY}) * s.sim - {models.MMR_DIVERSITY} * list_max(list_transform(p.chosen, lambda c: q.m[c])), 9) AS score
+        FROM picks p JOIN scoredt s ON s.topic = p.topic AND NOT list_contains(p.chosen, s.term)
+        JOIN pairs q ON q.topic = s.topic AND q.term = s.term WHERE p.k < 10)
+  GROUP BY topic, k)
+SELECT topic, CAST(unnest(range(1, len(chosen) + 1)) AS INTEGER) AS rank, unnest(chosen) AS term
+FROM (SELECT topic, arg_max(chosen, k) AS chosen FROM picks GROUP BY topic)"""
+
+
+@register("mmr", MMR_SQL)
+def mmr(spark, sf_dir):
+    c = corpus(spark, sf_dir)
+    tt = TM.topic_terms(c, n=TM.TOP_N_WORDS)
+    tv = reliable_checkpoint(models.embed(tt, "term", "term_vec"))
+    m = c.where(F.col("cluster") != -1)
+    topic_vec = S.centroids(reliable_checkpoint(models.embed(m.drop("embedding"), "abstract"))).select(
+        F.col("cluster"), F.col("centroid").alias("topic_vec"))
+    cands = tv.join(topic_vec, "cluster").withColumnRenamed("cluster", "topic")
+    return models.mmr(cands.select("topic", "term", "term_vec", "topic_vec"), "topic", 10)
+
+
+@register("keyword_labels", f"""WITH toks AS (
+  SELECT item_id, list_filter(regexp_extract_all(lower(text), '{SM.KEYWORD_TOKEN}'), lambda t: NOT list_contains({LABEL_STOP}, t)) AS tok FROM benchmark),
+cands AS (SELECT DISTINCT item_id, keyword FROM (SELECT item_id, unnest({Q.ngram_range('tok', 1, 3)}) AS keyword FROM toks)),
+phrases AS (SELECT DISTINCT keyword FROM cands),
+{Q.encoder_ctes('pe', 'phrases', 'keyword', 'keyword')},
+{Q.encoder_ctes('be', 'benchmark', 'item_id', 'text')},
+scored AS (SELECT item_id, keyword, {Q.cosine('pe.v', 'be.v')} AS sim FROM cands JOIN pe USING (keyword) JOIN be USING (item_id))
+SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY sim DESC, keyword) AS INTEGER) AS rank, keyword, sim
+FROM scored QUALIFY rank <= 5""")
 def keyword_labels(spark, sf_dir):
     docs = table(spark, sf_dir, "benchmark").select(F.col("item_id"), F.col("text"))
     return SM.keyword_labels(docs, "item_id", "text")
 
 
-@register("dedupe_sentences")
+_SENTENCES = f"""sents AS (
+  SELECT doc_id, i - 1 AS pos, s[i] AS sentence FROM (
+    SELECT doc_id, s, unnest(range(1, len(s) + 1)) AS i FROM (
+      SELECT doc_id, list_filter(string_split(regexp_replace(text, '([.!?])[{T.PY_WHITESPACE}]+', '\\1' || chr(1), 'g'), chr(1)),
+                                 lambda x: length(x) > 0) AS s FROM documents))),
+counted AS (SELECT *, len(list_filter(string_split_regex(sentence, '[{T.PY_WHITESPACE}]+'), lambda w: length(w) > 0)) AS n_words FROM sents),
+texts AS (SELECT DISTINCT sentence FROM sents),
+{Q.encoder_ctes('se', 'texts', 'sentence', 'sentence')}"""
+
+
+@register("dedupe_sentences", f"""WITH RECURSIVE {_SENTENCES},
+longs AS (SELECT doc_id, sentence, v, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS i
+          FROM counted JOIN se USING (sentence) WHERE n_words >= {SM.MIN_SENTENCE_WORDS}),
+near AS (SELECT a.doc_id, b.i, list(a.i) AS earlier FROM longs a JOIN longs b ON a.doc_id = b.doc_id AND a.i < b.i
+         WHERE {Q.cosine('a.v', 'b.v')} > {SM.REFINE_THRESHOLD} GROUP BY a.doc_id, b.i),
+walk(doc_id, k, dropped) AS (
+  SELECT DISTINCT doc_id, CAST(0 AS BIGINT), CAST([] AS BIGINT[]) FROM near
+  UNION ALL
+  SELECT w.doc_id, n.i, CASE WHEN len(list_filter(n.earlier, lambda e: NOT list_contains(w.dropped, e))) > 0
+                             THEN list_append(w.dropped, n.i) ELSE w.dropped END
+  FROM walk w JOIN (SELECT *, coalesce(lag(i) OVER (PARTITION BY doc_id ORDER BY i), 0) AS before FROM near) n
+    ON n.doc_id = w.doc_id AND n.before = w.k),
+gone AS (SELECT doc_id, arg_max(dropped, k) AS dropped FROM walk GROUP BY doc_id),
+kept AS (SELECT l.doc_id, string_agg(l.sentence, ' ' ORDER BY l.i) AS refined FROM longs l LEFT JOIN gone g USING (doc_id)
+         WHERE g.dropped IS NULL OR NOT list_contains(g.dropped, l.i) GROUP BY l.doc_id),
+has AS (SELECT DISTINCT doc_id FROM sents)
+SELECT d.doc_id, CASE WHEN h.doc_id IS NULL THEN d.text ELSE coalesce(k.refined, '') END AS refined
+FROM documents d LEFT JOIN has h USING (doc_id) LEFT JOIN kept k USING (doc_id)""")
 def dedupe_sentences(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return SM.dedupe_sentences(docs, "doc_id", "text", SM.REFINE_THRESHOLD)
 
 
-@register("extractive_summary")
+@register("extractive_summary", f"""WITH {_SENTENCES},
+placed AS (SELECT doc_id, pos, sentence, n_words, v FROM counted JOIN se USING (sentence)),
+mid AS (SELECT doc_id, {Q.mean_vector('v')} AS c FROM placed GROUP BY doc_id),
+scored AS (SELECT p.*, {Q.cosine('p.v', 'mid.c')} AS score FROM placed p JOIN mid USING (doc_id)),
+ordered AS (SELECT *, row_number() OVER w AS r, coalesce(sum(n_words) OVER (PARTITION BY doc_id ORDER BY score DESC, pos
+            ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM scored
+            WINDOW w AS (PARTITION BY doc_id ORDER BY score DESC, pos)),
+picked AS (SELECT doc_id, string_agg(sentence, ' ' ORDER BY pos) AS summary FROM ordered
+           WHERE before < {SM.MIN_LENGTH} AND (before + n_words <= {SM.MAX_LENGTH} OR r = 1) GROUP BY doc_id)
+SELECT d.doc_id, coalesce(p.summary, substring(d.text, 1, 500), '[SUMMARY FAILED]') AS summary
+FROM documents d LEFT JOIN picked p USING (doc_id)""")
 def extractive_summary(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return SM.summarise(docs, "doc_id", "text")

@@ -58,3 +58,26 @@ scored AS (SELECT k.cluster, k.term, k.tf, k.tf / t.class_total * ln(1 + avgt.a
            FROM kept k JOIN totals t USING (cluster), avgt),
 ranked AS (SELECT cluster, CAST(row_number() OVER (PARTITION BY cluster ORDER BY score DESC, term) AS INTEGER) AS rank,
            term, score FROM scored QUALIFY rank <= {n})"""
+
+
+def encoder_ctes(name: str, src: str, key: str, text: str, dim: int = 64) -> str:
+    """CTE ``name`` (key, v): the offline encoder's vector of each row of
+    ``src``, from scratch: MD5 slots of words and word pairs, normalised."""
+    return f"""{name}_tok AS (SELECT {key}, regexp_extract_all(lower(coalesce({text}, '')), '\\p{{L}}+|\\p{{N}}+') AS tok FROM {src}),
+{name}_feat AS (SELECT {key}, unnest(list_concat(tok, list_transform(range(1, len(tok)), lambda i: tok[i] || ' ' || tok[i + 1]))) AS f FROM {name}_tok),
+{name}_slot AS (SELECT {key}, CAST('0x' || substr(md5(f), 1, 8) AS BIGINT) % {2 * dim} AS h FROM {name}_feat),
+{name}_sum AS (SELECT {key}, h % {dim} AS d, CAST(sum(CASE WHEN h < {dim} THEN 1 ELSE -1 END) AS DOUBLE) AS x FROM {name}_slot GROUP BY ALL),
+{name}_map AS (SELECT {key}, map(list(d), list(x)) AS m, sqrt(sum(x * x)) AS n FROM {name}_sum GROUP BY {key}),
+{name} AS (SELECT s.{key}, CASE WHEN coalesce(n, 0) = 0 THEN list_transform(range({dim}), lambda d: 0.0::DOUBLE)
+  ELSE list_transform(range({dim}), lambda d: coalesce(m[d], 0.0) / n) END AS v FROM {src} s LEFT JOIN {name}_map USING ({key}))"""
+
+
+def cosine(a: str, b: str) -> str:
+    """Cosine of two list columns, 0 for zero vectors, to 9 decimals."""
+    return (f"round(CASE WHEN list_inner_product({a}, {a}) * list_inner_product({b}, {b}) > 0 "
+            f"THEN list_cosine_similarity({a}, {b}) ELSE 0.0 END, 9)")
+
+
+def mean_vector(v: str, dim: int = 64) -> str:
+    """Element-wise mean of a group's list columns."""
+    return "[" + ", ".join(f"avg({v}[{i + 1}])" for i in range(dim)) + "]"
