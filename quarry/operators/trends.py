@@ -2,11 +2,11 @@
 
 ``term_occurrences`` counts, for every document, the non-overlapping
 occurrences of every topic term in the lower-cased raw text (Python
-``str.count`` semantics, matches may cross word boundaries).  The term set
-is bounded (top-n terms per topic) and size-checked; it is compiled once per
-task into an Aho-Corasick automaton, so one pass over each text finds all
-terms: linear in text size, no documents x terms cross product.  Term sets
-beyond the bound are processed in chunks.
+``str.count`` semantics, matches may cross word boundaries).  The terms
+(top-n per topic) become one trie-shaped pattern per ``TERMS_PER_PASS``
+terms; a look-ahead with it finds the longest term at every place of a text
+in one pass of the JVM's regex, and a small table adds the terms that are
+its prefixes.  No documents x terms product, no Python.
 
 Documents are counted one by one and summed, instead of matching in one
 concatenated string per year; a match spanning two documents is therefore
@@ -15,76 +15,63 @@ not counted (documented deviation).
 
 from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quarry.functions.text import word_alternation
+
 # Fixed values of the reference's trend figures.
 GLOBAL_YEARS = (2015, 2025)
 CLUSTER_YEARS = (2020, 2025)
 TOP_N_TERMS = 20
-MAX_TERMS_PER_PASS = 50_000
-MAX_TERMS = 2_000_000
-
-
-def _automaton(terms: tuple[str, ...]):
-    import ahocorasick
-
-    a = ahocorasick.Automaton()
-    for i, t in enumerate(terms):
-        a.add_word(t, (i, len(t)))
-    a.make_automaton()
-    return a
-
-
-def _count_batches(bc_terms):
-    def run(batches):
-        terms = bc_terms.value
-        auto = _automaton(terms) if terms else None
-        for pdf in batches:
-            ids, hit_terms, counts = [], [], []
-            if auto is not None:
-                for doc_id, text in zip(pdf["doc_id"].to_numpy(), pdf["text"].tolist()):
-                    if not text:
-                        continue
-                    nxt: dict[int, int] = {}
-                    cnt: dict[int, int] = {}
-                    for end, (ti, ln) in auto.iter(text):
-                        start = end - ln + 1
-                        if start >= nxt.get(ti, 0):
-                            cnt[ti] = cnt.get(ti, 0) + 1
-                            nxt[ti] = end + 1
-                    for ti, c in cnt.items():
-                        ids.append(int(doc_id))
-                        hit_terms.append(terms[ti])
-                        counts.append(c)
-            yield pd.DataFrame({"doc_id": pd.Series(ids, dtype="int64"),
-                                "term": pd.Series(hit_terms, dtype="object"),
-                                "n": pd.Series(counts, dtype="int64")})
-    return run
+TERMS_PER_PASS = 20_000
+
+
+def _prefix_pairs(terms: list[str]) -> list[tuple[str, str]]:
+    """(longest, term): every term that begins at a place where ``longest``
+    does, itself included."""
+    known = set(terms)
+    return [(t, t[:n]) for t in terms for n in range(1, len(t) + 1) if t[:n] in known]
 
 
 def term_occurrences(docs: DataFrame, terms: DataFrame, id_col: str = "doc_id",
                      text_col: str = "abstract", term_col: str = "term") -> DataFrame:
-    """F14 for a term table: (doc_id, term, n) for every n > 0."""
-    distinct = terms.select(term_col).where(
-        F.col(term_col).isNotNull() & (F.length(term_col) > 0)).distinct()
-    # the term table is top-n terms per topic: bounded, and checked here
-    rows = distinct.limit(MAX_TERMS + 1).collect()
-    if len(rows) > MAX_TERMS:
-        raise ValueError(f"more than {MAX_TERMS} distinct terms; pass a top-n term table")
-    term_list = sorted(r[0] for r in rows)
-    src = docs.select(F.col(id_col).cast("long").alias("doc_id"),
-                      F.lower(F.col(text_col)).alias("text"))
-    out = None
-    for i in range(0, max(len(term_list), 1), MAX_TERMS_PER_PASS):
-        chunk = tuple(term_list[i:i + MAX_TERMS_PER_PASS])
-        bc = docs.sparkSession.sparkContext.broadcast(chunk)
-        part = src.mapInPandas(_count_batches(bc), "doc_id long, term string, n long")
-        out = part if out is None else out.unionByName(part)
+    """F14 for a term table: (doc_id, term, n) for every n > 0.  ``terms``
+    (top-n terms per topic) reach the driver to become patterns."""
+    rows = terms.select(term_col).where(F.length(term_col) > 0).distinct().collect()
+    listed = sorted(r[0] for r in rows)
+    text = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.lower(F.col(text_col)).alias("text"))
+    parts = [_occurrences(text, listed[i:i + TERMS_PER_PASS]) for i in range(0, max(len(listed), 1), TERMS_PER_PASS)]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
     return out
 
 
+def _occurrences(text: DataFrame, terms: list[str]) -> DataFrame:
+    if not terms:
+        return text.limit(0).select("doc_id", F.lit("").alias("term"), F.lit(0).cast("long").alias("n"))
+    any_term = word_alternation(terms)
+    # hits: the longest term at every place where one begins; the text cut
+    # at those places gives the distance from each to the next
+    cut = text.select("doc_id", F.regexp_extract_all("text", F.lit(f"(?=({any_term}))"), F.lit(1)).alias("hits"),
+                      F.split("text", f"(?={any_term})", -1).alias("pieces"))
+    lead = F.size("pieces") - F.size("hits")  # 0 if a term begins the text
+    ahead = F.transform("hits", lambda h, i: F.struct(
+        h.alias("longest"), F.coalesce(F.length(F.get("pieces", i + lead - 1)), F.lit(0)).alias("gap")))
+    placed = cut.select("doc_id", F.posexplode(ahead).alias("i", "h")).select(
+        "doc_id", F.col("h.longest").alias("longest"),
+        F.sum("h.gap").over(Window.partitionBy("doc_id").orderBy("i")).alias("at"))
+    pairs = text.sparkSession.createDataFrame(_prefix_pairs(terms), "longest string, term string")
+    each = placed.join(pairs, "longest").groupBy("doc_id", "term").agg(F.sort_array(F.collect_list("at")).alias("at"))
+    # from left to right, a match counts if it begins after the last one counted
+    counted = F.aggregate(
+        "at", F.struct(F.lit(0).cast("long").alias("free"), F.lit(0).cast("long").alias("n")),
+        lambda acc, p: F.when(p >= acc["free"], F.struct((p + F.length("term")).alias("free"), (acc["n"] + 1).alias("n")))
+        .otherwise(acc))
+    return each.select("doc_id", "term", counted["n"].alias("n"))
+
+
 def year_axis(lo: int, hi: int):
     return F.explode(F.sequence(F.lit(lo), F.lit(hi))).alias("year")
 
@@ -93,7 +80,6 @@ def top_terms_global(occ: DataFrame, n: int = TOP_N_TERMS) -> DataFrame:
     """(rank, term, n) of the n most frequent terms (ties: term asc)."""
     tot = occ.groupBy("term").agg(F.sum("n").alias("n"))
     top = tot.orderBy(F.desc("n"), F.asc("term")).limit(n)
-    from pyspark.sql import Window
     w = Window.orderBy(F.desc("n"), F.asc("term"))
     return top.select(F.row_number().over(w).cast("int").alias("rank"), "term", "n")
 

@@ -27,3 +27,13 @@ def test_occurrences_equal_str_count(spark):
     kept = {(r.cluster, r.term) for r in by}
     assert kept == {(0, "plastic waste"), (0, "here")}
     assert all(len([r for r in by if (r.cluster, r.term) == k]) == 5 for k in kept)
+
+
+def test_overlaps_prefixes_and_special_characters(spark):
+    terms = ["a", "ab", "aba", "abab", "b a", "c++ code", "(x)", "waste"]
+    texts = ["abababab", "aab a ba", "c++ code (x)(x) c++ code", "ab", "wastewaste b a b a", "é aba é"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, abstract string")
+    got = {(r.doc_id, r.term): r.n for r in TR.term_occurrences(
+        docs, spark.createDataFrame([(t,) for t in terms + [None, ""]], "term string")).collect()}
+    assert got == {(i, t): x.count(t) for i, x in enumerate(texts) for t in terms if x.count(t)}
+    assert TR.term_occurrences(docs, spark.createDataFrame([], "term string")).collect() == []
