@@ -66,26 +66,26 @@ def fallback_join(left: DataFrame, right: DataFrame, left_id: str, right_id: str
     title+abstract key (lowest ``right_id`` wins); rows matched by neither
     are dropped.  Output: (left_id, matched_id, matched_by).
 
-    The key side is reduced to one row per key before the join (map-side
-    min), so a hot key cannot fan out, and AQE splits a skewed left side."""
+    Keys are whole texts, so they are grouped and joined by their SHA-256
+    digest, and only for rows that the DOI did not match.  The right sides
+    are reduced to one row per key before the joins (map-side min), so a hot
+    key cannot fan out."""
     r_doi = (right.where(F.col(doi_col).isNotNull())
              .groupBy(doi_col).agg(F.min(right_id).alias("doi_match")))
-    # Keys are whole normalised texts: the shuffles use their SHA-256
-    # digest, and the full key is still compared on digest matches, so the
-    # join stays exact.
-    r_key = (right.select(T.join_key(title_col, abstract_col).alias("_rk"), right_id)
-             .where(F.col("_rk").isNotNull())
-             .groupBy("_rk").agg(F.min(right_id).alias("key_match"))
-             .withColumn("_rh", F.sha2("_rk", 256)))
-    l = (left.select(left_id, doi_col, T.join_key(title_col, abstract_col).alias("_k"))
-         .withColumn("_h", F.sha2("_k", 256)))
-    both = (l.join(r_doi, doi_col, "left")
-            .join(r_key, (F.col("_h") == F.col("_rh")) & (F.col("_k") == F.col("_rk")), "left"))
-    return (both.where(F.col("doi_match").isNotNull() | F.col("key_match").isNotNull())
-            .select(left_id,
-                    F.coalesce("doi_match", "key_match").alias("matched_id"),
-                    F.when(F.col("doi_match").isNotNull(), F.lit("doi")).otherwise(F.lit("key"))
-                    .alias("matched_by")))
+    key = F.sha2(T.join_key(title_col, abstract_col), 256)
+    r_key = (right.select(key.alias("_h"), right_id).where(F.col("_h").isNotNull())
+             .groupBy("_h").agg(F.min(right_id).alias("key_match")))
+    by_doi = left.select(left_id, doi_col, key.alias("_h")).join(r_doi, doi_col, "left")
+    matched = by_doi.where(F.col("doi_match").isNotNull()).select(
+        left_id, F.col("doi_match").alias("matched_id"), F.lit("doi").alias("matched_by"))
+    missed = by_doi.where(F.col("doi_match").isNull()).select(left_id, "_h").join(r_key, "_h").select(
+        left_id, F.col("key_match").alias("matched_id"), F.lit("key").alias("matched_by"))
+    return matched.unionByName(missed)
+
+
+def attach(ranked: DataFrame, details: DataFrame, left_id: str, right_id: str, columns: list[str]) -> DataFrame:
+    """The ranked rows with ``columns`` (vector, metadata) of their match."""
+    return ranked.join(details.select(F.col(right_id).alias(left_id), *columns), left_id)
 
 
 def dense_index(df: DataFrame, order_col, name: str = "idx") -> DataFrame:

@@ -116,12 +116,9 @@ def neighbours_wide(long: DataFrame, k: int = TOP_K) -> DataFrame:
 # --------------------------------------------------------------------------
 
 def centroids_long(df: DataFrame, group_col: str = "cluster", vec_col: str = "embedding") -> DataFrame:
-    """A4 in long form: (group, dim, value) = element-wise mean per group.
-
-    ``posexplode`` + hash aggregate: partial sums are combined map-side, so
-    a hot group costs one row per dimension per task, not one per vector."""
-    return (df.select(group_col, F.posexplode(vec_col).alias("dim", "v"))
-            .groupBy(group_col, "dim").agg(F.avg("v").alias("value")))
+    """A4 in long form: (group, dim, value) = element-wise mean per group,
+    one row per group and dimension of the finished centroids."""
+    return centroids(df, group_col, vec_col).select(group_col, F.posexplode("centroid").alias("dim", "value"))
 
 
 def centroids(df: DataFrame, group_col: str = "cluster", vec_col: str = "embedding") -> DataFrame:

@@ -14,6 +14,7 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quarry.session import reliable_checkpoint
 # Fixed values of the reference's similarity audit and map axes.
 HIST_BINS = 50
 FIXED_HIST_BINS = 100
@@ -40,6 +41,9 @@ def histogram(df: DataFrame, col: str, bins: int = HIST_BINS,
     Right edge of the last bin is closed; values outside are dropped; every
     bin is reported, empty ones with 0.  Output (bin, lo_edge, hi_edge, n)."""
     v = F.col(col).cast("double")
+    if lo is None or hi is None:
+        # read for the range and for the counts: computed once
+        df = reliable_checkpoint(df.select(col))
     lo_c = F.lit(float(lo)) if lo is not None else df.select(F.min(v)).scalar()
     hi_c = F.lit(float(hi)) if hi is not None else df.select(F.max(v)).scalar()
     width = (hi_c - lo_c) / bins

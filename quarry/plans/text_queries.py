@@ -234,3 +234,40 @@ def postprocess_summary(spark, sf_dir):
     """F8 on every document, then F7 (oracle as for F7)."""
     d = table(spark, sf_dir, "documents")
     return d.select("doc_id", T.postprocess_summary("text").alias("clean"))
+
+
+_DIGEST_SQL = ("count(*) AS n_docs, CAST(sum(length(abstract)) + count(*) - 1 AS BIGINT) AS n_chars, "
+               "CAST(sum(CAST('0x' || substr(md5(abstract), 1, 8) AS BIGINT)) AS BIGINT) AS digest")
+
+
+@register("cluster_texts", f"""WITH {Q.corpus_cte()}
+SELECT 'cluster' AS by, cluster AS key, {_DIGEST_SQL} FROM corpus GROUP BY cluster
+UNION ALL SELECT 'year', year, {_DIGEST_SQL} FROM corpus GROUP BY year""")
+def cluster_texts(spark, sf_dir):
+    """A1 over all documents of each cluster and of each year: what their
+    joined text holds (documents, characters with the blanks between, and a
+    digest that no order changes), without building it."""
+    c = corpus(spark, sf_dir)
+    number = F.conv(F.substring(F.md5("abstract"), 1, 8), 16, 10).cast("long")
+
+    def by(column: str):
+        return c.groupBy(F.lit(column).alias("by"), F.col(column).alias("key")).agg(
+            F.count(F.lit(1)).alias("n_docs"),
+            (F.sum(F.length("abstract")) + F.count(F.lit(1)) - 1).cast("long").alias("n_chars"),
+            F.sum(number).alias("digest"))
+
+    return by("cluster").unionByName(by("year"))
+
+
+@register("lemmatised_docs", f"""WITH toks AS (
+  SELECT doc_id, unnest(t) AS form, unnest(range(1, len(t) + 1)) AS i FROM (
+    SELECT doc_id, string_split({Q.preprocess('text')}, ' ') AS t FROM documents)),
+table_ AS (SELECT lower(n_name) AS form, 'nation' AS lemma FROM nation),
+rule AS (SELECT doc_id, i, coalesce(l.lemma, {Q.plural_sql('t.form')}) AS lemma FROM toks t LEFT JOIN table_ l ON l.form = t.form)
+SELECT doc_id, string_agg(lemma, ' ' ORDER BY i) AS doc FROM rule GROUP BY doc_id""")
+def lemmatised_docs(spark, sf_dir):
+    """F2 with F3: normalised documents, lemmas from a table (here the
+    nations' names), else by the plural rule."""
+    lemmas = table(spark, sf_dir, "nation").select(F.lower("n_name").alias("form"), F.lit("nation").alias("lemma"))
+    toks = table(spark, sf_dir, "documents").select("doc_id", F.split(T.preprocess("text"), " ").alias("tok"))
+    return TM.lemmatise(toks, "tok", lemmas).select("doc_id", F.array_join("tok", " ").alias("doc"))

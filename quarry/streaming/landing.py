@@ -3,14 +3,16 @@
 The reference processes index ranges as separate batch jobs, each writing
 its own file, and de-duplicates when combining.  Here new landed Parquet
 files are picked up by a file-source stream (``trigger(availableNow)``, the
-checkpoint is the resume point), and de-duplication on (doi, title) is
-streaming state, so a record seen in an earlier batch is never emitted
-again.
+checkpoint is the resume point), and every batch is de-duplicated on (doi,
+title) and merged into the target, so a record seen in an earlier batch is
+never emitted again.
 """
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 LINK_SCHEMA = "title string, pub_name string, doi string, link string"
 
@@ -21,23 +23,37 @@ def landed_links(spark: SparkSession, landing: str, schema: str = LINK_SCHEMA) -
             .parquet(landing))
 
 
-def dedupe_links(stream: DataFrame, keys=("doi", "title")) -> DataFrame:
-    """Drop rows missing a key, then keep the first row per key across
-    all batches (state lives in the query checkpoint)."""
-    return stream.dropna("any", subset=list(keys)).dropDuplicates(list(keys))
+def first_links(links: DataFrame, keys=("doi", "title")) -> DataFrame:
+    """Rows that have all keys, one per key: the one with the smallest other
+    columns, whatever order they arrive in (map-side ``min``)."""
+    others = [c for c in links.columns if c not in keys]
+    return (links.dropna("any", subset=list(keys)).groupBy(*keys)
+            .agg(F.min(F.struct(*others)).alias("_r")).select(*keys, "_r.*").select(*links.columns))
 
 
-def land_once(spark: SparkSession, landing: str, target: str, checkpoint: str,
-              schema: str = LINK_SCHEMA) -> None:
-    """Process everything landed so far, append new unique rows, stop."""
-    q = (dedupe_links(landed_links(spark, landing, schema))
-         .writeStream.format("parquet").option("path", target)
-         .option("checkpointLocation", checkpoint)
-         .outputMode("append").trigger(availableNow=True).start())
-    q.awaitTermination()
+def merge_batch_into(target_df: DataFrame, batch: DataFrame, keys=("doi", "title")) -> DataFrame:
+    """The first row of each key of a batch that the target does not have."""
+    return first_links(batch, keys).join(target_df.select(*keys), list(keys), "left_anti").select(*batch.columns)
 
 
-def merge_batch_into(target_df: DataFrame, batch: DataFrame, keys=("doi", "title")) -> DataFrame:
-    """``foreachBatch`` helper: rows of a batch not yet in the target."""
-    k = list(keys)
-    return batch.dropna("any", subset=k).dropDuplicates(k).join(target_df.select(*k), k, "left_anti")
+def land_once(spark: SparkSession, landing: str, target: str, checkpoint: str,
+              schema: str = LINK_SCHEMA, keys=("doi", "title")) -> None:
+    """Process everything landed so far, add rows with new keys, stop.
+
+    The target itself is what earlier batches are known by, so the stream
+    keeps no growing state.  A batch writes its own folder below the target,
+    over again if it is run again after a failure."""
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        folder = f"{target.rstrip('/')}/batch={batch_id}"
+        try:
+            known = spark.read.schema(schema).parquet(target).where(F.col("batch") != batch_id)
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
+            known = batch.limit(0)
+        merge_batch_into(known, batch, keys).write.mode("overwrite").parquet(folder)
+
+    q = (landed_links(spark, landing, schema).writeStream.foreachBatch(write)
+         .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
+    q.awaitTermination()

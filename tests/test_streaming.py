@@ -17,8 +17,10 @@ def test_land_twice_dedupes_across_batches(spark, tmpdir_path):
     b2 = spark.createDataFrame([("T1", "J", "d1", "again"), ("T3", "J", "d3", "l3")], L.LINK_SCHEMA)
     b2.write.mode("append").parquet(land)
     L.land_once(spark, land, target, ck)
-    got = sorted((r.doi, r.title) for r in spark.read.parquet(target).collect())
-    assert got == [("d1", "T1"), ("d3", "T3")]
+    got = sorted((r.doi, r.title, r.link) for r in spark.read.parquet(target).collect())
+    assert got == [("d1", "T1", "l1"), ("d3", "T3", "l3")]
+    L.land_once(spark, land, target, ck)  # nothing new
+    assert spark.read.parquet(target).count() == 2
 
 
 def test_merge_batch_into_skips_known_keys(spark):
