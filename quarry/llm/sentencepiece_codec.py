@@ -43,6 +43,7 @@ from quarry.llm.common import whole_text
 MODEL = "piece_bpe_32k.model"
 MARKER = "▁"
 UNKNOWN_PENALTY = 10.0
+NEVER = float("-inf")
 MEMO_SEGMENTS = 500_000
 MEMO_CHARS = 48
 SEGMENT = re.compile(f"{MARKER}+[^{MARKER}]*|[^{MARKER}]+")
@@ -74,13 +75,14 @@ class DoubleArray:
             self.value[place] = ends.get(node, -1)
             kids = children.get(node)
             if not kids:
-                self.base[place] = -1000  # no byte leads on
-                continue
+                continue  # base 0: no place there has this node as its parent
             codes = sorted(kids)
             while taken[free]:
                 free += 1
             wide = max(wide, free)
-            at = (free if len(codes) == 1 else wide) - codes[0]  # may be negative
+            # may be below 0: a byte that leads nowhere then reads from the
+            # array's end, where no place has this early node as its parent
+            at = (free if len(codes) == 1 else wide) - codes[0]
             while any(taken[at + c] for c in codes):
                 at += 1
                 if at + 256 >= len(taken):
@@ -143,48 +145,46 @@ class Encoder(dict):
     def __init__(self, vocabulary: Vocabulary):
         super().__init__()
         self.v = vocabulary
-        self.base, self.check, self.value = (list(a) for a in (
-            vocabulary.trie.base, vocabulary.trie.check, vocabulary.trie.value))
-        self.score = list(vocabulary.score)
+        trie = vocabulary.trie
+        self.base, self.check, self.value = list(trie.base), list(trie.check), list(trie.value)
+        # what a path gains at a node: its piece's score, nothing reachable otherwise
+        self.gain = [vocabulary.score[k] if k >= 0 else NEVER for k in self.value]
+        pieces = (vocabulary.bytes_of[k] for k in self.value if k >= 0)
+        self.alone = {p for p in pieces if len(p.decode("utf-8")) == 1}
 
     def viterbi(self, segment: str) -> array:
-        base, check, value, score, unknown = self.base, self.check, self.value, self.score, self.v.unknown
+        base, check, gain, alone = self.base, self.check, self.gain, self.alone
         s = segment.encode()
         n = len(s)
-        best: list[float | None] = [None] * (n + 1)
+        best = [NEVER] * (n + 1)
         best[0] = 0.0
-        back = [0] * (n + 1)
-        piece = [-1] * (n + 1)
+        back = [0] * (n + 1)  # where the last piece of the best path begins
+        node_of = [0] * (n + 1)  # and its node, 0 for an unknown character
         for i in range(n):
             so_far = best[i]
-            if so_far is None:  # inside a character
+            if so_far == NEVER:  # inside a character
                 continue
-            c = s[i]
-            step = i + (1 if c < 0x80 else 2 if c < 0xE0 else 3 if c < 0xF0 else 4)
-            node, j, alone = 0, i, False
-            while j < n:
+            node = 0
+            for j in range(i, n):
                 to = base[node] + s[j]
-                if to < 0 or check[to] != node:
+                if check[to] != node:
                     break
                 node = to
-                j += 1
-                k = value[node]
-                if k >= 0:
-                    if j == step:
-                        alone = True
-                    at = so_far + score[k]
-                    if best[j] is None or at > best[j]:
-                        best[j], back[j], piece[j] = at, i, k
-            if not alone:
-                at = so_far + unknown
-                if best[step] is None or at > best[step]:
-                    best[step], back[step], piece[step] = at, i, -1
+                at = so_far + gain[to]
+                if at > best[j + 1]:
+                    best[j + 1] = at
+                    back[j + 1] = i
+                    node_of[j + 1] = to
+            c = s[i]
+            end = i + (1 if c < 0x80 else 2 if c < 0xE0 else 3 if c < 0xF0 else 4)
+            if s[i:end] not in alone and so_far + self.v.unknown > best[end]:
+                best[end], back[end], node_of[end] = so_far + self.v.unknown, i, 0
         ids: list[int] = []
         j = n
         while j > 0:
             i = back[j]
-            if piece[j] >= 0:
-                ids.append(piece[j])
+            if node_of[j]:
+                ids.append(self.value[node_of[j]])
             else:
                 ids.extend(self.v.byte_id[b] for b in reversed(s[i:j]))
             j = i

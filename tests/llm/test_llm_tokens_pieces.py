@@ -44,7 +44,7 @@ def test_double_array_finds_its_keys_and_no_others():
         node = 0
         for c in s:
             to = d.base[node] + c
-            if to < 0 or to >= len(d.check) or d.check[to] != node:
+            if d.check[to] != node:
                 return -1
             node = to
         return d.value[node]
