@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.operators import blocks
+from quarry.session import reliable_checkpoint
 
 # Fixed values of the reference.
 TOP_K = 10
@@ -22,8 +23,7 @@ SIM_EPS = 1e-10            # cosine denominator guard in the neighbour audit
 CENTROID_THRESHOLD = 0.5   # strict '>' filter on cosine to the centroid
 TOP_DOCS = 100             # members / representatives kept per topic
 SIM_DECIMALS = 6           # similarities are compared and reported rounded
-MAX_CENTROIDS = 100_000    # size bound (rows) for broadcasting centroids
-MAX_CENTROID_BYTES = 64 << 20
+CENTROID_BLOCK_BYTES = 32 << 20  # centroids that are broadcast at once
 
 
 def cosine(a, b, eps: float = 0.0) -> Column:
@@ -43,23 +43,23 @@ def cosine(a, b, eps: float = 0.0) -> Column:
 # --------------------------------------------------------------------------
 
 def _local_topk(sim: np.ndarray, row_ids: np.ndarray, col_ids: np.ndarray, k: int):
-    """Per row, the k best columns by (rounded sim desc, id asc)."""
+    """Per row, the k best columns by (rounded sim desc, id asc).
+
+    Rounded similarity and id order make one integer key per cell, so one
+    partition and one sort of k columns serve all rows at once."""
     if sim.size == 0:
-        return [], [], []
-    rounded = np.round(sim, SIM_DECIMALS)
-    kk = min(k, sim.shape[1])
-    # Threshold per row = k-th largest rounded value; keep every tie of it.
-    kth = -np.partition(-rounded, kk - 1, axis=1)[:, kk - 1]
-    out_r, out_c, out_s = [], [], []
-    for r in range(sim.shape[0]):
-        cand = np.nonzero(rounded[r] >= kth[r])[0]
-        cand = cand[np.isfinite(rounded[r, cand])]
-        order = np.lexsort((col_ids[cand], -rounded[r, cand]))[:kk]
-        pick = cand[order]
-        out_r.extend([row_ids[r]] * len(pick))
-        out_c.extend(col_ids[pick].tolist())
-        out_s.extend(sim[r, pick].tolist())
-    return out_r, out_c, out_s
+        return [np.zeros(0, np.int64)] * 2 + [np.zeros(0)]
+    m = sim.shape[1]
+    kk = min(k, m)
+    place = np.empty(m, np.int64)
+    place[np.argsort(col_ids, kind="stable")] = np.arange(m)
+    known = np.isfinite(sim)
+    key = np.where(known, np.rint(np.where(known, sim, 0.0) * 10 ** SIM_DECIMALS).astype(np.int64) * m - place,
+                   np.iinfo(np.int64).min + 1)
+    top = np.argpartition(-key, kk - 1, axis=1)[:, :kk]
+    top = np.take_along_axis(top, np.argsort(-np.take_along_axis(key, top, 1), axis=1), 1)
+    keep = np.take_along_axis(known, top, 1).ravel()
+    return [np.repeat(row_ids, kk)[keep], col_ids[top].ravel()[keep], np.take_along_axis(sim, top, 1).ravel()[keep]]
 
 
 def top_k_similar(vectors: DataFrame, k: int = TOP_K, id_col: str = "id",
@@ -84,13 +84,9 @@ def top_k_similar(vectors: DataFrame, k: int = TOP_K, id_col: str = "id",
         sim = (a @ b.T) / (np.outer(na, nb) + eps)
         if same:
             sim[ia[:, None] == ib[None, :]] = -np.inf
-        r1, c1, s1 = _local_topk(sim, ia, ib, k)
-        if not same:
-            r2, c2, s2 = _local_topk(sim.T, ib, ia, k)
-            r1, c1, s1 = r1 + r2, c1 + c2, s1 + s2
-        return pd.DataFrame({"doc_id": np.asarray(r1, dtype=np.int64),
-                             "nbr_id": np.asarray(c1, dtype=np.int64),
-                             "sim": np.asarray(s1, dtype=np.float64)})
+        parts = [_local_topk(sim, ia, ib, k)] + ([] if same else [_local_topk(sim.T, ib, ia, k)])
+        doc, nbr, score = (np.concatenate(x) for x in zip(*parts))
+        return pd.DataFrame({"doc_id": doc.astype(np.int64), "nbr_id": nbr.astype(np.int64), "sim": score})
 
     cand = blocks.run_pairs(src, "id", n_blk, kernel, "doc_id long, nbr_id long, sim double")
     w = Window.partitionBy("doc_id").orderBy(F.desc(F.round("sim", SIM_DECIMALS)), F.asc("nbr_id"))
@@ -136,17 +132,20 @@ def centroids(df: DataFrame, group_col: str = "cluster", vec_col: str = "embeddi
             .select(group_col, vector_to_array("_m").alias("centroid"), "n"))
 
 
-def _collect_centroids(cents: DataFrame, group_col: str):
-    """Bring the (bounded) centroid table to the driver, checking its size
-    in rows and bytes, and broadcast it once per executor."""
-    rows = cents.select(group_col, "centroid").limit(MAX_CENTROIDS + 1).collect()
-    if len(rows) > MAX_CENTROIDS:
-        raise ValueError(f"more than {MAX_CENTROIDS} centroids; use a join-based plan")
-    ids = np.array([r[0] for r in rows], dtype=np.int64)
-    mat = np.array([r[1] for r in rows], dtype=np.float64) if rows else np.zeros((0, 0))
-    if mat.nbytes > MAX_CENTROID_BYTES:
-        raise ValueError(f"centroid matrix of {mat.nbytes} bytes exceeds {MAX_CENTROID_BYTES}")
-    return cents.sparkSession.sparkContext.broadcast((ids, mat))
+def _centroid_blocks(cents: DataFrame, group_col: str) -> list:
+    """The centroid matrix in blocks of about ``CENTROID_BLOCK_BYTES``, each
+    collected and broadcast by itself: one block for any usual number of
+    topics, more for more."""
+    cents = reliable_checkpoint(cents.select(group_col, "centroid"))
+    size = cents.agg(F.count(F.lit(1)).alias("k"), F.max(F.size("centroid")).alias("d")).first()
+    n = max(1, -(-size["k"] * (size["d"] or 0) * 8 // CENTROID_BLOCK_BYTES))
+    out = []
+    for b in range(n):
+        rows = cents.where(F.pmod(F.xxhash64(group_col), F.lit(n)) == b).collect()
+        ids = np.array([r[0] for r in rows], dtype=np.int64)
+        mat = np.array([r[1] for r in rows], dtype=np.float64) if rows else np.zeros((0, 0))
+        out.append(cents.sparkSession.sparkContext.broadcast((ids, mat)))
+    return out
 
 
 def doc_centroid_cosine(docs: DataFrame, cents: DataFrame, group_col: str = "cluster",
@@ -154,11 +153,24 @@ def doc_centroid_cosine(docs: DataFrame, cents: DataFrame, group_col: str = "clu
                         best_only: bool = False) -> DataFrame:
     """Cosine of every document to every centroid: (doc_id, topic, sim).
 
-    The centroid matrix is k x D (k topics), size-checked and broadcast;
-    each Arrow batch of documents is one GEMM.  ``best_only`` keeps only the
-    nearest topic per document (J10) without any shuffle."""
-    bc = _collect_centroids(cents, group_col)
-
+    The centroid matrix is k x D (k topics), broadcast in blocks of bounded
+    size; each Arrow batch of documents is one GEMM per block.
+    ``best_only`` keeps only the nearest topic per document (J10), without
+    any shuffle while one block holds all centroids."""
+    src = docs.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).alias("vec"))
+    parts = [src.mapInPandas(_against(bc, best_only), "doc_id long, topic int, sim double")
+             for bc in _centroid_blocks(cents, group_col)]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    if best_only and len(parts) > 1:
+        best = F.max_by(F.struct("topic", "sim"), F.struct(F.round("sim", SIM_DECIMALS), -F.col("topic")))
+        out = out.groupBy("doc_id").agg(best.alias("b")).select("doc_id", "b.topic", "b.sim")
+    return out
+
+
+def _against(bc, best_only: bool):
+    """The batch function that scores vectors against one centroid block."""
     def score(batches):
         ids, mat = bc.value
         cn = np.linalg.norm(mat, axis=1) if mat.size else np.zeros(0)
@@ -186,8 +198,7 @@ def doc_centroid_cosine(docs: DataFrame, cents: DataFrame, group_col: str = "clu
                 "sim": sim.reshape(-1),
             })
 
-    src = docs.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).alias("vec"))
-    return src.mapInPandas(score, "doc_id long, topic int, sim double")
+    return score
 
 
 def nearest_topic(sims: DataFrame) -> DataFrame:

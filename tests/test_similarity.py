@@ -77,3 +77,17 @@ def test_top_members_rank_and_ties(spark):
     df = spark.createDataFrame(rows, "doc_id long, cluster int, s double")
     got = [(r.rank, r.doc_id) for r in S.top_members(df, "s", 3).orderBy("rank").collect()]
     assert got == [(1, 9), (2, 0), (3, 1)]
+
+
+def test_centroid_blocks_give_the_same_scores(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    docs = spark.createDataFrame([(i, rng.normal(size=8).tolist()) for i in range(60)], "doc_id long, embedding array<double>")
+    cents = spark.createDataFrame([(t, rng.normal(size=8).tolist()) for t in range(17)], "cluster int, centroid array<double>")
+
+    def scores(best):
+        return sorted((r.doc_id, r.topic, round(r.sim, 9)) for r in S.doc_centroid_cosine(docs, cents, best_only=best).collect())
+
+    one = {best: scores(best) for best in (False, True)}
+    monkeypatch.setattr(S, "CENTROID_BLOCK_BYTES", 256)
+    assert {best: scores(best) for best in (False, True)} == one
+    assert len(one[False]) == 60 * 17 and len(one[True]) == 60
