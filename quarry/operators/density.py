@@ -37,13 +37,9 @@ def _pairwise_dist(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum(sq, 0.0))
 
 
-def core_distances(points: DataFrame, min_samples: int, n_rows: int,
-                   block_rows: int = blocks.DEFAULT_BLOCK_ROWS) -> DataFrame:
-    """(id, core): distance to the min_samples-th nearest point (self first)."""
-    k = max(min_samples - 1, 0)
-    ids = points.select("id")
-    if k == 0:
-        return ids.withColumn("core", F.lit(0.0))
+def nearest_distances(points: DataFrame, k: int, n_rows: int,
+                      block_rows: int = blocks.DEFAULT_BLOCK_ROWS) -> DataFrame:
+    """(id, near): ascending distances to the k nearest other points."""
     n_blk = blocks.n_blocks(n_rows, block_rows)
 
     def kernel(left: pd.DataFrame, right: pd.DataFrame, same: bool) -> pd.DataFrame:
@@ -67,11 +63,24 @@ def core_distances(points: DataFrame, min_samples: int, n_rows: int,
 
     cand = blocks.run_pairs(points, "id", n_blk, kernel, "id long, d double")
     w = Window.partitionBy("id").orderBy("d")
-    kth = (cand.withColumn("r", F.row_number().over(w)).where(F.col("r") <= k)
-           .groupBy("id").agg(F.max("d").alias("core"), F.count(F.lit(1)).alias("nn")))
-    # fewer than k other points in total: no core distance (never core)
-    return ids.join(kth, "id", "left").select(
-        "id", F.when(F.col("nn") >= k, F.col("core")).alias("core"))
+    return (cand.withColumn("r", F.row_number().over(w)).where(F.col("r") <= k)
+            .groupBy("id").agg(F.sort_array(F.collect_list("d")).alias("near")))
+
+
+def core_from(ids: DataFrame, near: DataFrame, min_samples: int) -> DataFrame:
+    """(id, core): distance to the min_samples-th nearest point, the point
+    itself first; null (never core) with fewer other points."""
+    k = max(min_samples - 1, 0)
+    if k == 0:
+        return ids.select("id", F.lit(0.0).alias("core"))
+    return ids.select("id").join(near, "id", "left").select("id", F.get("near", F.lit(k - 1)).alias("core"))
+
+
+def core_distances(points: DataFrame, min_samples: int, n_rows: int,
+                   block_rows: int = blocks.DEFAULT_BLOCK_ROWS) -> DataFrame:
+    """(id, core): distance to the min_samples-th nearest point (self first)."""
+    k = max(min_samples - 1, 1)
+    return core_from(points, nearest_distances(points, k, n_rows, block_rows), min_samples)
 
 
 def _local_forest(n: int, adj: np.ndarray, ids: np.ndarray):
@@ -119,9 +128,12 @@ def eps_forest(points: DataFrame, eps: float, n_rows: int,
 def density_cluster(points: DataFrame, min_samples: int, eps: float | None,
                     min_cluster_size: int, id_col: str = "id", vec_col: str = "vec",
                     eps_quantile: float = 0.5,
-                    block_rows: int = blocks.DEFAULT_BLOCK_ROWS) -> DataFrame:
+                    block_rows: int = blocks.DEFAULT_BLOCK_ROWS, near: DataFrame | None = None) -> DataFrame:
     """M4: (id, cluster, core) with -1 for noise.
 
+    ``near``: nearest distances of the same points (``nearest_distances``) for
+    at least ``min_samples - 1`` neighbours, where many runs share them.
+
     ``eps=None`` takes the ``eps_quantile`` of the core distances (exact
     quantile), a data-adaptive cut for inputs without a tuned eps."""
     from quarry.operators.stats import exact_quantiles
@@ -130,7 +142,8 @@ def density_cluster(points: DataFrame, min_samples: int, eps: float | None,
                         F.col(vec_col).cast("array<double>").alias("vec"))
     pts = reliable_checkpoint(pts)
     n = pts.count()
-    core = reliable_checkpoint(core_distances(pts, min_samples, n, block_rows))
+    core = reliable_checkpoint(core_distances(pts, min_samples, n, block_rows) if near is None
+                               else core_from(pts, near, min_samples))
     if eps is None:
         eps = exact_quantiles(core, "core", [eps_quantile]).first()[0]
         eps = float(eps) if eps is not None else 0.0

@@ -15,12 +15,11 @@ from pyspark.sql import functions as F
 from quarry.operators import density, quality
 from quarry.session import reliable_checkpoint
 
-# Fixed values of the reference's search space and budget.
+# Fixed values of the reference's search space and budget (those of its
+# non-linear reduction, which is not built, are left out).
 N_TRIALS = 100
 SEED = 3
 RANGES = {
-    "n_neighbors": (25, 50),            # kept for the record (UMAP only)
-    "min_dist": (0.05, 0.075),          # kept for the record (UMAP only)
     "min_cluster_size": (400, 500),
     "min_samples": (25, 50),
     "epsilon": (0.05, 0.075),
@@ -42,10 +41,13 @@ def param_sweep(points: DataFrame, id_col: str = "id", vec_col: str = "vec",
     pts = reliable_checkpoint(points.select(F.col(id_col).alias("id"),
                                             F.col(vec_col).cast("array<double>").alias("vec")))
     rng = np.random.default_rng(seed)
+    drawn = [draw(rng, ranges) for _ in range(n_trials)]
+    # the neighbours of the largest min_samples serve every trial
+    most = max((p["min_samples"] for p in drawn), default=2) - 1
+    near = reliable_checkpoint(density.nearest_distances(pts, max(most, 1), pts.count()))
     rows = []
-    for number in range(n_trials):
-        p = draw(rng, ranges)
-        lab = density.density_cluster(pts, p["min_samples"], p["epsilon"], p["min_cluster_size"])
+    for number, p in enumerate(drawn):
+        lab = density.density_cluster(pts, p["min_samples"], p["epsilon"], p["min_cluster_size"], near=near)
         lab = reliable_checkpoint(lab.join(pts, "id"))
         nr = quality.noise_ratio(lab).first()
         state, ss, dbi, chi = "COMPLETE", None, None, None
@@ -56,10 +58,9 @@ def param_sweep(points: DataFrame, id_col: str = "id", vec_col: str = "vec",
             ss = quality.silhouette(lab, "id", "vec").first()[0]
             dbi = quality.davies_bouldin(lab, "vec").first()[0]
             chi = quality.calinski_harabasz(lab, "vec").first()[0]
-        rows.append((number, ss, dbi, chi, p.get("n_neighbors"), p.get("min_dist"),
-                     p["min_cluster_size"], p["min_samples"], p["epsilon"], state))
-    schema = ("number int, ss double, dbi double, chi double, n_neighbors int, min_dist double, "
-              "min_cluster_size int, min_samples int, epsilon double, state string")
+        rows.append((number, ss, dbi, chi, p["min_cluster_size"], p["min_samples"], p["epsilon"], state))
+    schema = ("number int, ss double, dbi double, chi double, min_cluster_size int, min_samples int, "
+              "epsilon double, state string")
     return spark.createDataFrame(rows, schema)
 
 
