@@ -116,30 +116,35 @@ def base_rules(text: Column) -> Column:
 
 
 def _judged(docs: DataFrame, trusted: DataFrame, threshold: float, id_col: str, text_col: str) -> DataFrame:
-    """``docs`` with __base, __score, __failed and __kept."""
+    """``docs`` with ``__verdict``: base, score, failed, kept.  The verdict is
+    one expression that names its parts inside, so a filter on it computes
+    them once."""
+    def judge(x: Column) -> Column:
+        n, rep = x["base"]["w"]["n_words"], x["base"]["w"]["n_repeat_words"]
+        failed = (n < MIN_WORDS) | (100 * rep > MAX_REPEAT_PERCENT * n)
+        return F.struct(x["base"].alias("base"), x["score"].alias("score"), failed.alias("failed"),
+                        (~failed & (x["score"] >= threshold)).alias("kept"))
+
     weights = log_ratios(docs, trusted, id_col=id_col, text_col=text_col)
-    text, base = whole_text(text_col), F.col("__base")
-    n, rep = base["w"]["n_words"], base["w"]["n_repeat_words"]
-    return (docs.withColumn("__weights", weights.scalar())
-            .withColumns({"__base": base_rules(text), "__score": score(text, F.col("__weights"))})
-            .withColumn("__failed", (n < MIN_WORDS) | (100 * rep > MAX_REPEAT_PERCENT * n))
-            .withColumn("__kept", ~F.col("__failed") & (F.col("__score") >= threshold)))
+    both = lambda t: bind(F.struct(base_rules(t).alias("base"), score(t, F.col("__weights")).alias("score")), judge)
+    return docs.withColumn("__weights", weights.scalar()).withColumn("__verdict", bind(whole_text(text_col), both))
 
 
 def quality_rules(docs: DataFrame, trusted: DataFrame, threshold: float = THRESHOLD,
                   id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id_col``, n_words, word_chars, n_symbols, n_dup_lines,
     n_repeat_words, base_failed, kept, score per row."""
-    base = F.col("__base")
+    v = F.col("__verdict")
+    base = v["base"]
     return _judged(docs.select(id_col, text_col), trusted, threshold, id_col, text_col).select(
         F.col(id_col), base["w"]["n_words"].alias("n_words"), base["w"]["word_chars"].alias("word_chars"),
         base["n_symbols"].alias("n_symbols"), base["n_dup_lines"].alias("n_dup_lines"),
-        base["w"]["n_repeat_words"].alias("n_repeat_words"), F.col("__failed").alias("base_failed"),
-        F.col("__kept").alias("kept"), F.col("__score").alias("score"))
+        base["w"]["n_repeat_words"].alias("n_repeat_words"), v["failed"].alias("base_failed"),
+        v["kept"].alias("kept"), v["score"].alias("score"))
 
 
 def keep_good(docs: DataFrame, trusted: DataFrame, threshold: float = THRESHOLD,
               id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that the rules keep, with all their columns."""
-    return _judged(docs, trusted, threshold, id_col, text_col).where("__kept").select(
+    return _judged(docs, trusted, threshold, id_col, text_col).where("__verdict.kept").select(
         *[F.col(f"`{c}`") for c in docs.columns])
