@@ -87,7 +87,7 @@ def parse_atom_feed(feeds: DataFrame, payload_col: str = "payload") -> DataFrame
     schema = ("entry ARRAY<STRUCT<`prism:url`: STRING, `dc:title`: STRING, "
               "`prism:publicationName`: STRING, `prism:doi`: STRING>>")
     parsed = feeds.select(F.from_xml(F.col(payload_col), schema,
-                                     {"rowTag": "feed", "mode": "PERMISSIVE"}).alias("f"))
+                                     {"rowTag": "feed", "mode": "PERMISSIVE", "ignoreSurroundingSpaces": "false"}).alias("f"))
     e = F.explode_outer("f.entry").alias("e")
     return (parsed.select(e).where(F.col("e").isNotNull())
             .select(F.col("e.`prism:url`").alias("url"), F.col("e.`dc:title`").alias("title"),

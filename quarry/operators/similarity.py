@@ -132,7 +132,7 @@ def centroids(df: DataFrame, group_col: str = "cluster", vec_col: str = "embeddi
             .select(group_col, vector_to_array("_m").alias("centroid"), "n"))
 
 
-def _centroid_blocks(cents: DataFrame, group_col: str) -> list:
+def centroid_blocks(cents: DataFrame, group_col: str) -> list:
     """The centroid matrix in blocks of about ``CENTROID_BLOCK_BYTES``, each
     collected and broadcast by itself: one block for any usual number of
     topics, more for more."""
@@ -150,16 +150,18 @@ def _centroid_blocks(cents: DataFrame, group_col: str) -> list:
 
 def doc_centroid_cosine(docs: DataFrame, cents: DataFrame, group_col: str = "cluster",
                         id_col: str = "doc_id", vec_col: str = "embedding",
-                        best_only: bool = False) -> DataFrame:
+                        best_only: bool = False, top_n: int | None = None) -> DataFrame:
     """Cosine of every document to every centroid: (doc_id, topic, sim).
 
     The centroid matrix is k x D (k topics), broadcast in blocks of bounded
     size; each Arrow batch of documents is one GEMM per block.
     ``best_only`` keeps only the nearest topic per document (J10), without
-    any shuffle while one block holds all centroids."""
+    any shuffle while one block holds all centroids; ``top_n`` keeps only
+    what can be among a topic's ``top_n`` documents (W2): that many rows per
+    topic and batch."""
     src = docs.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).alias("vec"))
-    parts = [src.mapInPandas(_against(bc, best_only), "doc_id long, topic int, sim double")
-             for bc in _centroid_blocks(cents, group_col)]
+    parts = [src.mapInPandas(_against(bc, best_only, top_n), "doc_id long, topic int, sim double")
+             for bc in centroid_blocks(cents, group_col)]
     out = parts[0]
     for part in parts[1:]:
         out = out.unionByName(part)
@@ -169,7 +171,7 @@ def doc_centroid_cosine(docs: DataFrame, cents: DataFrame, group_col: str = "clu
     return out
 
 
-def _against(bc, best_only: bool):
+def _against(bc, best_only: bool, top_n: int | None):
     """The batch function that scores vectors against one centroid block."""
     def score(batches):
         ids, mat = bc.value
@@ -192,6 +194,10 @@ def _against(bc, best_only: bool):
                     "sim": sim[np.arange(len(pdf)), pick],
                 })
                 continue
+            if top_n is not None:
+                topic, doc, score_ = _local_topk(sim.T, ids, pdf["id"].to_numpy(np.int64), top_n)
+                yield pd.DataFrame({"doc_id": doc, "topic": topic.astype(np.int32), "sim": score_})
+                continue
             yield pd.DataFrame({
                 "doc_id": np.repeat(pdf["id"].to_numpy(np.int64), len(ids)),
                 "topic": np.tile(ids, len(pdf)).astype(np.int32),

@@ -169,7 +169,8 @@ def topic_report(topic_docs: DataFrame, labels_map: DataFrame | None = None,
     M5 sub-themes -> A1 chunks -> M14 labels + M16 summaries -> F24 entries
     joined by newline -> M16 -> F7 -> M17 -> M14 final labels.
     ``documents_used`` is the unfiltered group size; a topic whose filter
-    keeps nothing reports null summaries instead of failing."""
+    keeps nothing, or whose summary comes out empty, reports nulls and the
+    reason in ``error`` instead of failing."""
     # the input is bounded (top documents per topic) and read by several
     # branches: materialise it and the filtered set once
     topic_docs = reliable_checkpoint(topic_docs)
@@ -212,4 +213,6 @@ def topic_report(topic_docs: DataFrame, labels_map: DataFrame | None = None,
             .join(final_str, "topic", "left")
             .select(F.col("topic").alias("topic_id"), F.col("topic_label").alias("topic_labels"),
                     "final_topic_labels", F.col("overall").alias("overall_summary"),
-                    "subtheme_summaries", "documents_used"))
+                    "subtheme_summaries", "documents_used",
+                    F.when(F.col("subtheme_summaries").isNull(), F.lit("no document near the centroid"))
+                    .when(F.coalesce(F.col("overall"), F.lit("")) == "", F.lit("empty summary")).alias("error")))

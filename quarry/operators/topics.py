@@ -18,17 +18,20 @@ from quarry.session import reliable_checkpoint
 # Fixed values of the topic model used on the driver tables.
 MIN_SAMPLES = 5
 MIN_CLUSTER_SIZE = 10
+KEYWORDS = 10
 
 
 def fit_topics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "abstract",
                vec_col: str = "embedding", min_samples: int = MIN_SAMPLES,
                eps: float | None = None, min_cluster_size: int = MIN_CLUSTER_SIZE,
-               n_words: int = TM.TOP_N_WORDS) -> tuple[DataFrame, DataFrame]:
-    """Returns (document_info, topic_terms).
+               n_words: int = TM.TOP_N_WORDS) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Returns (document_info, topic_terms, keywords).
 
     document_info: (doc_id, topic, probability) with topic -1 for noise and
     probability = cosine to the topic centroid (0 for noise).
-    topic_terms: (topic, rank, term, score) for the non-noise topics."""
+    topic_terms: (topic, rank, term, score) for the non-noise topics.
+    keywords: the terms' chain of MMR and ranking by vector
+    (``topic_keywords``)."""
     base = reliable_checkpoint(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("abstract"),
                                            F.col(vec_col).cast("array<double>").alias("embedding")))
     reduced = models.reduce_dim(base.select("doc_id", "embedding"))
@@ -43,7 +46,25 @@ def fit_topics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "abstrac
             .join(scored.select("doc_id", "sim"), "doc_id", "left")
             .select("doc_id", F.col("cluster").alias("topic"),
                     F.round(F.coalesce("sim", F.lit(0.0)), 6).alias("probability")))
-    return info, terms
+    keywords = topic_keywords(labelled, terms.withColumnRenamed("topic", "cluster"))
+    return info, terms, keywords
+
+
+def topic_keywords(docs: DataFrame, terms: DataFrame, n: int = KEYWORDS, make_predict_fn=None) -> DataFrame:
+    """M9 -> M10 inside the fit: a topic's diverse keywords (MMR over its
+    terms), ordered by cosine to the topic's mean text vector.
+
+    ``docs`` has (cluster, abstract), ``terms`` (cluster, term).  Output
+    (topic, rank, term, sim)."""
+    members = docs.where(F.col("cluster") != -1).select("cluster", "abstract")
+    vectors = reliable_checkpoint(models.embed(members, "abstract", "embedding", make_predict_fn))
+    topic = S.centroids(vectors).select(F.col("cluster").alias("topic"), F.col("centroid").alias("topic_vec"))
+    cands = reliable_checkpoint(models.embed(
+        terms.select(F.col("cluster").cast("int").alias("topic"), "term"), "term", "term_vec", make_predict_fn)
+        .join(topic, "topic"))
+    chosen = models.mmr(cands, "topic", n).select("topic", "term")
+    scored = chosen.join(cands, ["topic", "term"]).withColumn("sim", S.cosine("term_vec", "topic_vec"))
+    return models.rank_by_vector(scored, "topic").select("topic", "rank", "term", F.round("sim", 6).alias("sim"))
 
 
 def topic_info(document_info: DataFrame) -> DataFrame:

@@ -205,8 +205,21 @@ def topic_report(spark, sf_dir):
 
 @register("fit_topics")
 def fit_topics(spark, sf_dir):
-    """PCA -> density clustering -> class TF-IDF -> membership scores;
-    the per-document assignment is returned."""
+    """PCA -> density clustering -> class TF-IDF -> MMR -> ranking by
+    vector -> membership scores; per document its topic and the topic's
+    keywords."""
     c = corpus(spark, sf_dir).select("doc_id", "abstract", "embedding")
-    info, _ = topics.fit_topics(c)
-    return info
+    info, _, keywords = topics.fit_topics(c)
+    named = keywords.groupBy("topic").agg(F.array_join(F.transform(
+        F.array_sort(F.collect_list(F.struct("rank", "term"))), lambda k: k["term"]), ", ").alias("keywords"))
+    return info.join(named, "topic", "left").select("doc_id", "topic", "probability", "keywords")
+
+
+@register("topic_keywords", f"""{MMR_SQL.rsplit('SELECT topic, CAST(unnest', 1)[0].rstrip()},
+named AS (SELECT topic, unnest(chosen) AS term FROM (SELECT topic, arg_max(chosen, k) AS chosen FROM picks GROUP BY topic))
+SELECT n.topic, CAST(row_number() OVER (PARTITION BY n.topic ORDER BY s.sim DESC, n.term) AS INTEGER) AS rank, n.term, round(s.sim, 6) AS sim
+FROM named n JOIN scoredt s ON s.topic = n.topic AND s.term = n.term""")
+def topic_keywords(spark, sf_dir):
+    """M9 -> M10: the diverse keywords of each topic, ranked by vector."""
+    c = corpus(spark, sf_dir)
+    return topics.topic_keywords(c, TM.topic_terms(c, n=TM.TOP_N_WORDS))

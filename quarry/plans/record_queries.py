@@ -36,6 +36,33 @@ def feed_entries(spark, sf_dir):
     return H.page_entries(table(spark, sf_dir, "pages"))
 
 
+@register("atom_feed", f"""WITH {PAGE_ENTRIES_SQL}
+SELECT url, title, pub_name, CASE WHEN page_id % 4 <> 0 THEN doi END AS doi FROM pe WHERE title IS NOT NULL
+UNION ALL SELECT url || '?copy', title, pub_name, doi FROM pe WHERE title IS NOT NULL AND page_id % 3 = 0""")
+def atom_feed(spark, sf_dir):
+    """Atom search pages built from the given pages: every third has two
+    entries, every fourth first entry no DOI, pages without title no entry."""
+    pe = H.page_entries(table(spark, sf_dir, "pages"))
+
+    def xml(text):
+        for a, b in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;")):
+            text = F.replace(text, F.lit(a), F.lit(b))
+        return text
+
+    def entry(url, doi):
+        tag = lambda name, value: F.concat(F.lit(f"<{name}>"), xml(value), F.lit(f"</{name}>"))
+        return F.concat(F.lit("<entry>"), tag("prism:url", url), tag("dc:title", F.col("title")),
+                        tag("prism:publicationName", F.col("pub_name")),
+                        F.coalesce(tag("prism:doi", doi), F.lit("")), F.lit("</entry>"))
+
+    first = entry(F.col("url"), F.when(F.col("page_id") % 4 != 0, F.col("doi")))
+    second = F.when(F.col("page_id") % 3 == 0, entry(F.concat(F.col("url"), F.lit("?copy")), F.col("doi")))
+    body = F.when(F.col("title").isNotNull(), F.concat(first, F.coalesce(second, F.lit(""))))
+    space = f'<feed xmlns="{H.ATOM}" xmlns:prism="http://prismstandard.org/namespaces/basic/2.0/" xmlns:dc="http://purl.org/dc/elements/1.1/">'
+    feeds = pe.select(F.concat(F.lit(space), F.coalesce(body, F.lit("")), F.lit("</feed>")).alias("payload"))
+    return H.parse_atom_feed(feeds)
+
+
 @register("combine_queries", f"""WITH {PAGE_ENTRIES_SQL}
 SELECT doi, title, min(page_id) AS page_id, count(*) AS n_copies FROM pe
 WHERE doi IS NOT NULL AND title IS NOT NULL GROUP BY doi, title""")

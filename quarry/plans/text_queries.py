@@ -140,7 +140,7 @@ FROM rep r JOIN documents d ON d.doc_id = r.doc_id GROUP BY r.topic""")
 def concat_by_cluster(spark, sf_dir):
     """A1 over each topic's 100 representative documents (the bounded set
     the summariser reads), joined in rank order."""
-    rep = S.top_members(_doc_topic(spark, sf_dir), "sim", S.TOP_DOCS, group_col="topic")
+    rep = S.top_members(_doc_topic(spark, sf_dir, S.TOP_DOCS), "sim", S.TOP_DOCS, group_col="topic")
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     j = rep.join(docs, "doc_id")
     ordered = F.array_sort(F.collect_list(F.struct("rank", "text")))
@@ -153,7 +153,7 @@ def concat_by_cluster(spark, sf_dir):
 def _layout(spark, sf_dir):
     """per topic, a summary text with ten 'Subtheme i: label - body'
     parts built from its ten most central documents."""
-    rep = S.top_members(_doc_topic(spark, sf_dir), "sim", 10, group_col="topic")
+    rep = S.top_members(_doc_topic(spark, sf_dir, 10), "sim", 10, group_col="topic")
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     j = rep.join(docs, "doc_id").select(
         "topic", "rank",

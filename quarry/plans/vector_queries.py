@@ -138,9 +138,18 @@ def centroid_filter(spark, sf_dir):
     return kept.select("doc_id", "cluster", F.round("sim", 6).alias("sim"))
 
 
-def _doc_topic(spark, sf_dir):
+def _doc_topic(spark, sf_dir, top_n=None):
     c = corpus(spark, sf_dir)
-    return S.doc_centroid_cosine(c, S.centroids(_members(spark, sf_dir)))
+    return S.doc_centroid_cosine(c, S.centroids(_members(spark, sf_dir)), top_n=top_n)
+
+
+@register("centroid_filter_low", f"""WITH {CENT_CTE}
+SELECT d.doc_id, d.topic AS cluster, round(d.sim, 6) AS sim FROM dsim d JOIN members m ON m.doc_id = d.doc_id AND m.cluster = d.topic
+WHERE d.sim > 0.2""")
+def centroid_filter_low(spark, sf_dir):
+    """P11 with a threshold that some rows pass and others do not."""
+    kept = S.centroid_filter(_members(spark, sf_dir), 0.2)
+    return kept.select("doc_id", "cluster", F.round("sim", 6).alias("sim"))
 
 
 @register("doc_topic_cosine", f"""WITH {CENT_CTE}
@@ -180,7 +189,7 @@ SELECT CAST(topic AS INTEGER) AS topic,
        CAST(row_number() OVER (PARTITION BY topic ORDER BY round(sim, 6) DESC, doc_id) AS INTEGER) AS rank,
        doc_id, round(sim, 6) AS sim FROM dsim QUALIFY rank <= 100""")
 def representative_docs(spark, sf_dir):
-    ranked = S.top_members(_doc_topic(spark, sf_dir), "sim", S.TOP_DOCS, group_col="topic")
+    ranked = S.top_members(_doc_topic(spark, sf_dir, S.TOP_DOCS), "sim", S.TOP_DOCS, group_col="topic")
     return ranked.select("topic", "rank", "doc_id", F.round("sim", 6).alias("sim"))
 
 
@@ -208,6 +217,14 @@ def noise_ratio(spark, sf_dir):
     return quality.noise_ratio(corpus(spark, sf_dir))
 
 
+@register("silhouette_linear", f"""WITH {CENT_CTE},
+d AS (SELECT m.doc_id, m.cluster AS own, t.cluster AS other, list_distance(m.embedding, t.centroid) AS d FROM members m, cent t),
+pt AS (SELECT doc_id, max(CASE WHEN own = other THEN d END) AS a, min(CASE WHEN own <> other THEN d END) AS b FROM d GROUP BY doc_id)
+SELECT round(avg(CASE WHEN b IS NULL OR greatest(a, b) = 0 THEN 0.0 ELSE (b - a) / greatest(a, b) END), 6) AS silhouette FROM pt""")
+def silhouette_linear(spark, sf_dir):
+    return quality.silhouette_linear(corpus(spark, sf_dir))
+
+
 @register("silhouette", f"""WITH {corpus_cte()},
 pts AS (SELECT doc_id AS id, cluster, embedding AS e FROM corpus WHERE cluster <> -1),
 d AS (SELECT a.id, a.cluster AS own, b.cluster AS other, sum(list_distance(a.e, b.e)) AS dsum, count(*) AS cnt

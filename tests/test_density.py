@@ -106,10 +106,15 @@ def test_fit_topics_and_audit(spark):
             rows.append((i, txt, v))
             i += 1
     df = spark.createDataFrame(rows, "doc_id long, abstract string, embedding array<double>")
-    info, terms = topics.fit_topics(df, min_samples=4, eps=0.3, min_cluster_size=10)
+    info, terms, keywords = topics.fit_topics(df, min_samples=4, eps=0.3, min_cluster_size=10)
     got = info.collect()
     assert len(got) == 90 and len({r.topic for r in got if r.topic != -1}) == 3
     assert all(0 <= r.probability <= 1 for r in got)
     assert terms.count() > 0
+    chosen = keywords.collect()
+    assert {(r.topic, r.term) for r in chosen} <= {(r.topic, r.term) for r in terms.collect()}
+    for t in {r.topic for r in chosen}:
+        sims = [r.sim for r in sorted(chosen, key=lambda r: r["rank"]) if r.topic == t]
+        assert 0 < len(sims) <= topics.KEYWORDS and sims == sorted(sims, reverse=True)
     audit = topics.similarity_audit(df.select(F.col("doc_id").alias("id"), "embedding"), k=3)
     assert audit["stats"].first().n == 270 and audit["smoothed"].count() == 100
