@@ -59,33 +59,3 @@ def matrix(col: pd.Series) -> np.ndarray:
     if len(col) == 0:
         return np.zeros((0, 0))
     return np.vstack([np.asarray(v, dtype=np.float64) for v in col.values])
-
-
-def grouped_sorted_map(df: DataFrame, key: str, order: list[str],
-                       fn: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
-    """``groupBy(key).applyInPandas(fn)`` for many *small* groups.
-
-    Rows are hash-partitioned on ``key`` and sorted by (key, order) inside
-    each partition; one ``mapInPandas`` call per partition streams the Arrow
-    batches and hands ``fn`` each key's consecutive rows (a key split across
-    two batches is carried over).  This removes the per-group Python round
-    trip, which dominates when groups are tiny (one text's sentences).
-    Groups must be bounded: one group is held in memory at a time."""
-
-    def run(batches):
-        carry = None
-        for pdf in batches:
-            if carry is not None and len(carry):
-                pdf = pd.concat([carry, pdf], ignore_index=True)
-            if len(pdf) == 0:
-                continue
-            tail = pdf[key] == pdf[key].iloc[-1]
-            carry = pdf[tail]
-            done = pdf[~tail]
-            outs = [fn(g) for _, g in done.groupby(key, sort=False)]
-            if outs:
-                yield pd.concat(outs, ignore_index=True)
-        if carry is not None and len(carry):
-            yield fn(carry)
-
-    return df.repartition(key).sortWithinPartitions(key, *order).mapInPandas(run, schema)

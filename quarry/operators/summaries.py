@@ -3,10 +3,10 @@
 The reference runs a seq2seq model per chunk; here the summariser is a
 user ``make_predict_fn`` (text -> text) run by ``predict_batch_udf``, and the
 offline default is *extractive*: the sentences closest to the text's own
-sentence centroid, kept in their original order.  All steps are Spark
-jobs over exploded sentences; only the greedy, order-dependent redundancy
-filter (M15) runs per text in Python (one group = one text's sentences),
-streamed per partition by ``blocks.grouped_sorted_map``.
+sentence centroid, kept in their original order.  Splitting and counting
+are column expressions; encoding, ranking and the greedy redundancy filter
+(M15) work on one text at a time inside an Arrow batch (``_per_text``), so
+they neither shuffle nor store vectors.
 """
 
 from __future__ import annotations
@@ -14,13 +14,13 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 from pyspark.ml.functions import predict_batch_udf
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as Ty
 
 from quarry.functions import text as T
 from quarry.functions.stopwords import label_stop_words
-from quarry.operators import blocks, models, similarity as S
+from quarry.operators import models, similarity as S
 from quarry.session import reliable_checkpoint
 
 # Fixed values of the reference's summariser.
@@ -42,65 +42,96 @@ def sentences(df: DataFrame, key: str, text_col: str) -> DataFrame:
             .withColumn("n_words", T.word_count("sentence")))
 
 
+def _encode_all(predict, texts: list[str], batch_size: int) -> np.ndarray:
+    """Vectors of a list of texts, ``batch_size`` at a time."""
+    parts = [np.asarray(predict(np.array(texts[i:i + batch_size], dtype=object)), dtype=np.float64)
+             for i in range(0, len(texts), batch_size)]
+    return np.concatenate(parts) if parts else np.zeros((0, 0))
+
+
+def _cosines(m: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """Cosine of each row to a vector, 0 for zero vectors, as ranked."""
+    denom = np.linalg.norm(m, axis=1) * np.linalg.norm(v)
+    return np.round(np.where(denom > 0, m @ v / np.where(denom > 0, denom, 1.0), 0.0), models.RANK_DECIMALS)
+
+
+def _per_text(df: DataFrame, key: str, text_col: str, items: Column, fn, out: str,
+              make_predict_fn=None, whole_text: bool = False) -> DataFrame:
+    """Row-local work on the parts of each text: ``items`` (an array of
+    structs with ``part``) is computed on the JVM, all parts of an Arrow
+    batch are encoded together, and ``fn(text, items, vectors)`` gives the
+    output rows of one text.  No shuffle, nothing is materialised.  With
+    ``whole_text`` the text's own vector comes first."""
+    make = make_predict_fn or models.hashing_encoder()
+    size = models.ENCODER_BATCH if make_predict_fn is not None else models.HASH_BATCH
+    key_type = dict(df.dtypes)[key]
+    names = [c.split()[0] for c in out.split(", ")]
+
+    def run(batches):
+        predict = make()
+        for pdf in batches:
+            parts = [list(x) if x is not None else [] for x in pdf["_items"]]
+            flat = []
+            for text, xs in zip(pdf["_text"], parts):
+                flat += ([text or ""] if whole_text else []) + [x["part"] for x in xs]
+            vecs, at, rows = _encode_all(predict, flat, size), 0, []
+            for k, text, xs in zip(pdf[key], pdf["_text"], parts):
+                n = len(xs) + whole_text
+                rows += [(k, *r) for r in fn(text, xs, vecs[at:at + n])]
+                at += n
+            yield pd.DataFrame(rows, columns=[key, *names])
+
+    src = df.select(key, F.col(text_col).alias("_text"), items.alias("_items"))
+    return src.mapInPandas(run, f"{key} {key_type}, {out}")
+
+
+def _sentence_items(text_col: str) -> Column:
+    return F.transform(T.split_sentences(text_col), lambda s: F.struct(
+        s.alias("part"), T.word_count(s).alias("n_words")))
+
+
 def dedupe_sentences(df: DataFrame, key: str, text_col: str,
                      threshold: float = REFINE_THRESHOLD, make_predict_fn=None) -> DataFrame:
     """Drop sentences under 5 words, and any sentence whose cosine to an
     already kept sentence is > threshold (greedy, in order).  No sentences:
     text unchanged; all short: ''.  Output (key, refined)."""
-    sents = models.embed(sentences(df, key, text_col), "sentence", "vec", make_predict_fn)
-
-    def greedy(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("pos")
-        long = pdf[pdf["n_words"] >= MIN_SENTENCE_WORDS]
-        kept = []
-        if len(long):
-            vecs = np.vstack([np.asarray(v, dtype=np.float64) for v in long["vec"]])
-            norms = np.linalg.norm(vecs, axis=1)
-            kept_idx = np.empty(len(long), dtype=np.int64)
-            n_kept = 0
-            for i in range(len(long)):
-                if n_kept:
-                    k = kept_idx[:n_kept]
-                    denom = norms[k] * norms[i]
-                    sims = np.where(denom > 0, vecs[k] @ vecs[i] / np.where(denom > 0, denom, 1.0), 0.0)
-                    if (sims > threshold).any():
-                        continue
-                kept_idx[n_kept] = i
-                n_kept += 1
-            kept = long["sentence"].to_numpy()[kept_idx[:n_kept]].tolist()
-        return pd.DataFrame({key: [pdf[key].iloc[0]], "refined": [" ".join(kept)]})
 
-    key_type = dict(df.dtypes)[key]
-    refined = blocks.grouped_sorted_map(sents, key, ["pos"], greedy, f"{key} {key_type}, refined string")
-    # texts without any sentence keep their text
-    return (df.select(key, text_col).join(refined, key, "left")
-            .select(key, F.coalesce("refined", text_col).alias("refined")))
+    def greedy(text, items, vecs):
+        if not items:
+            return [(text,)]
+        kept: list[int] = []
+        for i, s in enumerate(items):
+            if s["n_words"] >= MIN_SENTENCE_WORDS and not (
+                    kept and (_cosines(vecs[kept], vecs[i]) > threshold).any()):
+                kept.append(i)
+        return [(" ".join(items[i]["part"] for i in kept),)]
+
+    return _per_text(df, key, text_col, _sentence_items(text_col), greedy, "refined string", make_predict_fn)
 
 
 def extractive_summary(df: DataFrame, key: str, text_col: str, make_predict_fn=None,
                        min_words: int = MIN_LENGTH, max_words: int = MAX_LENGTH) -> DataFrame:
     """M16 offline default: highest-centrality sentences, original order.
+    Output (key, summary, source): ``source`` is the text itself.
 
     Sentences are ranked by cosine to the mean sentence vector of their
     text; they are taken in rank order until ``min_words`` is reached
     (never beyond ``max_words``), then re-ordered by position."""
-    # inference once: centroids and scores both read the materialised vectors
-    sents = reliable_checkpoint(models.embed(sentences(df, key, text_col), "sentence", "vec",
-                                             make_predict_fn))
-    cents = S.centroids(sents.select(key, "vec"), key, "vec").select(key, "centroid")
-    scored = sents.join(cents, key).withColumn(
-        "score", F.round(S.cosine("vec", "centroid"), models.RANK_DECIMALS))
-    w = Window.partitionBy(key).orderBy(F.desc("score"), F.asc("pos"))
-    run = Window.partitionBy(key).orderBy(F.desc("score"), F.asc("pos")).rowsBetween(
-        Window.unboundedPreceding, -1)
-    chosen = (scored.withColumn("before", F.coalesce(F.sum("n_words").over(run), F.lit(0)))
-              .withColumn("r", F.row_number().over(w))
-              .where((F.col("before") < min_words) & ((F.col("before") + F.col("n_words") <= max_words)
-                                                       | (F.col("r") == 1))))
-    ordered = F.array_sort(F.collect_list(F.struct("pos", "sentence")))
-    out = chosen.groupBy(key).agg(F.array_join(F.transform(ordered, lambda s: s["sentence"]), " ")
-                                  .alias("summary"))
-    return df.select(key).join(out, key, "left")
+
+    def central(text, items, vecs):
+        if not items:
+            return [(None, text)]
+        score = _cosines(vecs, vecs.mean(axis=0))
+        chosen, words = [], 0
+        for r, i in enumerate(np.lexsort((np.arange(len(items)), -score)).tolist()):
+            n = items[i]["n_words"]
+            if words < min_words and (words + n <= max_words or r == 0):
+                chosen.append(i)
+            words += n
+        return [(" ".join(items[i]["part"] for i in sorted(chosen)), text)]
+
+    return _per_text(df, key, text_col, _sentence_items(text_col), central, "summary string, source string",
+                     make_predict_fn)
 
 
 def summarise(df: DataFrame, key: str, text_col: str, summariser=None,
@@ -111,32 +142,26 @@ def summarise(df: DataFrame, key: str, text_col: str, summariser=None,
         udf = predict_batch_udf(summariser, return_type=Ty.StringType(), batch_size=8)
         out = df.select(key, text_col, udf(F.col(text_col)).alias("summary"))
     else:
-        out = extractive_summary(df, key, text_col, make_predict_fn).join(
-            df.select(key, text_col), key)
+        out = extractive_summary(df, key, text_col, make_predict_fn).withColumnRenamed("source", text_col)
     return out.select(key, T.fallback_text(F.col("summary"), F.col(text_col)).alias("summary"))
 
 
 def keyword_labels(df: DataFrame, key: str, text_col: str, n: int = NUM_LABELS,
                    make_predict_fn=None, stop_words=None) -> DataFrame:
     """Candidate 1-3-grams (stop words removed) ranked by cosine to the
-    text's vector; output (key, rank, keyword, sim) for the best n.
-
-    Candidate strings are de-duplicated across all texts before they are
-    embedded, so each distinct phrase is encoded once."""
+    text's vector; output (key, rank, keyword, sim) for the best n."""
     stop = list(stop_words if stop_words is not None else label_stop_words())
     toks = F.filter(F.regexp_extract_all(F.lower(F.col(text_col)), F.lit(KEYWORD_TOKEN), 0),
                     lambda t: ~t.isin(stop))
-    tok = df.select(key, text_col, toks.alias("tok"))
-    # read twice (distinct phrases to embed, and the scoring join): once
-    cands = reliable_checkpoint(
-        tok.select(key, F.explode(T.ngram_range(F.col("tok"), 1, 3)).alias("keyword")).distinct())
-    phrase_vecs = models.embed(cands.select("keyword").distinct(), "keyword", "kv", make_predict_fn)
-    doc_vecs = models.embed(df.select(key, text_col), text_col, "dv", make_predict_fn).select(key, "dv")
-    scored = (cands.join(phrase_vecs, "keyword").join(doc_vecs, key)
-              .withColumn("sim", F.round(S.cosine("kv", "dv"), models.RANK_DECIMALS)))
-    w = Window.partitionBy(key).orderBy(F.desc("sim"), F.asc("keyword"))
-    return (scored.withColumn("rank", F.row_number().over(w).cast("int")).where(F.col("rank") <= n)
-            .select(key, "rank", "keyword", "sim"))
+    grams = F.transform(F.array(toks), lambda t: F.array_sort(F.array_distinct(T.ngram_range(t, 1, 3)))).getItem(0)
+
+    def closest(text, items, vecs):
+        sims = _cosines(vecs[1:], vecs[0]) if items else np.zeros(0)
+        order = np.lexsort((np.arange(len(items)), -sims))[:n].tolist()  # items are sorted by keyword
+        return [(r + 1, items[i]["part"], float(sims[i])) for r, i in enumerate(order)]
+
+    return _per_text(df, key, text_col, F.transform(grams, lambda g: F.struct(g.alias("part"))), closest,
+                     "rank int, keyword string, sim double", make_predict_fn, whole_text=True)
 
 
 def best_label(labels: DataFrame, base: DataFrame, key: str) -> DataFrame:
