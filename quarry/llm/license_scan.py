@@ -165,3 +165,45 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         F.array_join(F.array_sort(F.collect_set("label")), ",").alias("labels"),
         F.max("cover").alias("score"), F.count(F.when(F.col("template") != DOCUMENT, 1)).alias("n_spans"))
     return result.drop("__row")
+
+
+def sql() -> str:
+    """The same scan as DuckDB SQL over ``documents``."""
+    upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    listed = ",\n  ".join(f"({n}, '{label}', {phrase}, {k}, [{', '.join(repr(w) for w in words_)}])"
+                          for n, label, phrase, k, words_ in templates())
+    grams = " UNION ALL ".join(
+        f"SELECT row_, {k} AS k, p, array_to_string(w[p:p + {k - 1}], ' ') AS gram "
+        f"FROM (SELECT row_, w, unnest(range(1, len(w) - {k - 2})) AS p FROM docs)" for k in (PHRASE_GRAM, NOTICE_GRAM))
+    return f"""
+WITH docs AS (
+  SELECT row_number() OVER () AS row_, doc_id,
+         regexp_extract_all(translate(coalesce(text, ''), '{upper}', '{upper.lower()}'), '{WORD}') AS w FROM documents),
+tpl(template, label, phrase, k, words) AS (VALUES
+  {listed}),
+places AS (
+  SELECT template, label, phrase, k, length, i - 1 AS at_, array_to_string(words[i:i + k - 1], ' ') AS gram
+  FROM (SELECT *, len(words) AS length, unnest(range(1, len(words) - k + 2)) AS i FROM tpl)),
+grams AS ({grams}),
+hits AS (SELECT row_, template, label, phrase, k, length, p - 1 AS pos, at_ FROM grams JOIN places USING (k, gram)),
+voted AS (
+  SELECT row_, template, label, phrase, k, length, pos - at_ AS diagonal, list(at_) AS hit, min(pos) AS first_, max(pos) + k AS upto
+  FROM hits GROUP BY row_, template, label, phrase, k, length, diagonal),
+opened AS (
+  SELECT *, CASE WHEN phrase OR coalesce(diagonal - lag(diagonal) OVER o, {MAX_SHIFT + 1}) > {MAX_SHIFT} THEN 1 ELSE 0 END AS new
+  FROM voted WINDOW o AS (PARTITION BY row_, template ORDER BY diagonal)),
+grouped AS (SELECT *, sum(new) OVER (PARTITION BY row_, template ORDER BY diagonal) AS span FROM opened),
+merged AS (
+  SELECT row_, template, span, label, phrase, k, length, list_distinct(flatten(list(hit))) AS hit, min(first_) AS first_, max(upto) AS upto
+  FROM grouped GROUP BY row_, template, span, label, phrase, k, length),
+covers AS (SELECT *, len(list_distinct(flatten(list_transform(hit, lambda t: range(t, t + k))))) AS covered FROM merged),
+found AS (
+  SELECT * FROM covers WHERE (phrase AND covered = length)
+    OR (NOT phrase AND covered >= length * {MIN_COVER} AND upto - first_ <= length * {MAX_STRETCH} + {MAX_SHIFT}))
+SELECT any_value(d.doc_id) AS doc_id, CAST(any_value(len(w)) AS BIGINT) AS n_words,
+       count(*) FILTER (WHERE phrase) AS n_base, CAST(min(first_) FILTER (WHERE phrase) AS BIGINT) AS first_word,
+       CAST(max(first_) FILTER (WHERE phrase) AS BIGINT) AS last_word,
+       coalesce(string_agg(DISTINCT label, ',' ORDER BY label) FILTER (WHERE phrase), '') AS base_labels,
+       coalesce(string_agg(DISTINCT label, ',' ORDER BY label), '') AS labels,
+       coalesce(max(covered / length), 0.0) AS score, count(f.row_) AS n_spans
+FROM docs d LEFT JOIN found f USING (row_) GROUP BY row_"""

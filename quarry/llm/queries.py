@@ -42,7 +42,7 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.token_counts(documents(spark, sf_dir))
 
 
-@query("op2_license_scan")
+@query("op2_license_scan", sql=licenses.sql())
 def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.license_scan(documents(spark, sf_dir))
 
@@ -74,7 +74,7 @@ def op7_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spotsigs.fingerprints(documents(spark, sf_dir))
 
 
-@query("op8_secret_scan")
+@query("op8_secret_scan", sql=secrets.sql())
 def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secret_scan(documents(spark, sf_dir))
 

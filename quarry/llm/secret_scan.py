@@ -206,3 +206,47 @@ def redact_documents(docs: DataFrame, text_col: str = "text", length_col: str |
         else:
             columns.append(F.col(f"`{c}`"))
     return new.select(*columns)
+
+
+def sql() -> str:
+    """The same scan as DuckDB SQL over ``documents``: places from the pieces
+    between matches, every window's entropy on its own."""
+    def lit(pattern: str) -> str:
+        return "'" + pattern.replace("'", "''") + "'"
+
+    def placed(kind: str, pattern: str, value: str = "0") -> str:
+        p = lit(pattern)
+        return f"""{kind}_all AS (
+  SELECT row_, i, m[i] AS body, v[i] AS value, right(g[i], {CONTEXT}) AS before,
+         list_sum(list_transform(g[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0) AS start_
+  FROM (SELECT row_, m, v, g, unnest(range(1, len(m) + 1)) AS i FROM (
+    SELECT row_, regexp_extract_all(t, {p}) AS m, regexp_extract_all(t, {p}, {value}) AS v, string_split_regex(t, {p}) AS g FROM docs)))"""
+
+    def spans(kind: str, where: str = "true") -> str:
+        return (f"SELECT row_, start_, {KINDS.index(kind)} AS kind, start_ + length(body) AS end_, '{kind}' AS name "
+                f"FROM {kind}_all WHERE {where}")
+
+    return f"""
+WITH docs AS (SELECT row_number() OVER () AS row_, doc_id, coalesce(text, '') AS t FROM documents),
+{placed("assign", ASSIGN, "2")},
+{placed("access", ACCESS)},
+{placed("hex", HEX)},
+{placed("candidate", CANDIDATE)},
+chosen AS (
+  SELECT row_, start_, body, CASE WHEN regexp_matches(body, '^[0-9a-f]+$|^[0-9A-F]+$') THEN {HEX_BITS}
+    WHEN NOT regexp_matches(body, '[a-z]') OR NOT regexp_matches(body, '[A-Z]') THEN {CASE_BITS} ELSE {MIXED_BITS} END AS least_
+  FROM candidate_all WHERE regexp_matches(body, '[0-9]') AND NOT regexp_matches(body, {lit(UUID)})
+    AND NOT regexp_matches(body, {lit(PLACEHOLDER)}) AND NOT regexp_matches(before, {lit(CHECKSUM_BEFORE)})),
+windows AS (SELECT row_, start_, body, least_, unnest(range(0, length(body) - {WINDOW - 1})) AS i FROM chosen),
+hot AS (
+  SELECT row_, start_, min(i) AS first_, max(i) AS last_ FROM windows
+  WHERE list_entropy(string_split(substring(body, CAST(i + 1 AS BIGINT), {WINDOW}), '')) >= least_ - 1e-9 GROUP BY row_, start_),
+spans AS (
+  {spans("assign", f"length(value) >= {MIN_VALUE}")} UNION ALL {spans("access")} UNION ALL {spans("hex")}
+  UNION ALL SELECT row_, start_ + first_, {KINDS.index("entropy")}, start_ + last_ + {WINDOW}, 'entropy' FROM hot),
+said AS (SELECT row_, kind, start_, end_, name || ':' || CAST(CAST(start_ AS BIGINT) AS VARCHAR) || ':' || CAST(CAST(end_ AS BIGINT) AS VARCHAR) AS s FROM spans)
+SELECT any_value(doc_id) AS doc_id, count(*) FILTER (WHERE kind = 0) AS n_assign, count(*) FILTER (WHERE kind = 1) AS n_access,
+       count(*) FILTER (WHERE kind = 2) AS n_hex,
+       sha256(coalesce(string_agg(s, ',' ORDER BY start_, kind, end_) FILTER (WHERE kind < 3), '')) AS base_sha256,
+       coalesce(string_agg(s, ',' ORDER BY start_, kind, end_), '') AS spans, count(*) FILTER (WHERE kind = 3) AS n_entropy
+FROM docs LEFT JOIN said USING (row_) GROUP BY row_"""
