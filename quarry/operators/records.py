@@ -102,6 +102,7 @@ def dense_index(df: DataFrame, order_col, name: str = "idx") -> DataFrame:
     pos = (ranged.drop("_salt").withColumn("_pid", F.spark_partition_id())
            .withColumn("_mid", F.monotonically_increasing_id()))
     counts = pos.groupBy("_pid").agg(F.count(F.lit(1)).alias("_c"))
+    # one task, one row per partition
     before = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("_pid", F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_off"))
     local = F.col("_mid") - F.shiftleft(F.col("_pid").cast("long"), 33)
