@@ -34,16 +34,43 @@ def embed(spark, sf_dir):
     return models.embed(docs, "text").select("doc_id", F.array_join(millionths, " ").alias("embedding"))
 
 
-@register("reduce_dim")
+def _axis_sql(name: str, matrix: str, dim: int = 64, squarings: int = 18) -> str:
+    """CTE ``name`` (v, lam): the leading eigenvector of the one-row matrix
+    CTE, by repeated squaring; its largest loading is positive."""
+    return f"""{name}_pow(k, m) AS (
+  SELECT 0, m FROM {matrix}
+  UNION ALL
+  SELECT k + 1, list_transform(p, lambda r: list_transform(r, lambda x: x / t)) FROM (
+    SELECT k, p, list_sum(list_transform(range(1, {dim} + 1), lambda i: p[i][i])) AS t FROM (
+      SELECT k, list_transform(m, lambda r: list_transform(m, lambda q: list_inner_product(r, q))) AS p FROM {name}_pow WHERE k < {squarings}))),
+{name}_row AS (SELECT m[list_position(n, list_max(n))] AS r FROM (
+  SELECT m, list_transform(m, lambda r: list_inner_product(r, r)) AS n FROM {name}_pow WHERE k = {squarings})),
+{name}_unit AS (SELECT list_transform(r, lambda x: x / sqrt(list_inner_product(r, r))) AS u FROM {name}_row),
+{name} AS (SELECT v, list_inner_product(v, list_transform(m, lambda r: list_inner_product(r, v))) AS lam FROM (
+  SELECT list_transform(u, lambda x: x * sign(u[list_position(list_transform(u, lambda y: abs(y)), list_max(list_transform(u, lambda y: abs(y))))])) AS v
+  FROM {name}_unit), {matrix})"""
+
+
+PCA_CTES = f"""unit AS (SELECT doc_id, list_transform(embedding, lambda x: x / sqrt(list_inner_product(embedding, embedding))) AS v FROM corpus),
+cell AS (SELECT doc_id, unnest(v) AS x, unnest(range(1, 65)) AS i FROM unit),
+mean AS (SELECT i, avg(x) AS mu, count(*) AS n FROM cell GROUP BY i),
+cov AS (SELECT a.i, b.i AS j, sum((a.x - ma.mu) * (b.x - mb.mu)) / (any_value(ma.n) - 1) AS c
+        FROM cell a JOIN cell b USING (doc_id) JOIN mean ma ON ma.i = a.i JOIN mean mb ON mb.i = b.i GROUP BY a.i, b.i),
+c1 AS (SELECT list(r ORDER BY i) AS m FROM (SELECT i, list(c ORDER BY j) AS r FROM cov GROUP BY i)),
+{_axis_sql('one', 'c1')},
+c2 AS (SELECT list_transform(range(1, 65), lambda i: list_transform(range(1, 65), lambda j: m[i][j] - lam * v[i] * v[j])) AS m FROM c1, one),
+{_axis_sql('two', 'c2')}"""
+
+
+@register("reduce_dim", f"""WITH RECURSIVE {Q.corpus_cte()},
+{PCA_CTES}
+SELECT doc_id, round(list_inner_product(unit.v, one.v), 6) AS x, round(list_inner_product(unit.v, two.v), 6) AS y FROM unit, one, two""")
 def reduce_dim(spark, sf_dir):
     c = corpus(spark, sf_dir).select("doc_id", "embedding")
-    return models.reduce_dim(c).select("doc_id", "x", "y")
+    return models.reduce_dim(c).select("doc_id", F.round("x", 6).alias("x"), F.round("y", 6).alias("y"))
 
 
-DENSITY_SQL = f"""WITH RECURSIVE
-pts AS (SELECT d.doc_id AS id, CAST(e.embedding AS DOUBLE[]) AS v FROM documents d JOIN embeddings e
-  ON d.doc_id % (SELECT count(*) FROM embeddings) = e.vec_id),
-pd AS (SELECT a.id AS a, b.id AS b, list_distance(a.v, b.v) AS d FROM pts a JOIN pts b ON a.id <> b.id),
+DENSITY_CTES = f"""pd AS (SELECT a.id AS a, b.id AS b, list_distance(a.v, b.v) AS d FROM pts a JOIN pts b ON a.id <> b.id),
 core AS (SELECT a AS id, d AS core FROM pd QUALIFY row_number() OVER (PARTITION BY a ORDER BY d, b) = {MIN_SAMPLES - 1}),
 eps AS (SELECT quantile_cont(core, 0.5) AS eps FROM core),
 cores AS (SELECT id FROM core, eps WHERE core <= eps),
@@ -51,7 +78,11 @@ edges AS (SELECT pd.a AS src, pd.b AS dst FROM pd JOIN cores ca ON ca.id = pd.a
 reach(id, root) AS (SELECT id, id FROM cores UNION SELECT e.dst, r.root FROM reach r JOIN edges e ON e.src = r.id),
 comp AS (SELECT id, min(root) AS root FROM reach GROUP BY id),
 sizes AS (SELECT root, count(*) AS size FROM comp GROUP BY root),
-labels AS (SELECT root, row_number() OVER (ORDER BY size DESC, root) - 1 AS label FROM sizes WHERE size >= {MIN_CLUSTER_SIZE})
+labels AS (SELECT root, row_number() OVER (ORDER BY size DESC, root) - 1 AS label FROM sizes WHERE size >= {MIN_CLUSTER_SIZE})"""
+DENSITY_SQL = f"""WITH RECURSIVE
+pts AS (SELECT d.doc_id AS id, CAST(e.embedding AS DOUBLE[]) AS v FROM documents d JOIN embeddings e
+  ON d.doc_id % (SELECT count(*) FROM embeddings) = e.vec_id),
+{DENSITY_CTES}
 SELECT p.id AS doc_id, CAST(coalesce(l.label, -1) AS INTEGER) AS cluster, round(c.core, 6) AS core
 FROM pts p LEFT JOIN comp ON comp.id = p.id LEFT JOIN labels l ON l.root = comp.root LEFT JOIN core c ON c.id = p.id"""
 
@@ -203,7 +234,23 @@ def topic_report(spark, sf_dir):
     return SM.topic_report(_topic_top_docs(spark, sf_dir))
 
 
-@register("fit_topics")
+_BASE = Q.corpus_cte().replace("corpus AS", "base0 AS", 1)
+_FIT_SQL = f"""WITH RECURSIVE {_BASE},
+{PCA_CTES.replace("FROM corpus", "FROM base0")},
+pts AS (SELECT doc_id AS id, [list_inner_product(unit.v, one.v), list_inner_product(unit.v, two.v)] AS v FROM unit, one, two),
+{DENSITY_CTES},
+corpus AS (SELECT b.doc_id, b.abstract, b.embedding, CAST(coalesce(l.label, -1) AS INTEGER) AS cluster
+           FROM base0 b LEFT JOIN comp ON comp.id = b.doc_id LEFT JOIN labels l ON l.root = comp.root),
+{RANKED_CTES.split(Q.corpus_cte() + ",", 1)[1].lstrip()},
+{MMR_SQL.split(RANKED_CTES + ",", 1)[1].rsplit('SELECT topic, CAST(unnest', 1)[0].strip()},
+named AS (SELECT topic, unnest(chosen) AS term FROM (SELECT topic, arg_max(chosen, k) AS chosen FROM picks GROUP BY topic)),
+kw AS (SELECT topic, string_agg(term, ', ' ORDER BY sim DESC, term) AS keywords FROM named JOIN scoredt USING (topic, term) GROUP BY topic),
+mid AS (SELECT cluster, {Q.mean_vector('embedding')} AS c FROM corpus WHERE cluster <> -1 GROUP BY cluster)
+SELECT doc_id, cluster AS topic, round(CASE WHEN c IS NULL THEN 0.0 ELSE {Q.cosine('embedding', 'c')} END, 6) AS probability, keywords
+FROM corpus LEFT JOIN mid USING (cluster) LEFT JOIN kw ON kw.topic = cluster"""
+
+
+@register("fit_topics", _FIT_SQL)
 def fit_topics(spark, sf_dir):
     """PCA -> density clustering -> class TF-IDF -> MMR -> ranking by
     vector -> membership scores; per document its topic and the topic's
