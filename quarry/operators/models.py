@@ -25,7 +25,7 @@ ENCODER_BATCH = 64
 # hashing encoder has no such bound and runs on whole Arrow batches.
 HASH_BATCH = 4096
 SUBTHEMES = 10
-KMEANS_SEED = 42
+KMEANS_ROUNDS = 40
 MMR_DIVERSITY = 0.99
 HASH_DIM = 64
 HASH_MEMO = 500_000
@@ -110,33 +110,32 @@ def reduce_dim(df: DataFrame, vec_col: str = "embedding", k: int = 2,
     return out.drop("_v", "_n", "_p", "_a")
 
 
-def _kmeans(x: np.ndarray, k: int, seed: int, iters: int = 300, tol: float = 1e-4) -> np.ndarray:
-    """Seeded k-means++ initialisation followed by Lloyd iterations."""
-    rng = np.random.default_rng(seed)
-    n = len(x)
-    centers = [x[rng.integers(n)]]
-    d2 = ((x - centers[0]) ** 2).sum(1)
-    for _ in range(1, k):
-        p = d2 / d2.sum() if d2.sum() > 0 else np.full(n, 1.0 / n)
-        centers.append(x[rng.choice(n, p=p)])
-        d2 = np.minimum(d2, ((x - centers[-1]) ** 2).sum(1))
-    c = np.array(centers)
-    labels = np.zeros(n, dtype=np.int64)
+def _kmeans(x: np.ndarray, k: int, iters: int = KMEANS_ROUNDS) -> np.ndarray:
+    """Lloyd iterations from farthest-first centres: the first row, then each
+    time the row farthest from all centres (ties: the earlier row).  No
+    randomness; distances are compared to ``RANK_DECIMALS`` decimals."""
+    def to(c: np.ndarray) -> np.ndarray:
+        return np.round(np.sqrt(((x - c) ** 2).sum(1)), RANK_DECIMALS)
+
+    chosen, gap = [0], to(x[0])
+    while len(chosen) < k:
+        chosen.append(int(np.argmax(gap)))
+        gap = np.minimum(gap, to(x[chosen[-1]]))
+    c = x[chosen]
+    labels = np.full(len(x), -1)
     for _ in range(iters):
-        dist = ((x[:, None, :] - c[None, :, :]) ** 2).sum(2)
-        labels = dist.argmin(1)
-        new = np.array([x[labels == j].mean(0) if (labels == j).any() else c[j] for j in range(k)])
-        shift = ((new - c) ** 2).sum()
-        c = new
-        if shift <= tol:
+        new = np.column_stack([to(m) for m in c]).argmin(1)
+        if np.array_equal(new, labels):
             break
+        labels = new
+        c = np.array([x[labels == j].mean(0) if (labels == j).any() else c[j] for j in range(k)])
     return labels
 
 
 def subtheme_groups(docs: DataFrame, group_col: str = "topic", id_col: str = "doc_id",
                     vec_col: str = "embedding", order_col: str = "rank",
-                    k: int = SUBTHEMES, seed: int = KMEANS_SEED) -> DataFrame:
-    """M5: k = min(k, n) seeded k-means inside each topic's document set.
+                    k: int = SUBTHEMES) -> DataFrame:
+    """M5: k = min(k, n) k-means inside each topic's document set.
 
     Input groups are a topic's ranked top documents (bounded by W1), so one
     group is a small task.  Sub-themes are numbered 1.. in ascending k-means
@@ -147,7 +146,7 @@ def subtheme_groups(docs: DataFrame, group_col: str = "topic", id_col: str = "do
         pdf = pdf.sort_values(order_col).reset_index(drop=True)
         x = np.vstack([np.asarray(v, dtype=np.float64) for v in pdf[vec_col]])
         kk = min(k, len(pdf))
-        labels = _kmeans(x, kk, seed)
+        labels = _kmeans(x, kk)
         remap = {lab: i + 1 for i, lab in enumerate(sorted(set(labels.tolist())))}
         return pd.DataFrame({
             group_col: pdf[group_col].astype("int32"),

@@ -106,7 +106,35 @@ def _topic_top_docs(spark, sf_dir):
                          F.col("abstract").alias("text"), "embedding")
 
 
-@register("subtheme_groups")
+_KMEANS_SQL = f"""WITH RECURSIVE {Q.corpus_cte()},
+tdocs AS (SELECT doc_id, cluster AS topic, abstract FROM corpus WHERE cluster <> -1),
+{Q.encoder_ctes('de', 'tdocs', 'doc_id', 'abstract')},
+placed AS (SELECT t.topic, t.doc_id, de.v FROM tdocs t JOIN de USING (doc_id)),
+mid AS (SELECT topic, {Q.mean_vector('v')} AS c FROM placed GROUP BY topic),
+top AS (SELECT topic, doc_id, v, row_number() OVER (PARTITION BY topic ORDER BY round({Q.cosine('v', 'c')}, 6) DESC, doc_id) AS rank
+        FROM placed JOIN mid USING (topic) QUALIFY rank <= {S.TOP_DOCS}),
+seeds(topic, k, cs) AS (
+  SELECT topic, 1, [v] FROM top WHERE rank = 1
+  UNION ALL
+  SELECT topic, k + 1, list_append(any_value(cs), arg_min(v, struct_pack(g := -gap, r := rank))) FROM (
+    SELECT s.topic, s.k, s.cs, t.v, t.rank, list_min(list_transform(s.cs, lambda c: round(list_distance(t.v, c), 9))) AS gap
+    FROM seeds s JOIN top t USING (topic) WHERE s.k < {models.SUBTHEMES}) GROUP BY topic, k),
+rounds(topic, k, cs) AS (
+  SELECT topic, 0, arg_max(cs, k)[1:(SELECT count(*) FROM top t WHERE t.topic = seeds.topic)] FROM seeds GROUP BY topic
+  UNION ALL
+  SELECT topic, k + 1, list(coalesce(c, cs[j]) ORDER BY j) FROM (
+    SELECT r.topic, r.k, r.cs, r.j AS j, m.c FROM (SELECT topic, k, cs, unnest(range(1, len(cs) + 1)) AS j FROM rounds WHERE k < {models.KMEANS_ROUNDS - 1}) r
+    LEFT JOIN (SELECT topic, j, {Q.mean_vector('v')} AS c FROM (
+      SELECT t.topic, t.v, list_position(d, list_min(d)) AS j FROM (
+        SELECT t.topic, t.v, list_transform(r.cs, lambda c: round(list_distance(t.v, c), 9)) AS d FROM rounds r JOIN top t USING (topic)) t)
+      GROUP BY topic, j) m ON m.topic = r.topic AND m.j = r.j) GROUP BY topic, k),
+final AS (SELECT topic, arg_max(cs, k) AS cs FROM rounds GROUP BY topic),
+named AS (SELECT topic, doc_id, rank, list_position(d, list_min(d)) AS j FROM (
+  SELECT t.*, list_transform(f.cs, lambda c: round(list_distance(t.v, c), 9)) AS d FROM top t JOIN final f USING (topic)))
+SELECT topic, CAST(dense_rank() OVER (PARTITION BY topic ORDER BY j) AS INTEGER) AS subtheme, doc_id, CAST(rank AS INTEGER) AS rank FROM named"""
+
+
+@register("subtheme_groups", _KMEANS_SQL)
 def subtheme_groups(spark, sf_dir):
     return models.subtheme_groups(_topic_top_docs(spark, sf_dir))
 
