@@ -139,7 +139,7 @@ def links(fps: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     assert len(part) == PARTS
     choices = [prefix(c) for c in combinations(range(PARTS), PARTS - max_bits)]
     spread = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # every node becomes many rows
-    subtrees = (fps.select("fp").distinct().repartition(spread, "fp")
+    subtrees = (fps.select("fp").distinct().repartition(spread)
                 .select("fp", F.explode(F.array(*choices)).alias("root"))
                 .groupBy("root").agg(F.collect_list("fp").alias("fps"))
                 .where(F.size("fps") > 1).select("fps"))
