@@ -102,3 +102,27 @@ def test_marker_in_text_is_a_space(spark, none):
     got = {r.doc_id: (r.round_trip, r.decoded_sha256) for r in S.encode(docs).collect()}
     assert got == {1: (False, hashlib.sha256(b"a b").hexdigest()), 2: (True, hashlib.sha256(b"  a").hexdigest())}
     assert S.encode(none).collect() == []
+
+
+def test_paths_equal_the_library_lattice(real):
+    """The same pieces read as a Unigram model by the library: its best
+    lattice path scores as ours (its fast ``encode`` may settle for less)."""
+    import sentencepiece
+    from sentencepiece import sentencepiece_model_pb2 as pb
+
+    path = public_tokenizers.path(S.MODEL)
+    model = pb.ModelProto()
+    with open(path, "rb") as f:
+        model.ParseFromString(f.read())
+    model.trainer_spec.model_type = 1
+    lib = sentencepiece.SentencePieceProcessor()
+    lib.LoadFromSerializedProto(model.SerializeToString())
+    enc = S.Encoder(S.Vocabulary(path))
+    words = sorted({w for r in real.limit(60).collect() for w in (r.text or "").split()})
+    assert len(words) > 500
+    same = 0
+    for w in words:
+        ours, theirs = list(enc.encode(w)), lib.NBestEncodeAsIds(w, 4)[0]
+        assert sum(enc.v.score[i] for i in ours) == sum(enc.v.score[i] for i in theirs), w
+        same += ours == theirs
+    assert same > 0.99 * len(words)
