@@ -2,10 +2,12 @@
 
 *Signatures.*  Every common word (``ANCHORS``, of four languages) that occurs
 in a text opens a chain of the next ``CHAIN`` content words; the anchor with
-its chain, hashed to 64 bits, is one signature.  The text's first words are a
-chain of their own, so a text without anchors has one signature too.  The
-set of signatures is what texts are compared by; the fingerprint is its
-size, sum and xor, which no order of words or rows changes.
+its chain, hashed to 64 bits, is one signature.  At the text's end chains are
+shorter, down to the anchor alone.  The text's first words are a chain of
+their own.  Fallback: a content word in no anchor's chain opens a chain under
+the mark ``^``, so every word of a text is in a signature, with few anchors or
+none as well.  The set of signatures is what texts are compared by; the
+fingerprint is its size, sum and xor, which no order of words or rows changes.
 
 *Likeness.*  Sets are partitioned by length: partition k holds lengths of
 ``(1/least)^k`` up to ``(1/least)^(k+1)``.  Sets of partitions that are not
@@ -58,17 +60,20 @@ def signatures(text: str) -> frozenset[int]:
 
     content: list[str] = []
     spots: list[tuple[str, int]] = []
+    chained = 0  # the chains of anchors end before this content word
     for w in WORD.findall(text.lower()):
         if w in ANCHORS:
             spots.append((w, len(content)))
+            chained = len(content) + CHAIN
         else:
+            if len(content) >= chained:
+                spots.append(("^", len(content)))
             content.append(w)
     spots.append(("^", 0))
     if not content:  # anchors alone: their sequence is the one chain
         words = [a for a, _ in spots[:-1]]
         return frozenset([xxh64_intdigest("^ " + " ".join(words))] if words else [])
-    n = len(content)
-    return frozenset(xxh64_intdigest(f"{a} {' '.join(content[i:i + CHAIN])}") for a, i in spots if i < n)
+    return frozenset(xxh64_intdigest(f"{a} {' '.join(content[i:i + CHAIN])}") for a, i in spots)
 
 
 def fingerprint(text: str, sigs: frozenset[int]) -> str:

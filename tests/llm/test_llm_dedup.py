@@ -134,6 +134,23 @@ def test_spotsigs_repeated_ids_and_likeness(spark):
     assert P.likeness(frozenset([1]), frozenset(range(5000)), 0.02) == 0.0
 
 
+def test_spotsigs_see_the_whole_text(spark):
+    words = [f"w{i}" for i in range(400)]
+    bare = " ".join(words)  # no anchor
+    few = "the " + bare  # one chain of three words
+    for text in (bare, few):
+        for at in (3, 200, 399):
+            new = " ".join("other" if w == f"w{at}" else w for w in text.split())
+            assert P.fingerprint(text, P.signatures(text)) != P.fingerprint(new, P.signatures(new))
+            assert 0.98 < P.likeness(P.signatures(text), P.signatures(new)) < 1.0
+    # anchors behind the last content word
+    assert len({P.signatures(f"the cat sat{end}") for end in ("", " on", " by", " on by")}) == 4
+    docs = spark.createDataFrame([(1, bare), (2, bare[:-4] + "last")], "doc_id long, text string")
+    a, b = P.fingerprints(docs).collect()
+    assert a.fingerprint != b.fingerprint and 0.98 < a.near_next < 1.0
+    assert a.n_signatures == b.n_signatures == 400
+
+
 def py_ring(rows, shards, places, n_slots):
     """One key at a time, in the order of offers: each shard takes up to its
     capacity, the rest walk on."""
