@@ -12,8 +12,10 @@ with ``S = sum c log2 c`` over the counts c of its characters, and S moves
 with the one character that leaves and the one that enters.  The stretch of
 windows at or above the class's threshold is a span of kind ``entropy``.
 
-*Allow list.*  Candidates without a digit (words, identifiers), UUIDs,
-placeholders, and strings that follow the name of a checksum are suppressed.
+*Allow list.*  Candidates without a digit (words, identifiers) and UUIDs are
+suppressed.  So are the placeholder words inside a candidate and the digest
+that follows the name of a checksum, but no more than these: the stretches
+between them are scanned on their own, each with its class.
 
 All of it is built-in column functions on one row: no shuffle, no Python.
 Places are code points, ends exclusive.  Work is linear in the text for
@@ -47,6 +49,8 @@ HEX_BITS, CASE_BITS, MIXED_BITS = 2.9, 3.5, 3.7
 UUID = r"^[0-9A-Fa-f]{8}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{12}$"
 PLACEHOLDER = r"(?i)example|placeholder|changeme|your[_-]?|xxxx|0123456789|abcdefghij"
 CHECKSUM_BEFORE = r"(?i)(sha-?(1|224|256|384|512)|md5|crc32|checksum|integrity|commit)[\"']?\x20*[:=-]?\x20*[\"']?$"
+# The digest that the name of a checksum stands for: hex up to a separator, or base64.
+DIGEST = r"^(?:(?i:sha-?[0-9]+)[-_=])?(?:[0-9A-Fa-f]{7,}(?![0-9A-Za-z+])|[0-9A-Za-z+/]+={0,2})"
 CONTEXT = 24  # characters before a candidate that may name a checksum
 CHUNK = 256
 MARK = "[SECRET]"
@@ -130,14 +134,33 @@ def hot_stretch(body: Column, least: Column) -> Column:
 def entropy_spans(text: Column) -> Column:
     """Spans of kind ``entropy``."""
     def kept(s: Column) -> Column:
-        return (s["body"].rlike("[0-9]") & ~s["body"].rlike(UUID) & ~s["body"].rlike(PLACEHOLDER)
-                & ~s["before"].rlike(CHECKSUM_BEFORE))
+        return s["body"].rlike("[0-9]") & ~s["body"].rlike(UUID)
+
+    def undigested(s: Column) -> Column:
+        # the candidate behind the digest of a checksum
+        n = F.when(s["before"].rlike(CHECKSUM_BEFORE), F.char_length(F.regexp_extract(s["body"], DIGEST, 0))).otherwise(F.lit(0))
+        return bind(n, lambda n: F.struct((s["start"] + n).alias("start"),
+                                          F.substring(s["body"], n + 1, F.char_length(s["body"])).alias("body")))
+
+    def stretches(s: Column) -> Column:
+        # (start, body) between the placeholders of a candidate
+        def between(p: Column) -> Column:
+            def stretch(i: Column) -> Column:
+                lo = F.coalesce(F.get(p, i - 1)["end"], F.lit(0).cast("long"))
+                hi = F.coalesce(F.get(p, i)["start"], F.char_length(s["body"]).cast("long"))
+                return F.struct((s["start"] + lo).alias("start"),
+                                F.substring(s["body"], (lo + 1).cast("int"), (hi - lo).cast("int")).alias("body"))
+            return F.transform(F.sequence(F.lit(0), F.size(p)), stretch)
+
+        return F.when(s["body"].rlike(PLACEHOLDER), bind(_placed(s["body"], PLACEHOLDER), between)).otherwise(F.array(s))
 
     def least(b: Column) -> Column:
         return (F.when(b.rlike("^[0-9a-f]+$|^[0-9A-F]+$"), F.lit(HEX_BITS))
                 .when(~b.rlike("[a-z]") | ~b.rlike("[A-Z]"), F.lit(CASE_BITS)).otherwise(F.lit(MIXED_BITS)))
 
-    hot = F.transform(F.filter(_placed(text, CANDIDATE), kept), lambda s: F.struct(
+    runs = F.transform(F.filter(_placed(text, CANDIDATE), kept), lambda s: bind(undigested(s), stretches))
+    long = F.filter(F.flatten(runs), lambda s: F.char_length(s["body"]) >= WINDOW)
+    hot = F.transform(long, lambda s: F.struct(
         s["start"].alias("start"), hot_stretch(s["body"], least(s["body"])).alias("hot")))
     return F.transform(F.filter(hot, lambda s: s["hot"]["first"].isNotNull()), lambda s: F.struct(
         (s["start"] + s["hot"]["first"]).alias("start"), F.lit(KINDS.index("entropy")).alias("kind"),
@@ -210,7 +233,9 @@ def redact_documents(docs: DataFrame, text_col: str = "text", length_col: str |
 
 def sql() -> str:
     """The same scan as DuckDB SQL over ``documents``: places from the pieces
-    between matches, every window's entropy on its own."""
+    between matches, every window's entropy on its own.  It suppresses a
+    candidate with a placeholder or behind a checksum's name wholly, so it
+    lacks the entropy spans of what else is in such a candidate."""
     def lit(pattern: str) -> str:
         return "'" + pattern.replace("'", "''") + "'"
 

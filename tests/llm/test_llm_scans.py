@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import random
 import re
 from collections import Counter
 
@@ -134,6 +135,28 @@ def test_secret_scan_brute_force(spark, edge, real, none):
     assert S.secret_scan(none).collect() == []
 
 
+def test_allow_list_suppresses_no_more_than_it_matches(spark):
+    key = "Zx9Qw3Er7Ty1Ui5Op0AsDf2Gh"
+    digest = "24be64439e3e49cf46b2d7c90f3602a3d0b907ff"
+    r = random.Random(4)
+    run = "".join(r.choice("ABCDEFGHJKLMNPQRSTUVWabcdefghjkmnpqrtvwz123456789") for _ in range(5000))
+    whole = {1: f"see your-app/{key} now", 2: f"example_user=ghp_{key}", 3: f"sha256: {digest}/{key}", 4: f"{key}/xxxx"}
+    spared = {10: f"sha256: {digest}", 11: "EXAMPLEq8Xw2Zr5Tb9Lk3", 12: "xxxxxxxxxxxxxxxxxxxxxxxx1",
+              13: "integrity: sha256-q8Xw2Zr5/Tb9Lk3Vn7Mq8Xw2Zr+5Tb9Lk3Vn7=", 14: "0123456789abcdefghij"}
+    long = {20: run[:2500] + "xXxX" + run[2500:]}
+    docs = spark.createDataFrame(list((whole | spared | long).items()), "doc_id long, text string")
+    spans = {r.doc_id: [tuple(map(int, s.split(":")[1:])) for s in r.spans.split(",") if s.startswith("entropy")]
+             for r in S.secret_scan(docs).collect()}
+    for k, t in whole.items():
+        at = t.index(key)
+        assert len(spans[k]) == 1 and spans[k][0][0] <= at and at + len(key) <= spans[k][0][1]
+    assert spans[3][0][0] >= len(f"sha256: {digest}")
+    assert all(spans[k] == [] for k in spared)
+    assert spans[20] == [(0, 2500), (2504, 5004)]
+    text = {r.doc_id: r.text for r in S.redact_documents(docs, length_col=None).collect()}
+    assert not any(key in t for t in text.values()) and text[20] == f"{S.MARK}xXxX{S.MARK}"
+
+
 def py_redact(t):
     covered = [False] * len(t)
     starts = set()
