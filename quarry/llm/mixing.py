@@ -10,7 +10,8 @@
    shard k takes the seats from rank ``N_k`` to ``N_k+1``.  A source's seats
    among the first N differ from its rounded share by at most ``share *
    sources / 2 + 1``, so only quotients in that window are ranked: about five
-   rows per source and shard, whatever the number of blocks.
+   rows per source and shard, whatever the number of blocks.  A source that
+   wins no seat has one shorter block of its target's words.
 3. *Selection.*  A source's documents are put in seeded order and form one
    circular stream of words.  Blocks are cut from it beginning at a seeded
    block, and a quota of q blocks is the first ``q * block_words`` words
@@ -149,8 +150,9 @@ def plan(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, max_repeats: int
     seats = quotas(goals, block_words, shards).groupBy("place").agg(F.sum("seats").alias("seats"))
     blocks = F.greatest(F.ceil(F.col("source_size") / block_words), F.lit(1))
     goals = (goals.join(seats, "place", "left")
-             .withColumn("__words", F.least(F.coalesce("seats", F.lit(0)) * block_words,
-                                            F.col("source_size") * max_repeats))
+             .withColumn("__words", F.least(F.when(F.col("seats") > 0, F.col("seats") * block_words)
+                                            .when(F.col("target") > 0, F.greatest(F.round("target"), F.lit(1.0)).cast("long"))
+                                            .otherwise(F.lit(0)), F.col("source_size") * max_repeats))
              .withColumn("__rounds", F.when(F.col("source_size") > 0, F.floor(F.col("__words") / F.col("source_size")))
                          .otherwise(F.lit(0)))
              .withColumn("__from", F.pmod(seeded_number(seeded(seed, F.col("source"))), blocks) * block_words)
@@ -210,7 +212,8 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
 def sql(weights: tuple[float, ...] = WEIGHTS, max_repeats: int = MAX_REPEATS, block_words: int = BLOCK_WORDS,
         shards: int = SHARDS, seed: int = SEED) -> str:
     """The same mix as DuckDB SQL over ``documents``: blocks won one by one
-    by highest quotient, with one prefix sum per source."""
+    by highest quotient, with one prefix sum per source.  Here a source
+    without a seat takes nothing."""
     cases = " ".join(f"WHEN {i} THEN {float(w)!r}" for i, w in enumerate(weights))
     return f"""
 WITH rows_ AS (

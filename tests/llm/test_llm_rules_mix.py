@@ -155,6 +155,24 @@ def test_mix_edges(spark, edge, none):
     assert M.plan(none).collect() == [] and M.mix(none).collect() == []
 
 
+def test_sources_below_a_block_take_their_target(spark):
+    rows = [(i, " ".join(f"w{k}" for k in range(500)), "a", 0) for i in range(40)]
+    rows += [(100 + i, " ".join("xyz"[k % 3] for k in range(i % 10 + 1)), f"tiny{i:02}", 0) for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, n_chars long")
+    plan = [r for r in M.plan(docs).collect() if r["__source"] != "a"]
+    assert all(r.target == 3 * r.source_size for r in plan) and min(r.target for r in plan) == 3
+    small = [r for r in plan if r.target < M.BLOCK_WORDS / 2 - 4]
+    assert len(small) == 36 and all(r.taken == r.target for r in small)
+    assert {r.source for r in M.mix(docs).collect()} == {r[2] for r in rows}
+    # several documents, and a target that is no whole multiple of them
+    docs = spark.createDataFrame([(i, "one two three", "abc"[i % 3], 0) for i in range(12)], docs.schema)
+    taken, target = Counter(), {}
+    for r in M.plan(docs, block_words=1000).collect():
+        taken[r["__source"]] += r.taken
+        target[r["__source"]] = r.target
+    assert taken == {"a": 6, "b": 12, "c": 18} == target
+
+
 def test_mix_equals_sql_and_reruns(real):
     cols = ["doc_id", "size", "source_size", "target", "taken"]
     got = sorted(map(tuple, M.plan(real).select(*cols).collect()))
