@@ -23,9 +23,11 @@
 Defined results: null text has size 0; a null source is a source (the last);
 documents of size 0 take nothing; an empty table gives none; equal ids are
 ordered by their text's digest; rows equal in id, text and source stand side
-by side in the stream, and which of them takes what is open.  Only id, text
-and source are read; a source's words differ from its target by less than
-two blocks, and no document is taken more than ``max_repeats`` times.
+by side in the stream, in ``mix`` in order of a digest of their other columns
+(``plan`` leaves open which of them takes what), and every row keeps its own
+values.  ``plan`` reads only id, text and source; a source's words differ from
+its target by less than two blocks, and no document is taken more than
+``max_repeats`` times.
 """
 
 from __future__ import annotations
@@ -120,7 +122,8 @@ def _streams(rows: DataFrame, goals: DataFrame) -> DataFrame:
     n_ranges = F.greatest(F.ceil(F.col("n_docs") / RANGE_DOCS), F.lit(1))
     dealt = rows.join(goals, F.col("__source").eqNullSafe(F.col("source"))).drop("source").withColumn(
         "__range", F.floor(seeded_number(F.col("__order")) * n_ranges / F.lit(2.0 ** 32)))
-    inside = Window.partitionBy("place", "__range").orderBy("__order").rowsBetween(Window.unboundedPreceding, -1)
+    order = [c for c in ("__order", "__rest") if c in rows.columns]
+    inside = Window.partitionBy("place", "__range").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     ahead = Window.partitionBy("place").orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
     starts = (dealt.groupBy("place", "__range").agg(F.sum("size").alias("__in_range"))
               .select("place", "__range", F.coalesce(F.sum("__in_range").over(ahead), F.lit(0)).alias("__start")))
@@ -135,8 +138,9 @@ def _overlap(lo: Column, hi: Column, start: Column, end: Column) -> Column:
 
 def plan(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, max_repeats: int = MAX_REPEATS,
          block_words: int = BLOCK_WORDS, shards: int = SHARDS, seed: int = SEED, id_col: str = "doc_id",
-         text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """Per row: ``id_col``, __digest, __source, size, source_size, target,
+         text_col: str = "text", source_col: str = "source", rest: Column | None = None) -> DataFrame:
+    """Per row: ``id_col``, __digest, __rest (if ``rest`` is given, which orders
+    rows equal in id, text and source), __source, size, source_size, target,
     taken, and where its words lie: __at, __rounds (times it is taken whole),
     __from and __upto (the run that is taken once more, in the stream; it may
     pass the stream's end and go on at 0)."""
@@ -144,7 +148,7 @@ def plan(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, max_repeats: int
     # one small row per document: every later step reads these, not the texts
     rows = reliable_checkpoint(docs.select(
         F.col(id_col), F.col(source_col).alias("__source"), n_words(whole_text(text_col)).alias("size"),
-        digest.alias("__digest"), seeded(seed, F.col(id_col), digest).alias("__order")))
+        digest.alias("__digest"), *([] if rest is None else [rest.alias("__rest")]), seeded(seed, F.col(id_col), digest).alias("__order")))
     goals = targets(rows.groupBy(F.col("__source").alias("source")).agg(
         F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n_docs")), weights, max_repeats)
     seats = quotas(goals, block_words, shards).groupBy("place").agg(F.sum("seats").alias("seats"))
@@ -162,26 +166,35 @@ def plan(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, max_repeats: int
     once = (_overlap(lo, hi, F.col("__from"), F.col("__upto"))
             + _overlap(lo, hi, F.lit(0).cast("long"), F.col("__upto") - F.col("source_size")))
     return found.select(
-        id_col, "__digest", "__source", "size", "source_size", "target",
+        id_col, "__digest", *([] if rest is None else ["__rest"]), "__source", "size", "source_size", "target",
         (F.col("__rounds") * F.col("size") + once).alias("taken"), "__at", "__rounds", "__from", "__upto")
 
 
+def other_columns(docs: DataFrame, *known: str) -> Column:
+    """MD5 (hex) of all columns but the ``known`` ones."""
+    left = [F.col(f"`{c}`") for c in docs.columns if c not in known]
+    exact = "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"
+    return F.md5(F.to_json(F.struct(*left), {"ignoreNullFields": "false", "timestampFormat": exact + "XXX",
+                                             "timestampNTZFormat": exact})) if left else F.lit("")
+
+
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
         length_col: str | None = "n_chars", **options) -> DataFrame:
     """The mixed documents, with the columns of ``docs``: a document that is
     taken n times whole gives n rows as they are, and a part that is taken
     once more gives a row with that part's words (and its length in
     ``length_col``)."""
-    planned = plan(docs, id_col=id_col, text_col=text_col, source_col=source_col, **options)
-    keys = ["__key_id", "__key_source", "__digest"]
+    rest = other_columns(docs, id_col, text_col, source_col)
+    planned = plan(docs, id_col=id_col, text_col=text_col, source_col=source_col, rest=rest, **options)
+    keys = ["__key_id", "__key_source", "__digest", "__rest"]
     named = lambda c: F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit(""))
     same = (planned.withColumns({"__key_id": named(id_col), "__key_source": named("__source")})
             .groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"), F.min("__at").alias("__first"),
                                 *[F.first(c).alias(c) for c in ("size", "source_size", "__rounds", "__from", "__upto")])
             .withColumnsRenamed({"size": "__size", "source_size": "__source_size"}))
     keyed = docs.withColumns({"__key_id": named(id_col), "__key_source": named(source_col),
-                              "__digest": F.md5(whole_text(text_col))})
-    # equal rows lie side by side in the stream: row j begins j sizes after the first
+                              "__digest": F.md5(whole_text(text_col)), "__rest": rest})
+    # rows equal in all columns lie side by side in the stream: row j begins j sizes after the first
     rows = (keyed.join(same, keys).dropDuplicates(keys).where("__size > 0")
             .withColumn("__j", F.explode(F.sequence(F.lit(0).cast("long"), F.col("__n") - 1)))
             .withColumn("__at", F.col("__first") + F.col("__j") * F.col("__size")))

@@ -173,6 +173,19 @@ def test_sources_below_a_block_take_their_target(spark):
     assert taken == {"a": 6, "b": 12, "c": 18} == target
 
 
+def test_mix_keeps_the_other_columns_of_equal_keys(spark):
+    text = "one two three four five"
+    rows = [(1, text, "a", lang, len(text), at) for lang, at in (
+        ("en", "2026-01-01 00:00:00.000001"), ("de", None), (None, None), ("en", "2026-01-01 00:00:00.000002"),
+        ("en", "2026-01-01 00:00:00.000002"))] + [(2, "x " * 500, "b", "fr", 1000, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string, n_chars long, at string")
+    docs = docs.withColumn("at", docs["at"].cast("timestamp"))
+    got = Counter(r for r in M.mix(docs, block_words=25).collect() if r.doc_id == 1)
+    # the small source stops at three times its rows
+    assert got == Counter({r: 3 * n for r, n in Counter(r for r in docs.collect() if r.doc_id == 1).items()})
+    assert sorted(got.values()) == [3, 3, 3, 6]
+
+
 def test_mix_equals_sql_and_reruns(real):
     cols = ["doc_id", "size", "source_size", "target", "taken"]
     got = sorted(map(tuple, M.plan(real).select(*cols).collect()))
