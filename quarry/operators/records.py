@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.functions import text as T
+from quarry.session import reliable_checkpoint
 
 # Fixed values of the reference.
 BATCH_SIZE = 10_000
@@ -89,26 +90,29 @@ def attach(ranked: DataFrame, details: DataFrame, left_id: str, right_id: str, c
 
 
 def dense_index(df: DataFrame, order_col, name: str = "idx") -> DataFrame:
-    """0-based row index in ``order_col`` order, without a global window.
+    """0-based row index in ``order_col`` order (names or columns),
+    without a global window.
 
     Rows are range-partitioned and sorted within partitions; a partition's
     global offset is the row count of the partitions before it (one row per
-    partition), so no task ever holds more than its own range."""
-    cols = [order_col] if isinstance(order_col, str) else list(order_col)
+    partition), so no task ever holds more than its own range.  The ranges
+    are drawn from a sample, so the ranged rows are checkpointed before they
+    are counted and numbered: both reads see the same partitions."""
+    cols = [order_col] if isinstance(order_col, str | Column) else list(order_col)
     nparts = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
     # seeded salt as the last range key: many equal order keys still spread
-    salted = df.withColumn("_salt", F.rand(7))
-    ranged = salted.repartitionByRange(nparts, *cols, "_salt").sortWithinPartitions(*cols, "_salt")
-    pos = (ranged.drop("_salt").withColumn("_pid", F.spark_partition_id())
-           .withColumn("_mid", F.monotonically_increasing_id()))
-    counts = pos.groupBy("_pid").agg(F.count(F.lit(1)).alias("_c"))
+    salted = df.withColumn("__salt", F.rand(7))
+    ranged = salted.repartitionByRange(nparts, *cols, "__salt").sortWithinPartitions(*cols, "__salt")
+    pos = reliable_checkpoint(ranged.drop("__salt").withColumn("__pid", F.spark_partition_id())
+                              .withColumn("__mid", F.monotonically_increasing_id()))
+    counts = pos.groupBy("__pid").agg(F.count(F.lit(1)).alias("__c"))
     # one task, one row per partition
-    before = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select("_pid", F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_off"))
-    local = F.col("_mid") - F.shiftleft(F.col("_pid").cast("long"), 33)
-    return (pos.join(offsets, "_pid")
-            .withColumn(name, (F.col("_off") + local).cast("long"))
-            .drop("_pid", "_mid", "_off"))
+    before = Window.orderBy("__pid").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select("__pid", F.coalesce(F.sum("__c").over(before), F.lit(0)).alias("__off"))
+    local = F.col("__mid") - F.shiftleft(F.col("__pid").cast("long"), 33)
+    return (pos.join(offsets, "__pid")
+            .withColumn(name, (F.col("__off") + local).cast("long"))
+            .drop("__pid", "__mid", "__off"))
 
 
 def batch_of(index: Column, size: int = BATCH_SIZE) -> Column:

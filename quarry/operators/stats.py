@@ -64,16 +64,18 @@ def exact_quantiles(df: DataFrame, col: str, probs) -> DataFrame:
 
     Scales without gathering the column: values are range-partitioned and
     sorted within partitions, each partition's row count gives its global
-    offset, and only the rows at the wanted ranks are kept.  Output: one
-    row with a column ``q_<i>`` per probability."""
+    offset, and only the rows at the wanted ranks are kept.  The ranges come
+    from a sample, so the ranged values are checkpointed: the counts and the
+    ranks see the same partitions.  Output: one row with a column ``q_<i>``
+    per probability."""
     vals = df.select(F.col(col).cast("double").alias("v")).where(F.col("v").isNotNull())
     nparts = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
     # a seeded salt as the second range key splits a hot value (a third of
     # all rows equal) over several partitions; order by value is unchanged
     salted = vals.withColumn("_salt", F.rand(SALT_SEED))
     ranged = salted.repartitionByRange(nparts, "v", "_salt").sortWithinPartitions("v", "_salt")
-    pos = ranged.select("v", F.spark_partition_id().alias("pid"),
-                        F.monotonically_increasing_id().alias("mid"))
+    pos = reliable_checkpoint(ranged.select("v", F.spark_partition_id().alias("pid"),
+                                            F.monotonically_increasing_id().alias("mid")))
     counts = pos.groupBy("pid").agg(F.count(F.lit(1)).alias("c"))
     before = Window.orderBy("pid").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (counts.withColumn("off", F.coalesce(F.sum("c").over(before), F.lit(0)))

@@ -131,10 +131,12 @@ def fallback_join(spark, sf_dir):
 
 @register("row_index", """
 SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS idx,
-       CAST(floor((row_number() OVER (ORDER BY doc_id) - 1) / 10000) AS INTEGER) AS batch_id FROM documents""")
+       CAST(floor((row_number() OVER (ORDER BY doc_id) - 1) / 10000) AS INTEGER) AS batch_id,
+       md5(text) AS text_md5, lang, source, n_chars FROM documents""")
 def row_index(spark, sf_dir):
-    idx = R.dense_index(table(spark, sf_dir, "documents").select("doc_id"), "doc_id")
-    return idx.select("doc_id", "idx", R.batch_of(F.col("idx")).alias("batch_id"))
+    docs = table(spark, sf_dir, "documents").withColumn("text_md5", F.md5("text")).drop("text")
+    idx = R.dense_index(docs, "doc_id")
+    return idx.withColumn("batch_id", R.batch_of(F.col("idx")))
 
 
 @register("batch_ranges", """

@@ -62,3 +62,20 @@ def test_cast_all_string_and_topic_info(spark):
     assert sorted(tuple(r) for r in out.collect()) == [("1", "2.5", None), ("2", "3.0", "true")]
     info = spark.createDataFrame([(1, 0, 0.9), (2, 0, 0.8), (3, -1, 0.0)], "doc_id long, topic int, probability double")
     assert {r.topic: r.n for r in topics.topic_info(info).collect()} == {0: 2, -1: 1}
+
+
+def test_dense_index_of_whole_rows_beyond_the_sampler(spark):
+    """Rows with payload columns, hot keys and nulls, more rows than the range
+    sampler reads: every index once, in the order of the keys."""
+    n = 60_000
+    df = (spark.range(n).withColumn("k", F.when(F.col("id") % 3 == 0, F.lit(7)).when(F.col("id") % 101 == 0, F.lit(None))
+                                    .otherwise(F.pmod(F.xxhash64("id"), F.lit(5000))))
+          .withColumn("payload", F.repeat(F.lit("x"), 20)).repartition(40))
+    got = R.dense_index(df, ["k", "id"])
+    assert got.columns == ["id", "k", "payload", "idx"]
+    s = got.agg(F.count("*").alias("n"), F.countDistinct("idx").alias("d"), F.min("idx").alias("lo"), F.max("idx").alias("hi")).first()
+    assert (s.n, s.d, s.lo, s.hi) == (n, n, 0, n - 1)
+    rows = got.orderBy("idx").select("k", "id").collect()
+    key = [(r.k is not None, r.k or 0, r.id) for r in rows]
+    assert key == sorted(key)
+    assert R.dense_index(df.limit(0), "k").count() == 0
