@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.llm import license_scan as licenses
-from quarry.llm import merkle, mixing
+from quarry.llm import decontaminate, merkle, mixing
 from quarry.llm import quality_classifier as classifier
 from quarry.llm import quality_rules as rules
 from quarry.llm import secret_scan as secrets
@@ -92,3 +92,8 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op11_merkle", sql=merkle.sql())
 def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.proofs(documents(spark, sf_dir))
+
+
+@query("op12_decontaminate", sql=decontaminate.sql())
+def op12_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contamination(documents(spark, sf_dir), documents(spark, sf_dir, "benchmark"))
