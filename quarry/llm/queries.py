@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.llm import license_scan as licenses
-from quarry.llm import decontaminate, merkle, mixing
+from quarry.llm import decontaminate, hard_negatives, merkle, mixing
 from quarry.llm import quality_classifier as classifier
 from quarry.llm import quality_rules as rules
 from quarry.llm import secret_scan as secrets
@@ -97,3 +97,9 @@ def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op12_decontaminate", sql=decontaminate.sql())
 def op12_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(documents(spark, sf_dir), documents(spark, sf_dir, "benchmark"))
+
+
+@query("op13_hard_negatives", sql=hard_negatives.sql())
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(documents(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, label=label)
