@@ -12,8 +12,9 @@ is the mean weight of its n-grams, and it is kept if the score is at least
 
 The counts are combined on the map side to at most ``BUCKETS`` rows a task.
 The weights are one array of ``BUCKETS`` doubles, a bound that no input
-changes, handed to the scoring projection as a scalar subquery.  Scoring is
-row-local: no shuffle, and the kept rows are the scanned rows.  Everything
+changes, handed to the scoring projection as a scalar subquery.  Which
+documents are trusted is found by a join of those that a bitmap of fixed size
+leaves in question, so the other texts do not move.  Scoring is row-local: no shuffle, and the kept rows are the scanned rows.  Everything
 is built-in column functions.
 
 Base rules beside it count words, symbols, repeated lines and repeated
@@ -40,29 +41,53 @@ SMOOTH = 8.0
 THRESHOLD = -0.2
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
+BITMAP_WORDS = 1 << 18  # longs of the bitmap of trusted ids: 2 MiB for any table
+FEW = 64  # repeated windows that are looked up one by one instead of sorted with their places
+
+
+def hashed(n: int, *parts: Column) -> Column:
+    h = F.xxhash64(*parts)
+    return (h.bitwiseAND(F.lit(n - 1)) if n & (n - 1) == 0 else F.pmod(h, F.lit(n))).cast("int")
 
 
 def buckets(text: Column, n: int = BUCKETS) -> Column:
     """Buckets of all single tokens, then of all neighbouring pairs."""
-    def hashed(*parts: Column) -> Column:
-        return F.pmod(F.xxhash64(*parts), F.lit(n)).cast("int")
-
     def both(t: Column) -> Column:
         pairs = F.transform(F.slice(t, 2, F.greatest(F.size(t) - 1, F.lit(0))),
-                            lambda w, i: hashed(F.get(t, i), w))
-        return F.concat(F.transform(t, lambda w: hashed(w)), pairs)
+                            lambda w, i: hashed(n, F.get(t, i), w))
+        return F.concat(F.transform(t, lambda w: hashed(n, w)), pairs)
 
     return bind(words(text, TOKEN), both)
 
 
+def id_bitmap(ids: DataFrame, words: int = BITMAP_WORDS) -> DataFrame:
+    """One row: ``bitmap``, ``words`` longs with a bit set for every id's hash."""
+    place = F.pmod(F.xxhash64("__id"), F.lit(64 * words))
+    marks = ids.groupBy(F.shiftright(place, 6).alias("w")).agg(
+        F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), place.bitwiseAND(F.lit(63)).cast("int"))).alias("m"))
+    every = ids.sparkSession.range(words).withColumnRenamed("id", "w").join(marks, "w", "left")
+    listed = F.sort_array(F.collect_list(F.struct("w", F.coalesce("m", F.lit(0)).alias("m"))))
+    return every.agg(F.transform(listed, lambda x: x["m"]).alias("bitmap"))
+
+
+def in_bitmap(bitmap: Column, key: Column, words: int = BITMAP_WORDS) -> Column:
+    place = F.pmod(F.xxhash64(key), F.lit(64 * words))
+    word = F.get(bitmap, F.shiftright(place, 6).cast("int"))
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), place.bitwiseAND(F.lit(63)).cast("int"))
+    return F.coalesce(word.bitwiseAND(bit) != 0, F.lit(False))
+
+
 def log_ratios(docs: DataFrame, trusted: DataFrame, n: int = BUCKETS, smooth: float = SMOOTH,
                id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row: ``weights``, the ``n`` weights in order of bucket.
     ``trusted`` has the ids of the target's documents in ``id_col``."""
-    mark = trusted.select(F.col(id_col).alias("__id")).where("__id IS NOT NULL").distinct().withColumn(
-        "__trusted", F.lit(1))
-    rows = docs.select(F.col(id_col).alias("__id"), whole_text(text_col).alias("__text")).join(
-        mark.hint("merge"), "__id", "left")
+    mark = trusted.select(F.col(id_col).alias("__id")).where("__id IS NOT NULL").distinct()
+    every = docs.select(F.col(id_col).alias("__id"), whole_text(text_col).alias("__text")).withColumn(
+        "__maybe", in_bitmap(id_bitmap(mark).scalar(), F.col("__id")))
+    # only texts whose id the bitmap has meet the trusted ids, the others stay
+    met = every.where("__maybe").join(mark.withColumn("__trusted", F.lit(1)).hint("merge"), "__id", "left")
+    rows = every.where(~F.col("__maybe")).select("__text", F.lit(None).cast("int").alias("__trusted")).unionByName(
+        met.select("__text", "__trusted"))
     counts = (rows.select(F.coalesce("__trusted", F.lit(0)).alias("t"),
                           F.explode(buckets(F.col("__text"), n)).alias("bucket"))
               .groupBy("bucket").agg(F.count(F.lit(1)).alias("raw"), F.sum("t").alias("target")))
@@ -86,18 +111,31 @@ def score(text: Column, table: Column, n: int = BUCKETS) -> Column:
 def repeat_words(w: Column) -> Column:
     """Words of the word array ``w`` that lie in a three-word window that
     occurs at least twice in it."""
-    def covered(h: Column) -> Column:
+    def words_at(first: Column) -> Column:
+        return F.size(F.array_distinct(F.flatten(F.transform(first, lambda i: F.array(i, i + 1, i + 2)))))
+
+    def few(h: Column, twice: Column) -> Column:
+        at = F.transform(h, lambda x, i: F.when(F.array_contains(twice, x), i))
+        return words_at(F.filter(at, lambda i: i.isNotNull()))
+
+    def many(h: Column) -> Column:
         def again(s: Column) -> Column:
             rep = F.filter(s, lambda x, j: (F.get(s, j - 1)["h"] == x["h"]) | (F.get(s, j + 1)["h"] == x["h"]))
-            at = F.flatten(F.transform(rep, lambda x: F.array(x["i"], x["i"] + 1, x["i"] + 2)))
-            return F.size(F.array_distinct(at))
+            return words_at(F.transform(rep, lambda x: x["i"]))
+
+        return bind(F.sort_array(F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("i")))), again)
+
+    def covered(h: Column) -> Column:
+        def by(twice: Column) -> Column:
+            return F.when(F.size(twice) <= FEW, few(h, twice)).otherwise(many(h))
 
-        placed = F.sort_array(F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("i"))))
-        return F.when(F.size(F.array_distinct(h)) == F.size(h), F.lit(0)).otherwise(bind(placed, again))
+        repeated = lambda s: F.array_distinct(F.filter(s, lambda x, j: x == F.get(s, j - 1)))
+        return bind(bind(F.sort_array(h), repeated), by)
 
     windows = F.transform(F.slice(w, 3, F.greatest(F.size(w) - 2, F.lit(0))),
                           lambda x, i: F.xxhash64(F.get(w, i), F.get(w, i + 1), x))
-    return F.when(F.size(w) < 4, F.lit(0)).otherwise(bind(windows, covered))
+    some = lambda h: F.when(F.size(F.array_distinct(h)) == F.size(h), F.lit(0)).otherwise(covered(h))
+    return F.when(F.size(w) < 4, F.lit(0)).otherwise(bind(windows, some))
 
 
 def base_rules(text: Column) -> Column:
