@@ -187,7 +187,8 @@ def near_dedup(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, max_bits: in
     stay = found.groupBy("root").agg(F.min(first).alias("first")).select(*[f"first.{k}" for k in keys])
     keyed = docs.withColumns({"__no_id": no_id, "__id": name, "__text_hash": text_hash})
     # the join has dealt the rows by these keys, so the last step moves none
-    return keyed.join(stay, keys, "left_semi").dropDuplicates(keys).select(*docs.columns)
+    return keyed.join(stay, keys, "left_semi").dropDuplicates(keys).select(
+        *[F.col(f"`{c}`") for c in docs.columns])
 
 
 def hex_digits(fp: str | Column = "fp") -> Column:

@@ -14,7 +14,7 @@ fingerprint is its size, sum and xor, which no order of words or rows changes.
 neighbours cannot reach the Jaccard likeness ``least`` and are not compared;
 others are compared through the smaller set, which ends as soon as the
 elements not found push the bound below ``least``.  Likeness below ``least``
-is 0, any other is exact.
+is 0, any other is exact; with the default of 0 all are.
 
 *Neighbours.*  ``next_in_order`` gives every document the text of its
 successor in descending id without a global window: the ids alone are cut
@@ -50,7 +50,7 @@ der die das und ist ein eine einen von zu mit den dem des nicht sich auf im
 el los las y del al se su por con para es lo
 """.split())
 CHAIN = 3
-LEAST = 0.02
+LEAST = 0.0
 WORD = re.compile(r"\w+")
 
 
