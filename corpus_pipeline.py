@@ -44,7 +44,7 @@ def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ship_package(spark)
-    return sentencepiece_codec.encode(docs, keep=("lang", "source", "n_chars"))
+    return sentencepiece_codec.encode(docs, keep=tuple(c for c in docs.columns if c not in ("doc_id", "text")))
 
 
 STAGES = [
