@@ -55,14 +55,18 @@ def parquet_tree(spark, sf_dir):
     return IO.read_parquet_tree(spark, path, "*.parquet").select("doc_id", "quality", "toxic")
 
 
-@register("parquet_tolerant", "SELECT page_id, url FROM pages WHERE page_id % 2 = 0")
+@register("parquet_tolerant", "SELECT page_id, url FROM pages")
 def parquet_tolerant(spark, sf_dir):
-    """The output folder is no input, its sibling and an empty file are."""
+    """The output folder is no input; its siblings, which hold all pages
+    between them, and an empty file are.  The output folder has a marked copy
+    of every page, so that any leak of it shows."""
     path, pages = scratch(spark), table(spark, sf_dir, "pages").select("page_id", "url")
-    IO.write_parquet(pages.where("page_id % 2 = 1"), f"{path}/out")
-    IO.write_parquet(pages.where("page_id % 2 = 0"), f"{path}/out_more")
+    odd = F.col("page_id") % 2 == 1
+    IO.write_parquet(pages.withColumn("url", F.concat(F.lit("leaked:"), "url")), f"{path}/out")
+    IO.write_parquet(pages.where(odd), f"{path}/out_more")
+    IO.write_parquet(pages.where(~odd | F.col("page_id").isNull()), f"{path}/more")
     IO.write_parquet(pages.limit(0), f"{path}/empty")
-    paths = [f"{path}/{p}" for p in ("out", "out_more", "empty")]
+    paths = [f"{path}/{p}" for p in ("out", "out_more", "more", "empty")]
     return IO.read_parquet_tolerant(spark, paths, exclude=f"{path}/out")
 
 

@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quarry.operators import density, models, similarity as S, summaries as SM, terms as TM, topics
+from quarry.operators import density, hierarchy, models, similarity as S, summaries as SM, terms as TM, topics
 from quarry.functions import text as T
 from quarry.functions.stopwords import label_stop_words, sql_list
 from quarry.plans import sqlparts as Q
@@ -95,6 +95,14 @@ def density_cluster(spark, sf_dir):
     return out.select("doc_id", "cluster", F.round("core", 6).alias("core"))
 
 
+@register("density_hierarchy")
+def density_hierarchy(spark, sf_dir):
+    """M4 with its condensed tree, over every vector; held against a plain
+    recursion over all thresholds in the tests."""
+    return hierarchy.hierarchy_cluster(table(spark, sf_dir, "embeddings"), MIN_SAMPLES, MIN_CLUSTER_SIZE,
+                                       id_col="vec_id", vec_col="embedding")
+
+
 def _topic_top_docs(spark, sf_dir):
     """W1 input of the summariser: each topic's top documents, with text
     vectors from the encoder (M1), as the reference embeds its abstracts."""

@@ -151,16 +151,12 @@ def concat_by_cluster(spark, sf_dir):
 
 
 def _layout(spark, sf_dir):
-    """per topic, a summary text with ten 'Subtheme i: label - body'
-    parts built from its ten most central documents."""
-    rep = S.top_members(_doc_topic(spark, sf_dir, 10), "sim", 10, group_col="topic")
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    j = rep.join(docs, "doc_id").select(
-        "topic", "rank",
-        F.concat(F.lit("Subtheme "), F.col("rank").cast("string"), F.lit(": "),
-                 F.substring("text", 1, 20), F.lit(" - "), T.split_sentences("text")[0]).alias("piece"))
-    g = j.groupBy("topic").agg(F.array_sort(F.collect_list(F.struct("rank", "piece"))).alias("s"))
-    return g.select("topic", F.array_join(F.transform("s", lambda x: x["piece"]), "\n").alias("summary"))
+    """per document, a summary text with a 'Subtheme i: label - body'
+    part for every sentence of its whole text; the label is the sentence's
+    beginning.  Row-local."""
+    piece = F.transform(T.split_sentences("text"), lambda s, i: F.concat(
+        F.lit("Subtheme "), (i + 1).cast("string"), F.lit(": "), F.substring(s, 1, 20), F.lit(" - "), s))
+    return table(spark, sf_dir, "documents").select("doc_id", F.array_join(piece, "\n").alias("summary"))
 
 
 _Q = "''"
@@ -172,20 +168,18 @@ _BODY_SQL = (f"CASE WHEN starts_with(p, {_Q}{_Q}) AND regexp_matches(p, '(?s)^{_
              "WHEN strpos(p, ' - ') > 0 THEN trim(substring(p, strpos(p, ' - ') + 3)) ELSE trim(p) END")
 
 
-@register("split_subthemes", f"""WITH {CENT_CTE},
-rep AS (SELECT CAST(topic AS INTEGER) AS topic, doc_id,
-        row_number() OVER (PARTITION BY topic ORDER BY round(sim, 6) DESC, doc_id) AS rank FROM dsim QUALIFY rank <= 10),
-sents AS (SELECT doc_id, text, list_filter(string_split(regexp_replace(text, '([.!?])[{WS}]+', '\\1' || chr(1), 'g'), chr(1)), lambda s: length(s) > 0) AS s FROM documents),
-pieces AS (SELECT r.topic, r.rank, 'Subtheme ' || CAST(r.rank AS VARCHAR) || ': ' || substring(d.text, 1, 20) || ' - ' || coalesce(d.s[1], '') AS piece
-           FROM rep r JOIN sents d USING (doc_id)),
-layout AS (SELECT topic, string_agg(piece, chr(10) ORDER BY rank) AS summary FROM pieces GROUP BY topic),
-parts AS (SELECT topic, string_split_regex(summary, 'Subtheme \\d+: ') AS parts FROM layout),
-ex AS (SELECT topic, unnest(parts[2:]) AS p, unnest(generate_series(1, len(parts) - 1)) AS subtheme_no FROM parts)
-SELECT topic, CAST(subtheme_no AS INTEGER) AS subtheme_no, {_LABEL_SQL} AS label, {_BODY_SQL} AS body FROM ex""")
+@register("split_subthemes", f"""WITH sents AS (
+  SELECT doc_id, list_filter(string_split(regexp_replace(text, '([.!?])[{WS}]+', '\\1' || chr(1), 'g'), chr(1)), lambda s: length(s) > 0) AS s FROM documents),
+layout AS (SELECT doc_id, array_to_string(list_transform(s, lambda x, i: 'Subtheme ' || CAST(i AS VARCHAR) || ': ' || substring(x, 1, 20) || ' - ' || x), chr(10)) AS summary
+           FROM sents),
+parts AS (SELECT doc_id, string_split_regex(summary, 'Subtheme \\d+: ') AS parts FROM layout),
+ex AS (SELECT doc_id, unnest(parts[2:]) AS p, unnest(generate_series(1, len(parts) - 1)) AS subtheme_no FROM parts)
+SELECT doc_id, CAST(subtheme_no AS INTEGER) AS subtheme_no, {_LABEL_SQL} AS label, {_BODY_SQL} AS body FROM ex""")
 def split_subthemes(spark, sf_dir):
+    """F12/F13 over every sentence of every document."""
     lay = _layout(spark, sf_dir)
-    ex = lay.select("topic", F.posexplode(T.split_subthemes("summary")).alias("i", "p"))
-    return ex.select("topic", (F.col("i") + 1).cast("int").alias("subtheme_no"),
+    ex = lay.select("doc_id", F.posexplode(T.split_subthemes("summary")).alias("i", "p"))
+    return ex.select("doc_id", (F.col("i") + 1).cast("int").alias("subtheme_no"),
                      T.subtheme_label("p").alias("label"), T.subtheme_body("p").alias("body"))
 
 
