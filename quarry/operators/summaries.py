@@ -24,6 +24,7 @@ from quarry.operators import models, similarity as S
 from quarry.session import reliable_checkpoint
 
 # Fixed values of the reference's summariser.
+NO_REPEAT = 3  # fixed: words of a run that a summary has once
 MIN_LENGTH = 150
 MAX_LENGTH = 1024
 NUM_LABELS = 5
@@ -109,22 +110,40 @@ def dedupe_sentences(df: DataFrame, key: str, text_col: str,
     return _per_text(df, key, text_col, _sentence_items(text_col), greedy, "refined string", make_predict_fn)
 
 
+def word_grams(sentence: str, n: int) -> list[tuple[str, ...]]:
+    """Runs of ``n`` words, in lower case, in order."""
+    w = sentence.lower().split()
+    return [tuple(w[i:i + n]) for i in range(len(w) - n + 1)]
+
+
 def extractive_summary(df: DataFrame, key: str, text_col: str, make_predict_fn=None,
-                       min_words: int = MIN_LENGTH, max_words: int = MAX_LENGTH) -> DataFrame:
+                       min_words: int = MIN_LENGTH, max_words: int = MAX_LENGTH,
+                       no_repeat: int | None = None) -> DataFrame:
     """M16 offline default: highest-centrality sentences, original order.
     Output (key, summary, source): ``source`` is the text itself.
 
     Sentences are ranked by cosine to the mean sentence vector of their
     text; they are taken in rank order until ``min_words`` is reached
-    (never beyond ``max_words``), then re-ordered by position."""
+    (never beyond ``max_words``), then re-ordered by position.
+
+    ``no_repeat`` (the reference's decoder rule, 3): a sentence that has a run
+    of so many words twice, or one of a sentence taken before it, is passed
+    over and its words count nothing.  The set of runs taken is kept per text.
+    Only the first of the ranking is taken in any case."""
 
     def central(text, items, vecs):
         if not items:
             return [(None, text)]
         score = _cosines(vecs, vecs.mean(axis=0))
-        chosen, words = [], 0
+        chosen, words, taken = [], 0, set()
         for r, i in enumerate(np.lexsort((np.arange(len(items)), -score)).tolist()):
             n = items[i]["n_words"]
+            if no_repeat is not None:
+                grams = word_grams(items[i]["part"], no_repeat)
+                if r and (len(set(grams)) < len(grams) or not taken.isdisjoint(grams)):
+                    continue
+                if words < min_words and (words + n <= max_words or r == 0):
+                    taken.update(grams)
             if words < min_words and (words + n <= max_words or r == 0):
                 chosen.append(i)
             words += n
@@ -135,14 +154,14 @@ def extractive_summary(df: DataFrame, key: str, text_col: str, make_predict_fn=N
 
 
 def summarise(df: DataFrame, key: str, text_col: str, summariser=None,
-              make_predict_fn=None) -> DataFrame:
+              make_predict_fn=None, no_repeat: int | None = None) -> DataFrame:
     """User seq2seq model when given, else the extractive default;
     a failed (null) summary falls back to the first 500 characters (F25)."""
     if summariser is not None:
         udf = predict_batch_udf(summariser, return_type=Ty.StringType(), batch_size=8)
         out = df.select(key, text_col, udf(F.col(text_col)).alias("summary"))
     else:
-        out = extractive_summary(df, key, text_col, make_predict_fn).withColumnRenamed("source", text_col)
+        out = extractive_summary(df, key, text_col, make_predict_fn, no_repeat=no_repeat).withColumnRenamed("source", text_col)
     return out.select(key, T.fallback_text(F.col("summary"), F.col(text_col)).alias("summary"))
 
 

@@ -265,6 +265,14 @@ def extractive_summary(spark, sf_dir):
     return SM.summarise(docs, "doc_id", "text")
 
 
+@register("extractive_summary_no_repeat")
+def extractive_summary_no_repeat(spark, sf_dir):
+    """M16 with no run of three words twice; held against a plain greedy pass
+    in the tests."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return SM.summarise(docs, "doc_id", "text", no_repeat=SM.NO_REPEAT)
+
+
 @register("topic_report")
 def topic_report(spark, sf_dir):
     return SM.topic_report(_topic_top_docs(spark, sf_dir))

@@ -1,5 +1,7 @@
 """Summary operators: properties of dedupe, extractive summary, labels."""
 
+import re
+
 import numpy as np
 from pyspark.sql import functions as F
 
@@ -40,6 +42,38 @@ def test_extractive_summary_keeps_order(spark):
     assert picked and out == " ".join(picked)
 
 
+def plain_no_repeat(text, n=3):
+    """Greedy choice by rank, sentence by sentence, outside Spark."""
+    parts = [x for x in re.split(r"(?<=[.!?])\s+", text) if x]
+    vecs = np.asarray(models.hashing_encoder()()(np.array(parts, dtype=object)), float)
+    score = SM._cosines(vecs, vecs.mean(axis=0))
+    chosen, words, seen = [], 0, []
+    for r, i in enumerate(sorted(range(len(parts)), key=lambda i: (-score[i], i))):
+        w = parts[i].lower().split()
+        runs = [w[k:k + n] for k in range(len(w) - n + 1)]
+        if r and (any(runs.count(x) > 1 for x in runs) or any(x in seen for x in runs)):
+            continue
+        if words < SM.MIN_LENGTH and (words + len(w) <= SM.MAX_LENGTH or r == 0):
+            chosen.append(i)
+            seen += runs
+        words += len(w)
+    return " ".join(parts[i] for i in sorted(chosen)), seen
+
+
+def test_extractive_summary_without_repeated_runs(spark):
+    echo = "We say it again we say it again today. " + TEXT
+    texts = [TEXT, echo, TEXT + " " + TEXT, "One. Two words. One."]
+    df = spark.createDataFrame(list(enumerate([*texts, "", None])), "k long, t string")
+    got = {r.k: r.summary for r in SM.summarise(df, "k", "t", no_repeat=3).collect()}
+    for k, text in enumerate(texts):
+        want, runs = plain_no_repeat(text)
+        assert got[k] == want
+        assert len(set(map(tuple, runs))) == len(runs)
+    assert "we say it again we say it" not in got[1].lower()
+    assert got[2].count("Recycling plants sort") == 1 and got[2].count("Landfill remains") == 1
+    assert set(got) == set(range(6))
+
+
 def test_keyword_labels(spark):
     df = spark.createDataFrame([(1, "Recycling of plastic bottles; plastic bottles recycling study"),
                                 (2, "the of and")], "k long, t string")
