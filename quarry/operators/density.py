@@ -24,30 +24,27 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarry.operators import blocks
+from quarry.operators import blocks, pivots
 from quarry.operators.components import connected_components
+from quarry.operators.pivots import distances
 from quarry.operators.records import dense_index
 from quarry.session import reliable_checkpoint
 
 NOISE = -1
 
 
-def _pairwise_dist(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    sq = (a * a).sum(1)[:, None] + (b * b).sum(1)[None, :] - 2.0 * (a @ b.T)
-    return np.sqrt(np.maximum(sq, 0.0))
+NEAR_SCHEMA = "id long, d double"
 
 
-def nearest_distances(points: DataFrame, k: int, n_rows: int,
-                      block_rows: int = blocks.DEFAULT_BLOCK_ROWS) -> DataFrame:
-    """(id, near): ascending distances to the k nearest other points."""
-    n_blk = blocks.n_blocks(n_rows, block_rows)
+def _near_kernel(k: int):
+    """The k least distances of each row of two blocks, as ``NEAR_SCHEMA``."""
 
     def kernel(left: pd.DataFrame, right: pd.DataFrame, same: bool) -> pd.DataFrame:
         a, b = blocks.matrix(left["vec"]), blocks.matrix(right["vec"])
         ia, ib = left["id"].to_numpy(np.int64), right["id"].to_numpy(np.int64)
         if len(ia) == 0 or len(ib) == 0:
             return pd.DataFrame({"id": [], "d": []})
-        dist = _pairwise_dist(a, b)
+        dist = distances(a, b)
         if same:
             dist[ia[:, None] == ib[None, :]] = np.inf
         out_i, out_d = [], []
@@ -61,7 +58,33 @@ def nearest_distances(points: DataFrame, k: int, n_rows: int,
         keep = np.isfinite(d)
         return pd.DataFrame({"id": i[keep], "d": d[keep]})
 
-    cand = blocks.run_pairs(points, "id", n_blk, kernel, "id long, d double")
+    return kernel
+
+
+def nearest_distances(points: DataFrame, k: int, n_rows: int,
+                      block_rows: int = blocks.DEFAULT_BLOCK_ROWS) -> DataFrame:
+    """(id, near): ascending distances to the k nearest other points."""
+    n_blk = blocks.n_blocks(n_rows, block_rows)
+
+    return _nearest_k(blocks.run_pairs(points, "id", n_blk, _near_kernel(k), NEAR_SCHEMA), k)
+
+
+def nearest_distances_pruned(points: DataFrame, k: int, cell_rows: int = pivots.CELL_ROWS,
+                             max_pivots: int = pivots.MAX_PIVOTS,
+                             block_rows: int = blocks.DEFAULT_BLOCK_ROWS) -> DataFrame:
+    """The rows of ``nearest_distances``, where only those blocks meet that can
+    hold one of the k nearest (``pivots``)."""
+
+    def limits(rows: pd.DataFrame, found: pd.DataFrame) -> np.ndarray:
+        kth = found.groupby("id")["d"].agg(["max", "size"]).reindex(rows["id"])
+        scale = 1.0 + np.linalg.norm(blocks.matrix(rows["vec"]), axis=1)  # rounding grows with the vectors
+        return np.nan_to_num(kth["max"].where(kth["size"] >= k).to_numpy(), nan=np.inf) + 1e-6 * scale
+
+    search = pivots.Search(k, _near_kernel(k), NEAR_SCHEMA, lambda x: x, limits)
+    return _nearest_k(pivots.nearest(pivots.usable(points, "id", "vec"), search, cell_rows, max_pivots, block_rows), k)
+
+
+def _nearest_k(cand: DataFrame, k: int) -> DataFrame:
     w = Window.partitionBy("id").orderBy("d")
     return (cand.withColumn("r", F.row_number().over(w)).where(F.col("r") <= k)
             .groupBy("id").agg(F.sort_array(F.collect_list("d")).alias("near")))
@@ -108,12 +131,12 @@ def eps_forest(points: DataFrame, eps: float, n_rows: int,
     def kernel(left: pd.DataFrame, right: pd.DataFrame, same: bool) -> pd.DataFrame:
         if same:
             pts = left
-            dist = _pairwise_dist(blocks.matrix(pts["vec"]), blocks.matrix(pts["vec"]))
+            dist = distances(blocks.matrix(pts["vec"]), blocks.matrix(pts["vec"]))
             adj = dist <= eps
         else:
             pts = pd.concat([left, right], ignore_index=True)
             na = len(left)
-            cross = _pairwise_dist(blocks.matrix(left["vec"]), blocks.matrix(right["vec"])) <= eps
+            cross = distances(blocks.matrix(left["vec"]), blocks.matrix(right["vec"])) <= eps
             adj = np.zeros((len(pts), len(pts)), dtype=bool)
             adj[:na, na:] = cross
             adj[na:, :na] = cross.T

@@ -36,7 +36,8 @@ from pyspark.sql import functions as F
 
 from quarry.operators import blocks
 from quarry.operators.components import connected_components, star_forest
-from quarry.operators.density import NOISE, _pairwise_dist, core_distances
+from quarry.operators.density import NOISE, core_distances
+from quarry.operators.pivots import distances
 from quarry.operators.records import dense_index
 from quarry.session import written_table
 
@@ -79,7 +80,7 @@ def pair_edges(points: DataFrame, n_rows: int, block_rows: int = blocks.DEFAULT_
     core; no null core)."""
 
     def kernel(left: pd.DataFrame, right: pd.DataFrame, same: bool) -> pd.DataFrame:
-        w = _pairwise_dist(blocks.matrix(left["vec"]), blocks.matrix(right["vec"])) if len(left) and len(right) else np.zeros((0, 0))
+        w = distances(blocks.matrix(left["vec"]), blocks.matrix(right["vec"])) if len(left) and len(right) else np.zeros((0, 0))
         if w.size:
             w = np.maximum(w, np.maximum.outer(left["core"].to_numpy(), right["core"].to_numpy()))
             w = np.maximum(np.round(w, DECIMALS), 10.0 ** -DECIMALS)

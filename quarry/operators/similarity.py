@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarry.operators import blocks
+from quarry.operators import blocks, pivots
 from quarry.session import reliable_checkpoint
 
 # Fixed values of the reference.
@@ -62,18 +62,11 @@ def _local_topk(sim: np.ndarray, row_ids: np.ndarray, col_ids: np.ndarray, k: in
     return [np.repeat(row_ids, kk)[keep], col_ids[top].ravel()[keep], np.take_along_axis(sim, top, 1).ravel()[keep]]
 
 
-def top_k_similar(vectors: DataFrame, k: int = TOP_K, id_col: str = "id",
-                  vec_col: str = "embedding", eps: float = SIM_EPS,
-                  block_rows: int = blocks.DEFAULT_BLOCK_ROWS,
-                  n_rows: int | None = None) -> DataFrame:
-    """Exact cosine top-k per vector, self excluded.
+PAIR_SCHEMA = "doc_id long, nbr_id long, sim double"
 
-    Output (doc_id, rank, nbr_id, sim) with rank 1..k by (sim desc, nbr_id
-    asc) on 6-decimal similarities.  Each block pair keeps its local top-k
-    per row, so the final window sees at most k * B candidates per row."""
-    src = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).alias("vec"))
-    n = n_rows if n_rows is not None else src.count()
-    n_blk = blocks.n_blocks(n, block_rows)
+
+def _cosine_kernel(k: int, eps: float):
+    """The k best neighbours of each row of two blocks, as ``PAIR_SCHEMA``."""
 
     def kernel(left: pd.DataFrame, right: pd.DataFrame, same: bool) -> pd.DataFrame:
         a, b = blocks.matrix(left["vec"]), blocks.matrix(right["vec"])
@@ -88,13 +81,57 @@ def top_k_similar(vectors: DataFrame, k: int = TOP_K, id_col: str = "id",
         doc, nbr, score = (np.concatenate(x) for x in zip(*parts))
         return pd.DataFrame({"doc_id": doc.astype(np.int64), "nbr_id": nbr.astype(np.int64), "sim": score})
 
-    cand = blocks.run_pairs(src, "id", n_blk, kernel, "doc_id long, nbr_id long, sim double")
+    return kernel
+
+
+def top_k_similar(vectors: DataFrame, k: int = TOP_K, id_col: str = "id",
+                  vec_col: str = "embedding", eps: float = SIM_EPS,
+                  block_rows: int = blocks.DEFAULT_BLOCK_ROWS,
+                  n_rows: int | None = None) -> DataFrame:
+    """Exact cosine top-k per vector, self excluded.
+
+    Output (doc_id, rank, nbr_id, sim) with rank 1..k by (sim desc, nbr_id
+    asc) on 6-decimal similarities.  Each block pair keeps its local top-k
+    per row, so the final window sees at most k * B candidates per row."""
+    src = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).alias("vec"))
+    n = n_rows if n_rows is not None else src.count()
+    n_blk = blocks.n_blocks(n, block_rows)
+
+    return _best(blocks.run_pairs(src, "id", n_blk, _cosine_kernel(k, eps), PAIR_SCHEMA), k)
+
+
+def _best(cand: DataFrame, k: int) -> DataFrame:
     w = Window.partitionBy("doc_id").orderBy(F.desc(F.round("sim", SIM_DECIMALS)), F.asc("nbr_id"))
     return (cand.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
             .select("doc_id", F.col("rank").cast("int").alias("rank"), "nbr_id",
                     F.round("sim", SIM_DECIMALS).alias("sim")))
 
 
+def top_k_pruned(vectors: DataFrame, k: int = TOP_K, id_col: str = "id", vec_col: str = "embedding",
+                 eps: float = SIM_EPS, cell_rows: int = pivots.CELL_ROWS, max_pivots: int = pivots.MAX_PIVOTS,
+                 block_rows: int = blocks.DEFAULT_BLOCK_ROWS) -> DataFrame:
+    """J7 with pruned pairs: the rows of ``top_k_similar``, where only those
+    blocks meet that can hold one of the k nearest (``pivots``).
+
+    The bounds are chords of unit vectors; a zero vector, whose cosine to all
+    is 0, is placed at a right angle to them.  ``eps`` only draws a cosine
+    towards 0, so chords bound every positive similarity; a row whose k-th
+    similarity is not positive meets all cells."""
+
+    def place(x: np.ndarray) -> np.ndarray:
+        norm = np.linalg.norm(x, axis=1, keepdims=True)
+        return np.hstack([x / np.where(norm > 0, norm, 1.0), norm == 0])
+
+    def limits(rows: pd.DataFrame, found: pd.DataFrame) -> np.ndarray:
+        # the k-th, and what ties with it when rounded
+        kth = found.groupby("doc_id")["sim"].agg(["min", "size"]).reindex(rows["id"])
+        least = kth["min"].where(kth["size"] >= k).to_numpy() - 2 * 10.0 ** -SIM_DECIMALS
+        return np.where(least > 0, np.sqrt(np.maximum(2 - 2 * np.nan_to_num(least), 0)), np.inf)
+
+    search = pivots.Search(k, _cosine_kernel(k, eps), PAIR_SCHEMA, place, limits)
+    return _best(pivots.nearest(pivots.usable(vectors, id_col, vec_col), search, cell_rows, max_pivots, block_rows), k)
+
+
 def neighbours_wide(long: DataFrame, k: int = TOP_K) -> DataFrame:
     """One row per document with top_i_index / top_i_similarity columns.
 

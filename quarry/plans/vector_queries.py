@@ -33,6 +33,12 @@ def cosine_topk(spark, sf_dir):
     return _topk(spark, sf_dir)
 
 
+@register("cosine_topk_pruned", f"WITH {TOPK_CTE} SELECT doc_id, rank, nbr_id, sim FROM topk")
+def cosine_topk_pruned(spark, sf_dir):
+    """J7 through cells of pivots: the rows of ``cosine_topk``."""
+    return S.top_k_pruned(_vectors(spark, sf_dir), k=S.TOP_K)
+
+
 _wide_cols = ", ".join(
     f"max(CASE WHEN rank = {i} THEN nbr_id END) AS top_{i}_index, "
     f"max(CASE WHEN rank = {i} THEN sim END) AS top_{i}_similarity" for i in range(1, 11))
