@@ -2,11 +2,10 @@
 
 ``term_occurrences`` counts, for every document, the non-overlapping
 occurrences of every topic term in the lower-cased raw text (Python
-``str.count`` semantics, matches may cross word boundaries).  The terms
-(top-n per topic) become one trie-shaped pattern per ``TERMS_PER_PASS``
-terms; a look-ahead with it finds the longest term at every place of a text
-in one pass of the JVM's regex, and a small table adds the terms that are
-its prefixes.  No documents x terms product, no Python.
+``str.count`` semantics, matches may cross word boundaries).  A block of
+terms becomes an Aho-Corasick automaton, once per Python worker; a text
+passes it once, and every hit is counted where it is found: only (document,
+term, n) leaves the batch.  No documents x terms product, no shuffle of hits.
 
 Documents are counted one by one and summed, instead of matching in one
 concatenated string per year; a match spanning two documents is therefore
@@ -15,61 +14,80 @@ not counted (documented deviation).
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Iterator
+
+import ahocorasick
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarry.functions.text import word_alternation
+from quarry.session import reliable_checkpoint, written_table
 
 # Fixed values of the reference's trend figures.
 GLOBAL_YEARS = (2015, 2025)
 CLUSTER_YEARS = (2020, 2025)
 TOP_N_TERMS = 20
-TERMS_PER_PASS = 20_000
+TERMS_PER_PASS = 50_000  # terms of one automaton
+
 
+OCCURRENCES = "doc_id long, term string, n long"
 
-def _prefix_pairs(terms: list[str]) -> list[tuple[str, str]]:
-    """(longest, term): every term that begins at a place where ``longest``
-    does, itself included."""
-    known = set(terms)
-    return [(t, t[:n]) for t in terms for n in range(1, len(t) + 1) if t[:n] in known]
+_automata: dict = {}  # of this worker: the automaton of the block it is at
 
 
 def term_occurrences(docs: DataFrame, terms: DataFrame, id_col: str = "doc_id",
                      text_col: str = "abstract", term_col: str = "term") -> DataFrame:
-    """F14 for a term table: (doc_id, term, n) for every n > 0.  ``terms``
-    (top-n terms per topic) reach the driver to become patterns."""
-    rows = terms.select(term_col).where(F.length(term_col) > 0).distinct().collect()
-    listed = sorted(r[0] for r in rows)
-    text = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.lower(F.col(text_col)).alias("text"))
-    parts = [_occurrences(text, listed[i:i + TERMS_PER_PASS]) for i in range(0, max(len(listed), 1), TERMS_PER_PASS)]
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
+    """F14 for a term table: (doc_id, term, n) for every n > 0, as a table in
+    the shared folder.
+
+    The distinct terms are hashed into blocks of about ``TERMS_PER_PASS``; one
+    block at a time is broadcast, counted and given up.  Null and empty texts
+    and terms give no rows, repeated documents repeated ones."""
+    spark = docs.sparkSession
+    listed = reliable_checkpoint(terms.select(F.col(term_col).alias("term")).where("term <> ''").distinct())
+    n_blocks = max(1, -(-listed.count() // TERMS_PER_PASS))
+    text = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.lower(F.col(text_col)).alias("text")).where("text <> ''")
+    out = spark.createDataFrame([], OCCURRENCES)
+    for b in range(n_blocks):
+        rows = listed.where(F.pmod(F.xxhash64("term"), F.lit(n_blocks)) == b).collect()
+        if rows:
+            block = spark.sparkContext.broadcast([r["term"] for r in rows])
+            out = out.unionByName(written_table(_occurrences(text, block, uuid.uuid4().hex)))
+            block.unpersist()
     return out
 
 
-def _occurrences(text: DataFrame, terms: list[str]) -> DataFrame:
-    if not terms:
-        return text.limit(0).select("doc_id", F.lit("").alias("term"), F.lit(0).cast("long").alias("n"))
-    any_term = word_alternation(terms)
-    # hits: the longest term at every place where one begins; the text cut
-    # at those places gives the distance from each to the next
-    cut = text.select("doc_id", F.regexp_extract_all("text", F.lit(f"(?=({any_term}))"), F.lit(1)).alias("hits"),
-                      F.split("text", f"(?={any_term})", -1).alias("pieces"))
-    lead = F.size("pieces") - F.size("hits")  # 0 if a term begins the text
-    ahead = F.transform("hits", lambda h, i: F.struct(
-        h.alias("longest"), F.coalesce(F.length(F.get("pieces", i + lead - 1)), F.lit(0)).alias("gap")))
-    placed = cut.select("doc_id", F.posexplode(ahead).alias("i", "h")).select(
-        "doc_id", F.col("h.longest").alias("longest"),
-        F.sum("h.gap").over(Window.partitionBy("doc_id").orderBy("i")).alias("at"))
-    pairs = text.sparkSession.createDataFrame(_prefix_pairs(terms), "longest string, term string")
-    each = placed.join(pairs, "longest").groupBy("doc_id", "term").agg(F.sort_array(F.collect_list("at")).alias("at"))
-    # from left to right, a match counts if it begins after the last one counted
-    counted = F.aggregate(
-        "at", F.struct(F.lit(0).cast("long").alias("free"), F.lit(0).cast("long").alias("n")),
-        lambda acc, p: F.when(p >= acc["free"], F.struct((p + F.length("term")).alias("free"), (acc["n"] + 1).alias("n")))
-        .otherwise(acc))
-    return each.select("doc_id", "term", counted["n"].alias("n"))
+def _occurrences(text: DataFrame, block, name: str) -> DataFrame:
+    """Counts of one block's terms, text by text."""
+
+    def automaton():
+        if name not in _automata:
+            _automata.clear()
+            built = ahocorasick.Automaton()
+            for term in block.value:
+                built.add_word(term, term)
+            built.make_automaton()
+            _automata[name] = built
+        return _automata[name]
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, found, counts = [], [], []
+            for doc_id, one in zip(batch.column(0).to_pylist(), batch.column(1)):
+                free: dict[str, int] = {}  # where the next match of a term may begin
+                n: dict[str, int] = {}
+                for end, term in automaton().iter(one.as_py()):
+                    if end - len(term) + 1 >= free.get(term, 0):
+                        free[term] = end + 1
+                        n[term] = n.get(term, 0) + 1
+                ids += [doc_id] * len(n)
+                found += n.keys()
+                counts += n.values()
+            yield pa.record_batch([pa.array(ids, pa.int64()), pa.array(found, pa.string()), pa.array(counts, pa.int64())],
+                                  ["doc_id", "term", "n"])
+
+    return text.mapInArrow(count, OCCURRENCES)
 
 
 def year_axis(lo: int, hi: int):

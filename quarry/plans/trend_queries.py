@@ -26,9 +26,8 @@ def _trend_inputs(spark, sf_dir):
     # the 100-term lists are a bounded table read twice (term list, joins):
     # materialise it once
     terms100 = reliable_checkpoint(TM.topic_terms(c, n=TM.UPDATED_TOP_N_WORDS))
-    # the occurrence table is read by two branches (ranking and grid);
-    # materialise it so the text pass runs once
-    occ = reliable_checkpoint(TR.term_occurrences(docs, terms100.select("term")))
+    # a written table: the ranking and the grid read it, the text pass runs once
+    occ = TR.term_occurrences(docs, terms100.select("term"))
     return docs, terms100, occ
 
 

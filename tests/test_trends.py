@@ -1,6 +1,6 @@
 """Substring occurrence counts and trend tables against brute force."""
 
-from pyspark.sql import functions as F
+import random
 
 from quarry.operators import trends as TR
 
@@ -37,3 +37,24 @@ def test_overlaps_prefixes_and_special_characters(spark):
         docs, spark.createDataFrame([(t,) for t in terms + [None, ""]], "term string")).collect()}
     assert got == {(i, t): x.count(t) for i, x in enumerate(texts) for t in terms if x.count(t)}
     assert TR.term_occurrences(docs, spark.createDataFrame([], "term string")).collect() == []
+
+
+def test_blocks_of_terms_give_the_same_counts(spark, monkeypatch):
+    rng = random.Random(6)
+    texts = ["".join(rng.choice("abç 😀") for _ in range(rng.choice([0, 30, 4000]))) for _ in range(25)] + [None, "AbA"]
+    terms = sorted({"".join(rng.choice("abç 😀") for _ in range(rng.randint(1, 4))) for _ in range(60)})
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, abstract string")
+    want = {(i, t): x.lower().count(t) for i, x in enumerate(texts) if x for t in terms if x.lower().count(t)}
+    listed = spark.createDataFrame([(t,) for t in terms + terms[:5]], "term string")
+    for size in (TR.TERMS_PER_PASS, 15):
+        monkeypatch.setattr(TR, "TERMS_PER_PASS", size)
+        got = [((r.doc_id, r.term), r.n) for r in TR.term_occurrences(docs, listed).collect()]
+        assert len(got) == len(want) and dict(got) == want
+
+
+def test_hits_are_not_shuffled(spark, monkeypatch):
+    docs = spark.createDataFrame([(1, "a b")], "doc_id long, abstract string")
+    plans = []
+    monkeypatch.setattr(TR, "written_table", lambda df: plans.append(df._jdf.queryExecution().toString()) or df)
+    TR.term_occurrences(docs, spark.createDataFrame([("a",)], "term string"))
+    assert len(plans) == 1 and "MapInArrow" in plans[0] and "Exchange" not in plans[0]
