@@ -32,21 +32,22 @@ def fit_topics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "abstrac
     topic_terms: (topic, rank, term, score) for the non-noise topics.
     keywords: the terms' chain of MMR and ranking by vector
     (``topic_keywords``)."""
-    base = reliable_checkpoint(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("abstract"),
-                                           F.col(vec_col).cast("array<double>").alias("embedding")))
+    texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("abstract"))
+    base = reliable_checkpoint(docs.select(F.col(id_col).alias("doc_id"), F.col(vec_col).cast("array<double>").alias("embedding")))
     reduced = models.reduce_dim(base.select("doc_id", "embedding"))
     pts = reduced.select("doc_id", F.array("x", "y").alias("xy"))
     labels = density.density_cluster(pts, min_samples, eps, min_cluster_size,
                                      id_col="doc_id", vec_col="xy").select("doc_id", "cluster")
     labelled = reliable_checkpoint(base.join(labels, "doc_id"))
-    terms = TM.topic_terms(labelled, n=n_words).withColumnRenamed("cluster", "topic")
+    named = texts.join(labelled.select("doc_id", "cluster"), "doc_id")  # texts are read where they lie
+    terms = TM.topic_terms(named, n=n_words).withColumnRenamed("cluster", "topic")
     members = labelled.where(F.col("cluster") != -1)
     scored = S.own_centroid_cosine(members, S.centroids(members))
     info = (labelled.select("doc_id", "cluster")
             .join(scored.select("doc_id", "sim"), "doc_id", "left")
             .select("doc_id", F.col("cluster").alias("topic"),
                     F.round(F.coalesce("sim", F.lit(0.0)), 6).alias("probability")))
-    keywords = topic_keywords(labelled, terms.withColumnRenamed("topic", "cluster"))
+    keywords = topic_keywords(named, terms.withColumnRenamed("topic", "cluster"))
     return info, terms, keywords
 
 
@@ -57,7 +58,7 @@ def topic_keywords(docs: DataFrame, terms: DataFrame, n: int = KEYWORDS, make_pr
     ``docs`` has (cluster, abstract), ``terms`` (cluster, term).  Output
     (topic, rank, term, sim)."""
     members = docs.where(F.col("cluster") != -1).select("cluster", "abstract")
-    vectors = reliable_checkpoint(models.embed(members, "abstract", "embedding", make_predict_fn))
+    vectors = reliable_checkpoint(models.embed(members, "abstract", "embedding", make_predict_fn).drop("abstract"))
     topic = S.centroids(vectors).select(F.col("cluster").alias("topic"), F.col("centroid").alias("topic_vec"))
     cands = reliable_checkpoint(models.embed(
         terms.select(F.col("cluster").cast("int").alias("topic"), "term"), "term", "term_vec", make_predict_fn)

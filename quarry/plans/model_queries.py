@@ -103,15 +103,21 @@ def density_hierarchy(spark, sf_dir):
                                        id_col="vec_id", vec_col="embedding")
 
 
+def _text_vectors(docs):
+    """(doc_id, cluster, embedding) of the texts: inference runs once, and
+    what is stored for the readers has no text."""
+    return reliable_checkpoint(models.embed(docs.select("doc_id", "cluster", "abstract"), "abstract").drop("abstract"))
+
+
 def _topic_top_docs(spark, sf_dir):
     """W1 input of the summariser: each topic's top documents, with text
     vectors from the encoder (M1), as the reference embeds its abstracts."""
     m = corpus(spark, sf_dir).where(F.col("cluster") != -1)
-    # inference runs once; the plan reads the materialised vectors twice
-    m = reliable_checkpoint(models.embed(m.drop("embedding"), "abstract"))
-    ranked = S.top_members(S.own_centroid_cosine(m, S.centroids(m)), "sim", S.TOP_DOCS)
-    return ranked.select(F.col("cluster").alias("topic"), "doc_id", "rank",
-                         F.col("abstract").alias("text"), "embedding")
+    vectors = _text_vectors(m)
+    ranked = S.top_members(S.own_centroid_cosine(vectors, S.centroids(vectors)), "sim", S.TOP_DOCS)
+    # only the top documents take their texts along
+    return ranked.join(m.select("doc_id", "abstract"), "doc_id").select(
+        F.col("cluster").alias("topic"), "doc_id", "rank", F.col("abstract").alias("text"), "embedding")
 
 
 _KMEANS_SQL = f"""WITH RECURSIVE {Q.corpus_cte()},
@@ -167,7 +173,7 @@ def rank_terms_by_vector(spark, sf_dir):
     tt = TM.topic_terms(c, n=TM.TOP_N_WORDS)
     tv = models.embed(tt, "term", "term_vec")
     m = c.where(F.col("cluster") != -1)
-    topic_vec = S.centroids(reliable_checkpoint(models.embed(m.drop("embedding"), "abstract"))).select(
+    topic_vec = S.centroids(_text_vectors(m).drop("doc_id")).select(
         F.col("cluster"), F.col("centroid").alias("topic_vec"))
     scored = tv.join(topic_vec, "cluster").withColumn("sim", S.cosine("term_vec", "topic_vec"))
     return models.rank_by_vector(scored, "cluster").select(
@@ -196,7 +202,7 @@ def mmr(spark, sf_dir):
     tt = TM.topic_terms(c, n=TM.TOP_N_WORDS)
     tv = reliable_checkpoint(models.embed(tt, "term", "term_vec"))
     m = c.where(F.col("cluster") != -1)
-    topic_vec = S.centroids(reliable_checkpoint(models.embed(m.drop("embedding"), "abstract"))).select(
+    topic_vec = S.centroids(_text_vectors(m).drop("doc_id")).select(
         F.col("cluster"), F.col("centroid").alias("topic_vec"))
     cands = tv.join(topic_vec, "cluster").withColumnRenamed("cluster", "topic")
     return models.mmr(cands.select("topic", "term", "term_vec", "topic_vec"), "topic", 10)

@@ -115,15 +115,14 @@ def topic_labels(spark, sf_dir):
     c = corpus(spark, sf_dir)
     tt = TM.topic_terms(c, n=TM.TOP_N_WORDS)
 
-    def words(k):
-        return (tt.where(F.col("rank") <= k).groupBy("cluster")
-                .agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "term"))),
-                                              lambda s: s["term"]), " ").alias(f"w{k}")))
-
+    # the terms are planned once: both label lengths are cut from one list
+    ranked = F.transform(F.array_sort(F.collect_list(F.struct("rank", "term"))), lambda s: s["term"])
+    words = (tt.where(F.col("rank") <= 9).groupBy("cluster").agg(ranked.alias("terms"))
+             .select("cluster", F.array_join(F.slice("terms", 1, 5), " ").alias("w5"), F.array_join("terms", " ").alias("w9")))
     sizes = c.where(F.col("cluster") != -1).groupBy("cluster").agg(F.count(F.lit(1)).alias("n"))
     sel = sizes.orderBy(F.desc("n"), F.asc("cluster")).limit(15).select("cluster", F.lit(True).alias("sel"))
     topics = c.select("cluster").distinct()
-    j = topics.join(words(5), "cluster", "left").join(words(9), "cluster", "left").join(sel, "cluster", "left")
+    j = topics.join(words, "cluster", "left").join(sel, "cluster", "left")
     label = F.when((F.col("cluster") == -1) | F.col("sel").isNull(), F.lit("Unlabelled")).otherwise(
         T.default_label(F.col("cluster"), F.coalesce(F.col("w5"), F.lit(""))))
     aspect = F.concat(F.col("cluster").cast("string"),
