@@ -70,6 +70,20 @@ def parquet_tolerant(spark, sf_dir):
     return IO.read_parquet_tolerant(spark, paths, exclude=f"{path}/out")
 
 
+@register("parquet_quarantine", """SELECT page_id, url, 'read' AS state FROM pages
+UNION ALL SELECT NULL, 'broken', 'quarantined' FROM (SELECT DISTINCT 1 FROM pages)""")
+def parquet_quarantine(spark, sf_dir):
+    """All pages from whole files; a folder of other files (the pages' html
+    as text) between them is listed by folder, not read."""
+    path, pages = scratch(spark), table(spark, sf_dir, "pages")
+    IO.write_parquet(pages.select("page_id", "url"), f"{path}/pages")
+    pages.select(F.coalesce("html", F.lit("-")).alias("value")).write.text(f"{path}/broken")
+    rows, bad = IO.read_parquet_checked(spark, [f"{path}/{p}" for p in ("broken", "pages", "none")])
+    folders = bad.select(F.regexp_extract("path", "([^/]+)/[^/]+$", 1).alias("url")).distinct()
+    return rows.withColumn("state", F.lit("read")).unionByName(
+        folders.withColumn("state", F.lit("quarantined")), allowMissingColumns=True)
+
+
 @register("group_files", f"SELECT doc_id, text, lang, source FROM documents WHERE source <> '{HOT_SOURCE}'")
 def group_files(spark, sf_dir):
     """K3: one CSV folder per source without the noise group."""

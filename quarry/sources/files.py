@@ -6,11 +6,18 @@ written to a machine-local folder.
 
 from __future__ import annotations
 
+import pandas as pd
+import pyarrow as pa
+import pyarrow.fs as pa_fs
+import pyarrow.parquet as pq
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.functions.stopwords import default_stop_words
+from quarry.session import reliable_checkpoint
 
+CHECK_SCHEMA = "path string, length long, rows long, reason string"
+IN_MEMORY_BYTES = 256 << 20
 CHUNK_INDEX = r".*_(\d+)[./]"
 
 
@@ -46,22 +53,102 @@ def is_below(path: str, folder: str) -> bool:
     return path == folder or path.startswith(folder + "/")
 
 
-def read_parquet_tolerant(spark: SparkSession, paths: list[str], exclude: str | None = None) -> DataFrame:
-    """Skip unreadable files, fail only if nothing is readable (a
-    readable file without rows is fine); the job's own output path is
-    excluded from its inputs."""
+def _parquet_fault(source) -> tuple[int, str | None]:
+    """(rows, why the file cannot be used): its footer, then every row group is
+    decoded, one at a time."""
+    try:
+        file = pq.ParquetFile(source)
+    except Exception as e:  # noqa: BLE001  a broken footer raises many kinds
+        return 0, f"footer: {type(e).__name__}"
+    try:
+        for i in range(file.num_row_groups):
+            file.read_row_group(i)
+    except Exception as e:  # noqa: BLE001  as a broken page does
+        return 0, f"row group {i}: {type(e).__name__}"
+    return file.metadata.num_rows, None
+
+
+def check_parquet(spark: SparkSession, paths: list[str], in_memory_bytes: int = IN_MEMORY_BYTES) -> DataFrame:
+    """(path, length, rows, reason) of every data file below ``paths``,
+    reason null where the whole file can be read.  One row a file, checked by
+    the tasks; missing paths are no error here.
+
+    Files up to ``in_memory_bytes`` come through Spark's file systems; larger
+    ones are opened where they lie, so that a task holds one row group."""
+    there = [p for p in paths if _exists(spark, p)]
+    if not there:
+        return spark.createDataFrame([], CHECK_SCHEMA)
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(there)
+
+    def check(batches):
+        for batch in batches:
+            out = []
+            for one in batch.to_dict("records"):
+                if "content" in one:
+                    rows, reason = _parquet_fault(pa.BufferReader(one["content"]))
+                else:
+                    system, name = pa_fs.FileSystem.from_uri(one["path"])
+                    with system.open_input_file(name) as source:
+                        rows, reason = _parquet_fault(source)
+                out.append((one["path"], one["length"], rows, reason))
+            yield pd.DataFrame(out, columns=["path", "length", "rows", "reason"])
+
+    small = files.where(F.col("length") <= in_memory_bytes).select("path", "length", "content")
+    large = files.where(F.col("length") > in_memory_bytes).select("path", "length")
+    return small.mapInPandas(check, CHECK_SCHEMA).unionByName(large.mapInPandas(check, CHECK_SCHEMA))
+
+
+def read_parquet_checked(spark: SparkSession, paths: list[str], exclude: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """(rows of the good files, the bad files with their reason).
+
+    A file is read whole or not at all.  The job's own output path is excluded
+    from its inputs; nothing readable is an error, a readable file without rows
+    is fine.  While no file of a path is bad the path is read as it is; else
+    its good files are named to the reader, whose file index lists them anyway."""
     keep = [p for p in paths if exclude is None or not is_below(p, exclude)]
-    schema = None
-    for p in keep:  # the first file whose footer can be read
-        try:
-            schema = spark.read.option("mergeSchema", True).parquet(p).schema
-            break
-        except Exception as e:  # noqa: BLE001  Spark reports a bad footer in several ways
-            last = e
-    if schema is None:
-        raise FileNotFoundError("no readable input file") from (last if keep else None)
-    return (spark.read.option("ignoreCorruptFiles", True).option("ignoreMissingFiles", True)
-            .option("mergeSchema", True).parquet(*keep))
+    checked = reliable_checkpoint(check_parquet(spark, keep))
+    bad = checked.where("reason IS NOT NULL")
+    if checked.where("reason IS NULL").isEmpty():
+        raise FileNotFoundError("no readable input file")
+    bad_paths = {r["path"] for r in bad.select("path").collect()}
+    parts = []
+    for p in keep:
+        if not _exists(spark, p):
+            continue
+        reader = spark.read.option("mergeSchema", True)
+        root = _qualified(spark, p)
+        if not any(is_below(_qualified(spark, b), root) for b in bad_paths):
+            parts.append(reader.parquet(p))
+            continue
+        good = [r["path"] for r in checked.where("reason IS NULL").select("path").collect()
+                if is_below(_qualified(spark, r["path"]), root)]
+        if good:
+            parts.append(reader.option("basePath", p).parquet(*good))
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part, allowMissingColumns=True)
+    return out, bad
+
+
+def read_parquet_tolerant(spark: SparkSession, paths: list[str], exclude: str | None = None) -> DataFrame:
+    """The rows of ``read_parquet_checked``."""
+    return read_parquet_checked(spark, paths, exclude)[0]
+
+
+def _hadoop_path(spark: SparkSession, path: str):
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p, p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    p, fs = _hadoop_path(spark, path)
+    return bool(fs.exists(p))
+
+
+def _qualified(spark: SparkSession, path: str) -> str:
+    """The path with its file system's scheme, as file listings name it."""
+    p, fs = _hadoop_path(spark, path)
+    return fs.makeQualified(p).toString()
 
 
 def read_stopwords(spark: SparkSession, path: str) -> DataFrame:
@@ -121,8 +208,7 @@ def append_csv(df: DataFrame, path: str) -> None:
 
 def is_complete(spark: SparkSession, path: str) -> bool:
     """Whether a writer has committed ``path`` (its ``_SUCCESS`` mark)."""
-    mark = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path.rstrip("/") + "/_SUCCESS")
-    return bool(mark.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(mark))
+    return _exists(spark, path.rstrip("/") + "/_SUCCESS")
 
 
 def stage(spark: SparkSession, path: str, build) -> DataFrame:

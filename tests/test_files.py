@@ -107,3 +107,32 @@ def test_chunks_in_order(spark, tmpdir_path):
     for i in (10, 2, 1):
         IO.write_csv(spark.createDataFrame([(i,)], "v int"), os.path.join(ck, f"Embeddings_Chunk_{i}"))
     assert [r.chunk for r in IO.read_chunks(spark, os.path.join(ck, "*"), "v int").collect()] == [1, 2, 10]
+
+
+def test_bad_files_are_listed_and_never_half_read(spark, tmpdir_path):
+    root, other = os.path.join(tmpdir_path, "root"), os.path.join(tmpdir_path, "other")
+    rows = spark.range(0, 9000).selectExpr("id AS v", "repeat(md5(cast(id AS string)), 3) AS s", "id % 3 AS part")
+    rows.repartition(1).write.option("parquet.block.size", 1 << 16).option("parquet.page.size", 1 << 12).partitionBy("part").parquet(root)
+    rows.where("v < 10").write.parquet(other)
+    files = {n: os.path.join(root, f"part={n}", f) for n in range(3) for f in os.listdir(os.path.join(root, f"part={n}"))
+             if f.endswith(".parquet")}
+    with open(files[1], "r+b") as fh:  # the footer stays good, pages in the middle do not
+        size = os.path.getsize(files[1])
+        fh.seek(size // 3)
+        fh.write(b"\xff" * (size // 3))
+    with open(files[2], "r+b") as fh:
+        fh.truncate(os.path.getsize(files[2]) // 2)
+    for crc in (c for n in (1, 2) for c in os.listdir(os.path.join(root, f"part={n}")) if c.endswith(".crc")):
+        for n in (1, 2):
+            if os.path.exists(os.path.join(root, f"part={n}", crc)):
+                os.remove(os.path.join(root, f"part={n}", crc))
+    got, bad = IO.read_parquet_checked(spark, [root, other, os.path.join(tmpdir_path, "missing")])
+    why = {r.path.rsplit("/", 2)[1]: r.reason for r in bad.collect()}
+    assert why.keys() == {"part=1", "part=2"}
+    assert why["part=1"].startswith("row group") and why["part=2"].startswith("footer")
+    assert sorted((r.v, r.part) for r in got.select("v", "part").collect()) == sorted(
+        [(v, 0) for v in range(0, 9000, 3)] + [(v, v % 3) for v in range(10)])
+    # the same verdict where files are opened in place
+    opened = IO.check_parquet(spark, [root, other], in_memory_bytes=0)
+    assert {r.path: r.reason for r in opened.collect()} == {
+        r.path: r.reason for r in IO.check_parquet(spark, [root, other]).collect()}
