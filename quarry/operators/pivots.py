@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from quarry.operators import blocks
 from quarry.session import reliable_checkpoint
 
-CELL_ROWS = 512
+CELL_ROWS = blocks.DEFAULT_BLOCK_ROWS  # vectors without clusters then cost what the all-pairs layout does
 MAX_PIVOTS = 4096
 SLICE_ROWS = 256      # rows that are held against all pivots at once
 LEAST_GAP = 1e-6      # pivots nearer than that give no hyperplane bound
