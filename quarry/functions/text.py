@@ -111,27 +111,20 @@ def preprocess(text, stop_words: Iterable[str] | None = None,
     return F.array_join(toks, " ")
 
 
-# Plurals that the rule below would get wrong, and words that end in s alike.
-IRREGULAR = {
-    "analyses": "analysis", "hypotheses": "hypothesis", "syntheses": "synthesis", "crises": "crisis",
-    "theses": "thesis", "species": "species", "series": "series", "always": "always", "perhaps": "perhaps",
-    "children": "child", "women": "woman", "men": "man", "mice": "mouse", "feet": "foot", "lives": "life",
-    "leaves": "leaf", "indices": "index", "matrices": "matrix", "criteria": "criterion", "quizzes": "quiz",
-}
+# Fixed: the noun endings and what stands in their place in the base form.
+DETACHMENTS = (("s", ""), ("ses", "s"), ("ves", "f"), ("xes", "x"), ("zes", "z"),
+               ("ches", "ch"), ("shes", "sh"), ("men", "man"), ("ies", "y"))
 SHORTEST_PLURAL = 4
 
 
-def plural_rule(token) -> Column:
-    """F3 fallback for forms missing from a lemma table (noun plurals)."""
+def noun_bases(token) -> Column:
+    """the base forms that a token may be the plural of (none for short
+    tokens and those in ``ss``); which are words is for the corpus to say."""
     t = _col(token)
-    known = F.create_map(*[F.lit(x) for kv in sorted(IRREGULAR.items()) for x in kv])
-    return F.coalesce(
-        F.element_at(known, t),
-        F.when((F.length(t) < SHORTEST_PLURAL) | t.rlike("(is|us|ss)$"), t)
-        .when(t.rlike("[^aeiou]ies$") & (F.length(t) > SHORTEST_PLURAL), F.regexp_replace(t, "ies$", "y"))
-        .when(t.rlike("(ss|sh|ch|x|zz)es$"), F.regexp_replace(t, "es$", ""))
-        .when(t.rlike("ies$"), t)
-        .otherwise(F.regexp_replace(t, "s$", "")))
+    made = F.array(*[F.when(t.endswith(end), F.concat(F.left(t, F.length(t) - len(end)), F.lit(base)))
+                     for end, base in DETACHMENTS])
+    return F.when((F.length(t) < SHORTEST_PLURAL) | t.endswith("ss"), F.array().cast("array<string>")).otherwise(
+        F.array_compact(made))
 
 
 def term_tokens(clean_text) -> Column:

@@ -23,6 +23,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.functions import text as T
+from quarry.operators.rewrite import replace_items
+from quarry.session import written_table
 
 # Fixed values of the reference's keyword model.
 NGRAM_RANGE = (2, 3)
@@ -128,18 +130,38 @@ def keywords_label(terms: DataFrame, topics: DataFrame, k: int = TOP_KEYWORDS_SH
         .otherwise(F.coalesce(words, F.lit(""))).alias("keywords"))
 
 
-def lemmatise(docs: DataFrame, tokens_col: str, lemma_table: DataFrame,
-              key: str = "doc_id") -> DataFrame:
-    """F3 with a user (form, lemma) table of any size.
-
-    Tokens are exploded with their position, joined to the lemma table
-    (Spark picks broadcast or shuffle from the table's size), forms absent
-    from the table fall back to the plural rule, and each document is
-    re-assembled in token order.  The regroup is per document, so a group
-    is never larger than one text."""
-    exploded = docs.select(key, F.posexplode(tokens_col).alias("pos", "form"))
-    joined = exploded.join(lemma_table, "form", "left")
-    lemma = F.coalesce(F.col("lemma"), T.plural_rule("form"))
-    return (joined.groupBy(key)
-            .agg(F.array_sort(F.collect_list(F.struct("pos", lemma.alias("lemma")))).alias("s"))
-            .select(key, F.transform("s", lambda x: x["lemma"]).alias(tokens_col)))
+MIN_SHARE = 100  # a base is believed if it has a hundredth of the form's documents
+
+
+def lemma_pairs(docs: DataFrame, tokens_col: str, lemma_table: DataFrame | None = None,
+                min_share: int = MIN_SHARE) -> DataFrame:
+    """(form, lemma) of the forms of ``docs`` that are not their own lemma.
+
+    A form in ``lemma_table`` (form, lemma) has the table's lemma.  Of any
+    other, the detachment rules make candidate bases; those that are forms of
+    the corpus themselves, in at least one ``min_share``-th as many documents,
+    are accepted, and the shortest is the lemma.  What moves are the distinct
+    forms of each task with their counts, never tokens."""
+    forms = written_table(docs.select(F.explode(F.array_distinct(tokens_col)).alias("form"))
+                          .groupBy("form").agg(F.count(F.lit(1)).alias("n")))
+    bases = forms.select(F.col("form"), F.col("n").alias("n_form"), F.explode(T.noun_bases("form")).alias("base"))
+    accepted = (bases.join(forms.select(F.col("form").alias("base"), "n"), "base")
+                .where(F.col("n") * min_share >= F.col("n_form"))
+                .groupBy("form").agg(F.min_by("base", F.struct(F.length("base"), "base")).alias("lemma")))
+    if lemma_table is None:
+        return accepted
+    listed = lemma_table.where("form IS NOT NULL AND lemma IS NOT NULL").groupBy("form").agg(F.min("lemma").alias("lemma"))
+    return listed.join(forms, "form", "left_semi").unionByName(accepted.join(listed, "form", "left_anti"))
+
+
+def lemmatise(docs: DataFrame, tokens_col: str, lemma_table: DataFrame | None = None,
+              key: str = "doc_id", min_share: int = MIN_SHARE) -> DataFrame:
+    """(key, tokens_col) with each token replaced by its lemma, by a user
+    (form, lemma) table of any size and the corpus' own vocabulary.
+
+    Texts are rewritten where they are (``rewrite.replace_items``).  Null and
+    empty token lists stay; repeated rows stay repeated; of two lemmas of one
+    form in the table the smaller counts."""
+    own = docs.select(key, tokens_col)
+    pairs = lemma_pairs(own, tokens_col, lemma_table, min_share)
+    return replace_items(own, tokens_col, pairs.select(F.col("form").alias("item"), F.col("lemma").alias("value")))

@@ -8,7 +8,7 @@ re-implementation to be compared against.
 from __future__ import annotations
 
 from quarry.functions.stopwords import default_stop_words, sql_list
-from quarry.functions.text import IRREGULAR, SHORTEST_PLURAL
+from quarry.functions.text import DETACHMENTS, SHORTEST_PLURAL
 from quarry.sources.tables import corpus_sql
 
 STOP = sql_list(default_stop_words())
@@ -84,10 +84,9 @@ def mean_vector(v: str, dim: int = 64) -> str:
     return "[" + ", ".join(f"avg({v}[{i + 1}])" for i in range(dim)) + "]"
 
 
-def plural_sql(t: str) -> str:
-    """The plural rule of F3."""
-    known = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in IRREGULAR.items())
-    return (f"CASE {t} {known} ELSE CASE WHEN length({t}) < {SHORTEST_PLURAL} OR regexp_matches({t}, '(is|us|ss)$') THEN {t} "
-            f"WHEN regexp_matches({t}, '[^aeiou]ies$') AND length({t}) > {SHORTEST_PLURAL} THEN regexp_replace({t}, 'ies$', 'y') "
-            f"WHEN regexp_matches({t}, '(ss|sh|ch|x|zz)es$') THEN regexp_replace({t}, 'es$', '') "
-            f"WHEN regexp_matches({t}, 'ies$') THEN {t} ELSE regexp_replace({t}, 's$', '') END END")
+def noun_bases(t: str) -> str:
+    """The candidate bases of F3."""
+    made = ", ".join(f"CASE WHEN ends_with({t}, '{end}') THEN left({t}, length({t}) - {len(end)}) || '{base}' END"
+                     for end, base in DETACHMENTS)
+    return (f"CASE WHEN length({t}) < {SHORTEST_PLURAL} OR ends_with({t}, 'ss') THEN [] "
+            f"ELSE list_filter([{made}], lambda x: x IS NOT NULL) END")

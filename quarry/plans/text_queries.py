@@ -255,12 +255,18 @@ def cluster_texts(spark, sf_dir):
 @register("lemmatised_docs", f"""WITH toks AS (
   SELECT doc_id, unnest(t) AS form, unnest(range(1, len(t) + 1)) AS i FROM (
     SELECT doc_id, string_split({Q.preprocess('text')}, ' ') AS t FROM documents)),
+forms AS (SELECT form, count(DISTINCT doc_id) AS n FROM toks GROUP BY form),
 table_ AS (SELECT lower(n_name) AS form, 'nation' AS lemma FROM nation),
-rule AS (SELECT doc_id, i, coalesce(l.lemma, {Q.plural_sql('t.form')}) AS lemma FROM toks t LEFT JOIN table_ l ON l.form = t.form)
-SELECT doc_id, string_agg(lemma, ' ' ORDER BY i) AS doc FROM rule GROUP BY doc_id""")
+bases AS (SELECT form, n AS n_form, unnest({Q.noun_bases('form')}) AS base FROM forms),
+rule AS (SELECT b.form, first(base ORDER BY length(base), base) AS lemma
+         FROM bases b JOIN forms f ON f.form = b.base AND f.n * {TM.MIN_SHARE} >= b.n_form GROUP BY b.form),
+pairs AS (SELECT * FROM table_ UNION ALL SELECT * FROM rule WHERE form NOT IN (SELECT form FROM table_)),
+done AS (SELECT doc_id, string_agg(coalesce(lemma, form), ' ' ORDER BY i) AS doc
+         FROM toks LEFT JOIN pairs USING (form) GROUP BY doc_id)
+SELECT doc_id, doc FROM documents LEFT JOIN done USING (doc_id)""")
 def lemmatised_docs(spark, sf_dir):
     """F2 with F3: normalised documents, lemmas from a table (here the
-    nations' names), else by the plural rule."""
+    nations' names), else by the corpus' own vocabulary."""
     lemmas = table(spark, sf_dir, "nation").select(F.lower("n_name").alias("form"), F.lit("nation").alias("lemma"))
     toks = table(spark, sf_dir, "documents").select("doc_id", F.split(T.preprocess("text"), " ").alias("tok"))
     return TM.lemmatise(toks, "tok", lemmas).select("doc_id", F.array_join("tok", " ").alias("doc"))

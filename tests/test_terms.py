@@ -5,7 +5,7 @@ from collections import Counter
 
 from pyspark.sql import functions as F
 
-from quarry.operators import terms as TM
+from quarry.operators import rewrite, terms as TM
 
 
 def brute(docs, min_df, max_df, n):
@@ -82,8 +82,59 @@ def test_keywords_label_noise(spark):
     assert got == {0: "t1, t2, t3, t4, t5", -1: "Noise", 3: ""}
 
 
-def test_lemmatise_table_and_rule(spark):
-    docs = spark.createDataFrame([(1, ["bottles", "mice", "glass", "studies"])], "doc_id long, tok array<string>")
-    table = spark.createDataFrame([("mice", "mouse")], "form string, lemma string")
-    got = TM.lemmatise(docs, "tok", table).first().tok
-    assert got == ["bottle", "mouse", "glass", "study"]
+BASES = (("s", ""), ("ses", "s"), ("ves", "f"), ("xes", "x"), ("zes", "z"), ("ches", "ch"), ("shes", "sh"),
+         ("men", "man"), ("ies", "y"))
+
+
+def plain_lemmas(rows, table, min_share):
+    n = Counter(t for r in rows for t in set(r or []))
+
+    def lemma(t):
+        if t in table:
+            return table[t]
+        if len(t) < 4 or t.endswith("ss"):
+            return t
+        bases = {t[:len(t) - len(e)] + b for e, b in BASES if t.endswith(e)}
+        good = [b for b in bases if b in n and n[b] * min_share >= n[t]]
+        return min(good, key=lambda b: (len(b), b)) if good else t
+
+    return [None if r is None else [lemma(t) for t in r] for r in rows]
+
+
+LEMMA_ROWS = [["bottles", "mice", "glass", "studies", "bottle"], ["study", "virus", "glas", "series"], [], None, [""],
+              ["class", "classes", "clas", "women", "woman", "boxes", "box", "boxe"], ["bottles"] * 3, ["bottles"] * 3]
+
+
+def test_lemmas_equal_a_plain_pass_in_both_ways(spark, monkeypatch):
+    docs = spark.createDataFrame(list(enumerate(LEMMA_ROWS)), "doc_id long, tok array<string>").repartition(3)
+    table = spark.createDataFrame([("mice", "mouse"), ("mice", "mus"), ("virus", None)], "form string, lemma string")
+    for min_share in (1, 100):
+        want = plain_lemmas(LEMMA_ROWS, {"mice": "mouse"}, min_share)
+        for most in (rewrite.MAX_ITEMS, 0):
+            monkeypatch.setattr(rewrite.replace_items, "__defaults__", (most,))
+            got = {r.doc_id: r.tok for r in TM.lemmatise(docs, "tok", table, min_share=min_share).collect()}
+            assert [got[i] for i in range(len(LEMMA_ROWS))] == want
+    assert want[0] == ["bottle", "mouse", "glass", "study", "bottle"]
+
+
+def test_a_rare_form_is_no_base_of_a_common_one(spark):
+    rows = [["virus"]] * 5 + [["viru", "virus"]]
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, tok array<string>")
+    assert TM.lemma_pairs(docs, "tok", min_share=5).count() == 0
+    assert TM.lemma_pairs(docs, "tok", min_share=6).collect() == [("virus", "viru")]
+
+
+def test_tokens_are_rewritten_without_a_shuffle(spark):
+    docs = spark.createDataFrame([(1, ["bottles", "bottle"])], "doc_id long, tok array<string>")
+    plan = TM.lemmatise(docs, "tok")._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "Exchange" not in plan
+
+
+def test_replace_items_keeps_other_columns(spark):
+    df = spark.createDataFrame([("a", ["x", None, "y"], 1.5), (None, None, None)], "`k.1` string, l array<string>, item double")
+    table = spark.createDataFrame([("x", "z"), (None, "q")], "item string, value string")
+    want = [("a", ["z", None, "y"], 1.5), (None, None, None)]
+    for most in (10, 0):
+        got = rewrite.replace_items(df, "l", table, most)
+        assert got.columns == df.columns and sorted(map(tuple, got.collect()), key=str) == sorted(want, key=str)
+    assert rewrite.replace_items(df.where("false"), "l", table).count() == 0
