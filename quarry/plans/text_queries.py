@@ -7,7 +7,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from quarry.functions import text as T
-from quarry.operators import similarity as S, terms as TM
+from quarry.operators import sentences as SE, similarity as S, terms as TM
 from quarry.plans import sqlparts as Q
 from quarry.plans.registry import register
 from quarry.plans.vector_queries import CENT_CTE, _doc_topic
@@ -76,6 +76,23 @@ def split_sentences(spark, sf_dir):
                     T.word_count("text").alias("n_words"))
 
 
+@register("learned_sentences", f"""WITH {SE.sql()}
+SELECT doc_id, CAST(len(s) AS INTEGER) AS n_sentences, md5(array_to_string(s, chr(10))) AS digest FROM documents LEFT JOIN sents USING (doc_id)""")
+def learned_sentences(spark, sf_dir):
+    """F9 by learned abbreviations, collocations and sentence starters."""
+    d = SE.learned_sentences(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return d.select("doc_id", F.size("sentences").alias("n_sentences"),
+                    F.md5(F.array_join("sentences", "\n")).alias("digest"))
+
+
+@register("abbreviations", f"""WITH {SE.sql()}
+SELECT type, n_period, n_bare, round(score, 6) AS score FROM abbr""")
+def abbreviations(spark, sf_dir):
+    """The abbreviations that F9 learns from all documents."""
+    counts = SE.token_counts(table(spark, sf_dir, "documents"))
+    return SE.abbreviations(counts).withColumn("score", F.round("score", 6))
+
+
 @register("safe_name", "SELECT page_id, translate(url, ' /', '__') AS safe FROM pages")
 def safe_name(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", T.safe_name("url").alias("safe"))
