@@ -85,13 +85,19 @@ def kind_before(token: Column) -> Column:
 def token_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """(before, type, dot, cased, n) of all tokens, as a table."""
     tokens = F.filter(F.split(F.col(text_col), T.WS_CLASS + "+"), lambda t: t != "")
-    paired = bind(tokens, lambda ts: F.transform(
-        ts, lambda t, i: F.struct(F.get(ts, i - 1).alias("prev"), t.alias("token"))))
-    pairs = docs.where(F.col(text_col).isNotNull()).select(F.explode(paired).alias("p"))
-    kind, dot, cased = token_type(F.col("p.token"))
-    typed = pairs.select(kind_before(F.col("p.prev")).alias("before"), kind.alias("type"), dot.alias("dot"),
-                         cased.alias("cased"))
-    return written_table(typed.groupBy("before", "type", "dot", "cased").agg(F.count(F.lit(1)).cast("double").alias("n")))
+
+    def typed(token: Column) -> Column:
+        kind, dot, cased = token_type(token)
+        return F.struct(kind_before(token).alias("kind"), kind.alias("type"), dot.alias("dot"), cased.alias("cased"))
+
+    def paired(ts: Column) -> Column:
+        return F.transform(ts, lambda t, i: F.struct(
+            F.coalesce(F.get(ts, i - 1)["kind"], F.lit(FIRST)).alias("before"), t["type"].alias("type"),
+            t["dot"].alias("dot"), t["cased"].alias("cased")))
+
+    rows = docs.where(F.col(text_col).isNotNull()).select(F.explode(bind(F.transform(tokens, typed), paired)).alias("p"))
+    return written_table(rows.select("p.*").groupBy("before", "type", "dot", "cased")
+                         .agg(F.count(F.lit(1)).cast("double").alias("n")))
 
 
 # -- statistics -------------------------------------------------------------------
