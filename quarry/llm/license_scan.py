@@ -13,7 +13,9 @@
 
 Short *phrases* are templates of their own (k = 2) that must stand whole on
 one diagonal; they give the base labels.  *Notices* (k = 4) add labels of
-license texts, also edited ones.
+license texts, also edited ones; a notice of fewer than four words (k = 2)
+must stand whole.  The notices are a parameter; one of fewer than two words
+has no k-gram and never matches.
 
 Only hits and one row per text leave the scan, dealt by text; a text's hits
 are bounded by its words.
@@ -64,6 +66,10 @@ NOTICES = (
             "hereby granted, provided that the above copyright notice and this permission notice appear in all copies"),
     ("cc-by", "This work is licensed under a Creative Commons Attribution 4.0 International License"),
     ("cc-by-sa", "This work is licensed under a Creative Commons Attribution ShareAlike 4.0 International License"),
+    ("cc-by-nc", "Licensed under CC BY-NC 4.0"),
+    ("cc-by-nc", "This work is licensed under a Creative Commons Attribution NonCommercial 4.0 International License"),
+    ("cc-by-nd", "This work is licensed under a Creative Commons Attribution NoDerivatives 4.0 International License"),
+    ("all-rights-reserved", "All rights reserved."),
     ("unlicense", "This is free and unencumbered software released into the public domain"),
 )
 
@@ -86,18 +92,19 @@ def template_words(text: str) -> list[str]:
     return re.findall(WORD, re.sub("[A-Z]", lambda m: m[0].lower(), text))
 
 
-def templates() -> list[tuple[int, str, bool, int, list[str]]]:
+def templates(notices=NOTICES) -> list[tuple[int, str, bool, int, list[str]]]:
     """(number, label, is phrase, k, words) of every template."""
     out = [(label, True, PHRASE_GRAM, template_words(t)) for t, label in PHRASES.items()]
-    out += [(label, False, NOTICE_GRAM, template_words(t)) for label, t in NOTICES]
+    for label, words_ in ((label, template_words(t)) for label, t in notices):
+        out.append((label, False, NOTICE_GRAM if len(words_) >= NOTICE_GRAM else PHRASE_GRAM, words_))
     return [(i, *x) for i, x in enumerate(out)]
 
 
-def template_places(spark: SparkSession) -> DataFrame:
+def template_places(spark: SparkSession, notices=NOTICES) -> DataFrame:
     """(key, template, at, length, k, label, phrase, gram) of every k-gram of
     the templates, and the row that every text meets."""
     rows = [(n, label, phrase, k, w, i, w[i:i + k])
-            for n, label, phrase, k, w in templates() for i in range(len(w) - k + 1)]
+            for n, label, phrase, k, w in templates(notices) for i in range(len(w) - k + 1)]
     grams = spark.createDataFrame(
         [(n, i, len(w), k, label, phrase, g) for n, label, phrase, k, w, i, g in rows],
         "template int, at int, length int, k int, label string, phrase boolean, gram array<string>")
@@ -110,7 +117,7 @@ def template_places(spark: SparkSession) -> DataFrame:
     return grams.select(key.alias("key"), "template", "at", "length", "k", "label", "phrase", "gram").unionByName(every)
 
 
-def hits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def hits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", notices=NOTICES) -> DataFrame:
     """One row per text (template -1) and per verified hit, dealt by text:
     __row, ``id_col``, n_words, template, label, phrase, length, k, at, pos."""
     text = docs.select(F.monotonically_increasing_id().alias("__row"), F.col(id_col),
@@ -121,7 +128,7 @@ def hits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     # pos -1 meets the row that every text has
     grams = (text.withColumn("pos", F.explode(F.sequence(F.lit(-1), F.size(w) - 1)))
              .withColumn("key", F.explode(each)))
-    places = F.broadcast(template_places(docs.sparkSession))
+    places = F.broadcast(template_places(docs.sparkSession, notices))
     found = grams.join(places, "key").where(
         (F.col("template") == DOCUMENT) | (F.slice(w, p + 1, F.greatest(F.col("k"), F.lit(1))) == F.col("gram")))
     return found.select("__row", F.col(id_col), F.size(w).cast("long").alias("n_words"), "template", "label",
@@ -138,7 +145,8 @@ def spans(found: DataFrame, id_col: str = "doc_id") -> DataFrame:
         F.collect_set("at").alias("at"), F.min("pos").alias("first"), (F.max("pos") + F.col("k")).alias("upto"))
     # places of one template lie side by side only if their diagonals do
     order = Window.partitionBy("__row", "template").orderBy("diagonal")
-    apart = F.col("phrase") | (F.col("diagonal") - F.lag("diagonal").over(order) > MAX_SHIFT)
+    exact = F.col("phrase") | (F.col("length") < NOTICE_GRAM)
+    apart = exact | (F.col("diagonal") - F.lag("diagonal").over(order) > MAX_SHIFT)
     groups = voted.withColumn("new", F.coalesce(apart, F.lit(True)).cast("int")).withColumn(
         "span", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
     merged = groups.groupBy(*template, "span").agg(
@@ -146,19 +154,19 @@ def spans(found: DataFrame, id_col: str = "doc_id") -> DataFrame:
         F.min("first").alias("first"), F.max("upto").alias("upto"))
     covered = F.size(F.array_distinct(F.flatten(F.transform("at", lambda t: F.sequence(t, t + F.col("k") - 1)))))
     checked = merged.withColumn("covered", F.when(F.col("template") == DOCUMENT, F.lit(0)).otherwise(covered))
-    whole = F.col("phrase") & (F.col("covered") == F.col("length"))
-    near = (~F.col("phrase") & (F.col("covered") >= F.col("length") * MIN_COVER)
+    whole = exact & (F.col("covered") == F.col("length"))
+    near = (~exact & (F.col("covered") >= F.col("length") * MIN_COVER)
             & (F.col("upto") - F.col("first") <= F.col("length") * MAX_STRETCH + MAX_SHIFT))
     return checked.where((F.col("template") == DOCUMENT) | whole | near).select(
         "__row", id_col, "n_words", "template", "label", "phrase", "first", "upto",
         (F.col("covered") / F.greatest("length", F.lit(1))).alias("cover"))
 
 
-def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", notices=NOTICES) -> DataFrame:
     """``id_col``, n_words, n_base, first_word, last_word, base_labels,
     labels, score, n_spans per row."""
     base = F.col("phrase")
-    result = spans(hits(docs, id_col, text_col), id_col).groupBy("__row", id_col, "n_words").agg(
+    result = spans(hits(docs, id_col, text_col, notices), id_col).groupBy("__row", id_col, "n_words").agg(
         F.count(F.when(base, 1)).alias("n_base"), F.min(F.when(base, F.col("first"))).cast("long").alias("first_word"),
         F.max(F.when(base, F.col("first"))).cast("long").alias("last_word"),
         F.array_join(F.array_sort(F.collect_set(F.when(base, F.col("label")))), ",").alias("base_labels"),
@@ -182,24 +190,24 @@ WITH docs AS (
 tpl(template, label, phrase, k, words) AS (VALUES
   {listed}),
 places AS (
-  SELECT template, label, phrase, k, length, i - 1 AS at_, array_to_string(words[i:i + k - 1], ' ') AS gram
-  FROM (SELECT *, len(words) AS length, unnest(range(1, len(words) - k + 2)) AS i FROM tpl)),
+  SELECT template, label, phrase, exact, k, length, i - 1 AS at_, array_to_string(words[i:i + k - 1], ' ') AS gram
+  FROM (SELECT *, len(words) AS length, phrase OR len(words) < {NOTICE_GRAM} AS exact, unnest(range(1, len(words) - k + 2)) AS i FROM tpl)),
 grams AS ({grams}),
-hits AS (SELECT row_, template, label, phrase, k, length, p - 1 AS pos, at_ FROM grams JOIN places USING (k, gram)),
+hits AS (SELECT row_, template, label, phrase, exact, k, length, p - 1 AS pos, at_ FROM grams JOIN places USING (k, gram)),
 voted AS (
-  SELECT row_, template, label, phrase, k, length, pos - at_ AS diagonal, list(at_) AS hit, min(pos) AS first_, max(pos) + k AS upto
-  FROM hits GROUP BY row_, template, label, phrase, k, length, diagonal),
+  SELECT row_, template, label, phrase, exact, k, length, pos - at_ AS diagonal, list(at_) AS hit, min(pos) AS first_, max(pos) + k AS upto
+  FROM hits GROUP BY row_, template, label, phrase, exact, k, length, diagonal),
 opened AS (
-  SELECT *, CASE WHEN phrase OR coalesce(diagonal - lag(diagonal) OVER o, {MAX_SHIFT + 1}) > {MAX_SHIFT} THEN 1 ELSE 0 END AS new
+  SELECT *, CASE WHEN exact OR coalesce(diagonal - lag(diagonal) OVER o, {MAX_SHIFT + 1}) > {MAX_SHIFT} THEN 1 ELSE 0 END AS new
   FROM voted WINDOW o AS (PARTITION BY row_, template ORDER BY diagonal)),
 grouped AS (SELECT *, sum(new) OVER (PARTITION BY row_, template ORDER BY diagonal) AS span FROM opened),
 merged AS (
-  SELECT row_, template, span, label, phrase, k, length, list_distinct(flatten(list(hit))) AS hit, min(first_) AS first_, max(upto) AS upto
-  FROM grouped GROUP BY row_, template, span, label, phrase, k, length),
+  SELECT row_, template, span, label, phrase, exact, k, length, list_distinct(flatten(list(hit))) AS hit, min(first_) AS first_, max(upto) AS upto
+  FROM grouped GROUP BY row_, template, span, label, phrase, exact, k, length),
 covers AS (SELECT *, len(list_distinct(flatten(list_transform(hit, lambda t: range(t, t + k))))) AS covered FROM merged),
 found AS (
-  SELECT * FROM covers WHERE (phrase AND covered = length)
-    OR (NOT phrase AND covered >= length * {MIN_COVER} AND upto - first_ <= length * {MAX_STRETCH} + {MAX_SHIFT}))
+  SELECT * FROM covers WHERE (exact AND covered = length)
+    OR (NOT exact AND covered >= length * {MIN_COVER} AND upto - first_ <= length * {MAX_STRETCH} + {MAX_SHIFT}))
 SELECT any_value(d.doc_id) AS doc_id, CAST(any_value(len(w)) AS BIGINT) AS n_words,
        count(*) FILTER (WHERE phrase) AS n_base, CAST(min(first_) FILTER (WHERE phrase) AS BIGINT) AS first_word,
        CAST(max(first_) FILTER (WHERE phrase) AS BIGINT) AS last_word,
