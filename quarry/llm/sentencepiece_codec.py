@@ -7,6 +7,12 @@ ordinary pieces, as UTF-8, fill a double-array trie (``base``/``check``: the
 child of node s by byte c is ``t = base[s] + c`` if ``check[t] == s``), built
 once on the driver; its size is that of the vocabulary.
 
+*Scores.*  A Unigram model's scores are log probabilities and stay as they
+are.  A merge model's are whole numbers, the negative ranks of its pieces by
+frequency (and ``NO_RANK`` for pieces outside of the merges, whose rank is
+their place in the list); by Zipf's law a piece of rank r has a probability
+in proportion to 1 / (1 + r), so its log score is ``-ln(1 + r)``.
+
 *Encoding.*  A text gets the white-space marker in front and for each space.
 No piece holds a marker after another character (checked when the trie is
 built), so the best path of a text is the best paths of its marker-led
@@ -29,6 +35,7 @@ whole; only id and text (and columns ``keep``) are read.
 from __future__ import annotations
 
 import hashlib
+import math
 import re
 from array import array
 from collections import defaultdict
@@ -43,6 +50,7 @@ from quarry.llm.common import whole_text
 MODEL = "piece_bpe_32k.model"
 MARKER = "▁"
 UNKNOWN_PENALTY = 10.0
+NO_RANK = -1e9  # fixed: the score of a piece that no merge makes
 NEVER = float("-inf")
 MEMO_SEGMENTS = 500_000
 MEMO_CHARS = 48
@@ -125,7 +133,12 @@ class Vocabulary:
                 self.bytes_of.append(piece.encode())
         if len(self.byte_id) != 256:
             raise ValueError("the vocabulary has no byte fallback")
-        self.unknown = min(self.score[i] for i in ordinary.values()) - UNKNOWN_PENALTY
+        places = sorted(ordinary.values())
+        if all(self.score[i].is_integer() for i in places):
+            for place, i in enumerate(places):
+                rank = place if self.score[i] <= NO_RANK else -self.score[i]
+                self.score[i] = -math.log1p(rank)
+        self.unknown = min((self.score[i] for i in places), default=0.0) - UNKNOWN_PENALTY
         self.trie = DoubleArray(ordinary)
         self._encoder: Encoder | None = None
 
