@@ -84,20 +84,18 @@ def kind_before(token: Column) -> Column:
 
 def token_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """(before, type, dot, cased, n) of all tokens, as a table."""
-    tokens = F.filter(F.split(F.col(text_col), T.WS_CLASS + "+"), lambda t: t != "")
-
-    def typed(token: Column) -> Column:
-        kind, dot, cased = token_type(token)
-        return F.struct(kind_before(token).alias("kind"), kind.alias("type"), dot.alias("dot"), cased.alias("cased"))
-
-    def paired(ts: Column) -> Column:
-        return F.transform(ts, lambda t, i: F.struct(
-            F.coalesce(F.get(ts, i - 1)["kind"], F.lit(FIRST)).alias("before"), t["type"].alias("type"),
-            t["dot"].alias("dot"), t["cased"].alias("cased")))
-
-    rows = docs.where(F.col(text_col).isNotNull()).select(F.explode(bind(F.transform(tokens, typed), paired)).alias("p"))
-    return written_table(rows.select("p.*").groupBy("before", "type", "dot", "cased")
-                         .agg(F.count(F.lit(1)).cast("double").alias("n")))
+    tokens = F.array_remove(F.split(F.col(text_col), T.WS_CLASS + "+"), "")
+    pairs = docs.where(F.col(text_col).isNotNull()).select(tokens.alias("t")).select(F.inline(F.arrays_zip(
+        F.concat(F.array(F.lit(None).cast("string")), F.col("t")).alias("prev"), F.col("t").alias("token")))).where(
+        "token IS NOT NULL")
+    # a token without any of . ! ? is a word inside a sentence, whichever it is
+    ends = F.contains("prev", F.lit(".")) | F.contains("prev", F.lit("!")) | F.contains("prev", F.lit("?"))
+    raw = pairs.select(F.when(ends | F.col("prev").isNull(), F.col("prev")).otherwise(F.lit(MID)).alias("prev"), "token")
+    # the patterns run once for a distinct pair, not for each token
+    kind, dot, cased = token_type(F.col("token"))
+    typed = raw.groupBy("prev", "token").agg(F.count(F.lit(1)).alias("n")).select(
+        kind_before(F.col("prev")).alias("before"), kind.alias("type"), dot.alias("dot"), cased.alias("cased"), "n")
+    return written_table(typed.groupBy("before", "type", "dot", "cased").agg(F.sum("n").cast("double").alias("n")))
 
 
 # -- statistics -------------------------------------------------------------------
