@@ -3,17 +3,17 @@
 Re-aimed from HDBSCAN to its DBSCAN* cut at ``eps`` (Campello et al. 2013):
 
 * ``core(x)`` = distance to the ``min_samples``-th nearest point, the point
-  itself counted first (exact, block-pair kNN kernel);
+  itself counted first (exact, kNN over the pairs of blocks that can hold it);
 * an edge joins x and y when ``max(core x, core y, d(x, y)) <= eps``;
 * clusters are the connected components of core points; components smaller
   than ``min_cluster_size`` and all non-core points are noise (-1);
 * labels are numbered by size (desc), then smallest member id.
 
-The edge set is exact but never materialised: every block pair reduces its
-eps-graph to a spanning forest (edges from each point to its local
-component's smallest id) before leaving the task.  The union of those
-forests has the same connected components as the full graph, and holds at
-most ``2 * block_rows`` edges per block pair.  Components are then found by
+The edge set is exact but never materialised: a task reduces the eps-graph of
+the blocks that meet in it to a spanning forest (edges from each point to its
+local component's first point).  The union of those forests has the same
+connected components as the full graph.  Blocks that no point within reach can
+be in do not meet (``pivots``).  Components are then found by
 ``components.connected_components`` (large-star/small-star).
 """
 
@@ -26,7 +26,6 @@ from pyspark.sql import functions as F
 
 from quarry.operators import blocks, pivots
 from quarry.operators.components import connected_components
-from quarry.operators.pivots import distances
 from quarry.operators.records import dense_index
 from quarry.session import reliable_checkpoint
 
@@ -36,27 +35,32 @@ NOISE = -1
 NEAR_SCHEMA = "id long, d double"
 
 
+def _gaps(vecs: list[np.ndarray]) -> tuple[list[np.ndarray], list[np.ndarray], float]:
+    """Factors whose product, left by right, is the negative squared distance
+    of two tiles' rows, and the largest rounding of it."""
+    square = [(v * v).sum(1)[:, None] for v in vecs]
+    left = [np.hstack((2.0 * v, -s, np.full_like(s, -1.0))) for v, s in zip(vecs, square)]
+    right = [np.hstack((v, np.ones_like(s), s)) for v, s in zip(vecs, square)]
+    return left, right, 4e-15 * max((float(s.max()) for s in square if len(s)), default=0.0)
+
+
 def _near_kernel(k: int):
-    """The k least distances of each row of two blocks, as ``NEAR_SCHEMA``."""
-
-    def kernel(left: pd.DataFrame, right: pd.DataFrame, same: bool) -> pd.DataFrame:
-        a, b = blocks.matrix(left["vec"]), blocks.matrix(right["vec"])
-        ia, ib = left["id"].to_numpy(np.int64), right["id"].to_numpy(np.int64)
-        if len(ia) == 0 or len(ib) == 0:
-            return pd.DataFrame({"id": [], "d": []})
-        dist = distances(a, b)
-        if same:
-            dist[ia[:, None] == ib[None, :]] = np.inf
-        out_i, out_d = [], []
-        for m, rows in ((dist, ia), (dist.T, ib)) if not same else ((dist, ia),):
-            kk = min(k, m.shape[1])
-            part = np.partition(m, kk - 1, axis=1)[:, :kk]
-            out_i.append(np.repeat(rows, kk))
-            out_d.append(part.reshape(-1))
-        d = np.concatenate(out_d)
-        i = np.concatenate(out_i)
-        keep = np.isfinite(d)
-        return pd.DataFrame({"id": i[keep], "d": d[keep]})
+    """The k least distances of each row of the tiles that meet, as ``NEAR_SCHEMA``."""
+
+    def kernel(tiles: list[pd.DataFrame], pairs: list[tuple[int, int]]) -> pd.DataFrame:
+        ids = [t["id"].to_numpy(np.int64) for t in tiles]
+        left, right, _ = _gaps([blocks.matrix(t["vec"]) for t in tiles])
+        best = blocks.Best(ids, k)
+        for i, j in pairs:
+            near = left[i] @ right[j].T
+            own = blocks.alike(ids[i], ids[j])
+            if own is not None:
+                near[own] = -np.inf
+            best.offer(i, near, ids[j])
+            if i != j:
+                best.offer(j, near.T, ids[i])
+        point, _, score = best.rows()
+        return pd.DataFrame({"id": point, "d": np.sqrt(np.maximum(-score, 0.0))})
 
     return kernel
 
@@ -64,9 +68,7 @@ def _near_kernel(k: int):
 def nearest_distances(points: DataFrame, k: int, n_rows: int,
                       block_rows: int = blocks.DEFAULT_BLOCK_ROWS) -> DataFrame:
     """(id, near): ascending distances to the k nearest other points."""
-    n_blk = blocks.n_blocks(n_rows, block_rows)
-
-    return _nearest_k(blocks.run_pairs(points, "id", n_blk, _near_kernel(k), NEAR_SCHEMA), k)
+    return _nearest_k(blocks.run_pairs(points, "id", n_rows, _near_kernel(k), NEAR_SCHEMA, block_rows), k)
 
 
 def nearest_distances_pruned(points: DataFrame, k: int, cell_rows: int = pivots.CELL_ROWS,
@@ -106,46 +108,35 @@ def core_distances(points: DataFrame, min_samples: int, n_rows: int,
     return core_from(points, nearest_distances(points, k, n_rows, block_rows), min_samples)
 
 
-def _local_forest(n: int, adj: np.ndarray, ids: np.ndarray):
-    """Connected components of a dense boolean adjacency, as star edges."""
-    labels = np.arange(n)
-    big = n + 1
-    while True:
-        nb = np.where(adj, labels[None, :], big).min(axis=1)
-        new = np.minimum(labels, nb)
-        new = new[new]  # pointer jumping
-        if np.array_equal(new, labels):
-            break
-        labels = new
-    src = np.nonzero(labels != np.arange(n))[0]
-    return ids[src], ids[labels[src]]
+def _forest_kernel(eps: float):
+    """Star edges (src, dst) of the components that the tiles' pairs within
+    ``eps`` make."""
 
+    def kernel(tiles: list[pd.DataFrame], pairs: list[tuple[int, int]]) -> pd.DataFrame:
+        ids = np.concatenate([t["id"].to_numpy(np.int64) for t in tiles] or [np.zeros(0, np.int64)])
+        start = np.cumsum([0] + [len(t) for t in tiles])
+        left, right, rounding = _gaps([blocks.matrix(t["vec"]) for t in tiles])
+        labels = np.arange(len(ids))
+        for i, j in pairs:
+            x, y = np.nonzero(left[i] @ right[j].T >= -(eps * eps + rounding))
+            blocks.hook(labels, x + start[i], y + start[j])
+        src = np.flatnonzero(labels != np.arange(len(ids)))
+        return pd.DataFrame({"src": ids[src], "dst": ids[labels[src]]})
+
+    return kernel
 
-def eps_forest(points: DataFrame, eps: float, n_rows: int,
+
+def eps_forest(points: DataFrame, eps: float, cell_rows: int = pivots.CELL_ROWS, max_pivots: int = pivots.MAX_PIVOTS,
                block_rows: int = blocks.DEFAULT_BLOCK_ROWS) -> DataFrame:
     """Spanning-forest edges (src, dst) of the eps mutual-reachability graph
-    among core points (rows with ``core <= eps``)."""
-    cores = points.where(F.col("core") <= eps)
-    n_blk = blocks.n_blocks(n_rows, block_rows)
-
-    def kernel(left: pd.DataFrame, right: pd.DataFrame, same: bool) -> pd.DataFrame:
-        if same:
-            pts = left
-            dist = distances(blocks.matrix(pts["vec"]), blocks.matrix(pts["vec"]))
-            adj = dist <= eps
-        else:
-            pts = pd.concat([left, right], ignore_index=True)
-            na = len(left)
-            cross = distances(blocks.matrix(left["vec"]), blocks.matrix(right["vec"])) <= eps
-            adj = np.zeros((len(pts), len(pts)), dtype=bool)
-            adj[:na, na:] = cross
-            adj[na:, :na] = cross.T
-        if len(pts) == 0:
-            return pd.DataFrame({"src": [], "dst": []})
-        src, dst = _local_forest(len(pts), adj, pts["id"].to_numpy(np.int64))
-        return pd.DataFrame({"src": src.astype(np.int64), "dst": dst.astype(np.int64)})
-
-    return blocks.run_pairs(cores.select("id", "vec"), "id", n_blk, kernel, "src long, dst long")
+    among core points (rows with ``core <= eps``); blocks that lie farther
+    apart than ``eps`` do not meet (``pivots``)."""
+
+    def limits(rows: pd.DataFrame, found: pd.DataFrame) -> np.ndarray:
+        return eps + 1e-6 * (1.0 + np.linalg.norm(blocks.matrix(rows["vec"]), axis=1))
+
+    search = pivots.Search(1, _forest_kernel(eps), "src long, dst long", lambda x: x, limits)
+    return pivots.nearest(pivots.usable(points.where(F.col("core") <= eps), "id", "vec"), search, cell_rows, max_pivots, block_rows)
 
 
 def density_cluster(points: DataFrame, min_samples: int, eps: float | None,
@@ -164,14 +155,14 @@ def density_cluster(points: DataFrame, min_samples: int, eps: float | None,
     pts = points.select(F.col(id_col).cast("long").alias("id"),
                         F.col(vec_col).cast("array<double>").alias("vec"))
     pts = reliable_checkpoint(pts)
-    n = pts.count()
-    core = reliable_checkpoint(core_distances(pts, min_samples, n, block_rows) if near is None
-                               else core_from(pts, near, min_samples))
+    if near is None:
+        near = nearest_distances_pruned(pts, max(min_samples - 1, 1), block_rows=block_rows)
+    core = reliable_checkpoint(core_from(pts, near, min_samples))
     if eps is None:
         eps = exact_quantiles(core, "core", [eps_quantile]).first()[0]
         eps = float(eps) if eps is not None else 0.0
     with_core = pts.join(core, "id")
-    forest = eps_forest(with_core, eps, n, block_rows)
+    forest = eps_forest(with_core, eps, block_rows=block_rows)
     core_ids = core.where(F.col("core") <= eps).select("id")
     comp = connected_components(core_ids, forest)
     sizes = comp.groupBy("root").agg(F.count(F.lit(1)).alias("size"))

@@ -1,8 +1,8 @@
 """Density hierarchy (M4): mutual-reachability spanning tree, merge tree,
 condensed tree and the clusters of largest stability.
 
-*Spanning tree.*  A block pair's task keeps the spanning tree of its own edges
-(weight ``max(core x, core y, d(x, y))``); the spanning tree of everything is
+*Spanning tree.*  A task keeps the spanning tree of the edges of its two blocks,
+folded from those of their tiles (weight ``max(core x, core y, d(x, y))``); the spanning tree of everything is
 one of the union of these, which Boruvka rounds over that edge list find: each
 component's lightest edge by a map-side combined minimum, then components by
 large-star/small-star.  No distance leaves a task otherwise.
@@ -43,6 +43,7 @@ from quarry.session import written_table
 
 DECIMALS = 6
 PROBLEM_EDGES = 50_000
+FOLD_EDGES = 1_000_000  # edges of tiles that a task gathers before it folds them
 SAFETY_ROUNDS = 200
 ROUND_SHIFT = 55  # names of vertices made in a round begin here
 
@@ -79,19 +80,55 @@ def pair_edges(points: DataFrame, n_rows: int, block_rows: int = blocks.DEFAULT_
     """(a, b, w): the spanning trees of all block pairs of ``points`` (id, vec,
     core; no null core)."""
 
-    def kernel(left: pd.DataFrame, right: pd.DataFrame, same: bool) -> pd.DataFrame:
-        w = distances(blocks.matrix(left["vec"]), blocks.matrix(right["vec"])) if len(left) and len(right) else np.zeros((0, 0))
-        if w.size:
-            w = np.maximum(w, np.maximum.outer(left["core"].to_numpy(), right["core"].to_numpy()))
-            w = np.maximum(np.round(w, DECIMALS), 10.0 ** -DECIMALS)
-        ids = left["id"].to_numpy(np.int64) if same else np.concatenate((left["id"], right["id"])).astype(np.int64)
-        tree = prim(w, same)
-        i, j, weight = (np.array(x) for x in zip(*tree)) if tree else (np.zeros(0, int),) * 3
-        x, y = ids[i], ids[j]
-        return pd.DataFrame({"a": np.minimum(x, y), "b": np.maximum(x, y), "w": weight.astype(float)})
-
-    return blocks.run_pairs(points.select("id", "vec", "core"), "id", blocks.n_blocks(n_rows, block_rows), kernel,
-                            "a long, b long, w double")
+    def kernel(tiles: list[pd.DataFrame], pairs: list[tuple[int, int]]) -> pd.DataFrame:
+        ids = np.concatenate([t["id"].to_numpy(np.int64) for t in tiles] or [np.zeros(0, np.int64)])
+        start = np.cumsum([0] + [len(t) for t in tiles])
+        vecs, cores = [blocks.matrix(t["vec"]) for t in tiles], [t["core"].to_numpy() for t in tiles]
+        kept: tuple = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+        new, size = [], 0
+
+        def fold():
+            u, v, w = (np.concatenate(x) for x in zip(kept, *new))
+            least = light_forest(u, v, w, len(ids))
+            return u[least], v[least], w[least]
+
+        for i, j in pairs:
+            w = np.maximum(distances(vecs[i], vecs[j]), np.maximum.outer(cores[i], cores[j]))
+            tree = prim(np.maximum(np.round(w, DECIMALS), 10.0 ** -DECIMALS), i == j)
+            if tree:
+                x, y, weight = (np.array(c) for c in zip(*tree))
+                if i == j:
+                    x, y = x + start[i], y + start[i]
+                else:  # the columns' nodes come after the rows'
+                    x, y = (np.where(c < len(vecs[i]), c + start[i], c - len(vecs[i]) + start[j]) for c in (x, y))
+                new.append((x, y, weight.astype(float)))
+                size += len(x)
+            if size > FOLD_EDGES:
+                kept, new, size = fold(), [], 0
+        x, y, weight = fold()
+        x, y = ids[x], ids[y]
+        return pd.DataFrame({"a": np.minimum(x, y), "b": np.maximum(x, y), "w": weight})
+
+    return blocks.run_pairs(points.select("id", "vec", "core"), "id", n_rows, kernel, "a long, b long, w double", block_rows)
+
+
+def light_forest(u: np.ndarray, v: np.ndarray, w: np.ndarray, n: int) -> np.ndarray:
+    """Positions of the edges of a spanning forest of least weight over nodes
+    0 to n - 1, by Boruvka rounds; ties by position."""
+    order = np.argsort(w, kind="stable")
+    labels, taken = np.arange(n), []
+    while True:
+        a, b = labels[u[order]], labels[v[order]]
+        apart = a != b
+        order, a, b = order[apart], a[apart], b[apart]
+        if len(order) == 0:
+            return np.concatenate(taken) if taken else np.zeros(0, np.int64)
+        least = np.full(n, len(order))
+        np.minimum.at(least, a, np.arange(len(order)))
+        np.minimum.at(least, b, np.arange(len(order)))
+        light = order[np.unique(least[least < len(order)])]
+        taken.append(light)
+        blocks.hook(labels, u[light], v[light])
 
 
 def spanning_tree(edges: DataFrame) -> DataFrame:
@@ -327,7 +364,7 @@ def hierarchy_cluster(points: DataFrame, min_samples: int, min_cluster_size: int
     n = pts.count()
     core = core_distances(pts, min_samples, n, block_rows).where("core IS NOT NULL")
     edges = pair_edges(written_table(pts.join(core, "id")), n, block_rows)
-    tree = edges if blocks.n_blocks(n, block_rows) == 1 else spanning_tree(edges)
+    tree = edges if blocks.wide_blocks(n, block_rows) == 1 else spanning_tree(edges)
     nodes, first = merge_tree(pts.select("id"), tree, problem_edges)
     clusters, of = condensed(nodes, min_cluster_size)
     chosen = choose(clusters, eps).where("chosen IS NOT NULL")

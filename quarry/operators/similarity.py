@@ -42,44 +42,27 @@ def cosine(a, b, eps: float = 0.0) -> Column:
 # J7 exact top-k neighbours
 # --------------------------------------------------------------------------
 
-def _local_topk(sim: np.ndarray, row_ids: np.ndarray, col_ids: np.ndarray, k: int):
-    """Per row, the k best columns by (rounded sim desc, id asc).
-
-    Rounded similarity and id order make one integer key per cell, so one
-    partition and one sort of k columns serve all rows at once."""
-    if sim.size == 0:
-        return [np.zeros(0, np.int64)] * 2 + [np.zeros(0)]
-    m = sim.shape[1]
-    kk = min(k, m)
-    place = np.empty(m, np.int64)
-    place[np.argsort(col_ids, kind="stable")] = np.arange(m)
-    known = np.isfinite(sim)
-    key = np.where(known, np.rint(np.where(known, sim, 0.0) * 10 ** SIM_DECIMALS).astype(np.int64) * m - place,
-                   np.iinfo(np.int64).min + 1)
-    top = np.argpartition(-key, kk - 1, axis=1)[:, :kk]
-    top = np.take_along_axis(top, np.argsort(-np.take_along_axis(key, top, 1), axis=1), 1)
-    keep = np.take_along_axis(known, top, 1).ravel()
-    return [np.repeat(row_ids, kk)[keep], col_ids[top].ravel()[keep], np.take_along_axis(sim, top, 1).ravel()[keep]]
-
-
 PAIR_SCHEMA = "doc_id long, nbr_id long, sim double"
 
 
 def _cosine_kernel(k: int, eps: float):
-    """The k best neighbours of each row of two blocks, as ``PAIR_SCHEMA``."""
-
-    def kernel(left: pd.DataFrame, right: pd.DataFrame, same: bool) -> pd.DataFrame:
-        a, b = blocks.matrix(left["vec"]), blocks.matrix(right["vec"])
-        ia, ib = left["id"].to_numpy(), right["id"].to_numpy()
-        if len(ia) == 0 or len(ib) == 0:
-            return pd.DataFrame({"doc_id": [], "nbr_id": [], "sim": []})
-        na, nb = np.linalg.norm(a, axis=1), np.linalg.norm(b, axis=1)
-        sim = (a @ b.T) / (np.outer(na, nb) + eps)
-        if same:
-            sim[ia[:, None] == ib[None, :]] = -np.inf
-        parts = [_local_topk(sim, ia, ib, k)] + ([] if same else [_local_topk(sim.T, ib, ia, k)])
-        doc, nbr, score = (np.concatenate(x) for x in zip(*parts))
-        return pd.DataFrame({"doc_id": doc.astype(np.int64), "nbr_id": nbr.astype(np.int64), "sim": score})
+    """The k best neighbours of each row of the tiles that meet, as ``PAIR_SCHEMA``."""
+
+    def kernel(tiles: list[pd.DataFrame], pairs: list[tuple[int, int]]) -> pd.DataFrame:
+        vecs = [blocks.matrix(t["vec"]) for t in tiles]
+        norms = [np.linalg.norm(v, axis=1) for v in vecs]
+        ids = [t["id"].to_numpy(np.int64) for t in tiles]
+        best = blocks.Best(ids, k, SIM_DECIMALS)
+        for i, j in pairs:
+            sim = (vecs[i] @ vecs[j].T) / (np.outer(norms[i], norms[j]) + eps)
+            own = blocks.alike(ids[i], ids[j])
+            if own is not None:
+                sim[own] = -np.inf
+            best.offer(i, sim, ids[j])
+            if i != j:
+                best.offer(j, sim.T, ids[i])
+        doc, nbr, score = best.rows()
+        return pd.DataFrame({"doc_id": doc, "nbr_id": nbr, "sim": score})
 
     return kernel
 
@@ -95,9 +78,7 @@ def top_k_similar(vectors: DataFrame, k: int = TOP_K, id_col: str = "id",
     per row, so the final window sees at most k * B candidates per row."""
     src = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).alias("vec"))
     n = n_rows if n_rows is not None else src.count()
-    n_blk = blocks.n_blocks(n, block_rows)
-
-    return _best(blocks.run_pairs(src, "id", n_blk, _cosine_kernel(k, eps), PAIR_SCHEMA), k)
+    return _best(blocks.run_pairs(src, "id", n, _cosine_kernel(k, eps), PAIR_SCHEMA, block_rows), k)
 
 
 def _best(cand: DataFrame, k: int) -> DataFrame:
@@ -232,7 +213,7 @@ def _against(bc, best_only: bool, top_n: int | None):
                 })
                 continue
             if top_n is not None:
-                topic, doc, score_ = _local_topk(sim.T, ids, pdf["id"].to_numpy(np.int64), top_n)
+                topic, doc, score_ = blocks.top_cells(sim.T, ids, pdf["id"].to_numpy(np.int64), top_n, SIM_DECIMALS)
                 yield pd.DataFrame({"doc_id": doc, "topic": topic.astype(np.int32), "sim": score_})
                 continue
             yield pd.DataFrame({
