@@ -29,6 +29,8 @@ NON_ASCII_RUN = "[^\\x00-\\x7F]+"
 PREPROCESS_STRIP = "[^A-Za-z0-9 ]+"      # deleted after lower-casing
 MIN_TOKEN_CHARS = 3                        # tokens need len > 2
 TERM_TOKEN = "^[a-z]{5,}$"                 # (?u)\b[a-zA-Z]{5,}\b on clean text
+# the same words, found by Python in a whole text (Java's $ leaves out a line end)
+TERM_WORDS = r"(?<![^ ])[a-z]{5,}(?:\r\n|[\n\r\x85\u2028\u2029])?(?![^ ])"
 VECTOR_NUMBER = r"([-+]?\d*\.\d+e[-+]?\d+|[-+]?\d*\.\d+|\d+)"
 SUBTHEME_MARK = r"Subtheme \d+: "
 SENTENCE_END = r"([.!?])" + WS_CLASS + "+"

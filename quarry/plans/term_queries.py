@@ -32,7 +32,7 @@ SELECT DISTINCT term, n_classes, CAST(f AS BIGINT) AS f FROM kept""")
 def df_bounds(spark, sf_dir):
     docs = terms.clustered_docs(corpus(spark, sf_dir))
     n_cls = terms.n_classes(docs)
-    kept = terms.df_bounds(terms.class_term_counts(docs), n_cls)
+    kept = terms.df_bounds(terms.class_term_counts(docs, with_stats=True), n_cls)
     return kept.select("term", "n_classes", "f").distinct()
 
 
@@ -42,7 +42,7 @@ SELECT cluster, term, tf, round(score, 6) AS score FROM scored""")
 def class_tfidf(spark, sf_dir):
     docs = terms.clustered_docs(corpus(spark, sf_dir))
     n_cls = terms.n_classes(docs)
-    kept = terms.df_bounds(terms.class_term_counts(docs), n_cls)
+    kept = terms.df_bounds(terms.class_term_counts(docs, with_stats=True), n_cls)
     scored = terms.class_tfidf(kept, n_cls)
     return scored.select("cluster", "term", "tf", F.round("score", 6).alias("score"))
 

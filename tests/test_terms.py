@@ -75,6 +75,62 @@ def test_df_bounds_edges(spark):
     assert "alpha bravo" not in kept and "charl delta" in kept and "echoo foxtr" in kept
 
 
+ODD_TEXTS = [(1, "alpha bravo charl alpha bravo charl"), (1, "alpha bravo"), (2, "alpha bravo delta echoo"), (2, "alpha"),
+             (None, "bravo charl alpha"), (None, None), (3, ""), (3, "x alpha  bravo y charl ab12c delta"), (1, "Alpha bravo")] + [(2, "alpha bravo charl")] * 9
+
+
+def plain_counts(rows, lo, hi, stop=()):
+    tf = Counter()
+    for c, t in rows:
+        toks = [w for w in (t or "").split(" ") if len(w) >= 5 and w.isalpha() and w.isascii() and w.islower() and w not in stop]
+        tf.update((c, " ".join(toks[i:i + k])) for k in range(lo, hi + 1) for i in range(len(toks) - k + 1))
+    return tf
+
+
+def test_term_counts_and_stats_equal_a_plain_pass_in_any_stretches(spark, monkeypatch):
+    for places, at_once in ((1, 1), (TM.PLACES_AT_ONCE, TM.ROWS_AT_ONCE), (7, 3)):
+        monkeypatch.setattr(TM, "PLACES_AT_ONCE", places)
+        monkeypatch.setattr(TM, "ROWS_AT_ONCE", at_once)
+        for (lo, hi), stop in (((2, 3), None), ((1, 3), ["bravo"]), ((2, 2), None)):
+            rows = [(i, *r) for i, r in enumerate(ODD_TEXTS)]
+            docs = spark.createDataFrame(rows, "doc_id long, cluster int, doc string").repartition(3)
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 2 if places == 1 else 10000)
+            got = TM.class_term_counts(docs, ngram_range=(lo, hi), vectorizer_stop=stop, with_stats=True).collect()
+            spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+            want = plain_counts(ODD_TEXTS, lo, hi, stop or ())
+            f, n = Counter(), Counter(t for _, t in want)
+            for (_, t), m in want.items():
+                f[t] += m
+            assert sorted(map(tuple, got), key=str) == sorted(((c, t, m, n[t], f[t]) for (c, t), m in want.items()), key=str)
+
+
+def test_terms_are_shuffled_once_and_never_by_class(spark):
+    docs = spark.createDataFrame([(i, c, d) for i, (c, d) in enumerate(make_docs())], "doc_id long, cluster int, doc string")
+    n_cls = TM.n_classes(docs)
+    kept = TM.df_bounds(TM.class_term_counts(docs, with_stats=True), n_cls)
+    for best in (None, 5):
+        plan = TM.class_tfidf(kept, n_cls, best=best)._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" not in plan and "hashpartitioning(term" not in plan
+        assert "BroadcastHashJoin" in plan
+
+
+def test_terms_left_out_are_below_the_nth_score(spark):
+    docs = spark.createDataFrame([(i, c, d) for i, (c, d) in enumerate(make_docs())], "doc_id long, cluster int, doc string")
+    n_cls = TM.n_classes(docs)
+    kept = TM.df_bounds(TM.class_term_counts(docs, with_stats=True), n_cls)
+    every = TM.class_tfidf(kept, n_cls).collect()
+    for n in (1, 3, 1000):
+        want = set()
+        for c in {r.cluster for r in every}:
+            own = sorted((r.score for r in every if r.cluster == c), reverse=True)
+            want |= {(c, r.term, r.tf, r.score) for r in every if r.cluster == c and r.score >= own[min(n, len(own)) - 1]}
+        best = TM.class_tfidf(kept, n_cls, best=n)
+        assert {tuple(r) for r in best.collect()} == want
+        # the terms are read from their one shuffle twice: for the pairs of tf and f, and for the best
+        final = best._jdf.queryExecution().executedPlan().toString().split("\n+- == Initial Plan ==")[0]
+        assert final.count("MapInArrow count") == 3 and "ReusedExchange" in final  # two of them after the shuffle
+
+
 def test_keywords_label_noise(spark):
     terms = spark.createDataFrame([(0, i, f"t{i}", 1.0) for i in range(1, 8)], "cluster int, rank int, term string, score double")
     topics = spark.createDataFrame([(0,), (-1,), (3,)], "cluster int")
