@@ -9,7 +9,9 @@ Design for scale
   are counted where the head's hash lies.  No per-class giant strings are built.
 * Per-term statistics (number of classes containing the term, total
   frequency) are taken in the same pass: rows lie sorted by that hash and
-  pass through a task stretch by stretch, as whole Arrow columns.
+  pass through a task stretch by stretch, as whole Arrow columns.  Terms of
+  the same figures have the same score, so for the n best terms a task gives
+  their number and the n first of them, and the counts are passed once.
 * Per-class totals are a C-row aggregate, broadcast to the counts: these
   are never dealt by class.  For the n best terms the class' n-th best score
   goes along, so only terms that reach it are sorted.
@@ -29,7 +31,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
-from pyspark.sql.types import LongType, StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
 
 from quarry.functions import text as T
 from quarry.operators.rewrite import replace_items
@@ -46,6 +48,8 @@ NOISE_TOPIC = -1
 NOISE_NAME = "Noise"
 PLACES_AT_ONCE = 1 << 19  # n-grams that a task counts before it passes them on
 ROWS_AT_ONCE = 1 << 17  # counted n-grams that a task adds up at a time, if their heads end
+FIGURES_AT_ONCE = 1 << 15  # groups of equal figures that a task holds before it passes them on
+FEW_TERMS = 128  # so many terms of equal figures are sorted as they are
 
 
 def clustered_docs(corpus: DataFrame, stop_words=None) -> DataFrame:
@@ -94,9 +98,10 @@ def _term_stats(lo: int, hi: int, schema: pa.Schema):
         """One row per n-gram and class: the n-grams with the place of each row's, the class' place, the sum."""
         of, terms = pc.dictionary_encode(cls, null_encoding="encode"), pc.dictionary_encode(grams)
         width = len(of.dictionary)
-        keys, place = np.unique(terms.indices.to_numpy().astype(np.int64) * width + of.indices.to_numpy(), return_inverse=True)
+        both = pc.dictionary_encode(pa.array(terms.indices.to_numpy().astype(np.int64) * width + of.indices.to_numpy()))
+        keys = both.dictionary.to_numpy()
         tf = np.zeros(len(keys), np.int64)
-        np.add.at(tf, place, n)
+        np.add.at(tf, both.indices.to_numpy(), n)
         return of.dictionary.take(pa.array(keys % width)), terms.dictionary, keys // width, tf
 
     def stats(table: pa.Table) -> Iterator[pa.RecordBatch]:
@@ -113,7 +118,8 @@ def _term_stats(lo: int, hi: int, schema: pa.Schema):
             np.add.at(f, at, tf)
             each = terms.take(pa.array(at))
             yield pa.record_batch([c, each, pa.array(tf), pa.array(np.bincount(at, minlength=len(terms))[at]), pa.array(f[at])], schema)
-            shorter = c, pc.replace_substring_regex(each, " [^ ]+$", ""), tf
+            if k > lo:
+                shorter = c, pc.list_element(pc.split_pattern(each, " ", max_splits=1, reverse=True), 0), tf
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, rows = [], 0
@@ -138,23 +144,78 @@ def _term_stats(lo: int, hi: int, schema: pa.Schema):
     return count
 
 
+def _equal_figures(best: int, schema: pa.Schema):
+    """Of what ``_term_stats`` gives: (class, tf, n_classes, f, n, terms), how
+    many terms of a task have these figures, and the ``best`` first of them."""
+
+    def add(held: dict, batch: pa.RecordBatch) -> None:
+        figures = [batch.column(i) for i in (0, 2, 3, 4)]
+        group = np.zeros(len(batch), np.int64)
+        for col in figures:
+            own = pc.dictionary_encode(col, null_encoding="encode")
+            group = group * len(own.dictionary) + own.indices.to_numpy()
+            group = pc.dictionary_encode(pa.array(group)).indices.to_numpy().astype(np.int64)
+        order = np.argsort(group, kind="stable")
+        begin = np.flatnonzero(np.diff(group[order], prepend=-1))
+        terms, of = batch.column(1).take(pa.array(order)), pa.array(order[begin])
+        keys = zip(*(col.take(of).to_pylist() for col in figures))
+        for key, at, n in zip(keys, begin.tolist(), np.diff(begin, append=len(batch)).tolist()):
+            same = held.setdefault(key, [0, []])
+            same[0] += n
+            new = terms.slice(at, n)
+            if n > FEW_TERMS and len(same[1]) == best:
+                new = new.filter(pc.less(new, same[1][-1]))
+            if len(new) > max(best, FEW_TERMS):
+                new = new.take(pc.bottom_k_unstable(new, best))
+            if len(new):
+                same[1] = sorted(same[1] + new.to_pylist())[:best]
+
+    def rows(held: dict) -> Iterator[pa.RecordBatch]:
+        columns = [*zip(*held), *zip(*held.values())]
+        yield pa.record_batch([pa.array(col, field.type) for col, field in zip(columns, schema)], schema)
+
+    def group(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = {}
+        for batch in batches:
+            add(held, batch)
+            if len(held) >= FIGURES_AT_ONCE:
+                yield from rows(held)
+                held = {}
+        if held:
+            yield from rows(held)
+
+    return group
+
+
 def class_term_counts(docs: DataFrame, class_col: str = "cluster", text_col: str = "doc",
-                      ngram_range=NGRAM_RANGE, vectorizer_stop=None, with_stats: bool = False) -> DataFrame:
+                      ngram_range=NGRAM_RANGE, vectorizer_stop=None, with_stats: bool = False,
+                      best: int | None = None) -> DataFrame:
     """A5: (class, term, tf) with n-grams of >= 5-letter tokens.
 
     ``with_stats`` adds the term's ``n_classes`` and ``f``, which are known
-    where it is counted, for ``df_bounds``."""
+    where it is counted, for ``df_bounds``.  For the ``best`` terms of a class
+    by figures and then by term, rows can be groups of terms with the same
+    figures: (class, tf, n_classes, f, n, terms), with the number of terms and
+    the ``best`` first; a group may have a row per task."""
     lo, hi = ngram_range
     texts = docs.select(F.col(class_col).alias("cls"), F.col(text_col).alias("text"))
     cls = texts.schema["cls"]
     places = StructType([cls, StructField("gram", StringType()), StructField("n", LongType())])
     stats = StructType([cls, StructField("term", StringType()), *[StructField(c, LongType()) for c in ("tf", "n_classes", "f")]])
     head = F.xxhash64(F.substring_index("gram", " ", lo))
+    count, out = _term_stats(lo, hi, to_arrow_schema(stats)), stats
+    if best is not None:
+        out = StructType([cls, *stats.fields[2:], StructField("n", LongType()), StructField("terms", ArrayType(StringType()))])
+        each, group = count, _equal_figures(best, to_arrow_schema(out))
+
+        def count(batches):
+            return group(each(batches))
+
     counts = (texts.mapInArrow(_longest_ngrams(lo, hi, to_arrow_schema(places), vectorizer_stop or ()), places)
               .repartition(head).select(head.alias("head"), "cls", "gram", "n").sortWithinPartitions("head")
-              .mapInArrow(_term_stats(lo, hi, to_arrow_schema(stats)), stats)
+              .mapInArrow(count, out)
               .withColumnRenamed("cls", class_col))
-    return counts if with_stats else counts.select(class_col, "term", "tf")
+    return counts if with_stats or best is not None else counts.select(class_col, "term", "tf")
 
 
 def n_classes(docs: DataFrame, class_col: str = "cluster") -> Column:
@@ -183,17 +244,22 @@ def class_tfidf(kept: DataFrame, n_cls: Column, class_col: str = "cluster",
 
     Output: (class, term, tf, score).  With ``best``, terms with a score below
     the class' ``best``-th are left out: terms of the same tf and f have the
-    same score, so counting such pairs tells it, without sorting any terms."""
+    same score, so counting such pairs tells it, without sorting any terms.
+    Rows may be the groups of ``class_term_counts``, for no more than their
+    ``best``: of terms with equal scores the first ones are given."""
+    n, term = F.count(F.lit(1)), F.col("term")
+    if "terms" in kept.columns:
+        n, term = F.sum("n"), F.explode("terms").alias("term")
     # C rows: the grand total is a window over the per-class totals only, so
     # the n-gram stage is shared (exchange reuse) instead of re-run.
-    pairs = kept.groupBy(class_col, "tf", "f").agg(F.count(F.lit(1)).alias("n"))
+    pairs = kept.groupBy(class_col, "tf", "f").agg(n.alias("n"))
     totals = (pairs.groupBy(class_col).agg(F.sum(F.col("tf") * F.col("n")).alias("class_total"))
               .withColumn("grand_total", F.sum("class_total").over(Window.partitionBy())))
     avg_terms = F.floor(F.col("grand_total") / n_cls)
     tf = F.col("tf") / F.col("class_total") if normalize else F.col("tf").cast("double")
     score = tf * F.log(F.lit(1.0) + avg_terms / F.col("f"))
     if best is None:
-        return kept.join(F.broadcast(totals), class_col).select(class_col, "term", "tf", score.alias("score"))
+        return kept.join(F.broadcast(totals), class_col).select(class_col, term, "tf", score.alias("score"))
     better = Window.partitionBy(class_col).orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, -1)
     # Null-safe joins, and a null bound for the null class: a join that asks for a class would put a filter of its own
     # below the pairs of one branch, and they would be counted twice.
@@ -204,7 +270,7 @@ def class_tfidf(kept: DataFrame, n_cls: Column, class_col: str = "cluster",
              .groupBy("of", "class_total", "grand_total").agg(F.min("score").alias("least"))
              .withColumn("least", F.when(F.col("of").isNotNull(), F.col("least"))))
     return (kept.join(F.broadcast(least), F.col(class_col).eqNullSafe(F.col("of"))).withColumn("score", score)
-            .where(F.col("score") >= F.col("least")).select(class_col, "term", "tf", "score"))
+            .where(F.col("score") >= F.col("least")).select(class_col, term, "tf", "score"))
 
 
 def top_terms(scored: DataFrame, n: int = TOP_N_WORDS, class_col: str = "cluster") -> DataFrame:
@@ -223,9 +289,9 @@ def topic_terms(corpus: DataFrame, n: int = TOP_N_WORDS, stop_words=None,
     """A5 -> A6 -> A7 -> W3 over the corpus: (cluster, rank, term, score)."""
     docs = clustered_docs(corpus, stop_words)
     n_cls = n_classes(docs)
-    counts = class_term_counts(docs, ngram_range=ngram_range, with_stats=True)
-    scored = class_tfidf(df_bounds(counts, n_cls, min_df=min_df, max_df=max_df), n_cls, best=n)
-    return top_terms(scored, n)
+    counts = class_term_counts(docs, ngram_range=ngram_range, with_stats=True, best=n)
+    kept = written_table(df_bounds(counts, n_cls, min_df=min_df, max_df=max_df))  # read for the totals, the n-th score, the terms
+    return top_terms(class_tfidf(kept, n_cls, best=n), n)
 
 
 def keywords_label(terms: DataFrame, topics: DataFrame, k: int = TOP_KEYWORDS_SHOWN,

@@ -131,6 +131,37 @@ def test_terms_left_out_are_below_the_nth_score(spark):
         assert final.count("MapInArrow count") == 3 and "ReusedExchange" in final  # two of them after the shuffle
 
 
+def test_groups_of_equal_figures_hold_every_term_and_the_first_ones(spark, monkeypatch):
+    rows = [(i, *r) for i, r in enumerate(ODD_TEXTS + make_docs())]
+    docs = spark.createDataFrame(rows, "doc_id long, cluster int, doc string").repartition(3)
+    want = {}
+    for r in TM.class_term_counts(docs, with_stats=True).collect():
+        want.setdefault((r.cluster, r.tf, r.n_classes, r.f), []).append(r.term)
+    for best, held in ((1, 1), (2, TM.FIGURES_AT_ONCE), (1000, 3)):
+        monkeypatch.setattr(TM, "FIGURES_AT_ONCE", held)
+        monkeypatch.setattr(TM, "ROWS_AT_ONCE", 5)
+        monkeypatch.setattr(TM, "FEW_TERMS", best // 2)
+        got = {}
+        for r in TM.class_term_counts(docs, best=best).collect():
+            assert len(r.terms) == min(best, r.n)
+            n, terms = got.setdefault((r.cluster, r.tf, r.n_classes, r.f), (0, []))
+            got[r.cluster, r.tf, r.n_classes, r.f] = n + r.n, terms + r.terms
+        assert {k: n for k, (n, _) in got.items()} == {k: len(t) for k, t in want.items()}
+        assert {k: sorted(t)[:best] for k, (_, t) in got.items()} == {k: sorted(t)[:best] for k, t in want.items()}
+
+
+def test_best_terms_take_one_pass_over_the_counts(spark):
+    rows = [(i, c, d) for i, (c, d) in enumerate(make_docs())]
+    every = spark.createDataFrame(rows, "doc_id long, cluster int, abstract string")
+    docs = TM.clustered_docs(every)
+    n_cls = TM.n_classes(docs)
+    scored = TM.class_tfidf(TM.df_bounds(TM.class_term_counts(docs, with_stats=True), n_cls), n_cls)
+    for n in (1, 5, 1000):
+        best = TM.topic_terms(every, n=n)
+        assert "MapInArrow" not in best._jdf.queryExecution().executedPlan().toString()  # counted and written once before
+        assert sorted(map(tuple, best.collect())) == sorted(map(tuple, TM.top_terms(scored, n).collect()))
+
+
 def test_keywords_label_noise(spark):
     terms = spark.createDataFrame([(0, i, f"t{i}", 1.0) for i in range(1, 8)], "cluster int, rank int, term string, score double")
     topics = spark.createDataFrame([(0,), (-1,), (3,)], "cluster int")
