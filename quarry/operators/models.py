@@ -28,7 +28,8 @@ SUBTHEMES = 10
 KMEANS_ROUNDS = 40
 MMR_DIVERSITY = 0.99
 HASH_DIM = 64
-HASH_MEMO = 500_000
+HASH_MEMO = 500_000  # words whose slot a worker remembers
+WORDS_AT_ONCE = 1 << 16  # words that a worker hashes at a time, if a text ends
 # Cosines are ranked by this many decimals, ties by text.
 RANK_DECIMALS = 9
 
@@ -38,8 +39,9 @@ def hashing_encoder(dim: int = HASH_DIM):
     lower-cased word unigrams and bigrams, L2-normalised, in doubles.
 
     A feature's slot and sign come from the first 8 hex digits of its MD5, so
-    any engine can compute the same vectors.  Features are memoised per
-    worker (bounded)."""
+    any engine can compute the same vectors.  Words are memoised per worker
+    (bounded); most pairs of words are new ones, so these are hashed at once
+    and counted text by text, as whole columns."""
 
     def make():
         import re
@@ -47,26 +49,39 @@ def hashing_encoder(dim: int = HASH_DIM):
 
         word = re.compile(r"[^\W\d_]+|\d+", re.UNICODE)
 
+        def slots_of(features) -> np.ndarray:
+            first = np.frombuffer(b"".join([md5(f).digest() for f in features]), ">u4")[::4]
+            return first.astype(np.int64) % (2 * dim)  # the upper half counts down
+
         class Slots(dict):
             def __missing__(self, feature: str) -> int:
                 if len(self) >= HASH_MEMO:
                     self.clear()
-                h = int(md5(feature.encode()).hexdigest()[:8], 16)
-                slot = self[feature] = h % (2 * dim)  # the upper half counts down
+                slot = self[feature] = int(slots_of([feature.encode()])[0])
                 return slot
 
         slots = Slots()
 
+        def counted(words: list[str], lengths: list[int]) -> np.ndarray:
+            """Features by text and slot, of texts that have ``lengths`` of the words."""
+            at = np.repeat(np.arange(len(lengths)) * (2 * dim), lengths)  # where a word's text begins
+            raw = "\n".join(words).encode().split(b"\n")  # no word has a line end
+            pairs = slots_of(map(b" ".join, zip(raw, raw[1:])))
+            own = at[1:] == at[:-1]  # both words are of one text
+            places = np.concatenate([at + np.fromiter(map(slots.__getitem__, words), np.int64, len(words)),
+                                     at[1:][own] + pairs[own]])
+            return np.bincount(places, minlength=len(lengths) * 2 * dim).reshape(-1, 2 * dim)
+
         def predict(texts: np.ndarray) -> np.ndarray:
-            out = np.zeros((len(texts), dim))
-            for i, t in enumerate(texts):
+            out, begin, words, lengths = np.zeros((len(texts), dim)), 0, [], []
+            for i, t in enumerate(texts, 1):
                 toks = word.findall(str(t).lower()) if t is not None else []
-                if toks:
-                    pairs = (a + " " + b for a, b in zip(toks, toks[1:]))
-                    h = [slots[f] for f in toks]
-                    h += [slots[f] for f in pairs]
-                    n = np.bincount(np.array(h), minlength=2 * dim)
-                    out[i] = n[:dim] - n[dim:]
+                words += toks
+                lengths.append(len(toks))
+                if words and (len(words) >= WORDS_AT_ONCE or i == len(texts)):
+                    n = counted(words, lengths)
+                    out[begin:i] = n[:, :dim] - n[:, dim:]
+                    begin, words, lengths = i, [], []
             norms = np.sqrt((out * out).sum(axis=1, keepdims=True))
             return out / np.where(norms > 0, norms, 1.0)
 

@@ -1,5 +1,6 @@
 """Summary operators: properties of dedupe, extractive summary, labels."""
 
+import hashlib
 import re
 
 import numpy as np
@@ -42,6 +43,27 @@ def test_extractive_summary_keeps_order(spark):
     assert picked and out == " ".join(picked)
 
 
+def test_encoder_equals_a_plain_pass_with_no_digest_word_by_word(monkeypatch):
+    texts = [TEXT, "", None, "One", "one two", "A1b \u00c9t\u00e9_x 12 12\n\u00e9t\u00e9", "!", TEXT.lower() * 3, "two one", "\u0130x y"]
+    want = np.zeros((len(texts), 64))
+    for row, t in zip(want, texts):
+        w = re.findall(r"[^\W\d_]+|\d+", (t or "").lower())
+        for feature in w + [" ".join(p) for p in zip(w, w[1:])]:
+            h = int(hashlib.md5(feature.encode()).hexdigest()[:8], 16) % 128
+            row[h % 64] += 1 if h < 64 else -1
+        row /= np.linalg.norm(row) or 1.0
+    real, digests = hashlib.md5, []
+    monkeypatch.setattr(hashlib, "md5", lambda f: digests.append(f) or real(f))
+    for at_once in (1, 7, 1 << 16):
+        monkeypatch.setattr(models, "WORDS_AT_ONCE", at_once)
+        predict = models.hashing_encoder()()
+        assert np.allclose(predict(np.array(texts, dtype=object)), want, atol=1e-12)
+        digests.clear()
+        predict(np.array(texts, dtype=object))
+        assert all(b" " in f for f in digests)  # the words are remembered, the pairs are not looked up
+        assert len(predict(np.array([], dtype=object))) == 0
+
+
 def plain_no_repeat(text, n=3):
     """Greedy choice by rank, sentence by sentence, outside Spark."""
     parts = [x for x in re.split(r"(?<=[.!?])\s+", text) if x]
