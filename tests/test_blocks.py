@@ -1,6 +1,7 @@
 """Wide blocks: copies a vector is shuffled in, and kernels over many tiles."""
 
 import numpy as np
+import pandas as pd
 import pytest
 
 from quarry.operators import blocks, density, hierarchy as H, quality
@@ -71,3 +72,30 @@ def test_forest_within_eps(spark):
         for a, b in edges:
             part[a] = part[b] = min(part[a], part[b])
     assert part == [0] * 25 + [25] * 15
+
+
+def test_fine_tiles_keep_every_pair_of_rows_once():
+    frames = [pd.DataFrame({"id": np.arange(at, at + n)}) for at, n in ((0, 9), (20, 4), (40, 7))]
+    for pairs in ([(0, 1), (2, 1)], [(0, 0), (0, 1), (1, 1)]):
+        tiles, cut = blocks.fine(frames, pairs, 4)
+        assert max(len(t) for t in tiles) == 4
+        want = {(a, b) for i, j in pairs for a in frames[i]["id"] for b in frames[j]["id"]}
+        got = [(a, b) for x, y in cut for a in tiles[x]["id"] for b in tiles[y]["id"]]
+        assert len(got) == len(set(got)) and set(got) <= want
+        assert {frozenset(p) for p in got} == {frozenset(p) for p in want}
+
+
+def test_silhouette_over_many_labels(spark):
+    """More labels than a tile sums one by one, and fewer."""
+    rng = np.random.default_rng(6)
+    x, label = rng.normal(size=(240, 3)), rng.integers(0, 90, 240)
+    df = frame(spark, x, label)
+    d = np.linalg.norm(x[:, None] - x[None, :], axis=2)
+    s = []
+    for i, own in enumerate(label):
+        n = (label == own).sum()
+        a = d[i, label == own].sum() / max(n - 1, 1)
+        b = min(d[i, label == c].mean() for c in set(label) - {own})
+        s.append((b - a) / max(a, b) if n > 1 else 0.0)
+    assert quality.silhouette(df).first()[0] == pytest.approx(np.mean(s), abs=2e-6)
+    assert quality.silhouette(df, block_rows=64).first()[0] == pytest.approx(np.mean(s), abs=2e-6)
