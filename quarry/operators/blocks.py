@@ -28,6 +28,9 @@ from pyspark.sql import functions as F
 DEFAULT_BLOCK_ROWS = 2048
 BLOCK_TILES = 64  # tiles of a block, at most
 FINE_ROWS = 512   # rows of a tile of whose pairs a kernel makes one matrix
+DENSE_SHARE = 1 / 16  # of a matrix' cells, from which on all are measured at once
+MIDDLE_ROWS = 1024    # rows, about, of which the middle is taken
+SLICE_PAIRS = 50_000  # pairs of rows measured at a time
 MIN_BLOCKS = 16   # blocks that are made, where rows suffice, for enough tasks
 MAX_TASKS = 1024
 TASK_ROWS = 256    # no more tasks than one for so many rows
@@ -121,6 +124,62 @@ class Scratch:
         return np.dot(left, right.T, out=self.room[:n].reshape(len(left), len(right)))
 
 
+def cells(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """``np.nonzero`` of a matrix, far faster where few cells are set."""
+    return np.divmod(np.flatnonzero(mask), max(mask.shape[1], 1))
+
+
+class Close:
+    """Pairs of rows of some tiles that may lie near each other.
+
+    One float32 product bounds the negative squared distances of two tiles from
+    above: its largest rounding is added to it.  Only what may be near enough
+    by that bound is measured in float64, so nothing near is missed."""
+
+    def __init__(self, vecs: list[np.ndarray]):
+        known = [v[np.isfinite(v).all(1)] for v in vecs]
+        some = [v[::max(1, len(v) * len(known) // MIDDLE_ROWS)] for v in known if len(v)]
+        middle = np.median(np.concatenate(some), axis=0) if some else 0.0  # which a few far rows do not move
+        far = max((float(np.linalg.norm(v - middle, axis=1).max()) for v in known if len(v)), default=0.0)
+        self.vecs, self.scale = vecs, 1.0 / far if far > 0 else 1.0
+        with np.errstate(invalid="ignore", over="ignore"):
+            # lengths of at most 1; a row that is not finite is near to none
+            self.moved = [(v - middle) * self.scale if len(v) else v for v in vecs]
+            square = [(v * v).sum(1)[:, None] for v in self.moved]
+            self.slack = 2.0 * ((vecs[0].shape[1] if vecs else 0) + 10) * 2.0 ** -23  # times both squares, of a product's rounding
+            least = [1e-30 - s * (1.0 - self.slack) for s in square]
+            self.left = [np.hstack((2.0 * v, s, np.ones_like(s))).astype(np.float32) for v, s in zip(self.moved, least)]
+            self.right = [np.hstack((v, np.ones_like(s), s)).astype(np.float32) for v, s in zip(self.moved, least)]
+        self.room, self.wide, self.factors = Scratch(np.float32), Scratch(), None
+
+    def bound(self, i: int, j: int) -> np.ndarray:
+        """At least the negative squared distances of tiles ``i`` and ``j``, in
+        the measure of ``limit``; valid until the next call."""
+        return self.room.product(self.left[i], self.right[j])
+
+    def limit(self, square: np.ndarray) -> np.ndarray:
+        """What ``bound`` reaches where the squared distance is at most ``square``."""
+        with np.errstate(over="ignore"):
+            return np.nextafter((-square * self.scale * self.scale).astype(np.float32), np.float32(-np.inf))
+
+    def within(self, i: int, j: int, x: np.ndarray, y: np.ndarray, most) -> tuple[np.ndarray, np.ndarray]:
+        """Positions of those of rows ``x`` of tile ``i`` and ``y`` of tile ``j``
+        whose squared distance is at most ``most``, and these."""
+        at, most = np.arange(len(x)), np.broadcast_to(most, len(x))
+        if len(x) > DENSE_SHARE * len(self.vecs[i]) * len(self.vecs[j]):  # too many to measure: a sharper bound first
+            self.factors = self.factors or square_factors(self.moved)
+            least = self.wide.product(self.factors[0][i], self.factors[1][j])[x, y] - 2 * self.slack * 2.0 ** -29
+            at = np.flatnonzero(least <= most * self.scale * self.scale * (1 + 1e-9))
+        square = np.concatenate([self._squares(i, j, x[at[k:k + SLICE_PAIRS]], y[at[k:k + SLICE_PAIRS]])
+                                 for k in range(0, len(at), SLICE_PAIRS)] or [np.zeros(0)])
+        good = square <= most[at]
+        return at[good], square[good]
+
+    def _squares(self, i: int, j: int, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        d = self.vecs[i][x] - self.vecs[j][y]
+        return np.einsum("ij,ij->i", d, d)
+
+
 def alike(a: np.ndarray, b: np.ndarray) -> np.ndarray | None:
     """Cells whose two ids are equal, None if there are none."""
     return a[:, None] == b[None, :] if a is b or len(np.intersect1d(a, b)) else None
@@ -175,7 +234,11 @@ class Best:
             known = np.where(np.isfinite(score), score, -np.inf)
             col = np.argpartition(-known, kk - 1, axis=1)[:, :kk]
             row, value, partner = np.repeat(np.arange(len(score)), kk), np.take_along_axis(known, col, 1).ravel(), partners[col].ravel()
-        known = np.isfinite(value)
+        self.add(tile, row, value, partner)
+
+    def add(self, tile: int, row: np.ndarray, value: np.ndarray, partner: np.ndarray) -> None:
+        """Scores ``value`` of the tile's rows ``row`` with ``partner``."""
+        k, known = self.k, np.isfinite(value)
         row, value, partner = row[known], value[known], partner[known]
         if len(row) == 0:
             return
@@ -188,7 +251,8 @@ class Best:
         order = order[np.arange(len(rows)) - np.searchsorted(rows, rows) < k]  # k of each row
         self.score[tile][at], self.partner[tile][at] = value[order].reshape(-1, k), partner[order].reshape(-1, k)
         last = self.score[tile][at, k - 1]
-        self.least[tile][at] = last if self.decimals is None else (self._key(last) - 0.5) / 10 ** self.decimals - 1e-12
+        last = last if self.decimals is None else (self._key(last) - 0.5) / 10 ** self.decimals - 1e-12
+        self.least[tile][at] = np.maximum(self.least[tile][at], last)
 
     def rows(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(id, partner, score) of all that was kept."""

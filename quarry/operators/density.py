@@ -33,32 +33,68 @@ NOISE = -1
 
 
 NEAR_SCHEMA = "id long, d double"
-
-
-def _gaps(vecs: list[np.ndarray]) -> tuple[list[np.ndarray], list[np.ndarray], float]:
-    """Factors whose product, left by right, is the negative squared distance
-    of two tiles' rows, and the largest rounding of it."""
-    square = [(v * v).sum(1)[:, None] for v in vecs]
-    left = [np.hstack((2.0 * v, -s, np.full_like(s, -1.0))) for v, s in zip(vecs, square)]
-    right = [np.hstack((v, np.ones_like(s), s)) for v, s in zip(vecs, square)]
-    return left, right, 4e-15 * max((float(s.max()) for s in square if len(s)), default=0.0)
+FIRST_ROWS = 256  # rows that give a tile its first limits
+
+
+def _first_limits(ids: list[np.ndarray], close: blocks.Close, pairs: list[tuple[int, int]], k: int) -> list[np.ndarray]:
+    """Negative squared distances that each row's k nearest reach, from the first
+    rows of a tile that its own meets; -inf where these are too few."""
+    least = [np.full(len(i), -np.inf) for i in ids]
+    left, right = blocks.square_factors(close.moved)
+    met = {}
+    for i, j in pairs:
+        for t, other in ((i, j), (j, i)):
+            if met.get(t, t) == t:
+                met[t] = other
+    for t, other in met.items():
+        if len(ids[t]) and len(ids[other]) >= k:
+            square = left[t] @ right[other][:FIRST_ROWS].T
+            square[(ids[t][:, None] == ids[other][None, :FIRST_ROWS]) | np.isnan(square)] = np.inf
+            if square.shape[1] >= k:
+                kth = np.partition(square, k - 1, axis=1)[:, k - 1]
+                least[t] = -(np.maximum(kth, 0.0) * (1.0 + 1e-9) + 1e-12) / close.scale ** 2  # more than their rounding
+    return least
 
 
 def _near_kernel(k: int):
     """The k least distances of each row of the tiles that meet, as ``NEAR_SCHEMA``."""
 
     def kernel(tiles: list[pd.DataFrame], pairs: list[tuple[int, int]]) -> pd.DataFrame:
+        tiles, pairs = blocks.fine(tiles, pairs)
         ids = [t["id"].to_numpy(np.int64) for t in tiles]
-        left, right, _ = _gaps([blocks.matrix(t["vec"]) for t in tiles])
+        close = blocks.Close([blocks.matrix(t["vec"]) for t in tiles])
         best = blocks.Best(ids, k)
+        best.least = _first_limits(ids, close, pairs, k)
+        limit = [close.limit(-x) for x in best.least]
+        found: list[list] = [[] for _ in tiles]  # (rows, scores, partners) not yet among the best
+        n_found = [0] * len(tiles)
+
+        def settle(t):
+            if found[t]:
+                best.add(t, *(np.concatenate(c) for c in zip(*found[t])))
+                limit[t], found[t], n_found[t] = close.limit(-best.least[t]), [], 0
+
+        def offer(t, other, row, col):
+            apart = ids[t][row] != ids[other][col]
+            row, col = row[apart], col[apart]
+            at, square = close.within(t, other, row, col, -best.least[t][row])
+            if len(at):
+                found[t].append((row[at], -square, ids[other][col[at]]))
+                n_found[t] += len(at)
+                if n_found[t] > len(ids[t]):
+                    settle(t)
+
         for i, j in pairs:
-            near = left[i] @ right[j].T
-            own = blocks.alike(ids[i], ids[j])
-            if own is not None:
-                near[own] = -np.inf
-            best.offer(i, near, ids[j])
+            near = close.bound(i, j)
+            row, col = blocks.cells(near >= limit[i][:, None])
+            if len(row):
+                offer(i, j, row, col)
             if i != j:
-                best.offer(j, near.T, ids[i])
+                row, col = blocks.cells(near >= limit[j][None, :])
+                if len(row):
+                    offer(j, i, col, row)
+        for t in range(len(tiles)):
+            settle(t)
         point, _, score = best.rows()
         return pd.DataFrame({"id": point, "d": np.sqrt(np.maximum(-score, 0.0))})
 
@@ -113,13 +149,31 @@ def _forest_kernel(eps: float):
     ``eps`` make."""
 
     def kernel(tiles: list[pd.DataFrame], pairs: list[tuple[int, int]]) -> pd.DataFrame:
+        tiles, pairs = blocks.fine(tiles, pairs)
         ids = np.concatenate([t["id"].to_numpy(np.int64) for t in tiles] or [np.zeros(0, np.int64)])
         start = np.cumsum([0] + [len(t) for t in tiles])
-        left, right, rounding = _gaps([blocks.matrix(t["vec"]) for t in tiles])
+        close = blocks.Close([blocks.matrix(t["vec"]) for t in tiles])
+        most = eps * eps * (1.0 + 1e-12)  # rounding
+        limit = close.limit(np.float64(most))
         labels = np.arange(len(ids))
+        found, n_found = [], 0
+
+        def settle():
+            if found:
+                blocks.hook(labels, *(np.concatenate(c) for c in zip(*found)))
+
         for i, j in pairs:
-            x, y = np.nonzero(left[i] @ right[j].T >= -(eps * eps + rounding))
-            blocks.hook(labels, x + start[i], y + start[j])
+            x, y = blocks.cells(close.bound(i, j) >= limit)
+            apart = labels[x + start[i]] != labels[y + start[j]]
+            x, y = x[apart], y[apart]
+            at, _ = close.within(i, j, x, y, most)
+            if len(at):
+                found.append((x[at] + start[i], y[at] + start[j]))
+                n_found += len(at)
+            if n_found > len(ids):
+                settle()
+                found, n_found = [], 0
+        settle()
         src = np.flatnonzero(labels != np.arange(len(ids)))
         return pd.DataFrame({"src": ids[src], "dst": ids[labels[src]]})
 

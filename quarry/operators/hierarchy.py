@@ -43,7 +43,9 @@ from quarry.session import written_table
 
 DECIMALS = 6
 PROBLEM_EDGES = 50_000
+HUB_ROWS = 256  # rows that connect a task's others at first
 FOLD_EDGES = 1_000_000  # edges of tiles that a task gathers before it folds them
+BAND_CLUSTERS = 200_000  # clusters of a band, which a task takes as a whole
 SAFETY_ROUNDS = 200
 ROUND_SHIFT = 55  # names of vertices made in a round begin here
 
@@ -76,38 +78,150 @@ def prim(weights: np.ndarray, same: bool) -> list[tuple[int, int, float]]:
     return out
 
 
+def rounded(w: np.ndarray) -> np.ndarray:
+    return np.maximum(np.round(w, DECIMALS), 10.0 ** -DECIMALS)
+
+
+def hub_edges(vecs: list[np.ndarray], cores: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(u, v, w): edges that connect all rows of the tiles: a spanning tree of
+    ``HUB_ROWS`` of them (of all, if there are no more), and every other row's
+    lightest edge to one of these."""
+    rows, core = np.concatenate(vecs), np.concatenate(cores)
+    hub = np.unique(np.linspace(0, len(rows) - 1, min(HUB_ROWS, len(rows))).astype(np.int64))
+    near = rounded(np.maximum(distances(rows[hub], rows[hub]), np.maximum.outer(core[hub], core[hub])))
+    tree = prim(near, True)
+    u, v, w = (np.array(c) for c in zip(*tree)) if tree else (np.zeros(0, np.int64),) * 3
+    out = [(hub[u], hub[v], w.astype(float))]
+    rest = np.setdiff1d(np.arange(len(rows)), hub)
+    for at in range(0, len(rest), blocks.DEFAULT_BLOCK_ROWS):
+        x = rest[at:at + blocks.DEFAULT_BLOCK_ROWS]
+        w = np.maximum(distances(rows[x], rows[hub]), np.maximum.outer(core[x], core[hub]))
+        y = w.argmin(1)
+        out.append((x, hub[y], rounded(w[np.arange(len(x)), y])))
+    return tuple(np.concatenate(c) for c in zip(*out))
+
+
+class Heights:
+    """How light the way between two nodes of a forest is: its heaviest edge.
+
+    Joining the lightest edges first, the nodes are laid in a row, a joined part
+    behind the larger one; the heaviest edge between two nodes is then the
+    greatest height between their places."""
+
+    def __init__(self, u: np.ndarray, v: np.ndarray, w: np.ndarray, n: int):
+        root, last, size, after, height = list(range(n)), list(range(n)), [1] * n, [-1] * n, [np.inf] * n
+        order = np.argsort(w, kind="stable")
+        for a, b, h in zip(u[order].tolist(), v[order].tolist(), w[order].tolist()):
+            while root[a] != a:
+                root[a] = a = root[root[a]]
+            while root[b] != b:
+                root[b] = b = root[root[b]]
+            if a == b:
+                continue
+            if size[a] < size[b]:
+                a, b = b, a
+            after[last[a]], height[b] = b, h
+            last[a], root[b], size[a] = last[b], a, size[a] + size[b]
+        row = []
+        tops = sorted((a for a in range(n) if root[a] == a), key=lambda a: -size[a])
+        for a in tops:  # a part's first node is its root
+            while a >= 0:
+                row.append(a)
+                a = after[a]
+        self.place = np.empty(n, np.int64)
+        self.place[row] = np.arange(n)
+        self.tables = [np.array(height)[row]]  # greatest of 1, 2, 4 ... heights from a place on
+        step = 1
+        while len(self.tables[-1]) > step:
+            self.tables.append(np.maximum(self.tables[-1][:-step], self.tables[-1][step:]))
+            step *= 2
+        # to the first node of the largest part; a way between two nodes is no heavier than their ways there
+        self.to_first = np.maximum.accumulate(np.concatenate(([0.0], self.tables[0][1:])))[self.place] if n else np.zeros(0)
+
+    def between(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """The heaviest edge on the way from each of ``x`` to that of ``y``."""
+        lo = np.minimum(self.place[x], self.place[y]) + 1
+        span = np.maximum(self.place[x], self.place[y]) + 1 - lo
+        out = np.zeros(len(lo))
+        for k, table in enumerate(self.tables):
+            at = np.flatnonzero((span >> k) == 1)
+            if len(at):
+                out[at] = np.maximum(table[lo[at]], table[lo[at] + span[at] - (1 << k)])
+        return out
+
+
+def _by_turns(pairs: list[tuple[int, int]]) -> list[list[tuple[int, int]]]:
+    """The pairs in growing lots, of which each takes every tile about as often."""
+    left, right = (sorted({p[k] for p in pairs}) for k in (0, 1))
+    at = [{t: k for k, t in enumerate(side)} for side in (left, right)]
+    n = max(len(left), len(right), 1)
+    order = sorted(pairs, key=lambda p: ((at[1][p[1]] - at[0][p[0]]) % n, p))
+    lots, upto, size = [], 0, n
+    while upto < len(order):
+        lots.append(order[upto:upto + size])
+        upto, size = upto + size, size * 3
+    return lots
+
+
+def light_edges(close: blocks.Close, cores: list[np.ndarray], start: np.ndarray, lots: list[list[tuple[int, int]]], kept):
+    """(u, v, w): the spanning tree of least weight of ``kept``, which connects
+    all rows of the tiles, and of the lots' pairs of tiles.  A pair of rows counts
+    only if it is lighter than the way between them that is known so far."""
+    n = int(start[-1])
+    new, size = [kept], len(kept[0])
+
+    def fold():
+        u, v, w = (np.concatenate(c) for c in zip(*new))
+        least = light_forest(u, v, w, n)
+        return [(u[least], v[least], w[least])]
+
+    def limits():
+        heights = Heights(*new[0], n)
+        reach = np.split(heights.to_first, start[1:-1])
+        return heights, [close.limit((r + 2 * 10.0 ** -DECIMALS) ** 2) for r in reach]
+
+    for lot in lots:
+        new, size = fold(), 0
+        heights, limit = limits()
+        for i, j in lot:
+            near = close.bound(i, j)
+            light = near >= limit[i][:, None]
+            light |= near >= limit[j][None, :]
+            x, y = blocks.cells(np.triu(light, 1) if i == j else light)
+            if len(x) == 0:
+                continue
+            way = heights.between(x + start[i], y + start[j])
+            core = np.maximum(cores[i][x], cores[j][y])
+            good = (core < way + 10.0 ** -DECIMALS) & (near[x, y] >= close.limit((way + 2 * 10.0 ** -DECIMALS) ** 2))
+            x, y, way, core = x[good], y[good], way[good], core[good]
+            at, square = close.within(i, j, x, y, (way + 10.0 ** -DECIMALS) ** 2)
+            w = rounded(np.maximum(np.sqrt(square), core[at]))
+            light = w < way[at]
+            at = at[light]
+            if len(at):
+                new.append((x[at] + start[i], y[at] + start[j], w[light]))
+                size += len(at)
+            if size > FOLD_EDGES:
+                new, size = fold(), 0
+                heights, limit = limits()
+    return fold()[0]
+
+
 def pair_edges(points: DataFrame, n_rows: int, block_rows: int = blocks.DEFAULT_BLOCK_ROWS) -> DataFrame:
     """(a, b, w): the spanning trees of all block pairs of ``points`` (id, vec,
     core; no null core)."""
 
     def kernel(tiles: list[pd.DataFrame], pairs: list[tuple[int, int]]) -> pd.DataFrame:
+        tiles, pairs = blocks.fine(tiles, pairs)
         ids = np.concatenate([t["id"].to_numpy(np.int64) for t in tiles] or [np.zeros(0, np.int64)])
         start = np.cumsum([0] + [len(t) for t in tiles])
-        vecs, cores = [blocks.matrix(t["vec"]) for t in tiles], [t["core"].to_numpy() for t in tiles]
-        kept: tuple = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
-        new, size = [], 0
-
-        def fold():
-            u, v, w = (np.concatenate(x) for x in zip(kept, *new))
-            least = light_forest(u, v, w, len(ids))
-            return u[least], v[least], w[least]
-
-        for i, j in pairs:
-            w = np.maximum(distances(vecs[i], vecs[j]), np.maximum.outer(cores[i], cores[j]))
-            tree = prim(np.maximum(np.round(w, DECIMALS), 10.0 ** -DECIMALS), i == j)
-            if tree:
-                x, y, weight = (np.array(c) for c in zip(*tree))
-                if i == j:
-                    x, y = x + start[i], y + start[i]
-                else:  # the columns' nodes come after the rows'
-                    x, y = (np.where(c < len(vecs[i]), c + start[i], c - len(vecs[i]) + start[j]) for c in (x, y))
-                new.append((x, y, weight.astype(float)))
-                size += len(x)
-            if size > FOLD_EDGES:
-                kept, new, size = fold(), [], 0
-        x, y, weight = fold()
-        x, y = ids[x], ids[y]
-        return pd.DataFrame({"a": np.minimum(x, y), "b": np.maximum(x, y), "w": weight})
+        cores = [t["core"].to_numpy(np.float64) for t in tiles]
+        close = blocks.Close([blocks.matrix(t["vec"]) for t in tiles])
+        kept = hub_edges(close.vecs, cores)
+        if len(ids) > HUB_ROWS:
+            kept = light_edges(close, cores, start, _by_turns(pairs), kept)
+        x, y, w = (ids[kept[0]], ids[kept[1]], kept[2])
+        return pd.DataFrame({"a": np.minimum(x, y), "b": np.maximum(x, y), "w": w})
 
     return blocks.run_pairs(points.select("id", "vec", "core"), "id", n_rows, kernel, "a long, b long, w double", block_rows)
 
@@ -294,53 +408,97 @@ def condensed(nodes: DataFrame, min_cluster_size: int) -> tuple[DataFrame, DataF
     return written_table(tree.select("cluster", "parent", "birth", F.round(stability, DECIMALS).alias("stability"), "size")), of
 
 
-def choose(tree: DataFrame, eps: float = 0.0) -> DataFrame:
+NONE = -1  # for a missing name: a column of longs with gaps would turn to floats on the way
+
+
+def _banded(tree: DataFrame, band_clusters: int) -> tuple[DataFrame, int]:
+    """(tree with ``band``, bands): bands of about ``band_clusters`` clusters by
+    their births, so that no cluster's part is in a later band than itself."""
+    n = max(1, -(-tree.count() // band_clusters))
+    cuts = sorted(set(tree.approxQuantile("birth", [k / n for k in range(1, n)], 0.1 / n))) if n > 1 else []
+    # null for the whole: the last band
+    band = sum((F.coalesce(F.col("birth") > c, F.lit(True)).cast("int") for c in cuts), F.lit(0))
+    names = [F.coalesce("parent", F.lit(NONE).cast("long")).alias("parent"), "birth", "stability"]
+    return written_table(tree.select("cluster", *names, band.alias("band"))), len(cuts) + 1
+
+
+def _best_up(pdf: pd.DataFrame) -> pd.DataFrame:
+    """The best choice at or below every cluster of a band; ``below`` and ``k``
+    are those of its parts in bands before and their number."""
+    pdf = pdf.sort_values("birth", na_position="last", kind="stable")
+    below, parts = dict(zip(pdf["cluster"], pdf["below"])), dict(zip(pdf["cluster"], pdf["k"]))
+    best, own = [], []
+    for c, parent, stability in zip(pdf["cluster"], pdf["parent"], pdf["stability"]):
+        best.append(max(stability, below[c]) if parts[c] else stability)
+        own.append(not parts[c] or (stability >= below[c] and parent != NONE))
+        if parent in below:
+            below[parent] += best[-1]
+            parts[parent] += 1
+    return pdf.assign(best=best, own=own)[["cluster", "parent", "birth", "band", "best", "own"]]
+
+
+def _named_down(last: bool):
+    """The name that every cluster of a band takes: its own where it has a
+    ``mark``, else its parent's; the last mark above it counts, or the first."""
+
+    def name(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("birth", ascending=False, na_position="first", kind="stable")
+        names: dict[int, int] = {}
+        for c, parent, mark, above in zip(pdf["cluster"], pdf["parent"], pdf["mark"], pdf["above"]):
+            above = names.get(parent, above)
+            names[c] = c if mark and (last or above == NONE) else above
+        return pd.DataFrame({"cluster": pdf["cluster"], "name": pd.Series(names, dtype=np.int64).reindex(pdf["cluster"]).to_numpy()})
+
+    return name
+
+
+def _down(rows: DataFrame, bands: int, last: bool) -> DataFrame:
+    """(cluster, name) of rows (cluster, parent, birth, band, mark)."""
+    out = None
+    for b in reversed(range(bands)):
+        part, none = rows.where(F.col("band") == b), F.lit(NONE).cast("long")
+        if out is not None:
+            part = part.join(out.select(F.col("cluster").alias("parent"), F.col("name").alias("above")), "parent", "left")
+        else:
+            part = part.withColumn("above", none)
+        part = part.select("cluster", "parent", "birth", "band", "mark", F.coalesce("above", none).alias("above"))
+        new = part.groupBy("band").applyInPandas(_named_down(last), "cluster long, name long")
+        out = written_table(new if out is None else out.unionByName(new))
+    return out
+
+
+def choose(tree: DataFrame, eps: float = 0.0, band_clusters: int = BAND_CLUSTERS) -> DataFrame:
     """(cluster, chosen): every cluster with the chosen one that it is or lies
-    under; null under none."""
-    kids = tree.where("parent IS NOT NULL").groupBy(F.col("parent").alias("cluster")).agg(F.count(F.lit(1)).alias("n_kids"))
-    todo = written_table(tree.join(kids, "cluster", "left").select(
-        "cluster", "parent", "birth", "stability", F.coalesce("n_kids", F.lit(0)).alias("n_kids")))
-    done = todo.where("n_kids = 0").select("cluster", "parent", F.col("stability").alias("best"), F.lit(True).alias("own"))
-    done, ready = written_table(done), todo.where("n_kids = 0").select("cluster")
-    while True:  # from the leaves up: clusters whose parts are all done
-        part = done.groupBy(F.col("parent").alias("cluster")).agg(F.sum("best").alias("below"), F.count(F.lit(1)).alias("k"))
-        ready = todo.join(done.select("cluster"), "cluster", "left_anti").join(part, "cluster").where("k = n_kids")
-        own = (F.col("stability") >= F.col("below")) & F.col("parent").isNotNull()
-        new = written_table(ready.select("cluster", "parent", F.greatest("stability", "below").alias("best"), own.alias("own")))
-        if new.isEmpty():
-            break
-        done = written_table(done.unionByName(new))
+    under; null under none.
+
+    A task takes a band of clusters through all its levels, from the leaves up
+    and from the whole down; what bands leave to others are their best sums and
+    names."""
+    todo, bands = _banded(tree, band_clusters)
+    done = None
+    for b in range(bands):  # from the leaves up
+        part = todo.where(F.col("band") == b)
+        if done is None:
+            part = part.withColumns({"below": F.lit(0.0), "k": F.lit(0).cast("long")})
+        else:
+            sums = done.groupBy(F.col("parent").alias("cluster")).agg(F.sum("best").alias("below"), F.count(F.lit(1)).alias("k"))
+            part = part.join(sums, "cluster", "left").fillna({"below": 0.0, "k": 0})
+        new = part.groupBy("band").applyInPandas(
+            _best_up, "cluster long, parent long, birth double, band int, best double, own boolean")
+        done = written_table(new if done is None else done.unionByName(new))
     # from the whole down: the first own choice takes everything below
-    whole = done.where("parent IS NULL").select("cluster", F.lit(None).cast("long").alias("chosen"))
-    every = level = written_table(whole)
-    while True:
-        up = level.select(F.col("cluster").alias("parent"), F.col("chosen").alias("above"))
-        level = written_table(done.join(up, "parent").select("cluster", F.coalesce("above", F.when(F.col("own"), F.col("cluster"))).alias("chosen")))
-        if level.isEmpty():
-            break
-        every = written_table(every.unionByName(level))
-    if eps <= 0:
-        return every
-    move = tree.join(every.where("cluster = chosen").select("cluster"), "cluster").select(
-        F.col("cluster").alias("chosen"), F.col("cluster").alias("at"))
-    info = tree.select(F.col("cluster").alias("at"), "parent", "birth").join(
-        tree.select(F.col("cluster").alias("parent"), F.col("parent").alias("grand")), "parent", "left")
-    while True:  # climb while born below eps and the parent is not the whole
-        step = move.join(info, "at").withColumn("go", (F.col("birth") < eps) & F.col("grand").isNotNull())
-        step = written_table(step.select("chosen", "at", "go", "parent"))
-        if step.where("go").isEmpty():
-            break
-        move = written_table(step.select("chosen", F.when(F.col("go"), F.col("parent")).otherwise(F.col("at")).alias("at")))
-    tops = move.select("at").distinct()
-    every = tree.join(tops, F.col("cluster") == F.col("at"), "left").select("cluster", "parent", F.col("at").alias("chosen"))
-    level = written_table(every.where("parent IS NULL").select("cluster", "chosen"))
-    out = level
-    while True:
-        up = level.select(F.col("cluster").alias("parent"), F.col("chosen").alias("above"))
-        level = written_table(every.join(up, "parent").select("cluster", F.coalesce("above", "chosen").alias("chosen")))
-        if level.isEmpty():
-            return out
-        out = written_table(out.unionByName(level))
+    mark = F.col("own") & (F.col("parent") != NONE)
+    every = _down(done.withColumn("mark", mark), bands, last=False)
+    if eps > 0:
+        # a chosen cluster born below eps climbs to the first above it that is not, or whose parent is the whole
+        whole = done.where(F.col("parent") == NONE).select(F.col("cluster").alias("parent"), F.lit(True).alias("under"))
+        stop = (F.col("birth") >= eps) | F.col("under").isNotNull()
+        stops = _down(done.join(whole, "parent", "left").withColumn("mark", stop & (F.col("parent") != NONE)), bands, last=True)
+        tops = every.where("cluster = name").join(stops.withColumnRenamed("name", "top"), "cluster").select(
+            F.col("top").alias("cluster"), F.lit(True).alias("mark")).distinct()
+        marked = done.join(tops, "cluster", "left").withColumn("mark", F.coalesce("mark", F.lit(False)))
+        every = _down(marked, bands, last=False)
+    return every.select("cluster", F.when(F.col("name") != NONE, F.col("name")).alias("chosen"))
 
 
 def point_clusters(nodes: DataFrame, points: DataFrame, of: DataFrame, min_cluster_size: int) -> DataFrame:

@@ -118,3 +118,64 @@ def test_fit_topics_and_audit(spark):
         assert 0 < len(sims) <= topics.KEYWORDS and sims == sorted(sims, reverse=True)
     audit = topics.similarity_audit(df.select(F.col("doc_id").alias("id"), "embedding"), k=3)
     assert audit["stats"].first().n == 270 and audit["smoothed"].count() == 100
+
+
+def rows_of(kind):
+    r = np.random.default_rng(6)
+    x = r.normal(size=(1300, 5))
+    if kind == "tight":  # clusters far narrower than a float32 of their distance
+        x = r.normal(size=(4, 5))[r.integers(0, 4, 1300)] * 1e4 + x * 1e-4
+    if kind == "copies":
+        x[::3] = x[0]
+        x[1::5] = x[r.integers(0, 1300, 260)]
+        x[11] *= 1e6
+    return x
+
+
+def test_near_kernel_equals_brute_force():
+    """Distances of the tiles that meet, with more rows than one matrix has."""
+    import pandas as pd
+
+    from quarry.operators import blocks
+
+    for kind in ("even", "tight", "copies"):
+        x = rows_of(kind)
+        tiles = blocks.tiles_of(pd.DataFrame({"id": np.arange(1300), "vec": list(x)}), 700)
+        tiles[0].at[5, "vec"] = np.array([np.nan] * 5)  # near to none
+        out = D._near_kernel(4)(tiles, [(0, 0), (0, 1), (1, 1)])
+        d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(2))
+        np.fill_diagonal(d, np.inf)
+        d[5] = d[:, 5] = np.inf
+        got = out.groupby("id")["d"].apply(lambda v: sorted(v)).to_dict()
+        assert 5 not in got and len(got) == 1299
+        for i, near in got.items():
+            assert np.allclose(near, np.sort(d[i])[:4], rtol=1e-9, atol=0)
+
+
+def test_forest_kernel_equals_brute_force():
+    import pandas as pd
+
+    from quarry.operators import blocks
+
+    for kind, eps in (("even", 0.7), ("tight", 2e-4), ("copies", 0.0)):
+        x = rows_of(kind)
+        tiles = blocks.tiles_of(pd.DataFrame({"id": np.arange(1300), "vec": list(x)}), 700)
+        out = D._forest_kernel(eps)(tiles, [(0, 0), (0, 1), (1, 1)])
+        got, want = np.arange(1300), np.arange(1300)
+        blocks.hook(got, out["src"].to_numpy(), out["dst"].to_numpy())
+        near = np.sqrt(((x[:, None] - x[None]) ** 2).sum(2)) <= eps
+        blocks.hook(want, *np.nonzero(near))
+        assert (got == want).all() and len(np.unique(want)) > 1
+
+
+def test_near_kernel_measures_few_pairs_one_by_one(monkeypatch):
+    import pandas as pd
+
+    from quarry.operators import blocks
+
+    seen, real = [], blocks.Close._squares
+    monkeypatch.setattr(blocks.Close, "_squares", lambda self, i, j, x, y: seen.append(len(x)) or real(self, i, j, x, y))
+    x = np.random.default_rng(1).normal(size=(4096, 16))
+    tiles = blocks.tiles_of(pd.DataFrame({"id": np.arange(4096), "vec": list(x)}), 2048)
+    D._near_kernel(4)(tiles, [(0, 0), (0, 1), (1, 1)])
+    assert 4 * 4096 <= sum(seen) < 0.02 * 4096 * 4096
