@@ -70,7 +70,7 @@ def tiles_of(rows: pd.DataFrame, block_rows: int = DEFAULT_BLOCK_ROWS) -> list[p
 def fine(tiles: list[pd.DataFrame], pairs: list[tuple[int, int]], rows: int = FINE_ROWS):
     """The same tiles and pairs cut into tiles of at most ``rows``, whose
     matrices stay in a core's cache."""
-    cut = [tiles_of(t, rows) for t in tiles]
+    cut = [tiles_of(t, -(-len(t) // n_blocks(len(t), rows)) or 1) for t in tiles]  # of even sizes
     at = np.cumsum([0] + [len(c) for c in cut])
     return ([t for c in cut for t in c],
             [(x, y) for i, j in pairs for x in range(at[i], at[i + 1]) for y in range(at[j], at[j + 1]) if i != j or x <= y])

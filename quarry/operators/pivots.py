@@ -2,8 +2,9 @@
 
 The pivots are a bounded sample of the vectors (the ``max_pivots`` first by
 hash of id, at most one for ``cell_rows`` vectors), every vector belongs to
-the cell of its nearest pivot, and a cell is dealt into chunks of about
-``block_rows`` vectors, so that a cell holding a third of them is many tasks.
+the cell of its nearest pivot, a cell is cut into shells by radius, and a
+shell is dealt into chunks of about ``block_rows`` vectors, so that a cell
+holding a third of them is many tasks.
 Three steps:
 
 1. every chunk searches itself.  The k-th result is a limit: whatever lies
@@ -42,6 +43,7 @@ from quarry.session import reliable_checkpoint
 
 CELL_ROWS = blocks.DEFAULT_BLOCK_ROWS  # vectors without clusters then cost what the all-pairs layout does
 MAX_PIVOTS = 4096
+MAX_SHELLS = 64       # parts that a cell is cut into by radius, at most
 SLICE_ROWS = 256      # rows that are held against all pivots at once
 LEAST_GAP = 1e-6      # pivots nearer than that give no hyperplane bound
 
@@ -104,24 +106,48 @@ def _pivots(src: DataFrame, search: Search, n_rows: int, cell_rows: int, max_piv
     return pts[large or [0]]
 
 
+def _shells(placed: DataFrame, block_rows: int) -> DataFrame:
+    """(cell, first, cuts) of every pivot: its cell is cut at these radii, and
+    the parts are numbered from ``first`` on."""
+    grid = [k / MAX_SHELLS for k in range(1, MAX_SHELLS)]
+    # as floats: the rounding of a distance must not part equal vectors
+    radius = F.col("radius").cast("float")
+    cells = placed.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.percentile_approx(radius, grid, 1000).alias("q"))
+    table, first = [], 0
+    for r in cells.orderBy("cell").collect():  # one row per pivot
+        n = min(MAX_SHELLS, blocks.n_blocks(r["n"], block_rows))
+        at = [round(k * MAX_SHELLS / n) - 1 for k in range(1, n)]
+        # between two radii, not at one: a cut seldom parts vectors that lie close together
+        cuts = sorted({(r["q"][max(i - 1, 0)] + r["q"][i]) / 2 for i in at})
+        table.append((r["cell"], first, cuts))
+        first += len(cuts) + 1
+    return placed.sparkSession.createDataFrame(table, "cell int, first int, cuts array<float>")
+
+
 def in_cells(src: DataFrame, search: Search, cell_rows: int = CELL_ROWS, max_pivots: int = MAX_PIVOTS,
              block_rows: int = blocks.DEFAULT_BLOCK_ROWS) -> tuple[DataFrame, DataFrame, np.ndarray]:
     """(rows, cells, pivots): rows (id, vec, cell, chunk), and cells (cell, n,
-    lo, hi, base, parts), whose chunks are ``base .. base + parts - 1``."""
+    lo, hi, base, parts), whose chunks are ``base .. base + parts - 1``.  A
+    pivot's cell of more than ``block_rows`` vectors is cut by radius into as many
+    cells with that pivot, so that vectors near each other share a chunk."""
     spark = src.sparkSession
     pivots = _pivots(src, search, src.count(), cell_rows, max_pivots)
     placed = reliable_checkpoint(_assign(src, search, spark.sparkContext.broadcast(pivots)))
-    sizes = (placed.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.min("radius").alias("lo"),
-                                        F.max("radius").alias("hi")).orderBy("cell").collect())
+    shells = _shells(placed, block_rows)
+    of = F.col("first") + F.size(F.filter("cuts", lambda c: c < F.col("radius").cast("float")))
+    placed = placed.join(F.broadcast(shells), "cell").select("id", "vec", of.alias("cell"), "radius")
+    sizes = {r["cell"]: r for r in placed.groupBy("cell").agg(
+        F.count(F.lit(1)).alias("n"), F.min("radius").alias("lo"), F.max("radius").alias("hi")).collect()}
+    owner = [r["cell"] for r in shells.orderBy("first").collect() for _ in range(len(r["cuts"]) + 1)]
     table, base = [], 0
-    for r in sizes:  # one row per pivot
-        parts = blocks.n_blocks(r["n"], block_rows)
-        table.append((r["cell"], r["n"], r["lo"], r["hi"], base, parts))
+    for cell in sorted(sizes):
+        r, parts = sizes[cell], blocks.n_blocks(sizes[cell]["n"], block_rows)
+        table.append((cell, r["n"], r["lo"], r["hi"], base, parts))
         base += parts
     cells = spark.createDataFrame(table, "cell int, n long, lo double, hi double, base long, parts int")
     chunk = F.col("base") + F.pmod(F.xxhash64("id"), F.col("parts"))
     rows = placed.join(F.broadcast(cells), "cell").select("id", "vec", "cell", chunk.alias("chunk"))
-    return rows, cells, pivots
+    return rows, cells, pivots[owner] if owner else pivots
 
 
 def search_chunks(rows: DataFrame, cells: DataFrame, pivots: np.ndarray, search: Search) -> DataFrame:

@@ -92,3 +92,28 @@ def test_a_hot_cell_is_dealt_into_chunks(spark):
     rows, cells, _ = pivots.in_cells(pivots.usable(frame(spark, x), "id", "embedding"), search, 30, 8, 50)
     sizes = [r["count"] for r in rows.groupBy("chunk").count().collect()]
     assert sum(sizes) == 360 and max(sizes) < 110
+
+
+def test_near_vectors_share_a_chunk_of_a_large_cell(spark):
+    """With their nearest in their own chunk, vectors open few others."""
+    r = np.random.default_rng(4)
+    x = np.repeat(uniform(400, 12), 5, axis=0) + r.normal(scale=1e-7, size=(2000, 12))
+    src = pivots.usable(frame(spark, x), "id", "embedding")
+    seen = {}
+
+    def watch(df, search, *args):
+        rows, cells, piv = pivots.in_cells(df, search, 500, pivots.MAX_PIVOTS, 100)
+        seen["open"] = pivots.open_pairs(pivots.search_chunks(rows, cells, piv, search), cells).count()
+        seen["chunks"] = cells.agg(F.sum("parts")).first()[0]
+        return real(df, search, 500, pivots.MAX_PIVOTS, 100)
+
+    real = pivots.nearest
+    pivots.nearest = watch
+    try:
+        got = {q.id: q.near for q in density.nearest_distances_pruned(src.withColumnRenamed("embedding", "vec"), 4).collect()}
+    finally:
+        pivots.nearest = real
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(2))
+    np.fill_diagonal(d, np.inf)
+    assert all(np.allclose(got[i], np.sort(d[i])[:4], rtol=1e-9, atol=0) for i in range(2000))
+    assert seen["chunks"] >= 20 and seen["open"] < 0.5 * seen["chunks"] * (seen["chunks"] - 1) / 2
