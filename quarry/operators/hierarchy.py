@@ -1,8 +1,9 @@
 """Density hierarchy (M4): mutual-reachability spanning tree, merge tree,
 condensed tree and the clusters of largest stability.
 
-*Spanning tree.*  A task keeps the spanning tree of the edges of its two blocks,
-folded from those of their tiles (weight ``max(core x, core y, d(x, y))``); the spanning tree of everything is
+*Spanning tree.*  A task keeps the spanning tree of the edges of its two blocks
+(weight ``max(core x, core y, d(x, y))``), to which only those pairs of rows
+come that are lighter than the way between them so far; the spanning tree of everything is
 one of the union of these, which Boruvka rounds over that edge list find: each
 component's lightest edge by a map-side combined minimum, then components by
 large-star/small-star.  No distance leaves a task otherwise.

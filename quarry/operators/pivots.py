@@ -22,7 +22,7 @@ open pair: about as often as in the all-pairs layout where all are open, and
 far less where the vectors have clusters.  Limits and bounds are exact, no
 result is lost.
 
-Broadcast: the pivots (``max_pivots`` vectors) and as many radii.  Rows
+Broadcast: the pivots (``max_pivots`` vectors, once for each of their shells) and the shells' radii.  Rows
 without an id or a vector, and vectors with a null or non-finite component,
 take no part.  Equal vectors share a cell, and with more equal vectors than a
 chunk holds all pairs of their chunks are open: their ties go by id.
